@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treescan.llm import quality_rules
+from treescan.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 from treescan.llm.common import materialize, table
 
 
@@ -14,8 +15,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(f"`{judged.columns[-1]}`.kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality)]
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
+    return exact_dedup.drop_copies(docs)
 
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order that gives each source the same share of every prefix as long as it lasts."""
+    return mixing.in_order(mixing.mix(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents, with n_tokens, ids_sha256, decoded_sha256 and ids."""
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(*docs.columns, f"{coded.columns[-1]}.*")
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("byte_level_bpe", tokens)]
+
+#: None: SQL can express neither the learned rules nor the signatures.
 ORACLE_SQL = None
 
 

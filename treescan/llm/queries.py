@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treescan.llm import quality_rules
+from treescan.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, sharding, url_reputation
 from treescan.llm.common import table
 
 
@@ -17,7 +18,78 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[q[c].alias(c) for c in (*quality_rules.STATS[:5], "base_failed", "kept", "rule")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality_rules": op1_quality_rules}
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_near_copies(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return coded.select("doc_id", F.col(f"{coded.columns[-1]}.*"))
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host and bad of each page. A page shows the document whose id is the number in its path; it is bad where that
+    document is labelled of low quality, and not labelled where the document isn't."""
+    pages = table(spark, sf_dir, "pages").select(url_reputation.host_of(F.col("url")).alias("host"), F.regexp_extract(url_reputation.path_of(F.col("url")), r"^/[^/]*/([0-9]+)", 1).cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
+    return pages.join(labels, "doc_id", "left").select("host", "bad")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources at the same weight."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", F.col(f"{mixed.columns[-1]}.*"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op6_byte_level_bpe, op9_url_filters, op10_mixing)
+}
+
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
+h AS (SELECT doc_id, sha256(n) AS text_sha256 FROM t)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM h WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+l AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+o AS (SELECT p.host, l.bad FROM p LEFT JOIN l ON l.doc_id = TRY_CAST(nullif(regexp_extract(p.path, '^/[^/]*/([0-9]+)', 1), '') AS BIGINT)),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix FROM o GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+s AS (SELECT suffix, n, bad, (sum(bad) OVER () * 1.0::DOUBLE) / sum(n) OVER () AS m FROM s0),
+ks AS (SELECT 1 / least(greatest(coalesce((sum((bad - n * m) ** 2 / n) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0), 0.0001), 0.5) - 1 AS k FROM s WHERE n > 0),
+d1 AS (SELECT d.domain, d.n, d.bad, (ks.k * s.m + s.bad) / (ks.k + s.n) AS m FROM d JOIN s USING (suffix), ks),
+kd AS (SELECT 1 / least(greatest(coalesce((sum((bad - n * m) ** 2 / n) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0), 0.0001), 0.5) - 1 AS k FROM d1 WHERE n > 0),
+h1 AS (SELECT h.host, h.n, h.bad, (kd.k * d1.m + d1.bad) / (kd.k + d1.n) AS m FROM h JOIN d1 USING (domain), kd),
+kh AS (SELECT 1 / least(greatest(coalesce((sum((bad - n * m) ** 2 / n) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0), 0.0001), 0.5) - 1 AS k FROM h1 WHERE n > 0),
+r AS (SELECT h1.host, (kh.k * h1.m + h1.bad) / (kh.k + h1.n) AS rate, kh.k + h1.n + 1 AS strength FROM h1, kh),
+v AS (SELECT p.page_id, p.host, p.path, CASE
+    WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(p.path, '/en/') THEN 'example.net/en/'
+    WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(p.path, '/de/') THEN 'example.com/de/'
+    WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(p.path, '/fr/') THEN 'org/fr/'
+    WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(p.path, '/') THEN 'net/' END AS rule,
+    r.rate - 1.645 * sqrt(r.rate * (1 - r.rate) / r.strength) > 0.2 AS blocked
+    FROM p LEFT JOIN r ON p.host = r.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(blocked, false) THEN 'block' ELSE 'allow' END AS verdict FROM v
+"""
 
 #: DuckDB SQL with the same rows, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_url_filters": OP9_SQL}
