@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treescan.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, sharding, url_reputation
+from treescan.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, sharding, suffix_tree, toxicity, url_reputation
 from treescan.llm.common import table
 
 
@@ -30,12 +30,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
     return coded.select("doc_id", F.col(f"{coded.columns[-1]}.*"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    t = F.col(scored.columns[-1])
+    return scored.select("doc_id", (~toxicity.in_training("doc_id")).alias("held_out"), t["score"].alias("score"), t["predicted"].alias("predicted"), t["nearest"].alias("nearest"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """host and bad of each page. A page shows the document whose id is the number in its path; it is bad where that
     document is labelled of low quality, and not labelled where the document isn't."""
@@ -56,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op6_byte_level_bpe, op9_url_filters, op10_mixing)
+    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op8_toxicity, op9_url_filters, op10_mixing)
 }
 
 OP4_SQL = r"""
