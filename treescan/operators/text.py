@@ -64,6 +64,10 @@ KEYWORDS = (
 ).split()
 
 
+#: A comment, a literal, the start of a preprocessor line, or a word with the bracket after it, whichever comes first.
+TOKEN = "|".join([r"/\*[\s\S]*?(?:\*/|\z)", r"//[^\n]*", r'"(?:\\[^\n]|[^"\\\n])*"?', r"'(?:\\[^\n]|[^'\\\n])*'?", r"(?:^|\n)[ \t]*#[ \t]*[A-Za-z0-9]*", r"[A-Za-z_][A-Za-z0-9_]*(?:[ \t]*\()?"])
+
+
 def token_profile(texts: DataFrame, id_col: str, text_col: str, keywords: list[str] | None = None, not_functions: list[str] | None = None) -> DataFrame:
     """Counts per file: keywords, identifiers before '(', preprocessor lines, literals, comments.
 
@@ -72,12 +76,11 @@ def token_profile(texts: DataFrame, id_col: str, text_col: str, keywords: list[s
     """
     keywords = KEYWORDS if keywords is None else keywords
     words = "|".join(map(re.escape, sorted(keywords, key=lambda w: (-len(w), w))))
-    token = "|".join([r"/\*[\s\S]*?(?:\*/|\z)", r"//[^\n]*", r'"(?:\\[^\n]|[^"\\\n])*"?', r"'(?:\\[^\n]|[^'\\\n])*'?", r"(?:^|\n)[ \t]*#[ \t]*[A-Za-z0-9]*", r"[A-Za-z_][A-Za-z0-9_]*(?:[ \t]*\()?"])
     t = F.col("t")
     word = F.regexp_extract(t, r"^[A-Za-z_][A-Za-z0-9_]*", 0)
     call = t.rlike(r"^[A-Za-z_].*\($") & ~word.isin(list(not_functions if not_functions is not None else keywords))
     kind = F.when(t.rlike(r"^/[/*]"), "comment").when(t.rlike("^[\"']"), "literal").when(t.rlike(r"^\s*#"), "preprocessor").when(word.rlike(f"^(?:{words})$"), "keyword").when(call, "function")
-    rows = texts.select(F.col(id_col).alias("file"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"({token})"), F.lit(0))).alias("t")).select("file", kind.alias("k")).where("k is not null")
+    rows = texts.select(F.col(id_col).alias("file"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"({TOKEN})"), F.lit(0))).alias("t")).select("file", kind.alias("k")).where("k is not null")
     names = ["keyword", "function", "preprocessor", "literal", "comment"]
     return rows.groupBy("file").agg(*[F.count_if(F.col("k") == n).alias(f"n_{n}") for n in names])
 

@@ -130,4 +130,4 @@ def nav_events(spark: SparkSession, d: str) -> DataFrame:
     """B7: session, seq, file, line, col, node, version, delta: every eleventh event goes back one place."""
     code = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 4).otherwise(5)
     one = F.lit(1).cast("long")
-    return table(spark, d, "events").select(F.col("user_id").alias("session"), F.unix_micros("ts").alias("seq"), code.cast("long").alias("file"), (F.col("event_id") % 2).cast("long").alias("line"), one.alias("col"), one.alias("node"), one.alias("version"), F.when(F.col("event_id") % 11 == 0, -1).otherwise(0).alias("delta"))
+    return table(spark, d, "events").select(F.col("user_id").alias("session"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("seq"), code.cast("long").alias("file"), (F.col("event_id") % 2).cast("long").alias("line"), one.alias("col"), one.alias("node"), one.alias("version"), F.when(F.col("event_id") % 11 == 0, -1).otherwise(0).alias("delta"))

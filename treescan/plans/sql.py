@@ -2,6 +2,8 @@
 
 # ruff: noqa: E501
 
+from treescan.operators.text import TOKEN
+
 INC = """inc AS (SELECT '/work/src/t' || l_orderkey || '.cpp' AS tu,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS seq,
   CASE WHEN l_partkey % 20 < 12 THEN '/work/include/h' ELSE '/usr/include/h' END || (l_partkey % 20) || '.h' AS header,
@@ -173,7 +175,13 @@ SELECT cursor_id, line_no, col, wrapped FROM j QUALIFY row_number() OVER (PARTIT
     "k3_log_counts_stream": f"WITH {LOG}, s AS (SELECT source, CASE level WHEN 'Warning' THEN 'Info' ELSE level END AS tab FROM lg) SELECT source, tab, count(*) AS n FROM s GROUP BY source, tab UNION ALL SELECT source, 'All', count(*) FROM s GROUP BY source",
     "k4_run_progress": """WITH g AS (SELECT user_id AS run, count(*) FILTER (WHERE event_id % 5 <> 0) AS completed, count(*) FILTER (WHERE event_id % 5 = 0) AS failed, 60 AS total FROM events GROUP BY user_id)
 SELECT run, completed, failed, total, CASE WHEN completed + failed < total THEN 'running' WHEN failed = total THEN 'error' ELSE 'merged' END AS status FROM g""",
-    "a15_token_profile": None,
-    "a14_comment_text": None,
+    "a14_comment_text": r"""WITH x AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 2 = 1 AND right(text, 1) <> chr(10) THEN chr(10) ELSE '' END AS tail FROM conversations),
+y AS (SELECT *, lag(right(text || tail, 1)) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM x)
+SELECT conv_id AS comment_id, string_agg(CASE WHEN before IS NULL OR regexp_matches(before, '^\s$') OR regexp_matches(left(text, 1), '^\s$') THEN '' ELSE ' ' END || text || tail, '' ORDER BY turn, role, text) AS text FROM y GROUP BY conv_id""",
+    "a15_token_profile": "WITH x AS (SELECT doc_id AS file, unnest(regexp_extract_all(coalesce(text, ''), '("
+    + TOKEN.replace("'", "''")
+    + r""")', 0)) AS t FROM documents),
+w AS (SELECT file, t, regexp_extract(t, '^[A-Za-z_][A-Za-z0-9_]*', 0) AS word FROM x),
+k AS (SELECT file, CASE WHEN regexp_matches(t, '^/[/*]') THEN 'comment' WHEN left(t, 1) IN (chr(34), chr(39)) THEN 'literal' WHEN regexp_matches(t, '^\s*#') THEN 'preprocessor' WHEN word IN ('the', 'and', 'of', 'de', 'la', 'que', 'der', 'en') THEN 'keyword' WHEN word <> '' AND ends_with(t, '(') THEN 'function' END AS k FROM w)
+SELECT file, count(*) FILTER (WHERE k = 'keyword') AS n_keyword, count(*) FILTER (WHERE k = 'function') AS n_function, count(*) FILTER (WHERE k = 'preprocessor') AS n_preprocessor, count(*) FILTER (WHERE k = 'literal') AS n_literal, count(*) FILTER (WHERE k = 'comment') AS n_comment FROM k WHERE k IS NOT NULL GROUP BY file""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
