@@ -3,14 +3,16 @@
 A text's set is its distinct 5-word shingles (hashed to 64 bits). A base signature has ROWS * COORDINATES minima; each
 coordinate joins ROWS of them, so two texts of similarity s agree on one with probability s ** ROWS. Texts are posted
 under the coordinate-value pairs of a prefix: to agree on MATCHES of all coordinates, two texts must agree on one of any
-COORDINATES - MATCHES + 1. Collisions of a pair are counted, the coordinates skipped by the prefix are read off the
-signatures, pairs of at least MATCHES are retained, and those are confirmed on the full sets. At similarity 0.85 a pair
+COORDINATES - MATCHES + 1. Pairs of at least MATCHES collisions are retained, counted with the coordinates that the prefix
+skips read off the signatures, and confirmed on the full sets. At similarity 0.85 a pair
 is missed with a probability of about 2e-6.
 
 No group's pairs are all written out. Equal sets are one node. First every text is tried with the one pivot (the
-smallest id of a posting list) it collides with most, and what is linked so becomes a component. Then only pairs of one
-list that lie in different components are tried: members outside a list's largest component against the others. So a
-large group of near copies costs a pair for each member, and no link between components is lost.
+smallest id of a posting list) it collides with most, and what is linked so becomes a component. Then only lists that
+hold several components are looked at again. Their texts are posted under their rarest shingles, as many as a link
+leaves free to differ, and two are paired where both still have enough shingles after the places where they meet; the
+pairs' collisions are counted on the signatures and MATCHES or more go on to the full sets. So a large group of near
+copies costs a pair for each member, near misses are not paired, and no link between components is lost.
 
 Null and empty texts have no shingles and no links. Rows that repeat an id are one document. Rows without id take part
 in no link; among equal sets they get the component of those with an id, else null.
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +110,12 @@ def sketch(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(keys, pa.binary()), values, pa.array(low, pa.binary())], SKETCH.names)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def shingle_hashes(text: pa.Array) -> pa.Array:
+    texts = text.fill_null("").cast(pa.binary()).to_pylist()
+    return pa.array([s.view(np.int64) for a, b in chunks(texts) for s in shingle_sets(texts[a:b])], pa.list_(pa.int64()))
+
+
 @F.arrow_udf(T.BooleanType())
 def may_link(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether two base signatures agree on MATCHES coordinates and on LEAST_SHARE of all minima."""
@@ -154,6 +162,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.where(linked("text_a", "text_b")).select("a", "b")
 
 
+def prefix_pairs(active: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of active documents (node, n, root) in different components that can still link.
+
+    Shingles are put in order of rarity among the active documents. The first shingle that a pair has in common stands
+    at a place after which both sets must hold the whole intersection, so only the first 15 in 100 shingles of a set are
+    posted, and two of a list are paired only if enough is left of both after their places.
+    """
+    text = texts.join(active, texts["id"] == active["node"]).select("node", "n", "root", shingle_hashes("text").alias("all"))
+    own = materialize(text.select("node", "n", "root", F.explode("all").alias("shingle")), "shingles")
+    # a shingle that one document has pairs nothing: it only takes a place
+    common = own.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
+    placed = own.join(common, "shingle").withColumn("left", F.count("*").over(Window.partitionBy("node")) - F.row_number().over(Window.partitionBy("node").orderBy("seen", "shingle")) + 1)
+    posts = materialize(placed.where(LINK[0] * F.col("left") >= LINK[1] * F.col("n")).select("shingle", "node", "n", "root", "left"), "prefixes")
+    major = posts.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("shingle", F.col("x.root").alias("major"))
+    mixed = posts.join(major, "shingle")
+    one = mixed.where("root <> major").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("left").alias("lx"))
+    two = mixed.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("left").alias("ly"), "major")
+    enough = sum(LINK) * F.least("lx", "ly") >= LINK[1] * (F.col("nx") + F.col("ny"))
+    met = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -170,12 +200,9 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = components(confirmed(best, texts))
     first = materialize(posts.join(roots, "node", "left").select("post", "node", "n", F.coalesce("root", "node").alias("root")), "posts_rooted")
 
-    major = first.groupBy("post", "root").count().groupBy("post").agg(F.max(F.struct("count", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("post", F.col("x.root").alias("major"))
-    mixed = first.join(major, "post")
-    one = mixed.where("root <> major").select("post", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    two = mixed.select("post", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "major")
-    tried = one.join(two, (one["post"] == two["post"]) & (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & (LINK[0] * F.least("nx", "ny") >= LINK[1] * F.greatest("nx", "ny")))
-    pairs = tried.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("collisions"))
+    mixed = first.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("post")
+    active = materialize(first.join(mixed, "post").select("node", "n", "root").distinct(), "active")
+    pairs = prefix_pairs(active, texts)
     sides = nodes.select("node", "base")
     pairs = pairs.join(sides.select(F.col("node").alias("a"), F.col("base").alias("base_a")), "a").join(sides.select(F.col("node").alias("b"), F.col("base").alias("base_b")), "b").where(may_link("base_a", "base_b")).select("a", "b")
     more = confirmed(materialize(pairs, "pairs"), texts)
