@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treescan.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, sharding, suffix_tree, toxicity, url_reputation
+from treescan.llm import bpe, exact_dedup, importance, mixing, near_dedup, quality_rules, sharding, suffix_tree, toxicity, url_reputation
 from treescan.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.col(f"{coded.columns[-1]}.*"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return sampled.select("doc_id", F.col(f"{sampled.columns[-1]}.*"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     t = F.col(scored.columns[-1])
@@ -66,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op8_toxicity, op9_url_filters, op10_mixing)
+    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op7_quality_classifier, op8_toxicity, op9_url_filters, op10_mixing)
 }
 
 OP4_SQL = r"""
