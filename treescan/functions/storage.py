@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into spark.checkpoint.dir and read again: cuts the lineage and survives lost executors.
-    Where the setting is empty, as in tests, a new local folder becomes the setting."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, in a folder of the application, which can go when the application has
+    ended. Where the setting is empty, as in tests, a new local folder becomes the setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/treescan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{top}/treescan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

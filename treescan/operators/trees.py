@@ -29,7 +29,9 @@ def node_depth(nodes: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
-    """tu, node_id, ancestor_id, distance, for each node itself (distance 0) and all above it."""
+    """tu, node_id, ancestor_id, distance, for each node itself (distance 0) and all above it. Raises ValueError where
+    parents form a cycle."""
+    most = nodes.count()
     out = written(nodes.select("tu", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance")), "ancestors")
     jumps = written(nodes.where(F.col(parent).isNotNull()).select("tu", "node_id", F.col(parent).alias("jump")), "jumps")
     stride = 1
@@ -40,6 +42,8 @@ def ancestors(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
         out = written(out.union(more), "ancestors")
         jumps = written(jumps.join(hop.select("tu", F.col("node_id").alias("jump"), F.col("mid").alias("far")), ["tu", "jump"]).select("tu", "node_id", F.col("far").alias("jump")), "jumps")
         stride *= 2
+        if stride > 2 * most:
+            raise ValueError("parents form a cycle")
     return out
 
 

@@ -5,8 +5,6 @@ Pacing is a matter of the query: trigger(processingTime=...) and a rate limit of
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from treescan.functions.storage import shared_path
 from treescan.operators.history import CAP, PLACE, History
 from treescan.operators.logs import shown_level
 
@@ -23,18 +22,11 @@ LINE = T.StructType([T.StructField("source", T.LongType()), T.StructField("fd",
 ENTRY = T.StructType([T.StructField("session", T.LongType()), T.StructField("n_entries", T.IntegerType()), T.StructField("cursor", T.IntegerType()), *[T.StructField(p, T.LongType()) for p in PLACE], T.StructField("last_seq", T.LongType())])
 
 
-def shared(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/treescan-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def run(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is now and return what it wrote: the last full result (complete), all rows (append),
     or rows with the batch they come from (update)."""
-    spark, path = df.sparkSession, shared(df.sparkSession)
+    spark = df.sparkSession
+    path = shared_path(spark, "stream")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def keep(part: DataFrame, batch: int) -> None:
