@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treescan.functions.columns import normalize_path
+from treescan.functions.storage import written
 
 
 def normalize_flags(commands: DataFrame, resource_dir: str | None = None) -> DataFrame:
@@ -44,11 +45,11 @@ def expand_response_files(commands: DataFrame, files: DataFrame, max_depth: int
     out = commands
     keys = ["project", "cmd_seq"]
     for _ in range(max_depth):
-        if out.where(F.exists("arguments", lambda x: F.startswith(x, F.lit("@")))).isEmpty():
-            break
         each = out.select(*keys, "directory", F.posexplode("arguments").alias("pos", "flag")).withColumn("_name", F.when(F.col("flag").startswith("@"), F.substr("flag", F.lit(2))))
-        opened = each.withColumn("_rsp", F.when(F.col("_name").isNotNull(), absolute("_name"))).join(words, "_rsp", "left")
+        opened = written(each.withColumn("_rsp", F.when(F.col("_name").isNotNull(), absolute("_name"))).join(words, "_rsp", "left").select(*keys, "pos", "flag", "_words"), "arguments")
+        if opened.where("_words is not null").isEmpty():
+            break
         own = F.coalesce("_words", F.array("flag"))
         lists = opened.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", own.alias("words")))).alias("l")).select(*keys, F.flatten(F.transform("l", lambda x: x["words"])).alias("arguments"))
-        out = out.drop("arguments").join(lists, keys)
+        out = written(out.drop("arguments").join(lists, keys), "commands")
     return out

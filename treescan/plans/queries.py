@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treescan.functions import columns as c
-from treescan.operators import history, includes, logs, nodes, paths, positions, text, trees
+from treescan.functions.storage import shared_path
+from treescan.operators import commands, history, includes, logs, nodes, paths, positions, text, trees
 from treescan.plans import bindings as b
 from treescan.plans.bindings import table
+from treescan.sources import documents
 from treescan.streaming import operators as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +69,96 @@ def s11_write_diagnostics(s, d):
     return logs.wire_lines(e)
 
 
+# sources and sinks as round trips; commands and bags made of orders and their lines
+
+
+def _by_customer(s, d):
+    """TUs of orders: project (customer), tu."""
+    return table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("project"), F.concat(F.lit("/work/src/t"), F.col("o_orderkey").cast("string"), F.lit(".cpp")).alias("tu"))
+
+
+@query
+def s2_read_dependencies(s, d):
+    """Headers written as one document for each group of customers and read again."""
+    group = F.concat(F.lit("g"), (F.crc32(F.col("project").cast("binary")) % 100).cast("string"))
+    requested = _by_customer(s, d).withColumn("project", group)
+    tus = requested.join(_tus(s, d), "tu", "left_semi")
+    path = shared_path(s, "dependencies")
+    documents.write_dependencies(tus, _headers(s, d).join(tus, "tu", "left_semi"), b.tu_errors(s, d), requested, path)
+    headers, _, _ = documents.read_dependencies(s, f"{path}/project=*")
+    return headers.drop("seq")
+
+
+@query
+def s6_write_dependencies(s, d):
+    requested = _by_customer(s, d)
+    tus = requested.join(_tus(s, d), "tu", "left_semi")
+    docs = documents.dependency_documents(tus, _headers(s, d).join(tus, "tu", "left_semi"), b.tu_errors(s, d), requested)
+    n = lambda key: F.get_json_object("value", f"$.statistics.{key}").cast("long")
+    return docs.select("project", n("totalCount").alias("total_count"), n("successCount").alias("success_count"), n("failureCount").alias("failure_count"), n("totalHeaderCount").alias("total_header_count"), F.get_json_object("value", "$.errors").isNotNull().alias("has_errors"))
+
+
+@query
+def s3_ast_export(s, d):
+    """The trees of customers, orders and lines, written as nested documents and read again."""
+    t = b.tree(s, d).where("kind in ('customer', 'order', 'line')")
+    customer = table(s, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("order_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("c"))
+    order_id = F.when(F.col("kind") == "order", F.col("node_id")).when(F.col("kind") == "line", F.col("parent_id"))
+    whole = t.withColumn("order_id", order_id).join(customer, "order_id", "left").where("kind = 'customer' or c is not null")
+    none = F.lit(None).cast("long")
+    nodes_in = whole.select(F.coalesce("c", "node_id").alias("tu"), "node_id", F.when(F.col("kind") != "customer", F.col("parent_id")).alias("parent_id"), "ordinal", F.when(F.col("kind") == "customer", 0).when(F.col("kind") == "order", 1).otherwise(2).cast("long").alias("depth"), F.parse_json(F.to_json("props")).alias("bag"), *[none.alias(f"{e}_{n}") for e in ("begin", "end") for n in ("file", "line", "col")], *[F.lit(None).cast("string").alias(f"{e}_path") for e in ("begin", "end")])
+    back, _ = documents.read_ast_export(documents.ast_documents(nodes_in))
+    return back.select("tu", "node_id", "kind", "depth")
+
+
+@query
+def s5_read_diagnostics(s, d):
+    """Diagnostics written as wire lines and read again."""
+    path = shared_path(s, "wire")
+    e = table(s, d, "events").where("event_type <> 'purchase'").select(F.when(F.col("event_type") == "view", "info").when(F.col("event_type") == "click", "warning").otherwise("error").alias("level"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"), (1 + F.col("event_id") % 97).alias("line"), (F.col("event_id") % 31).alias("col"), F.col("props").alias("message"))
+    documents.write_diagnostics(e, path)
+    return logs.parse_lines(documents.read_diagnostics(s, path)).select("level", "message")
+
+
+def _commands(s, d):
+    k = F.col("o_orderkey").cast("string")
+    module = F.concat(F.lit("-fmodule-file=m"), (F.col("o_orderkey") % 3).cast("string"), F.lit("=../m/"), k, F.lit(".pcm"))
+    words = F.array(F.lit("cc"), F.lit("-resource-dir"), F.concat(F.lit("/r"), k), module, F.concat(F.lit("-resource-dir=/s"), k), F.concat(F.lit("@flags"), (F.col("o_custkey") % 4).cast("string")), F.concat(F.lit("t"), k, F.lit(".cpp")))
+    return table(s, d, "orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("cmd_seq"), F.lit("/work/build").alias("directory"), words.alias("arguments"), F.concat(F.lit("t"), k, F.lit(".cpp")).alias("file"))
+
+
+@query
+def p7_macro_spelling_range(s, d):
+    o = table(s, d, "orders").select(F.lit("t").alias("tu"), F.col("o_orderkey").alias("node_id"), (F.col("o_custkey") % 3).alias("f"), (F.col("o_orderkey") % 5).alias("l"))
+    place = lambda line: F.struct(F.col("f").alias("fileId"), line.alias("line"), F.lit(1).alias("column"))
+    bag = F.parse_json(F.to_json(F.struct(F.struct(place(F.col("l")).alias("begin"), place(F.col("l") + 1).alias("end")).alias("macroSpellingRange"))))
+    return nodes.macro_spelling_range(o.select("tu", "node_id", bag.alias("bag"))).select("node_id", "macro_begin_file", "macro_begin_line", "macro_end_line")
+
+
+@query
+def p10_explode_params(s, d):
+    item = F.struct(F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*b.LINE_ORDER)).alias("n"), F.col("l_partkey").cast("string").alias("name"), F.col("l_returnflag").alias("type"))
+    per = table(s, d, "lineitem").select("l_orderkey", item.alias("i")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("params"))
+    bags = per.select(F.lit("t").alias("tu"), F.col("l_orderkey").alias("node_id"), F.parse_json(F.to_json(F.struct("params"))).alias("bag"))
+    return nodes.explode_params(bags).drop("tu")
+
+
+@query
+def p12_normalize_flags(s, d):
+    return commands.normalize_flags(_commands(s, d), "/R").select("cmd_seq", F.array_join("arguments", " ").alias("line"))
+
+
+@query
+def p13_module_map(s, d):
+    return commands.module_map(_commands(s, d)).drop("project")
+
+
+@query
+def p14_expand_response_files(s, d):
+    n = table(s, d, "nation").where("n_nationkey < 3").select(F.concat(F.lit("/work/build/flags"), F.col("n_nationkey").cast("string")).alias("path"), F.concat(F.lit("-D'"), F.col("n_name"), F.lit(" x' \"-I a\" -O2")).alias("text"))
+    return commands.expand_response_files(_commands(s, d), n).select("cmd_seq", F.array_join("arguments", "|").alias("line"))
+
+
 # 2.2 projections and filters
 
 

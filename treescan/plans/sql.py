@@ -86,6 +86,18 @@ ORACLES = {
     "s9_tu_status": "SELECT 'c' || o_custkey AS tu, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) IN ('F', 'O') AS failed FROM orders GROUP BY o_custkey",
     "s10_cache_collisions": f"WITH {PATHS} SELECT project, regexp_extract(path, '[^/]*$', 0) AS cache_name, count(*) AS n_tus FROM p GROUP BY 1, 2 HAVING count(*) > 1",
     "s11_write_diagnostics": "SELECT '@diag' || chr(9) || event_type || chr(9) || 'f ' || user_id || chr(9) || CASE WHEN event_id % 97 > 0 THEN CAST(event_id % 97 AS VARCHAR) ELSE '' END || chr(9) || CASE WHEN event_id % 31 > 0 THEN CAST(event_id % 31 AS VARCHAR) ELSE '' END || chr(9) || coalesce(props, '') AS value FROM events",
+    "s2_read_dependencies": f"WITH {HDR} SELECT hdr.tu, header, direct, inclusion_kind FROM hdr JOIN orders ON hdr.tu = '/work/src/t' || o_orderkey || '.cpp'",
+    "s6_write_dependencies": f"""WITH {HDR}, n AS (SELECT tu, count(*) AS n FROM hdr GROUP BY tu), o AS (SELECT 'c' || o_custkey AS project, '/work/src/t' || o_orderkey || '.cpp' AS tu, o_orderstatus FROM orders)
+SELECT project, count(*) AS total_count, count(n.n) AS success_count, count(*) FILTER (WHERE o_orderstatus = 'F') AS failure_count, coalesce(sum(n.n), 0) AS total_header_count, count(*) FILTER (WHERE o_orderstatus = 'F') > 0 AS has_errors FROM o LEFT JOIN n ON n.tu = o.tu GROUP BY project""",
+    "s3_ast_export": f"""WITH {TREE}, o AS (SELECT parent_id AS tu, node_id, '0.' || (row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) - 1) AS path FROM t WHERE kind = 'order'),
+l AS (SELECT o.tu, o.path || '.' || (row_number() OVER (PARTITION BY t.parent_id ORDER BY ordinal) - 1) AS path FROM t JOIN o ON t.parent_id = o.node_id WHERE kind = 'line')
+SELECT node_id AS tu, '0' AS node_id, 'customer' AS kind, 0 AS depth FROM t WHERE kind = 'customer' UNION ALL SELECT tu, path, 'order', 1 FROM o UNION ALL SELECT tu, path, 'line', 2 FROM l""",
+    "s5_read_diagnostics": "SELECT CASE event_type WHEN 'view' THEN 'Info' WHEN 'click' THEN 'Warning' ELSE 'Error' END AS level, 'f' || event_id || ':' || (1 + event_id % 97) || CASE WHEN event_id % 31 > 0 THEN ':' || (event_id % 31) ELSE '' END || ': ' || coalesce(props, '') AS message FROM events WHERE event_type <> 'purchase'",
+    "p7_macro_spelling_range": "SELECT o_orderkey AS node_id, o_custkey % 3 AS macro_begin_file, o_orderkey % 5 AS macro_begin_line, o_orderkey % 5 + 1 AS macro_end_line FROM orders WHERE o_custkey % 3 > 0 AND o_orderkey % 5 > 0",
+    "p10_explode_params": "SELECT l_orderkey AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS pos, CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS type FROM lineitem",
+    "p12_normalize_flags": "SELECT o_orderkey AS cmd_seq, 'cc -fmodule-file=m' || (o_orderkey % 3) || '=../m/' || o_orderkey || '.pcm @flags' || (o_custkey % 4) || ' t' || o_orderkey || '.cpp -resource-dir /R' AS line FROM orders",
+    "p13_module_map": "SELECT 't' || o_orderkey || '.cpp' AS file, 'm' || (o_orderkey % 3) AS name, '/work/m/' || o_orderkey || '.pcm' AS path FROM orders",
+    "p14_expand_response_files": "SELECT o_orderkey AS cmd_seq, 'cc|-resource-dir|/r' || o_orderkey || '|-fmodule-file=m' || (o_orderkey % 3) || '=../m/' || o_orderkey || '.pcm|-resource-dir=/s' || o_orderkey || '|' || CASE WHEN n_name IS NULL THEN '@flags' || (o_custkey % 4) ELSE '-D' || n_name || ' x|-I a|-O2' END || '|t' || o_orderkey || '.cpp' AS line FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 4 AND n_nationkey < 3",
     "p1_select_sources": f"WITH {REQ} SELECT cmd_seq, file FROM cmd WHERE file IN (SELECT file FROM req)",
     "p1_missing_count": f"WITH {REQ} SELECT (SELECT count(*) FROM req) AS requested, (SELECT count(*) FROM cmd WHERE file IN (SELECT file FROM req)) AS kept, (SELECT count(*) FROM req) - (SELECT count(*) FROM cmd WHERE file IN (SELECT file FROM req)) AS missing_count",
     "p2_search_nodes": f"WITH {TREE} SELECT node_id, kind FROM t WHERE regexp_matches(concat_ws(chr(10), kind, name, segment, status, priority, flag, linestatus), '1', 'i') AND regexp_matches(kind, '^(?:order|line)$', 'i') AND status IS NOT NULL AND regexp_matches(status, '^(?:F)$', 'i')",
