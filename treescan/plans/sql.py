@@ -61,7 +61,7 @@ def hits(term: str) -> str:
     n = len(term)
     return f"""hl AS (SELECT file, line_no, string_split(lower(line), '{term}') AS ps FROM lines WHERE contains(lower(line), '{term}')),
 hp AS (SELECT file, line_no, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i, len(ps) AS n FROM hl),
-hits AS (SELECT file, line_no, 1 + (i - 1) * {n} + sum(length(piece)) OVER (PARTITION BY file, line_no ORDER BY i) AS col FROM hp QUALIFY i < n)"""
+hits AS (SELECT file, line_no, CAST(1 + (i - 1) * {n} + sum(length(piece)) OVER (PARTITION BY file, line_no ORDER BY i) AS BIGINT) AS col FROM hp QUALIFY i < n)"""
 
 
 CURSORS = """cur AS (SELECT event_id AS cursor_id, event_id % (SELECT count(*) FROM documents) AS file, 1 + event_id % 5 AS line, 1 + event_id % 40 AS c FROM events)"""
@@ -88,7 +88,7 @@ ORACLES = {
     "s11_write_diagnostics": "SELECT '@diag' || chr(9) || event_type || chr(9) || 'f ' || user_id || chr(9) || CASE WHEN event_id % 97 > 0 THEN CAST(event_id % 97 AS VARCHAR) ELSE '' END || chr(9) || CASE WHEN event_id % 31 > 0 THEN CAST(event_id % 31 AS VARCHAR) ELSE '' END || chr(9) || coalesce(props, '') AS value FROM events",
     "s2_read_dependencies": f"WITH {HDR} SELECT hdr.tu, header, direct, inclusion_kind FROM hdr JOIN orders ON hdr.tu = '/work/src/t' || o_orderkey || '.cpp'",
     "s6_write_dependencies": f"""WITH {HDR}, n AS (SELECT tu, count(*) AS n FROM hdr GROUP BY tu), o AS (SELECT 'c' || o_custkey AS project, '/work/src/t' || o_orderkey || '.cpp' AS tu, o_orderstatus FROM orders)
-SELECT project, count(*) AS total_count, count(n.n) AS success_count, count(*) FILTER (WHERE o_orderstatus = 'F') AS failure_count, coalesce(sum(n.n), 0) AS total_header_count, count(*) FILTER (WHERE o_orderstatus = 'F') > 0 AS has_errors FROM o LEFT JOIN n ON n.tu = o.tu GROUP BY project""",
+SELECT project, count(*) AS total_count, count(n.n) AS success_count, count(*) FILTER (WHERE o_orderstatus = 'F') AS failure_count, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS total_header_count, count(*) FILTER (WHERE o_orderstatus = 'F') > 0 AS has_errors FROM o LEFT JOIN n ON n.tu = o.tu GROUP BY project""",
     "s3_ast_export": f"""WITH {TREE}, o AS (SELECT parent_id AS tu, node_id, '0.' || (row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) - 1) AS path FROM t WHERE kind = 'order'),
 l AS (SELECT o.tu, o.path || '.' || (row_number() OVER (PARTITION BY t.parent_id ORDER BY ordinal) - 1) AS path FROM t JOIN o ON t.parent_id = o.node_id WHERE kind = 'line')
 SELECT node_id AS tu, '0' AS node_id, 'customer' AS kind, 0 AS depth FROM t WHERE kind = 'customer' UNION ALL SELECT tu, path, 'order', 1 FROM o UNION ALL SELECT tu, path, 'line', 2 FROM l""",
@@ -128,15 +128,15 @@ SELECT b.range_id, CASE WHEN bl = el THEN substr(l1, bc, greatest(ec - bc, 0)) E
     "j9_headers_for": f"WITH {HDR} SELECT DISTINCT tu, 0 AS ord, tu AS path FROM inc UNION ALL SELECT tu, row_number() OVER (PARTITION BY tu ORDER BY seq, header), header FROM hdr",
     "a1_dedupe_headers": f"WITH {HDR} SELECT tu, header, direct, inclusion_kind, seq FROM hdr",
     "a2_dependency_stats": f"WITH {HDR} SELECT (SELECT count(*) FROM orders) AS total_count, (SELECT count(DISTINCT tu) FROM inc) AS success_count, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS failure_count, (SELECT count(*) FROM hdr) AS total_header_count",
-    "a3_merge_stats": f"WITH {HDR}, {ERR}, x AS (SELECT hdr.tu, count(*) AS n FROM hdr GROUP BY hdr.tu) SELECT count(*) AS total_count, count(*) AS success_count, count(error) AS failure_count, sum(n) AS total_header_count FROM x LEFT JOIN err ON x.tu = err.tu",
+    "a3_merge_stats": f"WITH {HDR}, {ERR}, x AS (SELECT hdr.tu, count(*) AS n FROM hdr GROUP BY hdr.tu) SELECT count(*) AS total_count, count(*) AS success_count, count(error) AS failure_count, CAST(sum(n) AS BIGINT) AS total_header_count FROM x LEFT JOIN err ON x.tu = err.tu",
     "a4_extraction_stats": "SELECT 'db' AS tu, (SELECT count(*) FROM region) AS n_region, (SELECT count(*) FROM nation) AS n_nation, (SELECT count(*) FROM customer) AS n_customer, (SELECT count(*) FROM orders) AS n_order, (SELECT count(*) FROM lineitem) AS n_line, 0 AS n_comments, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS total",
     "a4_fleet_stats": f"WITH {TAGS} SELECT tu, kind AS category, count(*) AS n FROM tags GROUP BY ROLLUP (tu, kind)",
     "a5_dedupe_types": f"WITH {TAGS} SELECT node_id, min(pre) OVER (PARTITION BY tu, kind, attrs) AS data_id FROM tags",
     "a6_type_sharing_stats": f"""WITH {TAGS}, u AS (SELECT tu, kind, attrs, count(*) AS refs, max(strlen(kind || attrs) + 64) AS b FROM tags GROUP BY tu, kind, attrs),
 s AS (SELECT tu, count(*) AS unique_types, sum(refs) AS type_references, sum(b) AS node_bytes FROM u GROUP BY tu), a AS (SELECT *, node_bytes // unique_types AS av FROM s)
-SELECT tu, unique_types, type_references, type_references - unique_types AS saved_nodes, (type_references - unique_types) * av AS saved_bytes, round(type_references * 1.0::DOUBLE / unique_types, 4) AS ratio, round(100.0::DOUBLE * (type_references * av - node_bytes) / (type_references * av), 4) AS saved_percent FROM a""",
+SELECT tu, unique_types, CAST(type_references AS BIGINT) AS type_references, CAST(type_references - unique_types AS BIGINT) AS saved_nodes, CAST((type_references - unique_types) * av AS BIGINT) AS saved_bytes, round(type_references * 1.0::DOUBLE / unique_types, 4) AS ratio, round(100.0::DOUBLE * (type_references * av - node_bytes) / (type_references * av), 4) AS saved_percent FROM a""",
     "a7_string_pool_stats": """WITH v AS (SELECT lang AS s FROM documents UNION ALL SELECT source FROM documents), u AS (SELECT s, count(*) AS refs, strlen(s) + 32 AS b FROM v WHERE s IS NOT NULL GROUP BY s)
-SELECT count(*) AS unique_strings, sum(refs) AS "references", sum(b) AS shared_bytes, sum(refs * b) AS unshared_bytes, round(100.0::DOUBLE * (sum(refs * b) - sum(b)) / sum(refs * b), 4) AS saved_percent FROM u""",
+SELECT count(*) AS unique_strings, CAST(sum(refs) AS BIGINT) AS "references", CAST(sum(b) AS BIGINT) AS shared_bytes, CAST(sum(refs * b) AS BIGINT) AS unshared_bytes, round(100.0::DOUBLE * (sum(refs * b) - sum(b)) / sum(refs * b), 4) AS saved_percent FROM u""",
     "a8_register_files": f"WITH {PATHS}, f AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, min(seq) AS s, count(*) AS ref_count FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY s, path) AS file_id, path, ref_count FROM f",
     "a9_common_root": f"WITH {PATHS}, {ROOTS} SELECT host, root, n_files FROM {common('host')}",
     "a10_project_root": f"""WITH {PATHS}, {ROOTS}, w AS (SELECT project, root FROM {common("project")}),
