@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.llm.common import chunks, free_name
+from treescan.llm.common import chunks, free_name, small_batches
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -235,6 +235,7 @@ def coder_udf(spark: SparkSession, path: str, pattern: str, with_ids: bool):
 
 def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """docs with a struct column ``bpe`` (or a free name; the last column): n_tokens, ids_sha256, decoded_sha256, ids."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(free_name(docs, "bpe"), coder_udf(docs.sparkSession, path, pattern, with_ids)(F.col(text_col)))
 
 

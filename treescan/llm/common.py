@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of the corpus; queries read them from one folder.
+from treescan.functions.storage import written as materialize  # noqa: F401
+
+BATCH_BYTES = 8 << 20
 SYMBOLS = b"#*$%&|<>"
 #: A word is a run of characters other than blank and \x09-\x0D: the words of ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,26 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, a new one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage, and survives a lost executor.
-
-    The folder belongs to the application (treescan-<application id>) and can go when the application has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treescan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,7 +41,25 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def chunks(texts: list[bytes], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, so that what a worker holds at once is bounded whatever the texts' length."""
+    if as_bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def as_bytes(size: str) -> int:
+    """Bytes of a setting such as 64m or 67108864b."""
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = size.strip().lower().removesuffix("ib").removesuffix("b") if size.strip().lower()[-2:-1] in units else size.strip().lower()
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
+def chunks(texts: list[bytes], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most bytes together, one text at least: bounds what a batch builds at once."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.llm.common import LOWER, chunks, free_name, materialize
+from treescan.llm.common import LOWER, chunks, free_name, materialize, small_batches, word_hashes
 
 BUCKETS = 1 << 16
 
@@ -33,7 +32,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     coded = flat.dictionary_encode()
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
+    h = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
     both = doc[1:] == doc[:-1]
     pair = (h[:-1][both] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:][both] * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -104,6 +103,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None,
     """docs (or their columns ``keep``) with a struct column ``importance`` (or a free name; the last column):
     log_weight, key and kept. Sampled are k rows, or ``share`` of all rows; without either, the share of labelled rows
     that are of high quality."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     ratios = sc.broadcast(log_ratios(docs, labels, id_col=id_col, text_col=text_col, max_target=max_target))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.llm.common import LOWER, chunks, free_name, materialize
+from treescan.llm.common import LOWER, chunks, free_name, materialize, small_batches, word_hashes
 
 SHINGLE = 5
 ROWS, COORDINATES, MATCHES = 6, 40, 3
@@ -58,8 +58,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     if not len(flat):
         return [np.zeros(0, np.uint64)] * len(texts)
     coded = flat.dictionary_encode()
-    of_word = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    h = of_word[coded.indices.to_numpy()]
+    h = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     windows = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         windows += h[k : len(h) - SHINGLE + 1 + k] * _M[k]
@@ -68,7 +67,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     for x in words:
         n = len(x)
         if n >= SHINGLE:
-            out.append(np.unique(windows[at : at + n - SHINGLE + 1]))
+            own = np.sort(windows[at : at + n - SHINGLE + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif n:
             out.append(_mixed(np.array([xxhash.xxh3_64_intdigest(b" ".join(x), seed=n)], np.uint64)))
         else:
@@ -169,14 +169,16 @@ def prefix_pairs(active: DataFrame, texts: DataFrame) -> DataFrame:
     at a place after which both sets must hold the whole intersection, so only the first 15 in 100 shingles of a set are
     posted, and two of a list are paired only if enough is left of both after their places.
     """
-    text = texts.join(active, texts["id"] == active["node"]).select("node", "n", "root", shingle_hashes("text").alias("all"))
+    text = F.when(F.col("root").isNotNull(), F.col("text"))  # keeps the function above the join
+    text = texts.join(active, texts["id"] == active["node"]).select("node", "n", "root", shingle_hashes(text).alias("all"))
     own = materialize(text.select("node", "n", "root", F.explode("all").alias("shingle")), "shingles")
     # a shingle that one document has pairs nothing: it only takes a place
     common = own.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
     placed = own.join(common, "shingle").withColumn("left", F.count("*").over(Window.partitionBy("node")) - F.row_number().over(Window.partitionBy("node").orderBy("seen", "shingle")) + 1)
     posts = materialize(placed.where(LINK[0] * F.col("left") >= LINK[1] * F.col("n")).select("shingle", "node", "n", "root", "left"), "prefixes")
     major = posts.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("shingle", F.col("x.root").alias("major"))
-    mixed = posts.join(major, "shingle")
+    # written before the joins on shingle, so that AQE can split the shuffles of a frequent shingle
+    mixed = materialize(posts.join(materialize(major, "major"), "shingle"), "mixed")
     one = mixed.where("root <> major").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("left").alias("lx"))
     two = mixed.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("left").alias("ly"), "major")
     enough = sum(LINK) * F.least("lx", "ly") >= LINK[1] * (F.col("nx") + F.col("ny"))
@@ -186,6 +188,7 @@ def prefix_pairs(active: DataFrame, texts: DataFrame) -> DataFrame:
 
 def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(texts.withColumn("s", sketch("text")).select("id", "s.*"), "sketches")
     nodes = rows.where("n_shingles > 0 and id is not null").groupBy("set_key", "n_shingles").agg(F.min("id").alias("node"), F.first("coordinates").alias("coordinates"), F.first("base").alias("base"))

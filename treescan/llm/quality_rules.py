@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.llm.common import SYMBOLS, UPPER, chunks, free_name
+from treescan.llm.common import SYMBOLS, UPPER, chunks, free_name, small_batches
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_exclaims")
 STATS_TYPE = T.StructType([T.StructField(s, T.LongType()) for s in STATS])
@@ -187,7 +187,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     The sample is those with the smallest hash of the id; with 16 bytes a row the broadcast side stays under 1 MB.
     """
     few = labels.select(F.col(id_col).alias("_id"), (F.col("quality") == 0).cast("int").alias("_bad")).where("_id is not null and _bad is not null").orderBy(F.xxhash64("_id"), "_id", "_bad").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_id", "_bad", text_stats("_text").alias("_stats")).where(~base_failed("_stats"))
+    # the text depends on both sides, so the counts are taken above the join
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_id", "_bad", text_stats(F.when(F.col("_bad").isNotNull(), F.col("_text"))).alias("_stats")).where(~base_failed("_stats"))
     got = rows.select("_id", "_bad", *[c.alias(f) for f, c in features("_stats").items()]).toPandas().sort_values(["_id", "_bad"], kind="stable")
     got = got.sample(frac=1.0, random_state=11) if len(got) else got
     return {f: got[f].to_numpy(float) for f in features("_stats")}, got["_bad"].to_numpy(int)
@@ -211,6 +212,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The struct is the last column, so extra columns of any name stay as they are.
     """
+    small_batches(docs.sparkSession)
     rules = learn_rules(*labelled_sample(docs, labels, id_col=id_col, text_col=text_col, max_labelled=max_labelled))
     name = free_name(docs, "quality")
     stats = free_name(docs, "_stats")

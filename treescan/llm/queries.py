@@ -46,7 +46,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     t = F.col(scored.columns[-1])
     return scored.select("doc_id", (~toxicity.in_training("doc_id")).alias("held_out"), t["score"].alias("score"), t["predicted"].alias("predicted"), t["nearest"].alias("nearest"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.llm.common import crc_of_id, free_name, materialize
+from treescan.llm.common import crc_of_id, free_name, materialize, small_batches
 from treescan.llm.near_dedup import sketch
 
 PREFIX_LETTERS = 4
@@ -112,7 +112,8 @@ class Index:
     def calibrate(self, vectors: list[dict[int, float]]) -> None:
         """vectors: of the examples in order of id."""
         raw = np.array([self.vote(*self.nearest(v, i)) for i, v in enumerate(vectors)])
-        self.steps = isotonic(raw, self.labels)
+        if len(raw):
+            self.steps = isotonic(raw, self.labels)
 
     def score(self, counts: dict[int, float]) -> tuple[float, np.ndarray, np.ndarray]:
         rows, cosines = self.nearest(counts)
@@ -165,9 +166,11 @@ def telling_terms(sample: DataFrame, *, chance: float, max_terms: int) -> list[s
     return [r["term"] for r in found.orderBy(g2.desc(), "term").limit(max_terms).collect()]
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, chance: float = 0.1, max_terms: int = 4_000, cut: float = 0.7) -> DataFrame:
-    """docs with a struct column ``toxicity`` (or a free name; the last column): score, predicted, nearest (ids of the
-    nearest examples) and cosines. At most max_labelled rows with max_terms terms are learned from."""
+def score_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, chance: float = 0.1, max_terms: int = 4_000, cut: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+    """docs (or their columns ``keep``) with a struct column ``toxicity`` (or a free name; the last column): score,
+    predicted, nearest (ids of the nearest examples) and cosines. At most max_labelled rows with max_terms terms are
+    learned from."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sample = examples(docs, labels, id_col, text_col, max_labelled)
     terms = telling_terms(sample, chance=chance, max_terms=max_terms)
@@ -181,7 +184,8 @@ def score_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         return pa.array(out, pa.struct([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
 
     name, own = free_name(docs, "toxicity"), free_name(docs, "_vector")
-    rows = materialize(docs.withColumn(own, F.arrow_udf(vector, VECTOR)(F.col(text_col))), "vectors")
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    rows = materialize(docs.select(*columns, F.arrow_udf(vector, VECTOR)(F.col(text_col)).alias(own)), "vectors")
     total = rows.count()
     df = np.zeros(len(terms))
     for r in rows.select(F.explode(F.col(own)["terms"]).alias("t")).groupBy("t").count().collect():  # at most max_terms rows
