@@ -263,7 +263,7 @@ def test_period_stays_within_one_block(weights):
 def test_mix_places_every_row(spark):
     sizes, weights, b = {"a": 100, "b": 37, "": 5, "d": 250}, {"a": 0.5, "b": 0.2, "": 0.2, "d": 0.1}, 4
     rows = [(i, "t", "en", s or None, 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as mix", "2 as _row")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as mix", "2 as _mix0", "3 as _mix_3", "4 as _before", "5 as count")
     out = mixing.mix(docs, weights, block_rows=b)
     got = sorted(out.collect(), key=lambda r: r.mix_.position)
     assert [r.mix_.position for r in got] == list(range(len(rows)))

@@ -88,7 +88,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_rows:
     """docs with a struct column ``mix`` (or a free name; the last column): position (gapless from 0), slot, block,
     phase, release, deadline. weights: by source, any positive numbers; None: all sources alike."""
     spark = docs.sparkSession
-    source, part, row, name = (free_name(docs, x) for x in ("_source", "_part", "_row", "mix"))
+    name, mark = free_name(docs, "mix"), "_mix"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    source, part, row, before, starts, all_phases, number, block, now, slot = (f"{mark}{k}" for k in range(10))
     parts = max(256, 4 * shuffle_partitions(spark))
     keyed = docs.withColumn(source, F.coalesce(source_col, F.lit(""))).withColumn(part, F.pmod(F.xxhash64(id_col, F.lit("mix")), F.lit(parts)).cast("int"))
     counts = keyed.groupBy(source, part).count()
@@ -96,27 +99,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_rows:
     if weights is not None and (missing := sorted(rows.keys() - weights.keys())):
         raise ValueError(f"no weight for {missing[:10]}")
     phases = plan(rows, whole_weights({s: (weights or {}).get(s, 1) for s in rows}), block_rows)
-    table = spark.createDataFrame(sorted(phases.items()), T.StructType([T.StructField(source, T.StringType()), T.StructField("_phases", T.ArrayType(PHASE))]))
-    before = counts.select(source, part, (F.sum("count").over(Window.partitionBy(source).orderBy(part)) - F.col("count")).alias("_before"))
+    # the starts stand apart, so that finding a row's phase doesn't touch the slots
+    schema = T.StructType([T.StructField(source, T.StringType()), T.StructField(starts, T.ArrayType(T.LongType())), T.StructField(all_phases, T.ArrayType(PHASE))])
+    table = spark.createDataFrame([(s, [p[1] for p in x], x) for s, x in sorted(phases.items())], schema)
+    earlier = counts.select(source, part, (F.sum("count").over(Window.partitionBy(source).orderBy(part)) - F.col("count")).alias(before))
     numbered = keyed.withColumn(row, F.row_number().over(Window.partitionBy(source, part).orderBy(id_col)) - 1)
     # each source has one row in the table, and its phases are at most as many as the sources
-    placed = numbered.join(before, [source, part]).join(F.broadcast(table), source)
-    number = F.col(row) + F.col("_before")
-    block = F.floor(number / block_rows)
-    now = F.element_at(F.filter("_phases", lambda p: p["first_block"] <= block), -1)
-    placed = placed.withColumns({"_number": number, "_block": block}).withColumn("_now", now)
-    k = F.col("_block") - F.col("_now.first_block")
-    slot = F.expr("(_block - _now.first_block) div _now.weight * _now.period") + F.element_at(F.col("_now.slots"), (F.pmod(k, F.col("_now.weight")) + 1).cast("int"))
-    placed = placed.withColumn("_slot", slot)
+    placed = numbered.join(earlier, [source, part]).join(F.broadcast(table), source)
+    placed = placed.withColumn(number, F.col(row) + F.col(before)).withColumn(block, F.floor(F.col(number) / block_rows))
+    placed = placed.withColumn(now, F.element_at(all_phases, F.size(F.filter(starts, lambda first: first <= F.col(block)))))
+    at = F.col(now)
+    k = F.col(block) - at["first_block"]
+    turn = F.floor(k / at["weight"])
+    placed = placed.withColumn(slot, turn * at["period"] + F.element_at(at["slots"], (k - turn * at["weight"] + 1).cast("int")))
     struct = F.struct(
-        (F.col("_now.first_row") + F.col("_slot") * block_rows + F.pmod("_number", F.lit(block_rows))).cast("long").alias("position"),
-        (F.col("_now.first_slot") + F.col("_slot")).cast("long").alias("slot"),
-        F.col("_block").cast("long").alias("block"),
-        F.col("_now.phase").alias("phase"),
-        (F.col("_now.first_slot") + F.floor(k * F.col("_now.period") / F.col("_now.weight"))).cast("long").alias("release"),
-        (F.col("_now.first_slot") + F.ceil((k + 1) * F.col("_now.period") / F.col("_now.weight"))).cast("long").alias("deadline"),
+        (at["first_row"] + F.col(slot) * block_rows + F.pmod(number, F.lit(block_rows))).cast("long").alias("position"),
+        (at["first_slot"] + F.col(slot)).cast("long").alias("slot"),
+        F.col(block).cast("long").alias("block"),
+        at["phase"].alias("phase"),
+        (at["first_slot"] + F.floor(k * at["period"] / at["weight"])).cast("long").alias("release"),
+        (at["first_slot"] + F.ceil((k + 1) * at["period"] / at["weight"])).cast("long").alias("deadline"),
     )
-    return placed.select(*docs.columns, struct.alias(name))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], struct.alias(name))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
