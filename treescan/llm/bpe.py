@@ -26,7 +26,7 @@ NONE = np.int32(2**31 - 1)
 LONG = 256
 CELLS = 1 << 20
 #: Distinct pieces that a worker remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 class PairTable:
@@ -220,7 +220,7 @@ def coder_udf(spark: SparkSession, path: str, pattern: str, with_ids: bool):
             own.append(Coder(shared.value, pattern))
         texts = text.fill_null("").to_pylist()
         n, a, b, all_ids = [], [], [], []
-        for lo, hi in chunks(texts, 4_000_000):
+        for lo, hi in chunks(texts, 1_500_000):
             ids, decoded = own[0].encode(texts[lo:hi])
             n += [s.count(" ") + 1 if s else 0 for s in ids]
             a += [hashlib.sha256(s.encode()).hexdigest() for s in ids]

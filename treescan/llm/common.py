@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treescan.functions.storage import written as materialize  # noqa: F401
 
-BATCH_BYTES = 8 << 20
+# Python workers live long: what a batch took goes back to the system
+pa.set_memory_pool(pa.system_memory_pool())
+
+BATCH_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
 #: A word is a run of characters other than blank and \x09-\x0D: the words of ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,7 +63,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
-def chunks(texts: list[bytes], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most bytes together, one text at least: bounds what a batch builds at once."""
     start = total = 0
     for i, t in enumerate(texts):
