@@ -158,6 +158,24 @@ def test_nearest_equal_brute_force():
         assert rows.tolist() == want and np.allclose(got, cosines[want])
 
 
+def test_nearest_by_posting_lists_equal_brute_force(monkeypatch):
+    """With few frequent terms the rest goes by block maxima and posting lists."""
+    monkeypatch.setattr(toxicity, "DENSE", 3)
+    test_nearest_equal_brute_force()
+
+
+def test_every_term_of_the_examples_is_compared(spark):
+    """Texts without any telling term meet the examples whose words they have; a copy with the other label stays."""
+    words = ["apple", "bridge", "cloud", "drum", "engine", "forest"]
+    mine = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:12]
+    rows = [(i, f"{words[k // 2]} only{k // 2} seen{k // 2}") for k, i in enumerate(mine)]
+    asked = [(1_000 + k, f"{w} alone") for k, w in enumerate(words)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(mine)], "doc_id long, toxic int")
+    got = toxicity.score_texts(spark.createDataFrame(rows + asked, "doc_id long, text string"), labels).collect()
+    nearest = {r.doc_id: set(r.toxicity.nearest) for r in got}
+    assert [nearest[1_000 + k] for k in range(6)] == [{mine[2 * k], mine[2 * k + 1]} for k in range(6)]
+
+
 def test_isotonic_is_monotone():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.2, 0.3, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all() and y[-1] == 1

@@ -1,12 +1,13 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the first PREFIX_LETTERS letters of longer words. A bounded sample of labelled rows (those of
-smallest hash; of near copies one) is the set of examples, and gives the terms: those that the toxic examples have more
-often than chance allows (a likelihood-ratio test). Document frequencies of the terms are counted over all documents. The index has a
-posting list for each term, cut into blocks of examples with the largest weight of each; a query adds the block maxima
-up to bounds, scores blocks from the best bound down, and stops where no bound can beat its k-th example. Examples vote
-with their cosine, plus a prior weight for the base rate; votes become probabilities by isotonic regression on the
-examples themselves, each left out of its own vote.
+smallest hash; of near copies with the same label one) is the set of examples, and all their terms are indexed. Document
+frequencies of the terms are counted over all documents. The weight of a term is its TF-IDF, times 1 + its likelihood
+ratio where toxic examples have it more often, so that what tells the label counts more and nothing is left out. The
+index has a posting list for each term, cut into blocks of examples with the largest weight of each; a query's lists of
+frequent terms are summed by a matrix product, the block maxima of the others make bounds, and only blocks that can beat
+the k-th example are read. Examples vote with their cosine, plus a prior weight for the base rate; votes become
+probabilities by isotonic regression on the examples themselves, each left out of its own vote.
 
 Empty and null texts, and texts with none of the terms, get the rate of such examples. Ties go to the example of smaller id.
 Without labels of both classes every score is the base rate (0 without labels).
@@ -14,12 +15,15 @@ Without labels of both classes every score is the base rate (0 without labels).
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +34,11 @@ from treescan.llm.near_dedup import sketch
 PREFIX_LETTERS = 4
 K = 15
 BLOCK = 64
+#: Terms whose posting lists are rows of a matrix, and vectors multiplied with it at once.
+DENSE = 1024
+BATCH = 256
+#: More than sums of single precision can be off.
+SLACK = 1e-5
 PRIOR_WEIGHT = 0.5
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -56,68 +65,125 @@ def term_counts(text: pa.Array) -> pa.Array:
     return pa.array([list(terms_of(t or "").items()) for t in text.to_pylist()], pa.map_(pa.string(), pa.int32()))
 
 
+def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges from lo up to hi, one range after the other."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def pair_of(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.fromiter(vector.keys(), np.int64), np.fromiter(vector.values(), float)) if isinstance(vector, dict) else vector
+
+
 class Index:
-    """Unit vectors of the examples as posting lists with block maxima."""
+    """Unit vectors of the examples: by example, and as posting lists with block maxima. The DENSE most frequent terms
+    are a matrix; of the other terms only blocks are read whose bound can beat the K-th example."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], idf: np.ndarray):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list, idf: np.ndarray):
+        """vectors: (terms, counts) of each example, or a dict. idf: the weight of each term."""
         order = np.argsort(ids, kind="stable")
-        self.ids, self.labels, self.idf = ids[order], labels[order].astype(float), idf
-        self.blocks = -(-len(ids) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for row, i in enumerate(order.tolist()):
-            for t, w in self.unit(vectors[i]).items():
-                lists[t].append((row, w))
-        self.rows = [np.array([r for r, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(r, np.arange(self.blocks + 1) * BLOCK) for r in self.rows]
-        self.maxima = np.zeros((len(idf), self.blocks))
-        for t, (r, w) in enumerate(zip(self.rows, self.weights, strict=True)):
-            np.maximum.at(self.maxima[t], r // BLOCK, w)
+        pairs = [pair_of(vectors[i]) for i in order.tolist()]
+        self.ids, self.labels, self.idf = ids[order], labels[order].astype(float), np.asarray(idf, float)
+        self.terms = np.concatenate([t for t, _ in pairs] or [np.zeros(0)]).astype(np.int32)
+        self.counts = np.concatenate([n for _, n in pairs] or [np.zeros(0)]).astype(np.int32)
+        self.ends = np.cumsum([0, *(len(t) for t, _ in pairs)])
         self.base = float(self.labels.mean()) if len(ids) else 0.0
         self.steps = np.array([self.base]), np.array([self.base])
+        self.build()
+
+    def __getstate__(self) -> tuple:
+        """The examples only, compressed: each executor keeps a copy on disk, and lists are soon built again."""
+        return self.ids, self.labels, self.idf, self.ends, self.base, self.steps, zlib.compress(self.terms.tobytes(), 3), zlib.compress(self.counts.tobytes(), 3)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.ids, self.labels, self.idf, self.ends, self.base, self.steps, terms, counts = state
+        self.terms, self.counts = np.frombuffer(zlib.decompress(terms), np.int32), np.frombuffer(zlib.decompress(counts), np.int32)
+        self.build()
+
+    def build(self) -> None:
+        self.blocks = -(-len(self.ids) // BLOCK)
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.ends)).astype(np.int32)
+        w = (1 + np.log(self.counts)) * self.idf[self.terms]
+        self.weights = w / np.sqrt(np.bincount(row, w * w, len(self.ids)))[row]
+        n = np.bincount(self.terms, minlength=len(self.idf))
+        self.column = np.full(len(self.idf), -1)  # of frequent terms
+        frequent = np.argsort(-n, kind="stable")[:DENSE]
+        self.column[frequent] = np.arange(len(frequent))
+        rare = np.flatnonzero(self.column[self.terms] < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.rows, self.posted = row[rare], self.weights[rare]
+        code = self.terms[rare].astype(np.int64) * max(1, self.blocks) + row[rare] // BLOCK
+        self.first = np.flatnonzero(np.diff(code, prepend=-1))  # of each term in each block
+        self.last = np.append(self.first[1:], len(code)).astype(np.int64)
+        self.block = row[rare][self.first] // BLOCK
+        self.maxima = np.maximum.reduceat(self.posted, self.first) if len(code) else np.zeros(0)
+        self.cuts = np.searchsorted(code[self.first], np.arange(len(self.idf) + 1) * max(1, self.blocks))
+        self.matrix = np.zeros((DENSE, self.blocks * BLOCK), np.float32)
+        at = np.flatnonzero(self.column[self.terms] >= 0)
+        self.matrix[self.column[self.terms[at]], row[at]] = self.weights[at]
+
+    def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[terms]
+        norm = np.sqrt((w * w).sum())
+        return (terms, w / norm) if norm else (terms[:0], w[:0])
 
     def unit(self, counts: dict[int, float]) -> dict[int, float]:
-        w = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()} if norm else {}
+        terms, w = self.weighed(*pair_of(counts))
+        return dict(zip(terms.tolist(), w.tolist(), strict=True))
 
     def nearest(self, counts: dict[int, float], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the K examples of largest positive cosine."""
-        q = self.unit(counts)
-        if not q:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = sum(w * self.maxima[t] for t, w in q.items())
-        rows, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in q.items():
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if hi > lo:
-                    scores[self.rows[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            found = np.flatnonzero(scores > 0)
-            found = found[found + b * BLOCK != without]
-            rows, cosines = np.append(rows, found + b * BLOCK), np.append(cosines, scores[found])
-            if len(rows) > K:
-                top = np.lexsort((rows, -np.round(cosines, 12)))[:K]
-                rows, cosines = rows[top], cosines[top]
-            least = cosines.min() if len(rows) == K else 0.0
-        top = np.lexsort((rows, -np.round(cosines, 12)))[:K]
-        return rows[top], cosines[top]
+        return next(self.nearest_of([pair_of(counts)], [without]))
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector what nearest() gives."""
+        whole = np.zeros(len(self.idf))
+        for lo in range(0, len(vectors), BATCH):
+            units = [self.weighed(*v) for v in vectors[lo : lo + BATCH]]
+            queries = np.zeros((len(units), DENSE), np.float32)
+            for i, (t, w) in enumerate(units):
+                common = self.column[t] >= 0
+                queries[i, self.column[t[common]]] = w[common]
+            for i, (scores, (t, w)) in enumerate(zip(queries @ self.matrix, units, strict=True)):
+                skip = without[lo + i] if without else -1
+                yield self.best(scores, t, w, whole, skip) if len(self.ids) and len(t) else (np.zeros(0, np.int64), np.zeros(0))
+
+    def best(self, scores: np.ndarray, terms: np.ndarray, w: np.ndarray, whole: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """scores: by the frequent terms, of single precision, so that what comes near the K-th is summed again."""
+        k = min(K, len(scores))
+        least = lambda: np.partition(np.delete(scores, without) if without >= 0 else scores, -k)[-k] if len(scores) > k else 0.0
+        rare = self.column[terms] < 0
+        lo, hi = self.cuts[terms[rare]], self.cuts[terms[rare] + 1]
+        entries, own = spans(lo, hi), np.repeat(w[rare], hi - lo)
+        bounds = scores.reshape(-1, BLOCK).max(axis=1) + np.bincount(self.block[entries], own * self.maxima[entries], self.blocks)
+        live = (bounds >= least() - SLACK)[self.block[entries]]
+        entries, own = entries[live], own[live]
+        posts = spans(self.first[entries], self.last[entries])
+        scores = scores + np.bincount(self.rows[posts], np.repeat(own, self.last[entries] - self.first[entries]) * self.posted[posts], len(scores))
+        found = np.flatnonzero((scores > 0) & (scores >= least() - SLACK))
+        found = found[found != without]
+        if not len(found):
+            return found, np.zeros(0)
+        whole[terms] = w
+        places = spans(self.ends[found], self.ends[found + 1])
+        sizes = self.ends[found + 1] - self.ends[found]
+        cosines = np.add.reduceat(self.weights[places] * whole[self.terms[places]], np.cumsum(sizes) - sizes)
+        whole[terms] = 0
+        top = np.lexsort((found, -np.round(cosines, 12)))[:K]
+        return found[top], cosines[top]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines @ self.labels[rows] + PRIOR_WEIGHT * self.base) / (cosines.sum() + PRIOR_WEIGHT)) if len(rows) else 0.0
 
-    def calibrate(self, vectors: list[dict[int, float]]) -> None:
+    def calibrate(self, vectors: list) -> None:
         """vectors: of the examples in order of id."""
-        raw = np.array([self.vote(*self.nearest(v, i)) for i, v in enumerate(vectors)])
+        raw = np.array([self.vote(*x) for x in self.nearest_of([pair_of(v) for v in vectors], list(range(len(vectors))))])
         if len(raw):
             self.steps = isotonic(raw, self.labels)
 
-    def score(self, counts: dict[int, float]) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, cosines = self.nearest(counts)
-        return float(np.clip(np.interp(self.vote(rows, cosines), *self.steps), 0, 1)), self.ids[rows], cosines
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for rows, cosines in self.nearest_of(vectors):
+            yield float(np.clip(np.interp(self.vote(rows, cosines), *self.steps), 0, 1)), self.ids[rows], cosines
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,75 +200,90 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> DataFrame:
-    """id, toxic and terms of the labelled sample without near copies, written to the shared folder."""
+    """id, toxic and terms of the labelled sample without near copies of the same label, written to the shared folder."""
     few = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & in_training(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
     text = F.when(F.col("toxic").isNotNull(), F.col("text"))  # keeps the functions above the join
     rows = materialize(rows.select("id", "toxic", term_counts(text).alias("terms"), sketch(text)["coordinates"].alias("c")), "examples")
-    seen: set = set()
+    seen: dict[int, set] = {0: set(), 1: set()}
     kept = []
-    for r in sorted(rows.select("id", F.slice("c", 1, 8).alias("c")).collect(), key=lambda r: r["id"]):
+    for r in sorted(rows.select("id", "toxic", F.slice("c", 1, 8).alias("c")).collect(), key=lambda r: r["id"]):
         marks = set(enumerate(r["c"]))
-        if not marks & seen:
+        if not marks & seen[r["toxic"]]:
             kept.append(r["id"])
-        seen |= marks
+        seen[r["toxic"]] |= marks
     session = docs.sparkSession
     return rows.join(F.broadcast(session.createDataFrame([(i,) for i in dict.fromkeys(kept)], T.StructType([T.StructField("id", rows.schema["id"].dataType)]))), "id").select("id", "toxic", "terms").dropDuplicates(["id"])
 
 
-def telling_terms(sample: DataFrame, *, chance: float, max_terms: int) -> list[str]:
-    """Terms more common in toxic examples than chance allows: by a likelihood-ratio test at the level chance for all
-    terms together; those of largest ratio first."""
-    n = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    if not n["t"] or n["t"] == n["n"]:
-        return []
-    pos, all_n = float(n["t"]), float(n["n"])
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    part = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+def relevance(a: np.ndarray, df: np.ndarray, pos: float, all_n: float) -> np.ndarray:
+    """For terms in df of all_n examples, a of the pos toxic ones: 1, and for those more common in toxic examples the
+    likelihood ratio on top."""
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
     g2 = 2 * (part(a, df * pos / all_n) + part(df - a, df * (all_n - pos) / all_n) + part(pos - a, (all_n - df) * pos / all_n) + part(all_n - pos - df + a, (all_n - df) * (all_n - pos) / all_n))
-    found = materialize(sample.select("toxic", F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")), "terms")
-    least = 2 * math.log(max(1, found.count()) / chance)
-    found = found.where((F.col("df") < all_n) & (a * all_n > df * pos)).where(g2 >= least)
-    return [r["term"] for r in found.orderBy(g2.desc(), "term").limit(max_terms).collect()]
+    return 1 + np.where(a * all_n > df * pos, np.maximum(g2, 0.0), 0.0)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of terms to (t, n): in how many of the lists each term is."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        n = np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(total))
+        n[: len(total)] += total
+        total = n
+    t = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(total[t].astype(np.int64))], names=["t", "n"])
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, chance: float = 0.1, max_terms: int = 4_000, cut: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, cut: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """docs (or their columns ``keep``) with a struct column ``toxicity`` (or a free name; the last column): score,
-    predicted, nearest (ids of the nearest examples) and cosines. At most max_labelled rows with max_terms terms are
-    learned from."""
+    predicted, nearest (ids of the nearest examples) and cosines. At most max_labelled rows are learned from, with all
+    their terms."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sample = examples(docs, labels, id_col, text_col, max_labelled)
-    terms = telling_terms(sample, chance=chance, max_terms=max_terms)
-    place = sc.broadcast({t: i for i, t in enumerate(terms)})
+    found = sample.select("toxic", F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")).orderBy("term").toArrow()
+    terms = found.column("term").combine_chunks()
+    place = sc.broadcast({t: i for i, t in enumerate(terms.to_pylist())})
 
     def vector(text: pa.Array) -> pa.Array:
-        at, out = place.value, []
+        get, found, counts, sizes = place.value.get, [], [], [0]
         for t in text.to_pylist():
-            found = [(at[w], n) for w, n in terms_of(t or "").items() if w in at] if at else []
-            out.append({"terms": [i for i, _ in sorted(found)], "counts": [n for _, n in sorted(found)]})
-        return pa.array(out, pa.struct([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+            words = terms_of(t or "")
+            found += map(get, words, repeat(-1))
+            counts += words.values()
+            sizes.append(len(found))
+        at = np.array(found, np.int32)
+        known = at >= 0
+        ends = pa.array(np.append(0, np.cumsum(known))[sizes].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[known])) for x in (at, np.array(counts, np.int32))]
+        return pa.StructArray.from_arrays(lists, names=["terms", "counts"])
 
     name, own = free_name(docs, "toxicity"), free_name(docs, "_vector")
     columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     rows = materialize(docs.select(*columns, F.arrow_udf(vector, VECTOR)(F.col(text_col)).alias(own)), "vectors")
     total = rows.count()
     df = np.zeros(len(terms))
-    for r in rows.select(F.explode(F.col(own)["terms"]).alias("t")).groupBy("t").count().collect():  # at most max_terms rows
-        df[r["t"]] = r["count"]
-    known = sample.select("id", "toxic", F.transform(F.map_entries(F.map_filter("terms", lambda k, _: k.isin(terms) if terms else F.lit(False))), lambda e: F.struct(e["key"], e["value"])).alias("v")).collect()
-    known.sort(key=lambda r: r["id"])
-    at = place.value
-    vectors = [{at[e[0]]: float(e[1]) for e in r["v"]} for r in known]
-    index = Index(np.array([r["id"] for r in known], np.int64), np.array([r["toxic"] for r in known], float), vectors, np.log((1 + total) / (1 + df)) + 1)
+    seen = rows.select(F.col(own)["terms"].alias("t")).mapInArrow(counted, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the sample at most
+    df[seen.column("t").to_numpy()] = seen.column("n").to_numpy()
+    known = sample.select("id", "toxic", F.map_keys("terms").alias("terms"), F.map_values("terms").alias("counts")).toArrow().sort_by("id").combine_chunks()
+    ids, labelled = known.column("id").to_numpy().astype(np.int64), known.column("toxic").to_numpy().astype(float)
+    at = pc.index_in(pc.list_flatten(known.column("terms")), value_set=terms).to_numpy()
+    counts, ends = pc.list_flatten(known.column("counts")).to_numpy(), np.cumsum(pc.list_value_length(known.column("terms")).to_numpy())[:-1]
+    vectors = list(zip(np.split(at, ends), np.split(counts, ends), strict=True)) if len(ids) else []
+    weights = np.log((1 + total) / (1 + df)) + 1
+    if len(ids):
+        weights *= relevance(found.column("a").to_numpy().astype(float), found.column("df").to_numpy().astype(float), labelled.sum(), len(ids))
+    index = Index(ids, labelled, vectors, weights)
     index.calibrate(vectors)
     shared = sc.broadcast(index)
 
     def voted(terms: pa.Array, counts: pa.Array) -> pa.Array:
-        out, none = [], shared.value.score({})[0]
-        for t, c in zip(terms.to_pylist(), counts.to_pylist(), strict=True):
-            s, ids, cosines = shared.value.score(dict(zip(t, c, strict=True))) if t else (none, [], [])
-            out.append({"score": s, "predicted": int(s >= cut), "nearest": list(map(int, ids)), "cosines": list(map(float, cosines))})
+        ends = np.cumsum(pc.list_value_length(terms).to_numpy())[:-1]
+        given = zip(np.split(terms.flatten().to_numpy(), ends), np.split(counts.flatten().to_numpy(), ends), strict=True) if len(terms) else []
+        out = [{"score": s, "predicted": int(s >= cut), "nearest": ids.tolist(), "cosines": cosines.tolist()} for s, ids, cosines in shared.value.scores(list(given))]
         return pa.array(out, pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))]))
 
     return rows.withColumn(name, F.arrow_udf(voted, VOTE)(F.col(own)["terms"], F.col(own)["counts"])).drop(own)
