@@ -26,14 +26,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that gives each source the same share of every prefix as long as it lasts."""
-    return mixing.in_order(mixing.mix(docs))
+    """All documents, in the order that gives each source its share of every prefix as long as it lasts."""
+    return mixing.in_order(mixing.mix(docs, mixing.tempered))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, with n_tokens, ids_sha256, decoded_sha256 and ids."""
+    """The columns of documents, with their place in the mix (position, slot, phase), as files are read in any order,
+    and n_tokens, ids_sha256, decoded_sha256 and ids."""
+    docs = mixing.mix(docs, mixing.tempered)
+    *columns, mix = docs.columns
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select(*docs.columns, f"{coded.columns[-1]}.*")
+    return coded.select(*columns, *[f"{mix}.{c}" for c in ("position", "slot", "phase")], f"{coded.columns[-1]}.*")
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("byte_level_bpe", tokens)]

@@ -10,8 +10,8 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
-from tests.llm.test_corpus import brute_components
-from treescan.llm import quality_rules
+from tests.llm.test_corpus import brute_components, brute_deviation
+from treescan.llm import mixing, quality_rules
 from treescan.llm.common import materialize, table
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,24 @@ def test_run_gives_the_last_stage(spark, steps):
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in steps[-1].select("doc_id").collect())
 
 
+def test_order_of_the_mix_survives(spark, monkeypatch):
+    """run() over stages that keep all rows of three unequal sources: by position, each prefix has the weights' shares."""
+    sizes = {"a": 400, "b": 100, "c": 25}
+    rows = [(i, f"text {i}", "en", s, 6) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(rows))) and {r.doc_id for r in got} == set(range(len(rows)))
+    weights = mixing.tempered(sizes)
+    assert weights == {"a": 16, "b": 8, "c": 4}
+    blocks = {r.slot: r.source for r in got if r.phase == 0}
+    order = [blocks[k] for k in sorted(blocks)]
+    assert brute_deviation(order, weights) < 1 and order != ["a", "b", "c"][: len(order)]
+    want = sorted(mixing.mix(docs, mixing.tempered).collect(), key=lambda r: r.mix.position)
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+
+
 def test_registry_without_the_subpackage(tmp_path):
     for name in os.listdir(ROOT):
         if name not in ("corpus_pipeline.py", ".git", "treescan"):

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,13 @@ def whole_weights(weights: dict[str, float], resolution: int = 10_000) -> dict[s
     return {s: w // g for s, w in out.items()}
 
 
+def tempered(rows: dict[str, int]) -> dict[str, float]:
+    """Weights as the square root of a source's rows, in steps of 1/16 of the largest, so that large sources give more
+    and small ones more than their share."""
+    most = max(rows.values(), default=1)
+    return {s: max(1.0, float(round(16 * math.sqrt(n / most)))) for s, n in rows.items()}
+
+
 def period(weights: dict[str, int]) -> list[str]:
     """The source of each slot of one period: earliest deadline first among released blocks."""
     total = sum(weights.values())
@@ -84,9 +92,10 @@ def plan(rows: dict[str, int], weights: dict[str, int], block_rows: int) -> dict
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_rows: int = 32, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]] | None = None, *, block_rows: int = 32, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with a struct column ``mix`` (or a free name; the last column): position (gapless from 0), slot, block,
-    phase, release, deadline. weights: by source, any positive numbers; None: all sources alike."""
+    phase, release, deadline. weights: by source, any positive numbers, or a function that gives them for the rows of each source;
+    None: all sources alike."""
     spark = docs.sparkSession
     name, mark = free_name(docs, "mix"), "_mix"
     while any(c.lower().startswith(mark) for c in docs.columns):
@@ -96,6 +105,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, block_rows:
     keyed = docs.withColumn(source, F.coalesce(source_col, F.lit(""))).withColumn(part, F.pmod(F.xxhash64(id_col, F.lit("mix")), F.lit(parts)).cast("int"))
     counts = keyed.groupBy(source, part).count()
     rows = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("count")).collect()}
+    if callable(weights):
+        weights = weights(rows)
     if weights is not None and (missing := sorted(rows.keys() - weights.keys())):
         raise ValueError(f"no weight for {missing[:10]}")
     phases = plan(rows, whole_weights({s: (weights or {}).get(s, 1) for s in rows}), block_rows)

@@ -64,8 +64,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sources at the same weight."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Sources weigh as the square root of their rows."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), mixing.tempered)
     return mixed.select("doc_id", "source", F.col(f"{mixed.columns[-1]}.*"))
 
 
