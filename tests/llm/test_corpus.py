@@ -240,6 +240,33 @@ def test_bad_host_is_blocked_and_small_one_shrunk(spark):
     assert got["few.a.com"].rate < 1 and got["unseen.b.com"].n == 0
 
 
+def test_levels_of_hosts(spark):
+    hosts = ["", "com", "a.b.com", "x.co.uk", "www.x.co.uk", "co.uk", "u:p@a.b.org:8080", "10.0.0.1:80", "[::1]", "b.com."]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in frame.select(*url_reputation.levels_of(frame.host)).collect()]
+    assert got == [("", ""), ("com", "com"), ("b.com", "com"), ("x.co.uk", "co.uk"), ("x.co.uk", "co.uk"), ("co.uk", "co.uk"), ("b.org", "org"), ("10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]"), ("com.", "")]
+
+
+def test_url_query_with_odd_pages_equals_its_sql(spark, tmp_path):
+    """Null urls, no host, no number, numbers too long for an id, an empty table: the registered query against its SQL."""
+    import duckdb
+    from treescan.llm import queries
+
+    urls = [None, "", "nohost", "http://a.b.org/en/page", "http://a.b.org/en/" + "9" * 30, "http://u@a.b.org:80/en/1.html", "http://10.0.0.1/en/2.html"] * 2
+    urls += [f"http://bad.b.org/en/{i}.html" for i in range(40)] + [f"http://good.c.co.uk/en/{i}.html" for i in range(40, 80)]
+    for n in (len(urls), 0):
+        d = tmp_path / str(n)
+        spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls[:n])], "page_id long, url string, Host int").write.parquet(f"{d}/pages.parquet")
+        spark.createDataFrame([(i, int(i >= 40), 0) for i in range(80)] + [(None, 0, 0), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        con = duckdb.connect()
+        for t in ("pages", "labels"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+        want = con.sql(queries.ORACLES["op9_url_filters"]).fetchall()
+        got = [tuple(r) for r in queries.op9_url_filters(spark, str(d)).collect()]
+        assert len(got) == n and sorted(got) == sorted(want)
+        assert n == 0 or {r[4] for r in got if r[1] == "bad.b.org"} == {"block"}
+
+
 # mixing
 
 

@@ -53,8 +53,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """host and bad of each page. A page shows the document whose id is the number in its path; it is bad where that
-    document is labelled of low quality, and not labelled where the document isn't."""
-    pages = table(spark, sf_dir, "pages").select(url_reputation.host_of(F.col("url")).alias("host"), F.regexp_extract(url_reputation.path_of(F.col("url")), r"^/[^/]*/([0-9]+)", 1).cast("long").alias("doc_id"))
+    document is labelled of low quality, and not labelled where the document isn't, or where there is no such number or
+    one too long for an id."""
+    pages = table(spark, sf_dir, "pages").select(url_reputation.host_of(F.col("url")).alias("host"), F.regexp_extract(url_reputation.path_of(F.col("url")), r"^/[^/]*/([0-9]+)", 1).try_cast("long").alias("doc_id"))
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
     return pages.join(labels, "doc_id", "left").select("host", "bad")
 
@@ -86,7 +87,9 @@ WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 o AS (SELECT p.host, l.bad FROM p LEFT JOIN l ON l.doc_id = TRY_CAST(nullif(regexp_extract(p.path, '^/[^/]*/([0-9]+)', 1), '') AS BIGINT)),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix FROM o GROUP BY host),
+h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS name FROM o GROUP BY host),
+h1s AS (SELECT *, regexp_matches(name, '^([0-9]+[.]){3}[0-9]+$|^\[.*\]$') AS address, coalesce(nullif(regexp_extract(name, '(^|[.])((ac|co|com|edu|gov|net|org)[.][a-z][a-z])$', 2), ''), regexp_extract(name, '[^.]*$', 0)) AS last FROM h0),
+h AS (SELECT host, n, bad, CASE WHEN address THEN name WHEN length(name) <= length(last) THEN last ELSE regexp_extract(left(name, length(name) - length(last) - 1), '[^.]*$', 0) || '.' || last END AS domain, CASE WHEN address THEN name ELSE last END AS suffix FROM h1s),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 s AS (SELECT suffix, n, bad, (sum(bad) OVER () * 1.0::DOUBLE) / sum(n) OVER () AS m FROM s0),

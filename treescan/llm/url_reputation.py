@@ -1,10 +1,14 @@
 """URL filters: stated rules, and an empirical-Bayes reputation of hosts for all other urls; DataFrame functions alone.
 
 Labelled page outcomes are counted for each host. A beta-binomial prior shrinks the rate of bad pages: that of a host
-toward its registered domain (its last two labels), that of a domain toward its suffix (its last label), that of a
-suffix toward the rate of all. The strength of each prior comes from the moments of its level. A host is blocked where
-the lower bound of its posterior rate is above max_bad. A host without labelled pages has the rate of its domain, and so
-on upward; without any labels nothing is blocked. Null urls and urls without :// have an empty host and path.
+toward its registered domain, that of a domain toward its suffix, that of a suffix toward the rate of all. The strength
+of each prior comes from the moments of its level. A host is blocked where the lower bound of its posterior rate is above
+max_bad. A host without labelled pages has the rate of its domain, and so on upward; without any labels nothing is
+blocked. Null urls and urls without :// have an empty host and path.
+
+Levels are taken from the host without user information and port. The suffix is the last label, or the last two where
+the last has two letters and the one before is in SECOND_LEVEL (so x.co.uk has the suffix co.uk); the domain is one
+label more. An IP address is a domain and a suffix of its own, and so is the empty host.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: (verdict, host and path)
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+USER, PORT = "(?s)^.*@", ":[0-9]*$"
+ADDRESS = r"^([0-9]+[.]){3}[0-9]+$|^\[.*\]$"
+TWO_LABELS = f"(^|[.])(({'|'.join(SECOND_LEVEL)})[.][a-z][a-z])$"
 #: The least and the largest intra-class correlation of a level.
 RHO = (0.0001, 0.5)
 
@@ -40,6 +48,16 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.lit(None).cast("string") if chain is None else chain
 
 
+def levels_of(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host."""
+    name = F.regexp_replace(F.regexp_replace(host, USER, ""), PORT, "")
+    suffix = F.coalesce(F.nullif(F.regexp_extract(name, TWO_LABELS, 2), F.lit("")), F.regexp_extract(name, "[^.]*$", 0))
+    rest = F.left(name, F.length(name) - F.length(suffix) - 1)
+    domain = F.when(F.length(name) <= F.length(suffix), suffix).otherwise(F.concat(F.regexp_extract(rest, "[^.]*$", 0), F.lit("."), suffix))
+    address = name.rlike(ADDRESS)
+    return F.when(address, name).otherwise(domain), F.when(address, name).otherwise(suffix)
+
+
 def _strength(rates: DataFrame) -> float:
     """Strength of a level's prior, of rows n, bad and m (the mean above): 1 / rho - 1 with rho from moments."""
     spread = F.col("m") * (1 - F.col("m"))
@@ -52,8 +70,8 @@ def reputations(outcomes: DataFrame, *, max_bad: float = 0.2, z: float = 1.645)
     """outcomes: a row for each page with host and bad (1, 0, or null where not labelled) to a row for each host:
     n, bad, rate (posterior mean), low (lower bound), blocked."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    label = lambda k: F.when(F.col("host") == "", F.lit("")).otherwise(F.substring_index("host", ".", -k))
-    hosts = materialize(hosts.withColumn("domain", label(2)).withColumn("suffix", label(1)), "hosts")
+    domain, suffix = levels_of(F.col("host"))
+    hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
