@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -282,9 +283,49 @@ def brute_deviation(order, weights):
 
 @pytest.mark.parametrize("weights", [{"a": 5, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1}, {"a": 1}, {"a": 7, "b": 11, "c": 3}, {f"s{i}": i + 1 for i in range(12)}])
 def test_period_stays_within_one_block(weights):
-    order = mixing.period(weights)
-    assert len(order) == sum(weights.values()) and all(order.count(s) == w for s, w in weights.items())
-    assert brute_deviation(order * 2, weights) < 1
+    order = sorted(weights, key=lambda s: (-weights[s], s))
+    at, n = mixing.phase_slots(order, weights, sum(weights.values()), dict.fromkeys(weights, 10**9), 10**6)
+    taken = {k: s for s, x in at.items() for k in x}
+    assert n == len(taken) == sum(weights.values()) and all(len(at[s]) == w for s, w in weights.items())
+    assert brute_deviation([taken[k % n] for k in range(2 * n)], weights) < 1
+
+
+def test_weights_are_exact():
+    third, f = mixing.Fraction(1, 3), mixing.Fraction
+    assert mixing.whole_weights({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2}
+    assert mixing.whole_weights({"a": 0.99999, "b": 0.00001}) == {"a": 99_999, "b": 1}
+    assert mixing.whole_weights({"a": third, "b": 0.5, "c": 7}) == {"a": 2, "b": 3, "c": 42}
+    rng = random.Random(2)
+    given = {f"s{i}": rng.random() for i in range(50)}
+    whole, total = mixing.whole_weights(given), sum(map(f, given.values()))
+    assert all(f(whole[s], sum(whole.values())) == f(w) / total for s, w in given.items())
+    for bad in (0.0, -1.0, math.inf, math.nan):
+        with pytest.raises(ValueError):
+            mixing.whole_weights({"a": 1.0, "b": bad})
+
+
+def test_deviation_from_the_given_weights_over_many_rows():
+    """10^6 rows, blocks of one row, weights without a short period: each prefix of the first phase is within a block."""
+    rng = random.Random(8)
+    weights = {f"s{i}": rng.random() ** 3 + 1e-3 for i in range(7)}
+    rows = {s: 10**6 for s in weights}
+    at, n = mixing.phase_slots(sorted(weights, key=lambda s: (-weights[s], s)), whole := mixing.whole_weights(weights), sum(whole.values()), {**rows, max(weights, key=weights.get): 300_000}, 10**7)
+    total = sum(weights.values())
+    assert n > 300_000
+    for s, slots in at.items():
+        x, j = np.array(slots), np.arange(len(slots))
+        # just before and just after each block of the source
+        assert (j - x * (weights[s] / total) > -1 - 1e-6).all() and ((j + 1) - (x + 1) * (weights[s] / total) < 1 + 1e-6).all()
+
+
+def test_many_sources_plan_in_time():
+    rng = random.Random(4)
+    rows = {f"s{i}": rng.randint(1, 30) for i in range(10_000)}
+    phases = mixing.plan(rows, mixing.whole_weights({s: rng.random() for s in rows}), 1)
+    taken = sorted(slot0 + k for x in phases.values() for (_, _, slot0, _, period, n, slots, *_) in x for k in slots)
+    assert taken == list(range(sum(rows.values())))
+    with pytest.raises(ValueError):
+        mixing.plan({"a": 10**9, "b": 10**9}, mixing.whole_weights({"a": 0.123456789, "b": 1.0}), 1, most=1000)
 
 
 def test_mix_places_every_row(spark):
@@ -300,5 +341,7 @@ def test_mix_places_every_row(spark):
     assert brute_deviation([blocks[k] for k in sorted(blocks)], mixing.whole_weights(weights)) < 1
     assert [r.doc_id for r in mixing.in_order(out).collect()] == [r.doc_id for r in got]
     assert mixing.mix(docs.where("false")).count() == 0
+    same = docs.limit(50).selectExpr("cast(null as long) as doc_id", "text", "source").unionAll(docs.selectExpr("1L as doc_id", "concat(text, doc_id) as text", "source"))
+    assert sorted(r[0] for r in mixing.mix(same, block_rows=3).select("mix.position").collect()) == list(range(50 + len(rows)))
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": 1.0})
