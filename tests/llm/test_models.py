@@ -92,30 +92,53 @@ def test_scores_equal_brute_force(spark):
         assert tuple(a)[:5] == b[:5] and a.base_score == pytest.approx(b[5], abs=1e-9) and a.score == pytest.approx(b[6], abs=1e-9)
 
 
+def brute_ratios(rows, good):
+    """Bucket of a feature, and log ratios by bucket, from the definition: 16 leading bits of word hashes and pair hashes."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def buckets(text):
+        low = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+        h = [xxhash.xxh3_64_intdigest(w) for w in low.split()]
+        pairs = [((a * 0x9E3779B97F4A7C15) & mask) ^ ((b * 0xC2B2AE3D27D4EB4F) & mask) for a, b in zip(h, h[1:])]
+        return [x >> 48 for x in h + pairs]
+
+    raw, target = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(buckets(t))
+        if i in good:
+            target.update(buckets(t))
+    n = importance.BUCKETS
+    all_raw, all_target = sum(raw.values()) + n, sum(target.values()) + n
+    return buckets, lambda b: math.log((target[b] + 1) / all_target) - math.log((raw[b] + 1) / all_raw)
+
+
 def test_importance_against_brute_force(spark):
-    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["good words here"] * 40 + ["bad %% junk %%"] * 20 + [None, "", "good words here again"])] + [(3, "good words here", "en", "s", 0)]
+    texts = ["good words here"] * 40 + ["Bad %% junk %%"] * 20 + [None, "", "good words here again", "long " * 60_000]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(3, "good words here", "en", "s", 0)] + [(None, f"no id {i}", "en", "s", 0) for i in range(30)]
     labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(0, 60, 2)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, SCHEMA)
-    ratios = importance.log_ratios(docs, labels)
-    raw, target = np.ones(importance.BUCKETS), np.ones(importance.BUCKETS)
-    for i, t, *_ in rows:
-        b, _ = importance.features([(t or "").encode()])
-        np.add.at(raw, b, 1)
-        if i < 40 and i % 2 == 0:
-            np.add.at(target, b, 1)
-    want = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    assert np.allclose(ratios, want)
-    out = importance.resample(docs.withColumn("importance", F.lit(0)), labels, k=40)
-    got = out.select("doc_id", "text", "importance_.*").collect()
+    buckets, ratio = brute_ratios(rows, set(range(0, 40, 2)))
+    for k in (1, 40, len(rows) - 1, len(rows), len(rows) + 5):
+        out = importance.resample(docs.withColumn("importance", F.lit(0)).withColumn("_weightk", F.lit(1)), labels, k=k)
+        got = out.select("doc_id", "text", "importance_.*").collect()
+        kept = sorted((r.key for r in got if r.kept), reverse=True)
+        assert kept == sorted((r.key for r in got), reverse=True)[:k] and len(kept) == min(k, len(rows))
+    assert len(got) == len(rows)
     for r in got:
-        b, _ = importance.features([(r.text or "").encode()])
-        assert r.log_weight == pytest.approx(want[b].sum())
-    least = sorted((r.key for r in got), reverse=True)[39]
-    assert {r.doc_id for r in got if r.kept} >= {r.doc_id for r in got if r.key >= least} and sum(r.kept for r in got) <= 42
+        assert r.log_weight == pytest.approx(sum(map(ratio, buckets(r.text))), abs=1e-6, rel=1e-9)
+    assert len({r.key - r.log_weight for r in got if r.doc_id is None}) == 30
     assert importance.resample(docs.where("false"), labels).count() == 0
     assert importance.resample(docs, labels.where("false")).where("importance.kept").count() == len(rows)
 
 
+def test_exactly_k_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "same text here", "en", "s", 0)] * 50, SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert importance.resample(docs, labels, k=10).where("importance.kept").count() == 10
+
+
 def test_gumbel_top_k_follows_the_weights(spark):
     """With weights 1 : 3 and one draw, the heavy row is drawn about three times in four."""
     keys = spark.range(4000).select("id", importance.gumbel(F.col("id"), 1).alias("a"), (importance.gumbel(F.col("id"), 2) + F.log(F.lit(3.0))).alias("b"))

@@ -2,12 +2,13 @@
 
 Texts become counts of hashed words and word pairs. Two generative models, smoothed distributions over the buckets, are
 taken from target text (labelled of high quality; a bounded sample) and from raw text (all documents). The logarithm of
-a text's weight is its log probability under the first less that under the second. Gumbel noise from the hash of the id
-turns the top k of weight and noise into a sample without replacement, in proportion to the weights.
+a text's weight is its log probability under the first less that under the second. Gumbel noise from the hash of id and
+text turns the top k of weight and noise into a sample without replacement, in proportion to the weights.
 
-The k-th largest key is found by counting leading bits of the keys (in steps of 2^-20), in rounds over the table of keys;
-rows of the same step as the k-th are all taken. Null and empty texts have weight 1 (logarithm 0). Repeated rows share their noise. Without
-target texts all weights are 1.
+Exactly k rows are kept (all where there are fewer). The k-th largest key is found by counting leading bits of the keys,
+16 a round, over the written table of keys; of rows with that very key those written first are kept, found in the same
+way by their number in the table. Null and empty texts have weight 1 (logarithm 0). Rows that repeat id and text share
+their noise, and so their key. Without target texts all weights are 1.
 """
 
 from __future__ import annotations
@@ -72,31 +73,40 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.ln(-F.ln(u))
 
 
-def kth_largest(keys: DataFrame, name: str, k: int) -> float | None:
-    """The smallest value of the step that holds the k-th largest of a column: 16 bits a round, so that at most 65,536
-    counts come to the driver in each."""
-    n = keys.count()
-    if k <= 0 or not n:
-        return None
-    rows = materialize(keys.select(_steps(F.col(name)).alias("b"), F.col(name).alias("v")), "keys")
+@F.arrow_udf(T.LongType())
+def ordered_bits(key: pa.Array) -> pa.Array:
+    """Whole numbers in the order of doubles, one for each double (0.0 for -0.0)."""
+    bits = (key.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+
+
+def nth_largest(rows: DataFrame, name: str, k: int) -> tuple[int, int]:
+    """The k-th largest whole number of a column (k from 1 to the number of rows), and how many of the rows with it are
+    among the k largest. 16 bits a round, so that at most 65,536 counts come to the driver in each."""
     low, shift = None, 48
-    k = min(k, n)
     while True:
-        part = rows if low is None else rows.where(F.shiftright("b", shift + 16) == low)
-        counts = sorted(((r["p"], r["count"]) for r in part.groupBy(F.shiftright("b", shift).alias("p")).count().collect()), reverse=True)
+        part = rows if low is None else rows.where(F.shiftright(name, shift + 16) == low)
+        counts = sorted(((r["p"], r["count"]) for r in part.groupBy(F.shiftright(name, shift).alias("p")).count().collect()), reverse=True)
         for p, c in counts:
             if k <= c:
                 low = p
                 break
             k -= c
         if not shift:
-            return rows.where(F.col("b") == low).agg(F.min("v")).first()[0]
+            return low, k
         shift -= 16
 
 
-def _steps(x: Column) -> Column:
-    """A whole number in the order of x: steps of 2^-20. What falls into one step is taken together."""
-    return F.floor(x * float(1 << 20)).cast("long")
+def among_largest(rows: DataFrame, bits: str, number: str, k: int) -> Column:
+    """Whether a row is one of the k with the largest bits, the smallest numbers first among equals; numbers are unique."""
+    n = rows.count()
+    if k <= 0 or not n:
+        return F.lit(False)
+    if k >= n:
+        return F.lit(True)
+    least, of_these = nth_largest(rows, bits, k)
+    last, _ = nth_largest(rows.where(F.col(bits) == least).select((-F.col(number)).alias(number)), number, of_these)
+    return (F.col(bits) > least) | ((F.col(bits) == least) & (F.col(number) <= -last))
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, k: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", max_target: int = 20_000, keep: list[str] | None = None) -> DataFrame:
@@ -114,15 +124,17 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None,
             out.append(np.bincount(doc, weights=ratios.value[bucket], minlength=hi - lo))
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    name, weight = free_name(docs, "importance"), free_name(docs, "_weight")
+    name, weight = free_name(docs, "importance"), "_weight"
+    while any(c.lower().startswith(weight) for c in docs.columns):
+        weight += "_"
     columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
-    rows = docs.select(*columns, F.arrow_udf(weigh, T.DoubleType())(F.col(text_col)).alias(weight), gumbel(F.col(id_col), seed).alias(weight + "g"))
-    rows = materialize(rows.withColumn(weight + "k", F.col(weight) + F.col(weight + "g")), "weights")
+    rows = docs.select(*columns, F.arrow_udf(weigh, T.DoubleType())(F.col(text_col)).alias(weight), gumbel(F.xxhash64(id_col, text_col), seed).alias(weight + "g"))
+    rows = rows.withColumn(weight + "k", F.col(weight) + F.col(weight + "g")).withColumn(weight + "b", ordered_bits(weight + "k"))
+    rows = materialize(rows.withColumn(weight + "n", F.monotonically_increasing_id()), "weights")
     if k is None:
         if share is None:
             good = labels.where("quality in (0, 1)").agg(F.avg("quality")).first()[0]
             share = 1.0 if good is None else good
         k = round(rows.count() * share)
-    least = kth_largest(rows, weight + "k", k)
-    kept = F.lit(False) if least is None else F.col(weight + "k") >= least
-    return rows.withColumn(name, F.struct(F.col(weight).alias("log_weight"), F.col(weight + "k").alias("key"), kept.alias("kept"))).drop(weight, weight + "g", weight + "k")
+    kept = among_largest(rows.select(weight + "b", weight + "n"), weight + "b", weight + "n", k)
+    return rows.withColumn(name, F.struct(F.col(weight).alias("log_weight"), F.col(weight + "k").alias("key"), kept.alias("kept"))).drop(*[weight + c for c in ("", "g", "k", "b", "n")])
