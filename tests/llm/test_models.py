@@ -32,13 +32,13 @@ def small_docs():
     return [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, "the cat", "en", "s", 0), (5, "the dog", "en", "s", 0)]
 
 
-def brute_scores(rows, p_context=2e-5):
+def brute_scores(rows, p_symbol=3.2e-5, min_count=2):
     """id and text to (held_out, n_tokens, n_known, N, base, score), by plain dictionaries."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     train = [tokens_of(r[1]) for r in rows if not held(r[0])]
     c = Counter(t for x in train for t in x)
     n, v = sum(c.values()), len(c)
-    own = {t for t in c if c[t] >= max(2.0, 1e-3 * n)} | {b"\n"}
+    own = {t for t in c if c[t] >= max(2.0, p_symbol * n)} | {b"\n"}
     sym = lambda t: t if t in own else None
     depth = suffix_tree.DEPTH
     counts = defaultdict(Counter)
@@ -50,7 +50,7 @@ def brute_scores(rows, p_context=2e-5):
     states = {()}
     for ctx, follow in counts.items():
         total, up = sum(follow.values()), counts[ctx[1:]]
-        if not ctx or total < max(2.0, p_context * n) or (len(ctx) > 1 and sum(up.values()) < max(2.0, p_context * n)):
+        if not ctx or total < min_count:
             continue
         gain = sum(k * math.log(k / total / (up[s] / sum(up.values()))) for s, k in follow.items())
         if gain > 0.5 * len(follow) * math.log(n):
@@ -68,7 +68,7 @@ def brute_scores(rows, p_context=2e-5):
 
     for ctx in list(states)[:50]:
         assert abs(sum(prob(ctx, s) for s in symbols) - 1) < 1e-9
-    others = n - sum(c[t] for t in own if t in c and c[t] >= max(2.0, 1e-3 * n))
+    others = n - sum(c[t] for t in own)
     unseen = max(0.5, sum(k == 1 for k in c.values()))
     out = []
     for r in rows:
@@ -83,13 +83,26 @@ def brute_scores(rows, p_context=2e-5):
     return out
 
 
-def test_scores_equal_brute_force(spark):
-    rows = small_docs()
-    got = suffix_tree.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()
+@pytest.mark.parametrize("p_symbol", [3.2e-5, 5e-3])
+def test_scores_equal_brute_force(spark, monkeypatch, p_symbol):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 2000)
+    rows = [*small_docs(), (7, "the cat of " * 20_000, "en", "s", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit(1)).withColumn("Score", F.lit(2))
+    got = suffix_tree.score_texts(frame, p_symbol=p_symbol).collect()
     key = lambda r: (str(r[0]), r[2], round(r[5], 6))
     assert len(got) == len(rows)
-    for a, b in zip(sorted(got, key=key), sorted(brute_scores(rows), key=key), strict=True):
-        assert tuple(a)[:5] == b[:5] and a.base_score == pytest.approx(b[5], abs=1e-9) and a.score == pytest.approx(b[6], abs=1e-9)
+    for a, b in zip(sorted(got, key=key), sorted(brute_scores(rows, p_symbol), key=key), strict=True):
+        assert tuple(a)[:5] == b[:5] and a.base_score == pytest.approx(b[5], abs=1e-9) and a.score == pytest.approx(b[6], rel=1e-6)
+
+
+def test_numbers_survive_packing():
+    rng = np.random.default_rng(1)
+    x = np.sort(rng.integers(0, 2**64, 1000, np.uint64, endpoint=False))
+    assert (suffix_tree.unpack_sorted(suffix_tree.pack_sorted(x), 1000) == x).all()
+    for width in (1, 7, 30, 45):
+        y = np.unique(rng.integers(0, 2**width, 500, np.uint64))
+        z = suffix_tree.scattered(y, width)
+        assert len(np.unique(z)) == len(y) and (z < 2**width).all() and (suffix_tree.scattered(z, width, back=True) == y).all()
 
 
 def brute_ratios(rows, good):
