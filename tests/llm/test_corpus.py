@@ -219,6 +219,32 @@ def test_bpe_equals_tiktoken(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() and bytes(r.decoded) == (r.text or "").encode()
 
 
+def brute_bpe(piece, ranks):
+    t = [bytes([b]) for b in piece]
+    while True:
+        rank, i = min(((ranks.get(t[i] + t[i + 1], 1 << 40), i) for i in range(len(t) - 1)), default=(1 << 40, 0))
+        if rank == 1 << 40:
+            return [ranks[x] for x in t]
+        t[i : i + 2] = [t[i] + t[i + 1]]
+
+
+def test_long_pieces_equal_brute_force_for_odd_vocabularies():
+    """Vocabularies in which a merge may give a pair of smaller rank; pieces over several rows, and runs across rows."""
+    for seed in range(8):
+        rng = random.Random(seed)
+        tokens = [bytes([b]) for b in range(256)] + sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))) for _ in range(60)}, key=lambda _: rng.random())
+        own = bpe.Vocabulary(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(257, 500))) for _ in range(3)] + [b"a" * 300, b"ab" * 160 + b"c"]
+        assert own.encode_pieces(pieces) == [brute_bpe(p, ranks) for p in pieces]
+
+
+def test_bpe_of_nothing(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    none = bpe.encode(docs.where("false"), path, public_tokenizers.PATTERN)
+    assert none.count() == 0 and bpe.decode(none.selectExpr("bpe.*"), path).count() == 0
+
+
 # url filters
 
 

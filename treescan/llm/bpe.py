@@ -2,15 +2,16 @@
 
 Texts are split by the pattern; the distinct pieces of a batch are put, by length, into padded matrices of token ids.
 In each round every row merges its leftmost pair of least rank, found through a hash table of pairs, and closes the
-gap; rows without a pair leave the matrix. Pieces of more than LONG bytes, where whole rows are moved too often, merge by
-a heap and links: the same merges in the same order. Null texts count as empty and have no ids.
+gap; rows without a pair leave the matrix. A piece of more than LONG bytes is laid over several rows: in each round its
+least rank is that of its rows, all leftmost pairs of that rank merge at once (or the first one alone, where a merge
+gives a pair of still smaller rank), and only the rows that they touch close their gaps. Null texts count as empty and
+have no ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable
 
 import numpy as np
@@ -25,8 +26,10 @@ from treescan.llm.common import chunks, free_name, small_batches
 NONE = np.int32(2**31 - 1)
 LONG = 256
 CELLS = 1 << 20
-#: Distinct pieces that a worker remembers between batches.
-REMEMBERED = 60_000
+#: Columns of the rows that a long piece is laid over.
+SEGMENT = 64
+#: Bytes of distinct pieces that a worker remembers between batches, besides those of the last one.
+REMEMBERED_BYTES = 600_000
 
 
 class PairTable:
@@ -97,8 +100,9 @@ class Vocabulary:
         while start < len(order):
             width = 1 << max(1, int(sizes[order[start]] - 1).bit_length())
             if width > LONG:
-                for i in order[start:].tolist():
-                    out[i] = self.encode_long(pieces[i])
+                rows = order[start:].tolist()
+                for i, ids in zip(rows, self.encode_laid([pieces[i] for i in rows]), strict=True):
+                    out[i] = ids
                 break
             stop = min(int(np.searchsorted(sizes[order], width, "right")), start + max(1, CELLS // width))
             rows = order[start:stop]
@@ -149,38 +153,108 @@ class Vocabulary:
             ranks[k[left], best[left] - 1] = self.pairs.find(ids[k[left], best[left] - 1], ids[k[left], best[left]])
         return done
 
-    def encode_long(self, piece: bytes) -> list[int]:
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
-        ranks = self.pairs.find(ids[:-1], ids[1:])
-        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r != NONE]
-        heapq.heapify(heap)
-        ids, after, before = ids.tolist(), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        rank_at = ranks.tolist() + [int(NONE)]
-        one = np.zeros(1, np.int64)
-        find = lambda a, b: int(self.pairs.find(one + a, one + b)[0])
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank_at[i] != r:
-                continue
-            j = after[i]
-            ids[i], ids[j] = r, -1
-            rank_at[j] = int(NONE)
-            after[i] = after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(ids):
-                    rank_at[a] = find(ids[a], ids[b])
-                    if rank_at[a] != NONE:
-                        heapq.heappush(heap, (rank_at[a], a))
-                elif b >= len(ids):
-                    rank_at[a] = int(NONE)
-        return [x for x in ids if x >= 0]
+    def encode_laid(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of long pieces, each over rows of SEGMENT columns that follow each other."""
+        m = Laid(self, pieces)
+        while (least := m.least()) is not None:
+            m.merge(m.pairs(least), least)
+        return m.result()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Laid:
+    """Long pieces as rows of token ids, -1 after the last. The pair of a row's last token and the next row's first has
+    its rank in the column of the last token. One more row of -1 stands for no row."""
+
+    def __init__(self, vocabulary: Vocabulary, pieces: list[bytes]):
+        self.find = vocabulary.pairs.find
+        n_rows = np.array([-(-len(p) // SEGMENT) for p in pieces])
+        self.piece = np.repeat(np.arange(len(pieces)), n_rows)
+        self.starts = np.cumsum(n_rows) - n_rows
+        raw = np.frombuffer(b"".join(p.ljust(r * SEGMENT, b"\0") for p, r in zip(pieces, n_rows.tolist(), strict=True)), np.uint8).reshape(-1, SEGMENT)
+        n = np.full(len(raw), SEGMENT)
+        n[self.starts + n_rows - 1] = [len(p) - (r - 1) * SEGMENT for p, r in zip(pieces, n_rows.tolist(), strict=True)]
+        self.none = len(raw)
+        self.count = np.append(n, 0)
+        self.ids = np.full((len(raw) + 1, SEGMENT), -1, np.int32)
+        self.ids[:-1] = np.where(np.arange(SEGMENT) < n[:, None], vocabulary.of_byte[raw], np.int32(-1))
+        self.after, self.before = np.arange(1, len(raw) + 2), np.arange(-1, len(raw))
+        self.after[self.starts + n_rows - 1] = self.none
+        self.before[self.starts] = self.none
+        self.ranks = np.full((len(raw) + 1, SEGMENT), NONE, np.int32)
+        self.row_least = np.full(len(raw) + 1, NONE, np.int32)
+        self.rank(np.arange(len(raw)))
+
+    def rank(self, rows: np.ndarray) -> None:
+        left = self.ids[rows]
+        right = np.concatenate([left[:, 1:], np.full((len(rows), 1), -1, np.int32)], axis=1)
+        full = np.flatnonzero(self.count[rows])
+        right[full, self.count[rows[full]] - 1] = self.ids[self.after[rows[full]], 0]
+        self.ranks[rows] = self.find(left, right)
+        self.row_least[rows] = self.ranks[rows].min(axis=1)
+
+    def least(self) -> np.ndarray | None:
+        """The least rank of each piece; None where no piece has a pair."""
+        least = np.minimum.reduceat(self.row_least[:-1], self.starts)
+        return least if (least != NONE).any() else None
+
+    def pairs(self, least: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row and column of both tokens of the pairs of least rank, each leftmost in what overlaps."""
+        rows = np.flatnonzero((self.row_least[:-1] == least[self.piece]) & (self.row_least[:-1] != NONE))
+        at, col = np.nonzero(self.ranks[rows] == self.row_least[rows][:, None])
+        row = rows[at]
+        last = col + 1 == self.count[row]
+        row2, col2 = np.where(last, self.after[row], row), np.where(last, 0, col + 1)
+        overlaps = np.append(False, (row[1:] == row2[:-1]) & (col[1:] == col2[:-1]))
+        if overlaps.any():
+            k = np.arange(len(row))
+            even = (k - np.maximum.accumulate(np.where(overlaps, 0, k))) % 2 == 0
+            row, col, row2, col2 = row[even], col[even], row2[even], col2[even]
+        return row, col, row2, col2
+
+    def before_smaller(self, pairs: tuple[np.ndarray, ...], new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """pairs, of a piece only the first where merging one after the other would give a pair of smaller rank on the
+        way. new: the token of each pair."""
+        row, col, row2, col2 = pairs
+        first = col == 0
+        before = self.before[row]
+        left = self.ids[np.where(first, before, row), np.where(first, self.count[before], col) - 1]
+        last = col2 + 1 == self.count[row2]
+        row3, col3 = np.where(last, self.after[row2], row2), np.where(last, 0, col2 + 1)
+        follows = np.append(False, (row[1:] == row3[:-1]) & (col[1:] == col3[:-1]))
+        left[follows] = new[follows]
+        smaller = (self.find(left, new) < new) | (self.find(new, self.ids[row3, col3]) < new)
+        if not smaller.any():
+            return pairs
+        piece = self.piece[row]
+        keep = ~np.isin(piece, piece[smaller]) | np.append(True, piece[1:] != piece[:-1])
+        return tuple(x[keep] for x in pairs)
+
+    def merge(self, pairs: tuple[np.ndarray, ...], least: np.ndarray) -> None:
+        row, col, row2, col2 = self.before_smaller(pairs, least[self.piece[pairs[0]]])
+        self.ids[row, col] = least[self.piece[row]]
+        self.ids[row2, col2] = -1
+        rows = np.unique(np.concatenate([row, row2]))
+        old = self.ids[rows]
+        left = old >= 0
+        n = left.sum(axis=1)
+        new = np.full_like(old, -1)
+        new[np.arange(SEGMENT) < n[:, None]] = old[left]
+        self.ids[rows], self.count[rows] = new, n
+        empty = rows[n == 0]  # no two that follow each other: a row between them has the merged token
+        near = np.unique(np.concatenate([rows, self.before[rows]]))
+        self.after[self.before[empty]], self.before[self.after[empty]] = self.after[empty], self.before[empty]
+        self.rank(near[near != self.none])
+
+    def result(self) -> list[list[int]]:
+        rows = self.ids[:-1]
+        flat = rows[rows >= 0].tolist()
+        ends = np.cumsum(np.add.reduceat(self.count[:-1], self.starts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Coder:
     """Encodes and decodes texts; remembers the ids of pieces."""
 
@@ -189,12 +263,15 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.ids: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.ids) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self.ids.clear()
             self.bytes.clear()
+            self.held = 0
         new = [p for p in pieces if p not in self.ids]
+        self.held += sum(map(len, new))
         for p, ids in zip(new, self.vocabulary.encode_pieces([p.encode() for p in new]), strict=True):
             self.ids[p] = " ".join(map(str, ids))
             self.bytes[p] = self.vocabulary.decode(ids)
