@@ -114,6 +114,34 @@ def table_lit():
     return F.lit("x")
 
 
+def test_runs_merge_without_a_sort():
+    rng = np.random.default_rng(3)
+    pa = exact_dedup.pa
+
+    def run(n):
+        keys = np.unique(np.frombuffer(rng.integers(0, 3, (n, 48), np.uint8).tobytes() if n < 40 else rng.bytes(48 * n), "S48"))
+        return exact_dedup.Run(keys, pa.array([int(x) if x else None for x in rng.integers(0, 9, len(keys))], pa.int64()), rng.integers(1, 5, len(keys)))
+
+    for a, b in [(0, 5), (5, 0), (30, 30), (1000, 700)]:
+        x, y = run(a), run(b)
+        if a == 1000:
+            y = exact_dedup.Run(np.unique(np.concatenate([y.keys, x.keys[::3]])), None, None)
+            y.ids, y.copies = pa.array(range(len(y)), pa.int64()), np.ones(len(y), np.int64)
+        z = x.with_(y)
+        want = {}
+        for r in (x, y):
+            for k, i, c in zip(r.keys.tolist(), r.ids.to_pylist(), r.copies.tolist()):
+                old = want.get(k, (None, 0))
+                want[k] = (min((v for v in (old[0], i) if v is not None), default=None), old[1] + c)
+        assert list(zip(z.keys.tolist(), z.ids.to_pylist(), z.copies.tolist())) == [(k, *want[k]) for k in sorted(want)]
+
+
+def test_exact_dedup_of_other_ids_and_names(spark):
+    rows = [(f"d{i}", ["x  y", "x y", "z", None, ""][i % 5], i) for i in range(40)]
+    got = exact_dedup.find_copies(spark.createDataFrame(rows, "doc_id string, text string, run int"), runs=3).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, ["d0", "d0", "d12", "d13", "d13"][n % 5], [16, 16, 8, 16, 16][n % 5]) for i, _, n in rows}
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.find_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -1,11 +1,12 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
-Rows are dealt into runs by a hash of their id, and each run is sorted by digest. In every round the runs of a group
-exchange the parts of their digest range and merge what they get (a multiway merge, as each partition is sorted by
-digest); after the last round each run owns its share of all digests. The number of rounds is the logarithm of the
-number of runs. Each merge keeps the smallest id and the number of copies of a digest, verified by a second hash and
-the length: equal means that SHA-256, a 64-bit hash and the byte count all agree. The answers go back down through the
-first runs, so a text that a third of all rows share is a few rows in each task.
+A row's key is the SHA-256 of its normalised text, its length in bytes and a second 64-bit hash, so that equal means all
+three agree. Rows are dealt into 2^r runs by a hash of id and key, and each run is sorted once and kept as chunks of
+distinct keys with their smallest id and number of copies. In round k run i exchanges with the run whose number differs
+in bit k from the top: each keeps the half of its key range that its own number stands for, so after r rounds a run owns
+the keys that begin with its number. What comes in is already sorted, so it is merged chunk by chunk, without a sort: a
+merge holds only the chunks that overlap, and every merge keeps the smallest id and adds up the copies of a key. The
+answers go back down through the first runs, so a text that a third of all rows share is a few rows in each task.
 
 A null text counts as empty. A null id never wins against an id; among null ids alone the group is kept. Of rows that
 repeat both id and text one is kept.
@@ -13,16 +14,20 @@ repeat both id and text one is kept.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treescan.llm.common import BLANKS, free_name, materialize, shuffle_partitions
 
-KEY = ["digest", "n_bytes", "check"]
+KEY_BYTES = 48
+KEYS = f"S{KEY_BYTES}"
+#: Distinct keys of a chunk.
+CHUNK = 1 << 14
 
 
 def normalised(text: Column) -> Column:
@@ -30,54 +35,145 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ").cast("binary")
 
 
-def shape(runs: int, radix: int = 8) -> tuple[int, int]:
-    """(rounds, ways) with ways ** rounds >= runs and ways <= radix."""
-    rounds = max(1, math.ceil(math.log(max(2, runs), radix) - 1e-9))
-    return rounds, max(2, math.ceil(runs ** (1 / rounds) - 1e-9))
-
-
-def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by KEY to one row for each key, keeping the smallest id; the last key of a batch waits for the next."""
-    held = None
+def key_of(text: Column) -> Column:
+    """SHA-256, length and second hash of a normalised text, as KEY_BYTES bytes."""
+    number = lambda n: F.unhex(F.lpad(F.hex(n), 16, "0"))
+    return F.concat(F.unhex(F.sha2(text, 256)), number(F.octet_length(text).cast("long")), number(F.xxhash64(text)))
+
+
+class Run:
+    """Ascending distinct keys with ids (null where no copy has one) and copies."""
+
+    def __init__(self, keys: np.ndarray, ids: pa.Array, copies: np.ndarray):
+        self.keys, self.ids, self.copies = keys, ids, copies
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def part(self, lo: int, hi: int) -> Run:
+        return Run(self.keys[lo:hi], self.ids.slice(lo, hi - lo), self.copies[lo:hi])
+
+    def with_(self, other: Run) -> Run:
+        """Both merged: new keys of the other go in at their places, equal keys become one."""
+        at = np.searchsorted(self.keys, other.keys)
+        same = np.append(self.keys, b"")[at] == other.keys
+        same &= at < len(self.keys)
+        copies = self.copies.copy()
+        copies[at[same]] += other.copies[same]
+        partner = np.full(len(self.keys), -1)
+        partner[at[same]] = np.flatnonzero(same)
+        ids = pc.min_element_wise(self.ids, other.ids.take(pa.array(partner, mask=partner < 0)), skip_nulls=True)
+        new = np.flatnonzero(~same)
+        order = np.insert(np.arange(len(self.keys)), at[new], len(self.keys) + np.arange(len(new)))
+        ids = pa.concat_arrays([ids, other.ids.take(pa.array(new))]).take(pa.array(order))
+        return Run(np.insert(self.keys, at[new], other.keys[new]), ids, np.insert(copies, at[new], other.copies[new]))
+
+    def owners(self, bits: int) -> np.ndarray:
+        """The leading bits of the keys."""
+        lead = np.ascontiguousarray(self.keys.view(np.uint8).reshape(-1, KEY_BYTES)[:, :4]).view(">u4").reshape(-1)
+        return lead >> np.uint32(32 - bits)
+
+
+def sent(run: int, source: int, of: Run, k: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of a run after k rounds, each to the run that it goes to in the next one."""
+    pieces = [(run, of)]
+    if k < bits:
+        place = bits - 1 - k
+        cut = int(((of.owners(bits) >> np.uint32(place)) & np.uint32(1) == 0).sum())
+        pieces = [(run & ~(1 << place), of.part(0, cut)), (run | (1 << place), of.part(cut, len(of)))]
+    for to, piece in pieces:
+        for lo in range(0, len(piece), CHUNK):
+            c = piece.part(lo, min(lo + CHUNK, len(piece)))
+            ids = pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.ids)
+            keys = c.keys.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([source], pa.int32()), pa.array([keys[:KEY_BYTES]]), pa.array([keys]), ids, pa.array([c.copies.tobytes()])], names=["run", "source", "low", "keys", "ids", "copies"])
+
+
+def read_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Run]]:
+    for i in range(batch.num_rows):
+        keys, copies = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("keys", KEYS), ("copies", np.int64)))
+        yield batch.column("run")[i].as_py(), batch.column("source")[i].as_py(), Run(keys, batch.column("ids")[i].values, copies)
+
+
+def form_runs(bits: int):
+    """Rows (run, key, id) sorted by run and key to chunks of the first runs."""
+
+    def flush(run: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = np.frombuffer(b"".join(held.column("key").to_pylist()), KEYS)
+        yield from sent(run, run, Run(keys, held.column("id").combine_chunks(), held.column("copies").to_numpy()), 0, bits)
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_run = None, -1
+        for batch in batches:
+            whole = pa.Table.from_batches([batch]).append_column("copies", pa.array(np.ones(batch.num_rows, np.int64)))
+            for run in pc.unique(whole.column("run")).to_pylist():
+                part = whole.filter(pc.equal(whole.column("run"), run)).select(["key", "id", "copies"])
+                if held is not None and run != held_run:
+                    yield from flush(held_run, held)
+                    held = None
+                part = pa.concat_tables([held, part]) if held is not None else part
+                got = part.group_by("key", use_threads=False).aggregate([("id", "min"), ("copies", "sum")]).rename_columns(["key", "id", "copies"]).cast(part.schema)
+                if len(got) > 1:  # the last key may go on in the next batch
+                    yield from flush(run, got.slice(0, len(got) - 1))
+                held, held_run = got.slice(len(got) - 1), run
+        if held is not None:
+            yield from flush(held_run, held)
+
+    return form
+
+
+def merge_runs(k: int, bits: int):
+    """Chunks sorted by run and lowest key to chunks of the merged runs, after round k (from 1)."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_run = None, -1
+        for batch in batches:
+            for run, _, chunk in read_chunks(batch):
+                if held is not None and run != held_run:
+                    yield from sent(held_run, held_run, held, k, bits)
+                    held = None
+                if held is None:
+                    held, held_run = chunk, run
+                    continue
+                done = int(np.searchsorted(held.keys, chunk.keys[0]))  # what is smaller than all that is to come
+                if done >= CHUNK:
+                    yield from sent(run, run, held.part(0, done), k, bits)
+                    held = held.part(done, len(held))
+                held = held.with_(chunk)
+        if held is not None:
+            yield from sent(held_run, held_run, held, k, bits)
+
+    return merge
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks to rows (run, key, keep_id, copies), run the one that they come from."""
     for batch in batches:
-        part = pa.Table.from_batches([batch])
-        part = pa.concat_tables([held, part]) if held is not None else part
-        if not part.num_rows:
-            continue
-        schema = part.schema
-        got = part.group_by(["run", *KEY], use_threads=False).aggregate([("keep_id", "min"), ("copies", "sum")])
-        got = got.rename_columns(["run", *KEY, "keep_id", "copies"]).select(schema.names).cast(schema)
-        held = got.slice(got.num_rows - 1)
-        yield from got.slice(0, got.num_rows - 1).combine_chunks().to_batches()
-    if held is not None:
-        yield from held.combine_chunks().to_batches()
-
-
-def merge_round(runs: DataFrame, to: Column, n: int) -> DataFrame:
-    """Send each row to the run ``to``, sort there and merge."""
-    sent = runs.withColumn("run", to.cast("int"))
-    return sent.repartitionById(n, F.col("run")).sortWithinPartitions(*KEY).mapInArrow(merge_sorted, runs.schema)
+        for _, source, c in read_chunks(batch):
+            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY_BYTES), len(c), [None, pa.py_buffer(c.keys.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), source, np.int32)), keys, c.ids, pa.array(c.copies)], names=["run", "key", "keep_id", "copies"])
 
 
 def find_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
-    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256 (lower-case hex)."""
-    rounds, ways = shape(runs or shuffle_partitions(docs.sparkSession))
-    n = ways**rounds
-    text = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
-    rows = text.select("id", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("run"), F.unhex(F.sha2("t", 256)).alias("digest"), F.octet_length("t").cast("long").alias("n_bytes"), F.xxhash64("t").alias("check"))
-    rows = materialize(rows, "digests")
-    first = merge_round(rows.select("run", *KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("copies")), F.col("run"), n)
+    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256 (lower-case hex). runs: at least so many;
+    without it the shuffle partitions of the session."""
+    bits = max(1, (max(2, runs or shuffle_partitions(docs.sparkSession)) - 1).bit_length())
+    n, id_type = 1 << bits, docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("id"), key_of(normalised(F.col(text_col))).alias("key"))
+    rows = materialize(keyed.withColumn("run", F.pmod(F.xxhash64("id", "key"), F.lit(n)).cast("int")), "digests")
+    chunk = f"run int, source int, low binary, keys binary, ids array<{id_type}>, copies binary"
+    first = rows.select("run", "key", "id").repartitionById(n, F.col("run")).sortWithinPartitions("run", "key").mapInArrow(form_runs(bits), chunk)
     first = materialize(first, "runs")
-    merged, owner = first, F.pmod(F.xxhash64(*KEY), F.lit(n)).cast("int")
-    for k in range(rounds):
-        place = ways**k
-        digit = lambda c: F.pmod(F.floor(c / place), F.lit(ways)) * place  # noqa: B023, E731
-        merged = merge_round(merged, F.col("run") - digit(F.col("run")) + digit(owner), n)
-    groups = merged.where("copies > 1").drop("run").withColumnRenamed("copies", "group_size")
-    answers = first.select("run", *KEY).join(groups, KEY)
-    back = rows.join(answers, ["run", *KEY], "left").withColumn("again", F.row_number().over(Window.partitionBy("run", *KEY, "id").orderBy("id")))
+    merged = first
+    for k in range(1, bits + 1):
+        merged = merged.repartitionById(n, F.col("run")).sortWithinPartitions("run", "low").mapInArrow(merge_runs(k, bits), chunk)
+    row = f"run int, key binary, keep_id {id_type}, copies long"
+    groups = merged.mapInArrow(opened, row).where("copies > 1").select("key", "keep_id", F.col("copies").alias("group_size"))
+    answers = first.mapInArrow(opened, row).select("run", "key").join(groups, "key")
+    back = rows.join(answers, ["run", "key"], "left").withColumn("again", F.row_number().over(Window.partitionBy("run", "key", "id").orderBy("id")))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return back.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("id").eqNullSafe(keep) & (F.col("again") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    sha = F.lower(F.hex(F.substring("key", 1, 32)))
+    return back.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("id").eqNullSafe(keep) & (F.col("again") == 1)).alias("kept"), sha.alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
