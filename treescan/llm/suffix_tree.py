@@ -44,8 +44,9 @@ BLOCK_BYTES = 16_000_000
 LN10 = np.log(10.0)
 _ODD = 0x9E3779B97F4A7C15
 
-ASKS = "source long, part int, n int, keys binary, counts binary"
-ANSWERS = "target long, part int, n int, counts binary, totals binary, logp binary"
+# parts and blocks are of one type, so that both sides of a cogroup are dealt alike
+ASKS = "source long, part long, n int, keys binary, counts binary"
+ANSWERS = "target long, part long, n int, counts binary, totals binary, logp binary"
 
 
 def in_training(id_col: str) -> Column:
