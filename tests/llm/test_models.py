@@ -177,22 +177,22 @@ def test_model_beats_unigrams_on_held_out_texts(spark):
 def test_nearest_equal_brute_force():
     rng = np.random.default_rng(4)
     n, terms = 400, 30
-    vectors = [{int(t): float(rng.integers(1, 4)) for t in rng.choice(terms, int(rng.integers(0, 6)), replace=False)} for _ in range(n)]
-    ids = rng.permutation(10_000)[:n]
+    vectors = [{int(t): float(rng.integers(1, 4)) for t in rng.choice(terms, int(rng.integers(1, 6)), replace=False)} for _ in range(n)]
     idf = rng.random(terms) + 0.5
-    index = toxicity.Index(ids, rng.integers(0, 2, n), vectors, idf)
-    dense = np.zeros((n, terms))
-    for row, i in enumerate(np.argsort(ids)):
-        for t, w in index.unit(vectors[i]).items():
-            dense[row, t] = w
+    index = toxicity.Index(toxicity.pa.array(np.arange(n) * 3), rng.integers(0, 2, n), vectors, idf)
+
+    def unit(v):
+        w = np.zeros(terms)
+        for t, c in v.items():
+            w[t] = (1 + math.log(c)) * idf[t]
+        return w / np.sqrt((w * w).sum())
+
+    dense = np.array([unit(v) for v in vectors])
     for q in vectors[:80]:
-        u = np.zeros(terms)
-        for t, w in index.unit(q).items():
-            u[t] = w
-        cosines = dense @ u
+        cosines = dense @ unit(q)
         want = [r for r in np.lexsort((np.arange(n), -np.round(cosines, 12))) if cosines[r] > 0][: toxicity.K]
         rows, got = index.nearest(q)
-        assert rows.tolist() == want and np.allclose(got, cosines[want])
+        assert index.ids.take(toxicity.pa.array(rows)).to_pylist() == [3 * r for r in want] and np.allclose(got, cosines[want])
 
 
 def test_nearest_by_posting_lists_equal_brute_force(monkeypatch):
@@ -213,6 +213,75 @@ def test_every_term_of_the_examples_is_compared(spark):
     assert [nearest[1_000 + k] for k in range(6)] == [{mine[2 * k], mine[2 * k + 1]} for k in range(6)]
 
 
+def brute_toxicity(rows, labels):
+    """Scores of (id, text) rows from the definition, with plain dictionaries; ids of both are text or numbers."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
+    terms = {k: toxicity.terms_of(t or "") for k, (_, t) in enumerate(rows)}
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        first.setdefault(i, k)
+    toxic = {i: max(t for j, t in labels if j == i and t is not None) for i, t in labels if i is not None and t in (0, 1)}
+    ex = sorted(i for i in toxic if not held(i) and i in first)
+    kept = []
+    for i in ex:
+        own = set(terms[first[i]])
+        if not any(toxic[k] == toxic[i] and len(own & set(terms[first[k]])) >= 0.85 * len(own | set(terms[first[k]])) for k in kept):
+            kept.append(i)
+    vocabulary = {t for i in ex for t in terms[first[i]]}
+    df = Counter(t for c in terms.values() for t in c if t in vocabulary)
+    pos, n = sum(toxic[i] for i in kept), len(kept)
+    weight = {}
+    for t in vocabulary:
+        d, a = sum(t in terms[first[i]] for i in kept), sum(t in terms[first[i]] and toxic[i] for i in kept)
+        part = lambda seen, expected: seen * math.log(seen / expected) if seen > 0 else 0.0
+        g2 = 2 * (part(a, d * pos / n) + part(d - a, d * (n - pos) / n) + part(pos - a, (n - d) * pos / n) + part(n - pos - d + a, (n - d) * (n - pos) / n))
+        weight[t] = (math.log((1 + len(rows)) / (1 + df[t])) + 1) * (1 + (max(g2, 0) if a * n > d * pos else 0))
+    unit = {}
+    for k, c in terms.items():
+        w = {t: (1 + math.log(m)) * weight[t] for t, m in c.items() if t in vocabulary}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        unit[k] = {t: x / norm for t, x in w.items()} if norm else {}
+    base = pos / n
+
+    def vote(k, without=None):
+        near = [(round(-sum(x * unit[first[i]].get(t, 0) for t, x in unit[k].items()), 12), j) for j, i in enumerate(kept) if i != without]
+        near = sorted(x for x in near if x[0] < 0)[: toxicity.K]
+        if not near:
+            return 0.0, []
+        return (sum(-c * toxic[kept[j]] for c, j in near) + toxicity.PRIOR_WEIGHT * base) / (sum(-c for c, _ in near) + toxicity.PRIOR_WEIGHT), [kept[j] for _, j in near]
+
+    steps = toxicity.isotonic(np.array([vote(first[i], i)[0] for i in kept]), np.array([float(toxic[i]) for i in kept]))
+    out = []
+    for k, (i, _) in enumerate(rows):
+        v, near = vote(k)
+        out.append((i, float(np.clip(np.interp(v, *steps), 0, 1)), near))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_toxicity_equals_brute_force(spark, kind):
+    rng = np.random.default_rng(6)
+    words = ["sun", "river", "bridges", "garden", "quiet", "market", "stupid", "worthless", "idiots", "vile"]
+    make = str if kind == "string" else int
+    rows, labels = [], []
+    for i in range(120):
+        bad = i % 4 == 0
+        body = rng.choice(words[5:] if bad else words[:8], int(rng.integers(2, 12))).tolist()
+        rows.append((make(i), " ".join([*body, f"only{i}"])))
+        if i < 90:
+            labels.append((make(i), int(bad)))
+    rows += [(make(500), rows[0][1]), (make(501), None), (make(502), ""), (None, "vile idiots"), (make(503), "?? 12"), (make(504), "vile " * 30_000)]
+    labels += [(make(500), 1), (None, 1), (make(3), None)]
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumn("Toxicity", F.lit(1))
+    out = toxicity.score_texts(frame, spark.createDataFrame(labels, f"doc_id {kind}, toxic int"))
+    got = {str(r.doc_id): r for r in out.select("doc_id", F.col(f"{out.columns[-1]}.*")).collect()}
+    assert len(got) == len(rows)
+    for i, score, near in brute_toxicity(rows, labels):
+        r = got[str(i)]
+        assert r.score == pytest.approx(score, abs=1e-9) and r.nearest == near and r.predicted == (score >= 0.7), i
+    assert toxicity.score_texts(frame.where("false"), spark.createDataFrame(labels, f"doc_id {kind}, toxic int")).count() == 0
+
+
 def test_isotonic_is_monotone():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.2, 0.3, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all() and y[-1] == 1

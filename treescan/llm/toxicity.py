@@ -1,13 +1,15 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the first PREFIX_LETTERS letters of longer words. A bounded sample of labelled rows (those of
-smallest hash; of near copies with the same label one) is the set of examples, and all their terms are indexed. Document
-frequencies of the terms are counted over all documents. The weight of a term is its TF-IDF, times 1 + its likelihood
+smallest hash) is the set of examples, and all their terms are indexed. Of examples with the same label whose full sets of
+terms agree by NEAR or more, the one of smallest id counts; a labelled id that several rows have counts with one text.
+Document frequencies of the terms are counted over all documents. The weight of a term is its TF-IDF, times 1 + its likelihood
 ratio where toxic examples have it more often, so that what tells the label counts more and nothing is left out. The
-index has a posting list for each term, cut into blocks of examples with the largest weight of each; a query's lists of
-frequent terms are summed by a matrix product, the block maxima of the others make bounds, and only blocks that can beat
+index has a posting list for each term, cut into blocks of examples with the largest weight of each, alike examples
+standing together; a query's lists of frequent terms are summed by a matrix product, the block maxima of the others make bounds, and only blocks that can beat
 the k-th example are read. Examples vote with their cosine, plus a prior weight for the base rate; votes become
-probabilities by isotonic regression on the examples themselves, each left out of its own vote.
+probabilities by isotonic regression on the examples themselves, each left out of its own vote. The driver holds the
+sample's terms and counts, no texts.
 
 Empty and null texts, and texts with none of the terms, get the rate of such examples. Ties go to the example of smaller id.
 Without labels of both classes every score is the base rate (0 without labels).
@@ -15,11 +17,11 @@ Without labels of both classes every score is the base rate (0 without labels).
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.llm.common import crc_of_id, free_name, materialize, small_batches
-from treescan.llm.near_dedup import sketch
+from treescan.llm.common import chunks, crc_of_id, free_name, materialize, shuffle_partitions, small_batches
 
 PREFIX_LETTERS = 4
 K = 15
@@ -40,11 +41,11 @@ BATCH = 256
 #: More than sums of single precision can be off.
 SLACK = 1e-5
 PRIOR_WEIGHT = 0.5
+NEAR = 0.85
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 TERMS = T.MapType(T.StringType(), T.IntegerType())
 VECTOR = T.StructType([T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-VOTE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("nearest", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
 
 
 def in_training(id_col: str) -> Column:
@@ -75,52 +76,87 @@ def pair_of(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[n
     return (np.fromiter(vector.keys(), np.int64), np.fromiter(vector.values(), float)) if isinstance(vector, dict) else vector
 
 
+def word_terms(texts: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of texts that have a place: (ends of the lists, places, counts), texts one after the other."""
+    words = [_WORDS(t.lower()) for t in texts]
+    coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
+    kinds = coded.dictionary.to_pylist()
+    own = np.array([place.get(w, -1) for w in kinds], np.int64)
+    start = np.array([place.get(w[:PREFIX_LETTERS] + "*", -1) if len(w) > PREFIX_LETTERS else -1 for w in kinds], np.int64)
+    text = np.repeat(np.arange(len(texts)) << 32, [len(x) for x in words])
+    at = coded.indices.to_numpy()
+    both = [(text + x[at])[x[at] >= 0] for x in (own, start)] if len(at) else [np.zeros(0, np.int64)]
+    found, counts = np.unique(np.concatenate(both), return_counts=True)
+    return np.searchsorted(found, np.arange(len(texts) + 1) << 32), found & 0xFFFFFFFF, counts
+
+
+def alike_order(terms: np.ndarray, counts: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Examples in the order of the angle that two principal directions of their most frequent terms give."""
+    n = len(ends) - 1
+    frequent = np.argsort(-np.bincount(terms, minlength=len(idf)), kind="stable")[:256]
+    column = np.full(len(idf), -1)
+    column[frequent] = np.arange(len(frequent))
+    at = np.flatnonzero(column[terms] >= 0)
+    x = np.zeros((len(frequent), n))
+    x[column[terms[at]], np.repeat(np.arange(n), np.diff(ends))[at]] = (1 + np.log(counts[at])) * idf[terms[at]]
+    x /= np.maximum(np.sqrt((x * x).sum(axis=0)), 1e-300)
+    if len(frequent) < 3:
+        return np.arange(n)
+    axes = np.linalg.eigh(x @ x.T)[1][:, -3:-1].T @ x
+    return np.argsort(np.arctan2(*(axes - axes.mean(axis=1, keepdims=True))), kind="stable")
+
+
 class Index:
     """Unit vectors of the examples: by example, and as posting lists with block maxima. The DENSE most frequent terms
     are a matrix; of the other terms only blocks are read whose bound can beat the K-th example."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list, idf: np.ndarray):
-        """vectors: (terms, counts) of each example, or a dict. idf: the weight of each term."""
-        order = np.argsort(ids, kind="stable")
-        pairs = [pair_of(vectors[i]) for i in order.tolist()]
-        self.ids, self.labels, self.idf = ids[order], labels[order].astype(float), np.asarray(idf, float)
-        self.terms = np.concatenate([t for t, _ in pairs] or [np.zeros(0)]).astype(np.int32)
-        self.counts = np.concatenate([n for _, n in pairs] or [np.zeros(0)]).astype(np.int32)
-        self.ends = np.cumsum([0, *(len(t) for t, _ in pairs)])
-        self.base = float(self.labels.mean()) if len(ids) else 0.0
-        self.steps = np.array([self.base]), np.array([self.base])
-        self.build()
+    def __init__(self, ids: pa.Array, labels: np.ndarray, vectors: list, idf: np.ndarray):
+        """ids in ascending order; vectors: (terms, counts) of each example, or a dict. idf: the weight of each term."""
+        pairs = [pair_of(v) for v in vectors]
+        ends = np.cumsum([0, *(len(t) for t, _ in pairs)])
+        terms = np.concatenate([t for t, _ in pairs] or [np.zeros(0)]).astype(np.int32)
+        counts = np.concatenate([n for _, n in pairs] or [np.zeros(0)]).astype(np.int32)
+        idf = np.asarray(idf, float)
+        self.rank = alike_order(terms, counts, ends, idf) if len(pairs) else np.zeros(0, np.int64)  # of each row among the ids
+        places = spans(ends[self.rank], ends[self.rank + 1])
+        self.ids, self.labels, self.idf = ids.take(pa.array(self.rank)), np.asarray(labels, float)[self.rank], idf
+        self.terms, self.counts = terms[places], counts[places]
+        self.ends = np.cumsum([0, *np.diff(ends)[self.rank]])
+        self.base = float(self.labels.mean()) if len(pairs) else 0.0
+        self.built = False
 
     def __getstate__(self) -> tuple:
         """The examples only, compressed: each executor keeps a copy on disk, and lists are soon built again."""
-        return self.ids, self.labels, self.idf, self.ends, self.base, self.steps, zlib.compress(self.terms.tobytes(), 3), zlib.compress(self.counts.tobytes(), 3)
+        return self.rank, self.ids, self.labels, self.idf, self.ends, self.base, zlib.compress(self.terms.tobytes(), 3), zlib.compress(self.counts.tobytes(), 3)
 
     def __setstate__(self, state: tuple) -> None:
-        self.ids, self.labels, self.idf, self.ends, self.base, self.steps, terms, counts = state
+        self.rank, self.ids, self.labels, self.idf, self.ends, self.base, terms, counts = state
         self.terms, self.counts = np.frombuffer(zlib.decompress(terms), np.int32), np.frombuffer(zlib.decompress(counts), np.int32)
-        self.build()
+        self.built = False
 
     def build(self) -> None:
         self.blocks = -(-len(self.ids) // BLOCK)
         row = np.repeat(np.arange(len(self.ids)), np.diff(self.ends)).astype(np.int32)
         w = (1 + np.log(self.counts)) * self.idf[self.terms]
-        self.weights = w / np.sqrt(np.bincount(row, w * w, len(self.ids)))[row]
+        self.norms = np.sqrt(np.bincount(row, w * w, len(self.ids)))
+        w = (w / self.norms[row]).astype(np.float32)
         n = np.bincount(self.terms, minlength=len(self.idf))
-        self.column = np.full(len(self.idf), -1)  # of frequent terms
+        self.column = np.full(len(self.idf), -1, np.int32)  # of frequent terms
         frequent = np.argsort(-n, kind="stable")[:DENSE]
         self.column[frequent] = np.arange(len(frequent))
+        at = np.flatnonzero(self.column[self.terms] >= 0)
+        self.matrix = np.zeros((DENSE, self.blocks * BLOCK), np.float32)
+        self.matrix[self.column[self.terms[at]], row[at]] = w[at]
         rare = np.flatnonzero(self.column[self.terms] < 0)
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.rows, self.posted = row[rare], self.weights[rare]
-        code = self.terms[rare].astype(np.int64) * max(1, self.blocks) + row[rare] // BLOCK
-        self.first = np.flatnonzero(np.diff(code, prepend=-1))  # of each term in each block
-        self.last = np.append(self.first[1:], len(code)).astype(np.int64)
-        self.block = row[rare][self.first] // BLOCK
-        self.maxima = np.maximum.reduceat(self.posted, self.first) if len(code) else np.zeros(0)
-        self.cuts = np.searchsorted(code[self.first], np.arange(len(self.idf) + 1) * max(1, self.blocks))
-        self.matrix = np.zeros((DENSE, self.blocks * BLOCK), np.float32)
-        at = np.flatnonzero(self.column[self.terms] >= 0)
-        self.matrix[self.column[self.terms[at]], row[at]] = self.weights[at]
+        self.rows, self.posted = row[rare], w[rare]
+        code = self.terms[rare].astype(np.int64) * max(1, self.blocks) + self.rows // BLOCK
+        self.first = np.flatnonzero(np.diff(code, prepend=-1)).astype(np.int32)  # of each term in each block
+        self.last = np.append(self.first[1:], len(code)).astype(np.int32)[: len(self.first)]
+        self.block = self.rows[self.first] // BLOCK
+        self.maxima = np.maximum.reduceat(self.posted, self.first) if len(code) else np.zeros(0, np.float32)
+        self.cuts = np.searchsorted(code[self.first], np.arange(len(self.idf) + 1) * max(1, self.blocks)).astype(np.int32)
+        self.built = True
 
     def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -137,6 +173,8 @@ class Index:
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each vector what nearest() gives."""
+        if not self.built:
+            self.build()
         whole = np.zeros(len(self.idf))
         for lo in range(0, len(vectors), BATCH):
             units = [self.weighed(*v) for v in vectors[lo : lo + BATCH]]
@@ -167,23 +205,21 @@ class Index:
         whole[terms] = w
         places = spans(self.ends[found], self.ends[found + 1])
         sizes = self.ends[found + 1] - self.ends[found]
-        cosines = np.add.reduceat(self.weights[places] * whole[self.terms[places]], np.cumsum(sizes) - sizes)
+        shared = whole[self.terms[places]] > 0
+        of, places = np.repeat(np.arange(len(found)), sizes)[shared], places[shared]
+        t = self.terms[places]
+        cosines = np.bincount(of, (1 + np.log(self.counts[places])) * self.idf[t] * whole[t], len(found)) / self.norms[found]
         whole[terms] = 0
-        top = np.lexsort((found, -np.round(cosines, 12)))[:K]
+        top = np.lexsort((self.rank[found], -np.round(cosines, 12)))[:K]
         return found[top], cosines[top]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines @ self.labels[rows] + PRIOR_WEIGHT * self.base) / (cosines.sum() + PRIOR_WEIGHT)) if len(rows) else 0.0
 
-    def calibrate(self, vectors: list) -> None:
-        """vectors: of the examples in order of id."""
-        raw = np.array([self.vote(*x) for x in self.nearest_of([pair_of(v) for v in vectors], list(range(len(vectors))))])
-        if len(raw):
-            self.steps = isotonic(raw, self.labels)
-
-    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        for rows, cosines in self.nearest_of(vectors):
-            yield float(np.clip(np.interp(self.vote(rows, cosines), *self.steps), 0, 1)), self.ids[rows], cosines
+    def own_votes(self, rows: np.ndarray) -> list[float]:
+        """The votes on examples, each without its own."""
+        vectors = [(self.terms[a:b], self.counts[a:b]) for a, b in zip(self.ends[rows], self.ends[rows + 1], strict=True)]
+        return [self.vote(*x) for x in self.nearest_of(vectors, rows.tolist())]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,20 +236,35 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> DataFrame:
-    """id, toxic and terms of the labelled sample without near copies of the same label, written to the shared folder."""
+    """id, toxic and terms of the labelled sample, one row an id, written to the shared folder."""
     few = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & in_training(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
-    text = F.when(F.col("toxic").isNotNull(), F.col("text"))  # keeps the functions above the join
-    rows = materialize(rows.select("id", "toxic", term_counts(text).alias("terms"), sketch(text)["coordinates"].alias("c")), "examples")
-    seen: dict[int, set] = {0: set(), 1: set()}
-    kept = []
-    for r in sorted(rows.select("id", "toxic", F.slice("c", 1, 8).alias("c")).collect(), key=lambda r: r["id"]):
-        marks = set(enumerate(r["c"]))
-        if not marks & seen[r["toxic"]]:
-            kept.append(r["id"])
-        seen[r["toxic"]] |= marks
-    session = docs.sparkSession
-    return rows.join(F.broadcast(session.createDataFrame([(i,) for i in dict.fromkeys(kept)], T.StructType([T.StructField("id", rows.schema["id"].dataType)]))), "id").select("id", "toxic", "terms").dropDuplicates(["id"])
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.groupBy("id", "toxic").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+    return materialize(rows.select("id", "toxic", term_counts("text").alias("terms")), "examples")
+
+
+def distinct_examples(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Which examples stay: those whose set of terms agrees by NEAR or more with no earlier one of their label that stays.
+    Sets that agree so share one of their rarest terms, as many as may differ and one more."""
+    seen = np.bincount(np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64))
+    lists: dict[tuple, list[int]] = {}
+    sets: dict[int, np.ndarray] = {}
+    for i, (terms, _) in enumerate(vectors):
+        own = np.sort(terms)
+        rarest = own[np.argsort(seen[own], kind="stable")][: len(own) - math.ceil(NEAR * len(own)) + 1]
+        marks = [(labels[i], t) for t in rarest.tolist()]
+        near = False
+        for k in {k for m in marks for k in lists.get(m, ())}:
+            both = len(np.intersect1d(own, sets[k], assume_unique=True))
+            if both >= NEAR * (len(own) + len(sets[k]) - both):
+                near = True
+                break
+        if not near:
+            sets[i] = own
+            for m in marks:
+                lists.setdefault(m, []).append(i)
+    return np.array(list(sets), np.int64)
 
 
 def relevance(a: np.ndarray, df: np.ndarray, pos: float, all_n: float) -> np.ndarray:
@@ -244,22 +295,24 @@ def score_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sample = examples(docs, labels, id_col, text_col, max_labelled)
-    found = sample.select("toxic", F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")).orderBy("term").toArrow()
-    terms = found.column("term").combine_chunks()
-    place = sc.broadcast({t: i for i, t in enumerate(terms.to_pylist())})
+    terms = sample.select(F.explode(F.map_keys("terms")).alias("term")).distinct().toArrow().column("term").to_pylist()  # of the sample
+    place = sc.broadcast({t: i for i, t in enumerate(sorted(terms))})
+    lists = lambda ends, *of: pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in of], names=["terms", "counts"])
 
     def vector(text: pa.Array) -> pa.Array:
-        get, found, counts, sizes = place.value.get, [], [], [0]
-        for t in text.to_pylist():
-            words = terms_of(t or "")
-            found += map(get, words, repeat(-1))
-            counts += words.values()
-            sizes.append(len(found))
-        at = np.array(found, np.int32)
-        known = at >= 0
-        ends = pa.array(np.append(0, np.cumsum(known))[sizes].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x[known])) for x in (at, np.array(counts, np.int32))]
-        return pa.StructArray.from_arrays(lists, names=["terms", "counts"])
+        texts = [t or "" for t in text.to_pylist()]
+        sizes, found, counts = [np.zeros(1, np.int64)], [np.zeros(0)], [np.zeros(0)]
+        for lo, hi in chunks(texts):
+            ends, t, n = word_terms(texts[lo:hi], place.value)
+            sizes.append(np.diff(ends))
+            found.append(t)
+            counts.append(n)
+        return lists(np.cumsum(np.concatenate(sizes)), np.concatenate(found), np.concatenate(counts))
+
+    def placed(terms: pa.Array) -> pa.Array:
+        ends = terms.offsets.to_numpy()
+        keys, counts = terms.keys.slice(ends[0], ends[-1] - ends[0]), terms.items.slice(ends[0], ends[-1] - ends[0])
+        return lists(ends - ends[0], np.array([place.value[t] for t in keys.to_pylist()]), counts.to_numpy())
 
     name, own = free_name(docs, "toxicity"), free_name(docs, "_vector")
     columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
@@ -268,22 +321,37 @@ def score_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     df = np.zeros(len(terms))
     seen = rows.select(F.col(own)["terms"].alias("t")).mapInArrow(counted, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the sample at most
     df[seen.column("t").to_numpy()] = seen.column("n").to_numpy()
-    known = sample.select("id", "toxic", F.map_keys("terms").alias("terms"), F.map_values("terms").alias("counts")).toArrow().sort_by("id").combine_chunks()
-    ids, labelled = known.column("id").to_numpy().astype(np.int64), known.column("toxic").to_numpy().astype(float)
-    at = pc.index_in(pc.list_flatten(known.column("terms")), value_set=terms).to_numpy()
-    counts, ends = pc.list_flatten(known.column("counts")).to_numpy(), np.cumsum(pc.list_value_length(known.column("terms")).to_numpy())[:-1]
-    vectors = list(zip(np.split(at, ends), np.split(counts, ends), strict=True)) if len(ids) else []
+    known = sample.select("id", "toxic", F.arrow_udf(placed, VECTOR)(F.col("terms")).alias("v")).toArrow().sort_by("id").combine_chunks()
+    labelled = known.column("toxic").to_numpy().astype(float)
+    v = known.column("v").combine_chunks()
+    ends = np.cumsum(pc.list_value_length(v.field("terms")).to_numpy())[:-1]
+    vectors = list(zip(*[np.split(v.field(f).flatten().to_numpy(), ends) for f in ("terms", "counts")], strict=True)) if len(known) else []
+    stay = distinct_examples(vectors, labelled)
+    vectors, labelled, ids = [vectors[i] for i in stay.tolist()], labelled[stay], known.column("id").combine_chunks().take(pa.array(stay))
     weights = np.log((1 + total) / (1 + df)) + 1
     if len(ids):
-        weights *= relevance(found.column("a").to_numpy().astype(float), found.column("df").to_numpy().astype(float), labelled.sum(), len(ids))
-    index = Index(ids, labelled, vectors, weights)
-    index.calibrate(vectors)
-    shared = sc.broadcast(index)
+        at, of = np.concatenate([t for t, _ in vectors]), np.repeat(labelled, [len(t) for t, _ in vectors])
+        weights *= relevance(np.bincount(at, of, len(terms)), np.bincount(at, minlength=len(terms)).astype(float), labelled.sum(), len(ids))
+    shared = sc.broadcast(Index(ids, labelled, vectors, weights))
 
-    def voted(terms: pa.Array, counts: pa.Array) -> pa.Array:
-        ends = np.cumsum(pc.list_value_length(terms).to_numpy())[:-1]
-        given = zip(np.split(terms.flatten().to_numpy(), ends), np.split(counts.flatten().to_numpy(), ends), strict=True) if len(terms) else []
-        out = [{"score": s, "predicted": int(s >= cut), "nearest": ids.tolist(), "cosines": cosines.tolist()} for s, ids, cosines in shared.value.scores(list(given))]
-        return pa.array(out, pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))]))
+    def voted_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.own_votes(batch.column(0).to_numpy()), pa.float64())], names=["row", "vote"])
 
-    return rows.withColumn(name, F.arrow_udf(voted, VOTE)(F.col(own)["terms"], F.col(own)["counts"])).drop(own)
+    steps = np.zeros(1), np.zeros(1)
+    if len(ids):
+        votes = docs.sparkSession.range(0, len(ids), 1, shuffle_partitions(docs.sparkSession)).mapInArrow(voted_on, "row long, vote double").toArrow().sort_by("row")
+        steps = isotonic(votes.column("vote").to_numpy(), shared.value.labels)
+
+    def voted(terms: pa.Array, counts: pa.Array) -> pa.Array:
+        index, ends = shared.value, np.cumsum(pc.list_value_length(terms).to_numpy())[:-1]
+        given = list(zip(np.split(terms.flatten().to_numpy(), ends), np.split(counts.flatten().to_numpy(), ends), strict=True)) if len(terms) else []
+        found = list(index.nearest_of(given))
+        score = np.clip([np.interp(index.vote(r, c), *steps) for r, c in found], 0, 1) if found else np.zeros(0)
+        sizes = pa.array(np.cumsum([0, *(len(r) for r, _ in found)]), pa.int32())
+        near = index.ids.take(pa.array(np.concatenate([r for r, _ in found] or [np.zeros(0)]).astype(np.int64)))
+        cosines = pa.array(np.concatenate([c for _, c in found] or [np.zeros(0)]))
+        return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32)), pa.ListArray.from_arrays(sizes, near), pa.ListArray.from_arrays(sizes, cosines)], names=["score", "predicted", "nearest", "cosines"])
+
+    vote = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("nearest", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
+    return rows.withColumn(name, F.arrow_udf(voted, vote)(F.col(own)["terms"], F.col(own)["counts"])).drop(own)
