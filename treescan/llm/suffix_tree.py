@@ -40,7 +40,7 @@ MOST_BITS = 15
 OTHER, END = 0, 1
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has a line feed
 #: Text bytes of a block.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 LN10 = np.log(10.0)
 _ODD = 0x9E3779B97F4A7C15
 
@@ -128,7 +128,7 @@ def coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         texts = batch.column(2).fill_null("").cast(pa.binary()).to_pylist()
-        for lo, hi in chunks(texts, 4_000_000):
+        for lo, hi in chunks(texts):
             held.append((batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *hashed_words(texts[lo:hi])))
             size += sum(map(len, texts[lo:hi]))
             if size >= BLOCK_BYTES:
@@ -362,7 +362,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"p_symbol must be at least {1 / (2**MOST_BITS - 3):.3g}")
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(-(-2 * size // BLOCK_BYTES), shuffle_partitions(spark))
+    parts = max(-(-size // BLOCK_BYTES), shuffle_partitions(spark))
     id_type = docs.schema[id_col].dataType.simpleString()
     block = "block long, n_docs long, n_keys long, n_tokens long, n_train long, sizes binary, train binary, {}counts binary, codes binary, ids array<" + id_type + ">"
     rows = docs.select(F.col(id_col).alias("id"), in_training(id_col).alias("train"), F.col(text_col).alias("text"))
