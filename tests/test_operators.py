@@ -151,6 +151,10 @@ BAG = '{"kind":"FunctionDecl","name":"f","numParams":2,"isConst":true,"params":[
 
 def test_typed_and_exploded_bags(spark):
     n = spark.createDataFrame([("t", "n", "FunctionDecl", BAG), ("t", "m", "VarDecl", '{"initStyle":1,"macroSpellingRange":{"begin":{"fileId":1.5,"line":2,"column":3},"end":{"fileId":1,"line":0,"column":9}}}')], "tu string, node_id string, kind string, j string").withColumn("bag", F.parse_json("j"))
+    kinds = spark.createDataFrame([("t", "a", "CompoundAssignOperator", '{"opcode":"+=","isCompound":true}'), ("t", "b", "PointerType", '{"canonicalType":"int *"}'), ("t", "c", "PointerType", '{"hasLocalRange":true}'), ("t", "d", "ImplicitCastExpr", '{"castKind":"NoOp"}'), ("t", "e", "TypeAliasDecl", '{"name":"u","linkage":6}')], "tu string, node_id string, kind string, bag string").withColumn("bag", F.parse_json("bag"))
+    seen = {family: [r.node_id for r in nodes.typed_view(kinds, family).collect()] for family in ("BinaryOperator", "Type", "TypeLoc", "CastExpr", "TypedefNameDecl", "Expr", "Decl")}
+    assert seen == {"BinaryOperator": ["a"], "Type": ["b"], "TypeLoc": ["c"], "CastExpr": ["d"], "TypedefNameDecl": ["e"], "Expr": ["a", "d"], "Decl": ["e"]}
+    assert nodes.typed_view(kinds, "Decl").first().linkageName == "External"
     f = nodes.typed_view(n, "FunctionDecl").first()
     assert (f.name, f.numParams, f.isConst, f.isVirtual) == ("f", 2, True, None)
     assert nodes.typed_view(n, "VarDecl").first().initStyleName == "CallInit"
@@ -162,6 +166,15 @@ def test_typed_and_exploded_bags(spark):
     assert flat["nodePtr"] == "0xff" and flat["params"] == "[2 items]" and flat["params.[0]"] == "(object)" and flat["params.[1].name"] == "b" and flat["size"] == "1.5" and flat["none"] == "null" and flat["isConst"] == "true"
 
 
+def test_categories_and_keywords_are_fixed(spark):
+    assert len(nodes.CATEGORIES) == 14 and len(set(text.KEYWORDS)) == 68 and not {"and", "co_await", "typeid"} & set(text.KEYWORDS)
+    kinds = ["CXXMethodDecl", "CallExpr", "IfStmt", "PointerType", "Attr", "ConceptReference", "CXXBaseSpecifier", "CXXCtorInitializer", "LambdaCapture", "NestedNameSpecifier", "NestedNameSpecifierLoc", "TemplateArgument", "TemplateArgumentLoc", "TemplateName"]
+    rows = [("t", k, place, {"comment": "c"} if k == "IfStmt" else {}) for k in kinds for place in (None, 1)]
+    s = nodes.extraction_stats(spark.createDataFrame(rows, "tu string, kind string, begin_file long, props map<string,string>")).first().asDict()
+    assert s["total"] == len(rows) == sum(s[f"n_{c}"] for c in nodes.CATEGORIES) and s["n_comments"] == 2
+    assert s["n_stmt"] == 4 and s["n_type"] == s["n_typeLoc"] == 1 and all(s[f"n_{c}"] == 2 for c in nodes.CATEGORIES if c not in ("stmt", "type", "typeLoc"))
+
+
 def test_statistics(spark, bagged):
     n = bagged.withColumn("kind", F.col("props")["kind"])
     s = nodes.extraction_stats(n, ["FunctionDecl", "VarDecl"], F.col("kind")).first()
@@ -208,6 +221,9 @@ def test_highlight_and_paths(spark):
     assert lines.count() == 3
     r = spark.createDataFrame([(1, 1, 1, 2, 1, 3), (2, 1, 1, 3, 3, 2), (3, 1, 3, 1, 4, 1)], "range_id long, file long, begin_line int, begin_col int, end_line int, end_col int")
     assert {x.range_id: x.text for x in positions.highlight_text(r, lines).collect()} == {1: "b", 2: "c\ndef\ng"}
+    n = spark.createDataFrame([("a", 1), ("b", 7), ("c", None)], "node_id string, begin_file long")
+    named = positions.with_file_path(n, spark.createDataFrame([(1, "/x.c")], "file_id long, path string"))
+    assert {r.node_id: r.path for r in named.collect()} == {"a": "/x.c", "b": "", "c": ""}
 
 
 # trees
@@ -246,6 +262,23 @@ def test_deep_chains(spark):
     assert trees.node_depth(n).agg(F.max("depth")).first()[0] == 999
 
 
+def test_cycles_come_to_an_end(spark):
+    n = spark.createDataFrame([("t", "a", None, 0), ("t", "b", "a", 0), ("t", "x", "y", 0), ("t", "y", "x", 0), ("t", "z", "z", 0)], "tu string, node_id string, parent_id string, ordinal long")
+    for f in (trees.label_tree, trees.height):
+        with pytest.raises(ValueError, match="cycle"):
+            f(n)
+    assert {r.node_id: r.path for r in trees.path_to_root(n).collect()} == {"a": ["a"], "b": ["a", "b"]}
+    decls = n.selectExpr("tu", "node_id", "'NamespaceDecl' kind", "node_id name", "ordinal pre", "true is_decl", "true is_context", "parent_id semantic_parent")
+    with pytest.raises(Exception, match="cycle"):
+        trees.context_chain(decls).collect()
+
+
+def test_matches_of_tus_cycle(spark):
+    rows = [(f"t{i % 2}", f"n{i}", i) for i in range(25)] + [("alone", "n", 0)]
+    got = {(r.tu, r.node_id): (r.i, r.n, r.next_id, r.previous_id) for r in nodes.match_cycle(spark.createDataFrame(rows, "tu string, node_id string, pre long")).collect()}
+    assert got[("t0", "n0")] == (1, 13, "n2", "n24") and got[("t0", "n24")] == (13, 13, "n0", "n22") and got[("t1", "n3")] == (2, 12, "n5", "n1") and got[("alone", "n")] == (1, 1, "n", "n") and len(got) == 26
+
+
 def test_context_chain(spark):
     rows = [("t", "tu", "TranslationUnitDecl", None, 0, True, True, None), ("t", "ns", "NamespaceDecl", "n", 1, True, True, "tu"), ("t", "late", "CXXRecordDecl", "L", 9, True, True, "ns"), ("t", "m", "CXXMethodDecl", "f", 5, True, True, "late"), ("t", "s", "ReturnStmt", None, 6, False, False, "m")]
     d = spark.createDataFrame(rows, "tu string, node_id string, kind string, name string, pre long, is_decl boolean, is_context boolean, semantic_parent string")
@@ -269,6 +302,13 @@ def test_find(spark):
     assert {r.cursor_id: (r.line_no, r.col, r.wrapped) for r in text.find_next(cur, hits, True).collect()} == {1: (3, 7, True), 2: (1, 1, False), 3: (3, 7, False)}
 
 
+def test_many_hits_in_a_line(spark):
+    """16,000 hits in one line, and letters whose lower case is longer."""
+    lines = spark.createDataFrame([(1, 1, "ab" * 16_000), (1, 2, "\u0130x AB ab"), (1, 3, "é" * 3 + "AB")], "file long, line_no int, line string")
+    got = [(r.line_no, r.col) for r in text.find_text(lines, "aB").orderBy("line_no", "col").collect()]
+    assert got == [(1, 1 + 2 * k) for k in range(16_000)] + [(2, 4), (2, 7), (3, 4)]
+
+
 def test_comments(spark):
     p = [(1, 1, "Adds", False), (1, 2, "two.", True), (1, 3, " More", True), (1, 4, "", True), (1, 5, "end\n", True)]
     assert text.comment_text(spark.createDataFrame(p, "comment_id long, seq long, text string, ends_paragraph boolean")).first().text == "Adds two.\n More\nend\n"
@@ -309,5 +349,7 @@ def test_flags(spark):
     got = {r.cmd_seq: r.arguments for r in commands.normalize_flags(cmds, "/R").collect()}
     assert got[1] == ["cc", "a.c", "--sysroot=/s", "-resource-dir", "/R"]
     assert sorted((r.name, r.path) for r in commands.module_map(cmds).collect()) == [("m", "/b.pcm"), ("n", "/n.pcm")]
+    own = spark.createDataFrame([("/w/r1", "-a @r2"), ("/w/r2", "-b @r1"), ("/w/none", "@none x")], "path string, text string")
+    assert {r.cmd_seq: r.arguments for r in commands.expand_response_files(cmds, own).collect()}[4] == ["cc", "-a", "-b", "@r1", "@none", "x", "x"]
     rsp = spark.createDataFrame([("/w/r1", "-I inc \"-DX=a b\" @r2"), ("/w/r2", "-O2\n'q q'")], "path string, text string")
     assert {r.cmd_seq: r.arguments for r in commands.expand_response_files(cmds, rsp).collect()}[4] == ["cc", "-I", "inc", "-DX=a b", "-O2", "q q", "@none", "x"]

@@ -42,7 +42,7 @@ def nest(depth):
     return json.dumps(inner[0])
 
 
-def test_ast_export_round_trip(spark):
+def test_ast_export_round_trip(spark, tmp_path):
     loc = lambda line: {"valid": True, "fileId": 3, "line": line, "column": 1, "filePath": "/x.c"}
     node = lambda kind, line, *kids: {"properties": {"kind": kind, "n": line}, "sourceRange": {"begin": loc(line), "end": loc(line + 1)}, "children": list(kids)}
     doc = node("A", 1, node("B", 2, node("C", 3)), node("D", 4))
@@ -54,8 +54,12 @@ def test_ast_export_round_trip(spark):
     assert got == {"0": (None, 0, "A", 1), "0.0": ("0", 0, "B", 2), "0.0.0": ("0.0", 0, "C", 3), "0.1": ("0", 1, "D", None)}
     assert nodes.where("tu = 'ok'").count() == 20
     again, _ = d.read_ast_export(d.ast_documents(nodes))
+    path = str(tmp_path / "exports")
+    d.write_ast_export(nodes, path, buckets=2)
+    assert sorted(r.tu for r in d.read_ast_documents(spark, path).collect()) == ["ok", "t"]
+    from_files, _ = d.read_ast_export(d.read_ast_documents(spark, path))
     flat = lambda n: sorted((r.tu, r.node_id, r.kind, r.begin_file, r.end_line, str(r.begin_path), str(r.bag)) for r in n.select("*").collect())
-    assert flat(again) == flat(nodes)
+    assert flat(again) == flat(nodes) == flat(from_files)
 
 
 def test_flat_nodes_and_project_tables(spark, tmp_path):

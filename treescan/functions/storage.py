@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, in a folder of the application, which can go when the application has
-    ended. Where the setting is empty, as in tests, a new local folder becomes the setting."""
+    ended. Where the setting is empty and all runs in one process, as in tests, a new local folder becomes the setting;
+    on a cluster it must be set, to a folder that driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/treescan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -38,18 +38,22 @@ def split_arguments(line: Column) -> Column:
     return F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"'([^']*)'", "$1"), r'(?<!\\)"', ""), r"\\(.)", "$1"))
 
 
-def expand_response_files(commands: DataFrame, files: DataFrame, max_depth: int = 8) -> DataFrame:
+def expand_response_files(commands: DataFrame, files: DataFrame) -> DataFrame:
     """@file arguments replaced by the words of that file (files: path, text), until none is left; a file that isn't
-    there, and what nests deeper than max_depth, stays as it is."""
+    there, or that is being opened already, stays as it is. An argument carries the files that it comes from."""
     words = files.select(F.col("path").alias("_rsp"), split_arguments(F.col("text")).alias("_words"))
-    out = commands
     keys = ["project", "cmd_seq"]
-    for _ in range(max_depth):
-        each = out.select(*keys, "directory", F.posexplode("arguments").alias("pos", "flag")).withColumn("_name", F.when(F.col("flag").startswith("@"), F.substr("flag", F.lit(2))))
-        opened = written(each.withColumn("_rsp", F.when(F.col("_name").isNotNull(), absolute("_name"))).join(words, "_rsp", "left").select(*keys, "pos", "flag", "_words"), "arguments")
+    none = F.array().cast("array<string>")
+    lists = commands.select(*keys, "directory", F.transform("arguments", lambda a: F.struct(a.alias("flag"), none.alias("files"))).alias("list"))
+    while True:
+        each = lists.select(*keys, "directory", F.posexplode("list").alias("pos", "a")).select(*keys, "directory", "pos", "a.flag", "a.files")
+        name = F.when(F.col("flag").startswith("@"), F.substr("flag", F.lit(2)))
+        each = each.withColumn("_name", name).withColumn("_rsp", F.when(F.col("_name").isNotNull(), absolute("_name")))
+        joined = each.join(words, "_rsp", "left")
+        fresh = ~F.array_contains("files", F.coalesce("_rsp", F.lit("")))
+        opened = written(joined.select(*keys, "directory", "pos", "flag", "files", "_rsp", F.when(fresh, F.col("_words")).alias("_words")), "arguments")
+        own = F.when(F.col("_words").isNull(), F.array(F.struct("flag", "files"))).otherwise(F.transform("_words", lambda w: F.struct(w.alias("flag"), F.concat("files", F.array("_rsp")).alias("files"))))
+        lists = opened.groupBy(*keys, "directory").agg(F.array_sort(F.collect_list(F.struct("pos", own.alias("of")))).alias("l")).select(*keys, "directory", F.flatten(F.transform("l", lambda x: x["of"])).alias("list"))
         if opened.where("_words is not null").isEmpty():
             break
-        own = F.coalesce("_words", F.array("flag"))
-        lists = opened.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", own.alias("words")))).alias("l")).select(*keys, F.flatten(F.transform("l", lambda x: x["words"])).alias("arguments"))
-        out = written(out.drop("arguments").join(lists, keys), "commands")
-    return out
+    return commands.drop("arguments").join(lists.select(*keys, F.transform("list", lambda a: a["flag"]).alias("arguments")), keys)

@@ -45,6 +45,15 @@ def merge_stats(chunks: DataFrame) -> DataFrame:
     return sums.withColumn("chunks", F.when(F.col("chunks") == 0, F.raise_error(F.lit("no chunk could be read"))).otherwise(F.col("chunks")))
 
 
+COUNTERS = "total_count long, success_count long, failure_count long, total_header_count long, _corrupt_record string"
+
+
+def parse_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks (value: a JSON object of the four counters) to the counters, with _corrupt_record where one can't be read."""
+    parsed = F.from_json("value", COUNTERS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return chunks.select(parsed.alias("c")).select("c.*")
+
+
 def union_chunks(chunks: list[DataFrame]) -> DataFrame:
     """Rows of all chunks, duplicates kept."""
     return reduce(lambda a, b: a.unionByName(b), chunks)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from treescan.functions.columns import enum_label, is_under_root, scalar_to_string, valid_location
 from treescan.functions.storage import written
+from treescan.operators.paths import dense_ids
 
 
 def parse_search(expression: str) -> list[tuple[str | None, str]]:
@@ -100,31 +101,75 @@ def node_label(nodes: DataFrame) -> DataFrame:
 
 # Properties of each family of nodes, with their types
 FAMILIES = {
-    "FunctionDecl": {"name": "string", "returnType": "string", "numParams": "int", "isDefined": "boolean", "isInlined": "boolean", "isConstexpr": "boolean", "isDeleted": "boolean", "isDefaulted": "boolean", "isVirtual": "boolean", "isPure": "boolean", "isConst": "boolean", "isStatic": "boolean", "isOverride": "boolean"},
+    "Decl": {"isDecl": "boolean", "isDeclContext": "boolean", "name": "string", "linkage": "int", "type": "string", "comment": "string"},
+    "FunctionDecl": {"name": "string", "returnType": "string", "numParams": "int", "isDefined": "boolean", "isInlined": "boolean", "isConstexpr": "boolean", "isDeleted": "boolean", "isDefaulted": "boolean", "isVirtual": "boolean", "isPure": "boolean", "isConst": "boolean", "isStatic": "boolean", "isOverride": "boolean", "refQualifier": "string"},
     "VarDecl": {"name": "string", "type": "string", "isUsed": "boolean", "isReferenced": "boolean", "hasInit": "boolean", "isConstexpr": "boolean", "initStyle": "int", "storageClass": "int", "isThreadLocal": "boolean", "isMutable": "boolean", "isBitField": "boolean", "hasDefaultArg": "boolean"},
-    "CXXRecordDecl": {"name": "string", "tagKind": "string", "numBases": "int", "hasDefinition": "boolean", "isAbstract": "boolean", "isPolymorphic": "boolean", "isEmpty": "boolean", "isAggregate": "boolean", "isPOD": "boolean", "isTrivial": "boolean", "isCompleteDefinition": "boolean"},
+    "CXXRecordDecl": {"name": "string", "tagKind": "int", "numBases": "int", "isReferenced": "boolean", "hasDefinition": "boolean", "isAbstract": "boolean", "isPolymorphic": "boolean", "isEmpty": "boolean", "isAggregate": "boolean", "isPOD": "boolean", "isTrivial": "boolean", "isCompleteDefinition": "boolean"},
     "EnumDecl": {"name": "string", "isScoped": "boolean", "isFixed": "boolean", "underlyingType": "string"},
+    "EnumConstantDecl": {"name": "string", "initVal": "long"},
+    "TemplateTypeParmDecl": {"name": "string", "depth": "int", "index": "int", "hasDefaultArgument": "boolean"},
+    "ClassTemplateSpecializationDecl": {"name": "string", "numTemplateArgs": "int", "specializationKind": "int"},
+    "TypedefNameDecl": {"name": "string", "underlyingType": "string"},
     "Expr": {"type": "string", "valueKind": "int", "objectKind": "int", "isTypeDependent": "boolean", "isValueDependent": "boolean", "isLValue": "boolean", "isPRValue": "boolean", "isXValue": "boolean", "isGLValue": "boolean"},
+    "IfStmt": {"hasElse": "boolean", "hasInit": "boolean", "hasVar": "boolean", "isConstexpr": "boolean"},
+    "BinaryOperator": {"opcode": "string", "opcodeValue": "int", "isAssignment": "boolean", "isCompound": "boolean", "isComparison": "boolean", "isLogical": "boolean"},
+    "UnaryOperator": {"opcode": "string", "opcodeValue": "int", "isPrefix": "boolean", "isPostfix": "boolean", "isIncrementOp": "boolean", "isDecrementOp": "boolean"},
+    "IntegerLiteral": {"value": "long"},
+    "FloatingLiteral": {"value": "double", "isExact": "boolean"},
+    "StringLiteral": {"byteLength": "long", "length": "long", "charWidth": "int", "value": "string", "encoding": "string"},
+    "CharacterLiteral": {"value": "long"},
+    "CXXBoolLiteralExpr": {"value": "boolean"},
+    "DeclRefExpr": {"declName": "string"},
+    "MemberExpr": {"memberName": "string", "isArrow": "boolean"},
     "CallExpr": {"type": "string", "numArgs": "int", "calleeName": "string"},
+    "CastExpr": {"castKind": "string", "castKindValue": "int", "targetType": "string"},
+    "CXXConstructExpr": {"constructorName": "string", "numArgs": "int", "isElidable": "boolean", "requiresZeroInit": "boolean"},
+    "CXXNewExpr": {"allocatedType": "string", "isArray": "boolean", "isGlobalNew": "boolean"},
+    "CXXDeleteExpr": {"isArray": "boolean", "isGlobalDelete": "boolean"},
+    "LambdaExpr": {"isMutable": "boolean", "hasExplicitParams": "boolean", "hasExplicitResultType": "boolean", "numCaptures": "int"},
     "Type": {"canonicalType": "string", "typeName": "string", "size": "long"},
+    "TypeLoc": {"hasLocalRange": "boolean"},
+    "Attr": {"spelling": "string"},
+    "ConceptReference": {"name": "string"},
+    "CXXBaseSpecifier": {"baseType": "string"},
+    "CXXCtorInitializer": {"member": "string"},
+    "LambdaCapture": {"captureKind": "int"},
+    "NestedNameSpecifier": {"qualifier": "string"},
+    "TemplateArgument": {"argKind": "int", "value": "string"},
+    "TemplateName": {"name": "string"},
 }
+# Kinds of families that have several
 FAMILY_KINDS = {
-    "FunctionDecl": ["FunctionDecl", "CXXMethodDecl", "CXXConstructorDecl", "CXXDestructorDecl", "CXXConversionDecl"],
+    "FunctionDecl": ["FunctionDecl", "CXXMethodDecl", "CXXConstructorDecl", "CXXDestructorDecl", "CXXConversionDecl", "CXXDeductionGuideDecl"],
     "VarDecl": ["VarDecl", "FieldDecl", "ParmVarDecl"],
+    "CXXRecordDecl": ["CXXRecordDecl", "ClassTemplateSpecializationDecl", "ClassTemplatePartialSpecializationDecl"],
+    "ClassTemplateSpecializationDecl": ["ClassTemplateSpecializationDecl", "ClassTemplatePartialSpecializationDecl"],
+    "TypedefNameDecl": ["TypedefDecl", "TypeAliasDecl", "ObjCTypeParamDecl"],
+    "BinaryOperator": ["BinaryOperator", "CompoundAssignOperator"],
+    "CallExpr": ["CallExpr", "CXXMemberCallExpr", "CXXOperatorCallExpr", "CUDAKernelCallExpr", "UserDefinedLiteral"],
+    "CXXConstructExpr": ["CXXConstructExpr", "CXXTemporaryObjectExpr"],
+    "TemplateArgument": ["TemplateArgument", "TemplateArgumentLoc"],
 }
+#: Families by the end of a kind. A type and its place in the source have the same kinds.
+FAMILY_ENDS = {"Decl": "Decl$", "Expr": "(Expr|Operator|Literal)$", "CastExpr": "CastExpr$", "Type": "Type$", "TypeLoc": "Type$"}
 
 
 def typed_view(nodes: DataFrame, family: str, columns: dict[str, str] | None = None) -> DataFrame:
     """Nodes of a family with typed columns from the bag; a missing or unfit property is null, codes get labels."""
     columns = columns or FAMILIES[family]
-    kinds = FAMILY_KINDS.get(family)
-    is_expr = F.col("kind").rlike("(Expr|Operator|Literal)$")
-    rows = nodes.where(is_expr if family == "Expr" else F.col("kind").rlike("Type$") if family == "Type" else F.col("kind").isin(kinds or [family]))
+    kind = F.col("kind")
+    rows = nodes.where(kind.rlike(FAMILY_ENDS[family]) if family in FAMILY_ENDS else kind.isin(FAMILY_KINDS.get(family, [family])))
+    if family in ("Type", "TypeLoc"):
+        rows = rows.where(_has_place("bag") if family == "TypeLoc" else ~_has_place("bag"))
     typed = {k: F.try_variant_get("bag", f"$.{k}", t) for k, t in columns.items()}
-    names = {f"{k}Name": enum_label(typed[k], k) for k in columns if k in ("valueKind", "objectKind", "initStyle", "storageClass")}
+    names = {f"{k}Name": enum_label(typed[k], k) for k in columns if k in ("valueKind", "objectKind", "initStyle", "storageClass", "linkage")}
     return rows.select("tu", "node_id", *[c.alias(k) for k, c in {**typed, **names}.items()])
 
 
+def _has_place(bag: str) -> Column:
+    return F.coalesce(F.try_variant_get(bag, "$.hasLocalRange", "boolean"), F.lit(False))
+
+
 def _explode_list(nodes: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     items = F.try_variant_get("bag", f"$.{key}", "array<variant>")
     rows = nodes.select("tu", "node_id", F.posexplode(items).alias("pos", "item"))
@@ -139,12 +184,13 @@ def explode_bases(nodes: DataFrame) -> DataFrame:
     return _explode_list(nodes, "bases", {"type": "string", "isVirtual": "boolean", "accessSpecifier": "string"})
 
 
-def explode_template_args(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """One row per template argument; packs of 1 to 999 are opened in place, others stay one row. path: place at each level."""
+def explode_template_args(nodes: DataFrame) -> DataFrame:
+    """One row per template argument; packs of 1 to 999 are opened in place at any depth, others stay one row. path: place
+    at each level."""
     items = F.try_variant_get("bag", "$.templateArgs", "array<variant>")
     level = nodes.select("tu", "node_id", F.posexplode(items).alias("pos", "item")).select("tu", "node_id", F.array("pos").alias("path"), "item")
     out = None
-    for _ in range(max_depth):
+    while True:
         inner = F.try_variant_get("item", "$.pack", "array<variant>")
         opened = F.coalesce(F.size(inner).between(1, 999), F.lit(False))
         done = level.where(~opened)
@@ -152,16 +198,16 @@ def explode_template_args(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
         packs = level.where(opened)
         if packs.isEmpty():
             break
-        level = packs.select("tu", "node_id", "path", F.posexplode(inner).alias("pos", "inner")).select("tu", "node_id", F.concat("path", F.array("pos")).alias("path"), F.col("inner").alias("item"))
+        level = written(packs.select("tu", "node_id", "path", F.posexplode(inner).alias("pos", "inner")).select("tu", "node_id", F.concat("path", F.array("pos")).alias("path"), F.col("inner").alias("item")), "packs")
     return out.select("tu", "node_id", "path", F.try_variant_get("item", "$.kindName", "string").alias("kindName"), F.try_variant_get("item", "$.value", "string").alias("value"))
 
 
-def flatten_properties(nodes: DataFrame, ids: list[str], bag: str = "bag", max_depth: int = 64) -> DataFrame:
+def flatten_properties(nodes: DataFrame, ids: list[str], bag: str = "bag") -> DataFrame:
     """A row per property at any depth: ids, path, key, value (text), value_type; containers give '(object)' or '[n items]'."""
     kind_of = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
     level = nodes.select(*ids, F.lit("").alias("path"), F.lit("(root)").alias("key"), F.col(bag).alias("v")).where("v is not null")
     out = None
-    for _ in range(max_depth):
+    while True:
         typed = level.withColumn("value_type", kind_of(F.col("v")))
         array, obj = F.col("value_type") == "ARRAY", F.col("value_type") == "OBJECT"
         hexed = F.when((F.col("key") == "nodePtr") & (F.col("value_type") == "BIGINT"), F.concat(F.lit("0x"), F.lower(F.hex(F.try_variant_get("v", "$", "long")))))
@@ -186,12 +232,35 @@ def _opened(inner: DataFrame, ids: list[str]) -> DataFrame:
     return of_obj.union(of_arr).withColumn("path", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("key")))
 
 
-# Categories of nodes in the statistics, in the order in which they are tried
-CATEGORIES = ["Comment", "TypeLoc", "Attr", "Decl", "Stmt", "Expr", "Type", "TemplateArgument", "TemplateName", "NestedNameSpecifier", "CXXBaseSpecifier", "CXXCtorInitializer", "Capture", "Concept"]
+# Categories of nodes in the statistics
+CATEGORIES = ["decl", "stmt", "type", "typeLoc", "attr", "conceptRef", "cxxBaseSpec", "ctorInit", "lambdaCapture", "nestedNameSpec", "nestedNameSpecLoc", "tempArg", "tempArgLoc", "tempName"]
+# Kinds that are a category of their own
+CATEGORY_KINDS = {
+    "Attr": "attr",
+    "ConceptReference": "conceptRef",
+    "CXXBaseSpecifier": "cxxBaseSpec",
+    "CXXCtorInitializer": "ctorInit",
+    "LambdaCapture": "lambdaCapture",
+    "NestedNameSpecifier": "nestedNameSpec",
+    "NestedNameSpecifierLoc": "nestedNameSpecLoc",
+    "TemplateArgument": "tempArg",
+    "TemplateArgumentLoc": "tempArgLoc",
+    "TemplateName": "tempName",
+}
+
+
+def category_of(kind: Column, located: Column) -> Column:
+    """Category of a node: declarations and types by the end of the kind, a type with a place in the source as typeLoc,
+    some kinds by themselves, and statements, to which expressions count."""
+    own = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in CATEGORY_KINDS.items()])
+    return F.coalesce(own, F.when(kind.endswith("Decl"), "decl").when(kind.endswith("Type"), F.when(located, "typeLoc").otherwise("type")).otherwise("stmt"))
 
 
-def extraction_stats(nodes: DataFrame, categories: list[str], category: Column) -> DataFrame:
-    """Per tu a counter for each category, the nodes with a comment, and the total: the sum of the categories."""
+def extraction_stats(nodes: DataFrame, categories: list[str] | None = None, category: Column | None = None) -> DataFrame:
+    """Per tu a counter for each category, the nodes with a comment, and the total: the sum of the categories. Without
+    categories those of syntax trees, by kind and by whether the node has a begin_file."""
+    if categories is None:
+        categories, category = CATEGORIES, category_of(F.col("kind"), F.col("begin_file").isNotNull())
     counts = [F.count_if(category == c).alias(f"n_{c}") for c in categories]
     total = F.count_if(category.isin(categories)).alias("total")
     comments = F.count_if(F.try_element_at(F.col("props"), F.lit("comment")).isNotNull()).alias("n_comments")
@@ -236,7 +305,11 @@ def child_ordinals(nodes: DataFrame) -> DataFrame:
 
 
 def match_cycle(found: DataFrame) -> DataFrame:
-    """Matches (tu, node_id, pre) of each tu with i of n, next and previous match; both wrap around."""
-    w = Window.partitionBy("tu").orderBy("pre")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return found.select("tu", "node_id", "pre", F.row_number().over(w).cast("long").alias("i"), F.count("*").over(Window.partitionBy("tu")).alias("n"), F.coalesce(F.lead("node_id").over(w), F.first("node_id").over(whole)).alias("next_id"), F.coalesce(F.lag("node_id").over(w), F.last("node_id").over(whole)).alias("previous_id"))
+    """Matches (tu, node_id, pre) of each tu with i of n, next and previous match; both wrap around. Numbers come from
+    counts of range parts and neighbours from a join on the number, so a tu with most matches is not one task's."""
+    numbered = dense_ids(found.select("tu", "node_id", "pre"), ["tu", "pre", "node_id"], "at")
+    of_tu = numbered.groupBy("tu").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    rows = written(numbered.join(of_tu, "tu").select("tu", "node_id", "pre", (F.col("at") - F.col("first") + 1).alias("i"), "n"), "matches")
+    at = lambda i, name: rows.select("tu", i.alias("i"), F.col("node_id").alias(name))
+    n, i = F.col("n"), F.col("i")
+    return rows.join(at(F.when(i == 1, n).otherwise(i - 1), "next_id"), ["tu", "i"]).join(at(i % n + 1, "previous_id"), ["tu", "i"]).select("tu", "node_id", "pre", "i", "n", "next_id", "previous_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treescan.functions.columns import pos_key, range_size
+from treescan.functions.storage import written
 
 #: Levels of blocks: positions are line * 2^20 + column, so level 20 is about a line.
 LEVELS = list(range(0, 52, 2))
@@ -30,11 +31,20 @@ def with_blocks(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.expr("shiftright(lo, level)"))
 
 
+def _levels(stored: DataFrame) -> list[int]:
+    """The levels of LEVELS that occur, for what is already written."""
+    return sorted(r[0] for r in stored.select("level").distinct().collect()) or LEVELS[:1]
+
+
+def _probes(key: Column, levels: list[int]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(key, k).alias("block")) for k in levels]))
+
+
 def nodes_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """All nodes at each position, both ends inclusive: a row per point and node."""
     key = pos_key(F.col("line"), F.col("col"))
-    probes = points.withColumn("key", key).select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(key, k).alias("block")) for k in LEVELS])).alias("b")).select("point_id", "tu", F.col("file").alias("begin_file"), "line", "col", "key", "b.level", "b.block")
-    stored = with_blocks(nodes)
+    stored = written(with_blocks(nodes), "blocks")
+    probes = points.withColumn("key", key).select("*", _probes(key, _levels(stored)).alias("b")).select("point_id", "tu", F.col("file").alias("begin_file"), "line", "col", "key", "b.level", "b.block")
     return probes.join(stored, ["tu", "begin_file", "level", "block"]).where("key between lo and hi").drop("level", "block", "lo", "hi", "key").withColumnRenamed("begin_file", "file")
 
 
@@ -49,9 +59,9 @@ def first_contained(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
     """ranges: range_id, tu, file, from_line, from_col, to_line, to_col. The first node, by begin and then pre, that lies
     inside the range: the ranges at a node's begin position, found as in nodes_at, whose end is not before the node's."""
     wanted = with_blocks(ranges.select("range_id", "tu", F.col("file").alias("begin_file"), F.col("from_line").alias("begin_line"), F.col("from_col").alias("begin_col"), F.col("to_line").alias("end_line"), F.col("to_col").alias("end_col")))
-    wanted = wanted.select("range_id", "tu", "begin_file", "level", "block", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
+    wanted = written(wanted.select("range_id", "tu", "begin_file", "level", "block", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi")), "blocks")
     rows = nodes.where("begin_file is not null").withColumn("lo", pos_key(F.col("begin_line"), F.col("begin_col"))).withColumn("hi", pos_key(F.col("end_line"), F.col("end_col"))).where("hi >= lo")
-    begins = rows.select("tu", "begin_file", "node_id", "pre", "lo", "hi", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("lo", k).alias("block")) for k in LEVELS])).alias("b")).select("tu", "begin_file", "node_id", "pre", "lo", "hi", "b.level", "b.block")
+    begins = rows.select("tu", "begin_file", "node_id", "pre", "lo", "hi", _probes(F.col("lo"), _levels(wanted)).alias("b")).select("tu", "begin_file", "node_id", "pre", "lo", "hi", "b.level", "b.block")
     inside = begins.join(wanted, ["tu", "begin_file", "level", "block"]).where("lo >= r_lo and hi <= r_hi")
     return inside.groupBy("range_id").agg(F.min_by("node_id", F.struct("lo", "pre")).alias("node_id"))
 

@@ -14,29 +14,49 @@ def source_lines(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(F.col(id_col).alias("file"), F.posexplode(F.split(body, "\n", -1)).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")
 
 
+#: Hits whose lengths are added up at once.
+STEP = 128
+
+
 def find_text(lines: DataFrame, term: str) -> DataFrame:
-    """file, line_no, col (1-based) of every hit that does not overlap an earlier one; any case, a plain string."""
+    """file, line_no, col (1-based) of every hit that does not overlap an earlier one; any case, a plain string.
+
+    A hit starts after the pieces and hits before it: whole steps of STEP pieces are added up first, so the work for a
+    line is not the square of its hits.
+    """
     if not term.strip():
         return lines.select("file", "line_no", F.lit(1).alias("col")).where("false")
-    n, low = len(term), F.lower("line")
-    pieces = F.split(low, r"\Q" + term.lower().replace(r"\E", r"\E\\E\Q") + r"\E", -1)
+    pattern = r"(?iu)\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
+    pieces = F.split("line", pattern, -1)
     sizes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
-    # the hit after piece i starts after the pieces up to i and the hits before
-    starts = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + i * n + 1)
-    hit = F.contains(low, F.lit(term.lower()))  # reaches every line once, before the arrays
-    return lines.where(hit).select("file", "line_no", F.explode(starts).alias("col"))
+    total = lambda of, start, n: F.aggregate(F.slice(of, start, n), F.lit(0), lambda a, b: a + b)
+    # generators, so that lists are worked out once for a line and not for each of their elements
+    found = lines.where(F.col("line").rlike(pattern)).select("file", "line_no", F.explode(F.array(sizes)).alias("sizes"))
+    steps = F.transform(F.sequence(F.lit(0), ((F.size("sizes") - 1) / STEP).cast("int")), lambda k: total(F.col("sizes"), k * STEP + 1, F.lit(STEP)))
+    found = found.select("file", "line_no", "sizes", F.explode(F.array(steps)).alias("steps"))
+    step = lambda i: (i / STEP).cast("int")
+    start = lambda _, i: total(F.col("steps"), F.lit(1), step(i)) + total(F.col("sizes"), step(i) * STEP + 1, i % STEP + 1) + i * len(term) + 1
+    return found.select("file", "line_no", F.explode(F.transform("sizes", start)).alias("col"))
 
 
 def find_next(cursors: DataFrame, hits: DataFrame, backward: bool = False) -> DataFrame:
     """cursors (cursor_id, file, line, col) to the first hit at or after each, else the first of the file (wrapped);
-    backward the last hit before it, else the last of the file."""
-    at = lambda line, c: F.struct(line.alias("line"), c.alias("col"))
-    rows = cursors.join(hits.withColumnRenamed("col", "hit_col"), "file")
-    here, there = at(F.col("line"), F.col("col")), at(F.col("line_no"), F.col("hit_col"))
-    wrapped = (there >= here) if backward else (there < here)
-    key = F.struct(wrapped.alias("wrapped"), (F.struct((-F.col("line_no")).alias("line"), (-F.col("hit_col")).alias("col")) if backward else there).alias("there"))
-    best = rows.groupBy("cursor_id").agg(F.min(F.struct(key.alias("k"), "line_no", "hit_col")).alias("b"))
-    return best.select("cursor_id", F.col("b.line_no").alias("line_no"), F.col("b.hit_col").alias("col"), F.col("b.k.wrapped").alias("wrapped"))
+    backward the last hit before it, else the last of the file.
+
+    Cursors and hits of a file are put in one order, so that each cursor takes the hit that it comes to last.
+    """
+    place = F.struct(F.col("line"), F.col("col"))
+    rows = cursors.select("file", "cursor_id", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), F.lit(None).cast("struct<line: bigint, col: bigint>").alias("hit"))
+    found = hits.select("file", F.lit(None).cast(cursors.schema["cursor_id"].dataType).alias("cursor_id"), F.col("line_no").cast("long").alias("line"), F.col("col").cast("long").alias("col")).withColumn("hit", place)
+    of_file = Window.partitionBy("file")
+    # at one place a hit comes before the cursor forward, and after it backward
+    order = ["line", "col", F.col("hit").isNotNull()] if backward else [F.col("line").desc(), F.col("col").desc(), F.col("hit").isNull()]
+    so_far = of_file.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.last("hit", ignorenulls=True).over(so_far)
+    end = (F.max if backward else F.min)("hit").over(of_file)
+    out = rows.union(found).select("cursor_id", near.alias("near"), end.alias("end")).where("cursor_id is not null and end is not null")
+    best = F.coalesce("near", "end")
+    return out.select("cursor_id", best["line"].alias("line_no"), best["col"].alias("col"), F.col("near").isNull().alias("wrapped"))
 
 
 def comment_text(pieces: DataFrame) -> DataFrame:
@@ -55,12 +75,10 @@ def comment_text(pieces: DataFrame) -> DataFrame:
 
 # Keywords of the languages
 KEYWORDS = (
-    "alignas alignof and and_eq asm auto bitand bitor bool break case catch char char8_t char16_t char32_t class compl concept const "
-    "consteval constexpr constinit const_cast continue co_await co_return co_yield decltype default delete do double dynamic_cast else "
-    "enum explicit export extern false float for friend goto if inline int long mutable namespace new noexcept not not_eq nullptr "
-    "operator or or_eq private protected public register reinterpret_cast requires return short signed sizeof static static_assert "
-    "static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void "
-    "volatile wchar_t while xor xor_eq"
+    "alignas alignof asm auto bool break case catch char class const constexpr consteval constinit continue decltype default delete "
+    "do double else enum explicit extern false float for friend goto if inline int long mutable namespace new noexcept nullptr "
+    "operator private protected public register reinterpret_cast requires return short signed sizeof static static_assert struct "
+    "switch template this thread_local throw true try typedef typename union unsigned using virtual void volatile while"
 ).split()
 
 

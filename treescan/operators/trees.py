@@ -1,7 +1,8 @@
 """Trees given by parent pointers: depth, paths, subtrees, labels, contexts.
 
 Table nodes: tu, node_id, parent_id (null for a root), and ordinal among siblings. All walks double their stride in
-each round, so a chain of a thousand nodes takes ten rounds; each round is written to the shared folder.
+each round, so a chain of a thousand nodes takes ten rounds; each round is written to the shared folder. In each round
+some walk comes to its end, so where their number stays the same parents form a cycle.
 """
 
 from __future__ import annotations
@@ -12,71 +13,79 @@ from pyspark.sql import functions as F
 from treescan.functions.storage import written
 
 
+def _open(walk: DataFrame) -> int:
+    return walk.where("jump is not null").count()
+
+
+def _still_open(walk: DataFrame, before: int, cycles: bool = False) -> int:
+    """The walks that go on; 0 where only cycles are left, or ValueError unless these are allowed."""
+    n = _open(walk)
+    if n == before and not cycles:
+        raise ValueError("parents form a cycle")
+    return 0 if n == before else n
+
+
+def walks_up(nodes: DataFrame, of_node: Column, together, parent: str = "parent_id") -> DataFrame:
+    """tu, node_id, top, value for each node: of_node of the node and all above it up to top, put together two by two by
+    together(upper, lower). top is the highest node, a parent that has no row, or null in a cycle."""
+    walk = written(nodes.select("tu", "node_id", F.col(parent).alias("jump"), F.coalesce(parent, "node_id").alias("top"), of_node.alias("value")), "walks")
+    n = _open(walk)
+    while n:
+        far = walk.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("value").alias("value2"))
+        far = walk.join(far, ["tu", "jump"], "left")
+        value = F.when(F.col("value2").isNull(), F.col("value")).otherwise(together(F.col("value2"), F.col("value")))
+        walk = written(far.select("tu", "node_id", F.col("jump2").alias("jump"), F.coalesce("top2", "top").alias("top"), value.alias("value")), "walks")
+        n = _still_open(walk, n, cycles=True)
+    return walk.select("tu", "node_id", F.when(F.col("jump").isNull(), F.col("top")).alias("top"), "value")
+
+
+def _rooted(walks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Walks that end at a root of the tu."""
+    roots = nodes.where("parent_id is null").select("tu", F.col("node_id").alias("top"))
+    return walks.join(roots, ["tu", "top"], "left_semi")
+
+
 def node_depth(nodes: DataFrame) -> DataFrame:
     """tu, node_id, depth (edges to the root), root_id; null depth where a walk never ends at a root."""
-    up = F.col("parent_id")
-    walk = written(nodes.select("tu", "node_id", up.alias("jump"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent_id", "node_id").alias("root_id")), "depth")
-    n, size = walk.where("jump is not null").count(), None
-    while n and n != size:
-        size = n
-        far = walk.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"), F.col("root_id").alias("root2"))
-        walk = written(walk.join(far, ["tu", "jump"], "left").select("tu", "node_id", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root_id").alias("root_id"), (F.col("jump").isNotNull() & F.col("depth2").isNull()).alias("_lost")).drop("_lost"), "depth")
-        n = walk.where("jump is not null").count()
-    # a walk that still has somewhere to go is in a cycle; one that ends at no row of the table hangs in the air
-    roots = nodes.where("parent_id is null").select("tu", F.col("node_id").alias("root_id"))
-    ok = walk.where("jump is null").join(roots, ["tu", "root_id"], "left_semi").select("tu", "node_id", "depth", "root_id")
+    one = F.lit(1).cast("long")
+    ok = _rooted(walks_up(nodes, one, lambda a, b: a + b), nodes).select("tu", "node_id", (F.col("value") - 1).alias("depth"), F.col("top").alias("root_id"))
     return nodes.select("tu", "node_id").join(ok, ["tu", "node_id"], "left")
 
 
-def ancestors(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
-    """tu, node_id, ancestor_id, distance, for each node itself (distance 0) and all above it. Raises ValueError where
-    parents form a cycle."""
-    most = nodes.count()
-    out = written(nodes.select("tu", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance")), "ancestors")
-    jumps = written(nodes.where(F.col(parent).isNotNull()).select("tu", "node_id", F.col(parent).alias("jump")), "jumps")
-    stride = 1
-    while not jumps.isEmpty():
-        # all within stride above the node that is stride away
-        hop = jumps.select("tu", "node_id", F.col("jump").alias("mid"))
-        more = hop.join(out.select("tu", F.col("node_id").alias("mid"), "ancestor_id", "distance"), ["tu", "mid"]).select("tu", "node_id", "ancestor_id", (F.col("distance") + stride).alias("distance"))
-        out = written(out.union(more), "ancestors")
-        jumps = written(jumps.join(hop.select("tu", F.col("node_id").alias("jump"), F.col("mid").alias("far")), ["tu", "jump"]).select("tu", "node_id", F.col("far").alias("jump")), "jumps")
-        stride *= 2
-        if stride > 2 * most:
-            raise ValueError("parents form a cycle")
-    return out
-
-
 def path_to_root(nodes: DataFrame) -> DataFrame:
     """tu, node_id, path: ids from the root to the node. No row where the walk does not end at a root of the tu."""
-    rooted = node_depth(nodes).where("depth is not null").select("tu", "node_id", "depth")
-    up = ancestors(nodes.join(rooted.select("tu", "node_id"), ["tu", "node_id"], "left_semi"))
-    lists = up.groupBy("tu", "node_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "ancestor_id"))).alias("path"))
-    return lists.select("tu", "node_id", F.transform("path", lambda x: x["ancestor_id"]).alias("path"))
+    return _rooted(walks_up(nodes, F.array("node_id"), F.concat), nodes).select("tu", "node_id", F.col("value").alias("path"))
+
+
+def _gathered_up(nodes: DataFrame, start: Column, more, grown, name: str) -> DataFrame:
+    """tu, node_id and a number over the subtree of each node. After a round the number covers what is less than the
+    stride below; what is the stride below adds its own by the aggregate more and the function grown(own, more, stride)."""
+    at = written(nodes.select("tu", "node_id", F.col("parent_id").alias("jump"), start.cast("long").alias(name)), name)
+    n, stride = _open(at), 1
+    while n:
+        below = at.where("jump is not null").groupBy("tu", F.col("jump").alias("node_id")).agg(more(name).alias("more"))
+        far = at.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"))
+        joined = at.join(below, ["tu", "node_id"], "left").join(far, ["tu", "jump"], "left")
+        at = written(joined.select("tu", "node_id", F.col("jump2").alias("jump"), grown(F.col(name), F.col("more"), stride).alias(name)), name)
+        n, stride = _still_open(at, n), stride * 2
+    return at.select("tu", "node_id", name)
 
 
 def label_tree(nodes: DataFrame) -> DataFrame:
-    """nodes with depth, size (with itself), pre and post (0-based, the last pre of the subtree).
+    """nodes with depth, size (with itself), pre and post (0-based, the last pre of the subtree). Raises ValueError where
+    parents form a cycle.
 
     Sizes double down the tree; pre is the sum along the path of the sizes of earlier siblings, plus one a step.
     """
     base = nodes.select("tu", "node_id", "parent_id", "ordinal")
-    sizes = base.select("tu", "node_id", F.col("parent_id").alias("jump"), F.lit(1).cast("long").alias("size"))
-    sizes = written(sizes, "sizes")
-    while not sizes.where("jump is not null").isEmpty():
-        # size counts those less than the stride below; what is a stride below adds its own
-        below = sizes.where("jump is not null").groupBy("tu", F.col("jump").alias("node_id")).agg(F.sum("size").alias("more"))
-        far = sizes.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"))
-        grown = sizes.join(below, ["tu", "node_id"], "left").join(far, ["tu", "jump"], "left")
-        sizes = written(grown.select("tu", "node_id", F.col("jump2").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
-    sized = base.join(sizes.select("tu", "node_id", "size"), ["tu", "node_id"])
+    sizes = _gathered_up(base, F.lit(1), F.sum, lambda own, more, _: own + F.coalesce(more, F.lit(0)), "size")
+    sized = base.join(sizes, ["tu", "node_id"])
     before = F.coalesce(F.sum("size").over(Window.partitionBy("tu", "parent_id").orderBy("ordinal", "node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    step = before + F.when(F.col("parent_id").isNull(), 0).otherwise(1)
-    walk = written(sized.select("tu", "node_id", F.col("parent_id").alias("jump"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"), step.cast("long").alias("pre"), "size"), "labels")
-    while not walk.where("jump is not null").isEmpty():
-        far = walk.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("d2"), F.col("pre").alias("p2"))
-        walk = written(walk.join(far, ["tu", "jump"], "left").select("tu", "node_id", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("pre") + F.coalesce("p2", F.lit(0))).alias("pre"), "size"), "labels")
-    return nodes.drop("depth", "size", "pre", "post").join(walk.select("tu", "node_id", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("post")), ["tu", "node_id"])
+    edge = F.when(F.col("parent_id").isNull(), 0).otherwise(1)
+    steps = written(sized.select("tu", "node_id", "parent_id", "size", F.struct(edge.cast("long").alias("depth"), (before + edge).cast("long").alias("pre")).alias("step")), "steps")
+    sums = walks_up(steps, F.col("step"), lambda a, b: F.struct((a["depth"] + b["depth"]).alias("depth"), (a["pre"] + b["pre"]).alias("pre")))
+    labels = sums.select("tu", "node_id", "value.depth", "value.pre").join(steps.select("tu", "node_id", "size"), ["tu", "node_id"])
+    return nodes.drop("depth", "size", "pre", "post").join(labels.select("tu", "node_id", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("post")), ["tu", "node_id"])
 
 
 def preorder(labelled: DataFrame) -> DataFrame:
@@ -88,13 +97,16 @@ def subtree(labelled: DataFrame, roots: DataFrame) -> DataFrame:
     """roots (root_id, tu, node_id) to all nodes at or below each: root_id, node_id.
 
     With labels a subtree is a range of pre. Ranges of one tu are nested or apart, so they are met through the blocks
-    that hold them (as positions are), not by comparing every node with every root.
+    that hold them (as positions are), not by comparing every node with every root. A node probes the levels that occur.
     """
     levels = list(range(0, 40, 2))
     ends = labelled.join(roots.select("root_id", "tu", "node_id"), ["tu", "node_id"]).select("root_id", "tu", F.col("pre").alias("lo"), F.col("post").alias("hi"))
     same = lambda k: F.shiftright("lo", k) == F.shiftright("hi", k)
-    stored = ends.withColumn("level", F.coalesce(*[F.when(same(k), F.lit(k)) for k in levels])).withColumn("block", F.expr("shiftright(lo, level)"))
-    probes = labelled.select("tu", "node_id", "pre", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("pre", k).alias("block")) for k in levels])).alias("b")).select("tu", "node_id", "pre", "b.level", "b.block")
+    stored = written(ends.withColumn("level", F.coalesce(*[F.when(same(k), F.lit(k)) for k in levels])).withColumn("block", F.expr("shiftright(lo, level)")), "ranges")
+    occur = sorted(r[0] for r in stored.select("level").distinct().collect())  # of the levels above
+    if not occur:
+        return stored.select("root_id", "tu", F.lit(None).cast(labelled.schema["node_id"].dataType).alias("node_id"))
+    probes = labelled.select("tu", "node_id", "pre", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("pre", k).alias("block")) for k in occur])).alias("b")).select("tu", "node_id", "pre", "b.level", "b.block")
     return probes.join(stored, ["tu", "level", "block"]).where("pre between lo and hi").select("root_id", "tu", "node_id")
 
 
@@ -105,25 +117,21 @@ def subtree_size(labelled: DataFrame) -> DataFrame:
 
 
 def height(nodes: DataFrame) -> DataFrame:
-    """tu, node_id, height: edges to the deepest node below."""
-    return ancestors(nodes).groupBy("tu", F.col("ancestor_id").alias("node_id")).agg(F.max("distance").alias("height"))
+    """tu, node_id, height: edges to the deepest node below. Raises ValueError where parents form a cycle."""
+    return _gathered_up(nodes, F.lit(0), F.max, lambda own, more, stride: F.greatest(own, more + stride), "height")
 
 
 def context_chain(decls: DataFrame, which: str = "semantic_parent") -> DataFrame:
     """decls: tu, node_id, kind, name, is_decl, is_context, pre, and the context parent ``which``. Chain of contexts of
     each declaration from the outermost in, then itself; null for other nodes. An entry has the node's id only if that
-    context comes before the declaration in the walk."""
-    contexts = decls.where("is_context")
-    up = ancestors(contexts.select("tu", "node_id", F.col(which).alias("parent_id")))
-    named = decls.select("tu", F.col("node_id").alias("ancestor_id"), "kind", "name", F.col("pre").alias("a_pre"))
-    own = decls.where("is_decl").select("tu", "node_id", "pre", F.col(which).alias("start"))
-    far = own.join(up.select("tu", F.col("node_id").alias("start"), "ancestor_id", (F.col("distance") + 1).alias("distance")), ["tu", "start"]).select("tu", "node_id", "pre", "ancestor_id", "distance")
-    rows = far.union(own.select("tu", "node_id", "pre", F.col("node_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance"))).join(named, ["tu", "ancestor_id"])
-    visible = F.when(F.col("a_pre") <= F.col("pre"), F.col("ancestor_id"))
-    entry = F.struct((-F.col("distance")).alias("at"), "kind", "name", visible.alias("node_id"))
-    chains = rows.groupBy("tu", "node_id").agg(F.array_sort(F.collect_list(entry)).alias("chain"))
-    chains = chains.withColumn("chain", F.transform("chain", lambda e: F.struct(e["kind"].alias("kind"), e["name"].alias("name"), e["node_id"].alias("node_id"))))
-    return decls.select("tu", "node_id").join(chains, ["tu", "node_id"], "left")
+    context comes before the declaration in the walk. Raises ValueError where contexts form a cycle."""
+    entry = F.struct("kind", "name", "node_id", F.col("pre").alias("at"))
+    up = walks_up(decls.where("is_context"), F.array(entry), F.concat, which)
+    up = up.select("tu", F.col("node_id").alias("start"), F.when(F.col("top").isNull(), F.raise_error(F.lit("parents form a cycle")).cast(up.schema["value"].dataType)).otherwise(F.col("value")).alias("above"))
+    own = decls.where("is_decl").select("tu", "node_id", "pre", F.col(which).alias("start"), F.array(entry).alias("own")).join(up, ["tu", "start"], "left")
+    whole = F.concat(F.coalesce("above", F.slice("own", 1, 0)), "own")
+    visible = lambda e: F.struct(e["kind"].alias("kind"), e["name"].alias("name"), F.when(e["at"] <= F.col("pre"), e["node_id"]).alias("node_id"))
+    return decls.select("tu", "node_id").join(own.select("tu", "node_id", F.transform(whole, visible).alias("chain")), ["tu", "node_id"], "left")
 
 
 def context_group(kind: Column) -> Column:

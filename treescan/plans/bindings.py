@@ -40,10 +40,12 @@ def commands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def include_edges(spark: SparkSession, d: str) -> DataFrame:
-    """B3: src, dst over parts."""
+    """B3: src, dst over parts, within blocks of 64 keys, so that no part reaches more than its block."""
     parts = table(spark, d, "part").select("p_partkey")
-    n = parts.count()
-    return parts.select(F.col("p_partkey").alias("src"), F.explode(F.array((F.col("p_partkey") * 7 + 1) % n, (F.col("p_partkey") * 3 + 2) % n)).alias("dst"))
+    p = F.col("p_partkey")
+    at = lambda by, more: p - p % 64 + (p % 64 * by + more) % 64
+    edges = parts.select(p.alias("src"), F.explode(F.array(at(7, 1), at(3, 2))).alias("dst"))
+    return edges.join(parts.withColumnRenamed("p_partkey", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
@@ -78,9 +80,19 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def upper_tree(spark: SparkSession, d: str) -> DataFrame:
-    """B2 down to customers."""
-    return tree(spark, d).where("kind in ('root', 'region', 'nation', 'customer')")
+KINDS = ["FunctionDecl", "VarDecl", "EnumConstantDecl", "ClassTemplateSpecializationDecl", "TypedefDecl", "IfStmt", "BinaryOperator", "CXXNewExpr", "LambdaExpr", "PointerType", "Attr", "ConceptReference", "CXXBaseSpecifier", "CXXCtorInitializer", "LambdaCapture", "NestedNameSpecifier", "NestedNameSpecifierLoc", "TemplateArgument", "TemplateArgumentLoc", "TemplateName"]
+
+
+def syntax_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """B9: tu (order), node_id, kind, begin_file (null for half of them), props, bag: a node for each line."""
+    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % len(KINDS) + 1).cast("int"))
+    lines = table(spark, d, "lineitem").withColumn("rn", rn).withColumn("kind", kind)
+    large = F.col("l_quantity") > 25
+    bag = {"kind": F.col("kind"), "name": F.concat(F.lit("n"), F.col("l_partkey")), "initVal": F.col("l_suppkey"), "numTemplateArgs": F.col("l_linenumber"), "specializationKind": F.col("l_quantity").cast("int"), "underlyingType": F.col("l_returnflag"), "hasElse": large, "hasVar": ~large, "opcode": F.col("l_linestatus"), "opcodeValue": F.col("l_linenumber"), "isAssignment": large, "allocatedType": F.col("l_returnflag"), "isArray": large, "isMutable": ~large, "numCaptures": F.col("l_linenumber")}
+    pair = lambda key, value: F.create_map(F.lit(key), F.col(value))
+    props = F.when(F.col("l_linenumber") == 1, F.map_concat(pair("kind", "kind"), pair("comment", "l_returnflag"))).otherwise(pair("kind", "kind"))
+    return lines.select(F.concat(F.lit("t"), F.col("l_orderkey")).alias("tu"), F.concat_ws("_", "l_orderkey", "rn").alias("node_id"), "kind", F.when(F.col("l_suppkey") % 2 == 0, 1).alias("begin_file"), props.alias("props"), F.parse_json(F.to_json(F.struct(*[v.alias(k) for k, v in bag.items()]))).alias("bag"))
 
 
 def tags(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +124,15 @@ def ranges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("range_id"), page.alias("tu"), page.alias("file"), a.alias("from_line"), b.alias("from_col"), c.alias("to_line"), e.alias("to_col"))
 
 
+def _events(spark: SparkSession, d: str, stream: bool) -> DataFrame:
+    """The table of events, or a stream of its files."""
+    events = table(spark, d, "events")
+    return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d) if stream else events
+
+
 def log_lines(spark: SparkSession, d: str, stream: bool = False) -> DataFrame:
     """B6: source, seq, ts, is_stderr, line; of the table, or as a stream of it."""
-    if stream:
-        events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    else:
-        events = table(spark, d, "events")
+    events = _events(spark, d, stream)
     kind = F.col("event_type")
     level = F.when(kind == "error", "error").when(kind == "signup", "note").when(kind == "view", "info").when(kind == "click", "warning")
     wire = F.concat_ws("\t", F.lit("@diag"), level, F.col("user_id").cast("string"), (F.col("event_id") % 97).cast("string"), (F.col("event_id") % 31).cast("string"), F.coalesce("props", F.lit("")))
@@ -126,8 +141,8 @@ def log_lines(spark: SparkSession, d: str, stream: bool = False) -> DataFrame:
     return events.select(F.col("user_id").alias("source"), F.col("event_id").alias("seq"), "ts", (F.col("event_id") % 2 == 0).alias("is_stderr"), F.when(level.isNull(), plain).otherwise(wire).alias("line"))
 
 
-def nav_events(spark: SparkSession, d: str) -> DataFrame:
+def nav_events(spark: SparkSession, d: str, stream: bool = False) -> DataFrame:
     """B7: session, seq, file, line, col, node, version, delta: every eleventh event goes back one place."""
     code = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 4).otherwise(5)
     one = F.lit(1).cast("long")
-    return table(spark, d, "events").select(F.col("user_id").alias("session"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("seq"), code.cast("long").alias("file"), (F.col("event_id") % 2).cast("long").alias("line"), one.alias("col"), one.alias("node"), one.alias("version"), F.when(F.col("event_id") % 11 == 0, -1).otherwise(0).alias("delta"))
+    return _events(spark, d, stream).select(F.col("user_id").alias("session"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("seq"), code.cast("long").alias("file"), (F.col("event_id") % 2).cast("long").alias("line"), one.alias("col"), one.alias("node"), one.alias("version"), F.when(F.col("event_id") % 11 == 0, -1).otherwise(0).alias("delta"))

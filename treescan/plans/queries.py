@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,16 @@ def dependency_report(s, d):
 # 2.1 sources and sinks
 
 
+@query
+def s1_read_compile_commands(s, d):
+    """Commands of orders written as a database for each 500 of them, and read again."""
+    k = F.col("o_orderkey").cast("string")
+    entry = F.struct(F.lit("/work/build").alias("directory"), F.concat(F.lit("cc -I'a b' t"), k, F.lit(".cpp")).alias("command"), F.concat(F.lit("t"), k, F.lit(".cpp")).alias("file"))
+    path = shared_path(s, "databases")
+    table(s, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).alias("g")).agg(F.to_json(F.collect_list(entry)).alias("value")).write.partitionBy("g").text(path)
+    return documents.read_compile_commands(s, f"{path}/g=*", "p").select("file", "directory", F.array_join("arguments", "|").alias("line"))
+
+
 @query
 def s4_source_lines(s, d):
     return text.source_lines(table(s, d, "documents"), "doc_id", "text")
@@ -111,11 +122,23 @@ def s3_ast_export(s, d):
     return back.select("tu", "node_id", "kind", "depth")
 
 
+@query
+def s7_write_ast_export(s, d):
+    """The trees of orders and their lines, written as nested documents into files and read again."""
+    t = b.tree(s, d).where("kind in ('order', 'line')")
+    order, none = F.col("kind") == "order", F.lit(None).cast("long")
+    nodes_in = t.select(F.when(order, F.col("node_id")).otherwise(F.col("parent_id")).alias("tu"), "node_id", F.when(~order, F.col("parent_id")).alias("parent_id"), "ordinal", F.when(order, 0).otherwise(1).cast("long").alias("depth"), F.parse_json(F.to_json("props")).alias("bag"), *[none.alias(f"{e}_{n}") for e in ("begin", "end") for n in ("file", "line", "col")], *[F.lit(None).cast("string").alias(f"{e}_path") for e in ("begin", "end")])
+    path = shared_path(s, "exports")
+    documents.write_ast_export(nodes_in, path)
+    back, _ = documents.read_ast_export(documents.read_ast_documents(s, path))
+    return back.select("tu", "node_id", "kind", F.try_variant_get("bag", "$.flag", "string").alias("flag"))
+
+
 @query
 def s5_read_diagnostics(s, d):
     """Diagnostics written as wire lines and read again."""
     path = shared_path(s, "wire")
-    e = table(s, d, "events").where("event_type <> 'purchase'").select(F.when(F.col("event_type") == "view", "info").when(F.col("event_type") == "click", "warning").otherwise("error").alias("level"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"), (1 + F.col("event_id") % 97).alias("line"), (F.col("event_id") % 31).alias("col"), F.col("props").alias("message"))
+    e = table(s, d, "events").select(F.when(F.col("event_type") == "view", "info").when(F.col("event_type") == "click", "warning").when(F.col("event_type") == "purchase", "note").otherwise("error").alias("level"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"), (1 + F.col("event_id") % 97).alias("line"), (F.col("event_id") % 31).alias("col"), F.col("props").alias("message"))
     documents.write_diagnostics(e, path)
     return logs.parse_lines(documents.read_diagnostics(s, path)).select("level", "message")
 
@@ -123,7 +146,7 @@ def s5_read_diagnostics(s, d):
 def _commands(s, d):
     k = F.col("o_orderkey").cast("string")
     module = F.concat(F.lit("-fmodule-file=m"), (F.col("o_orderkey") % 3).cast("string"), F.lit("=../m/"), k, F.lit(".pcm"))
-    words = F.array(F.lit("cc"), F.lit("-resource-dir"), F.concat(F.lit("/r"), k), module, F.concat(F.lit("-resource-dir=/s"), k), F.concat(F.lit("@flags"), (F.col("o_custkey") % 4).cast("string")), F.concat(F.lit("t"), k, F.lit(".cpp")))
+    words = F.array(F.lit("cc"), F.lit("-resource-dir"), F.concat(F.lit("/r"), k), module, F.concat(F.lit("-resource-dir=/s"), k), F.concat(F.lit("@flags"), (F.col("o_custkey") % 30).cast("string")), F.concat(F.lit("t"), k, F.lit(".cpp")))
     return table(s, d, "orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("cmd_seq"), F.lit("/work/build").alias("directory"), words.alias("arguments"), F.concat(F.lit("t"), k, F.lit(".cpp")).alias("file"))
 
 
@@ -143,6 +166,26 @@ def p10_explode_params(s, d):
     return nodes.explode_params(bags).drop("tu")
 
 
+@query
+def p10_explode_bases(s, d):
+    item = F.struct(F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*b.LINE_ORDER)).alias("n"), F.concat(F.lit("B"), F.col("l_partkey")).alias("type"), (F.col("l_returnflag") == "R").alias("isVirtual"), F.col("l_linestatus").alias("accessSpecifier"))
+    per = table(s, d, "lineitem").select("l_orderkey", item.alias("i")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("bases"))
+    bags = per.select(F.lit("t").alias("tu"), F.col("l_orderkey").alias("node_id"), F.parse_json(F.to_json(F.struct("bases"))).alias("bag"))
+    return nodes.explode_bases(bags).drop("tu")
+
+
+@query
+def p10_explode_template_args(s, d):
+    """Of each order: a type, a pack of two with a pack of its own, and an empty pack."""
+    text = lambda c: F.col(c).cast("string")
+    arg = lambda kind, value: F.struct(F.lit(kind).alias("kindName"), value.alias("value"))
+    pack = lambda of: F.struct(F.lit("Pack").alias("kindName"), of.alias("pack"))
+    inner = F.to_json(F.struct(pack(F.array(arg("Integral", text("o_custkey")))).alias("x")))
+    bag = F.concat(F.lit('{"templateArgs":['), F.to_json(arg("Type", F.col("o_orderpriority"))), F.lit(',{"kindName":"Pack","pack":['), F.to_json(arg("Type", F.col("o_orderstatus"))), F.lit(","), F.get_json_object(inner, "$.x"), F.lit(']},{"kindName":"Pack","pack":[]}]}'))
+    bags = table(s, d, "orders").select(F.lit("t").alias("tu"), F.col("o_orderkey").alias("node_id"), F.parse_json(bag).alias("bag"))
+    return nodes.explode_template_args(bags).select("node_id", F.array_join(F.transform("path", lambda i: i.cast("string")), ".").alias("path"), "kindName", "value")
+
+
 @query
 def p12_normalize_flags(s, d):
     return commands.normalize_flags(_commands(s, d), "/R").select("cmd_seq", F.array_join("arguments", " ").alias("line"))
@@ -155,7 +198,7 @@ def p13_module_map(s, d):
 
 @query
 def p14_expand_response_files(s, d):
-    n = table(s, d, "nation").where("n_nationkey < 3").select(F.concat(F.lit("/work/build/flags"), F.col("n_nationkey").cast("string")).alias("path"), F.concat(F.lit("-D'"), F.col("n_name"), F.lit(" x' \"-I a\" -O2")).alias("text"))
+    n = table(s, d, "nation").select(F.concat(F.lit("/work/build/flags"), F.col("n_nationkey").cast("string")).alias("path"), F.concat(F.lit("-D'"), F.col("n_name"), F.lit(" x' \"-I a\" -O2")).alias("text"))
     return commands.expand_response_files(_commands(s, d), n).select("cmd_seq", F.array_join("arguments", "|").alias("line"))
 
 
@@ -234,6 +277,15 @@ def p9_typed_view(s, d):
     return nodes.typed_view(e, "click", keys).drop("tu")
 
 
+@query
+def p9_typed_families(s, d):
+    """Views of several families, each row's columns as one text."""
+    n = b.syntax_nodes(s, d)
+    shown = lambda v: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in v.columns[2:]])
+    views = ((f, nodes.typed_view(n, f)) for f in ("EnumConstantDecl", "ClassTemplateSpecializationDecl", "TypedefNameDecl", "IfStmt", "BinaryOperator", "CXXNewExpr", "LambdaExpr"))
+    return reduce(DataFrame.union, [v.select("node_id", F.lit(f).alias("family"), shown(v).alias("shown")) for f, v in views])
+
+
 @query
 def p11_flatten_properties(s, d):
     e = table(s, d, "events").select("event_id", F.try_parse_json("props").alias("bag"))
@@ -264,7 +316,7 @@ def j3_first_contained(s, d):
 
 @query
 def j4_with_file_path(s, d):
-    files = b.paths(s, d).where("seq % 3 <> 0").select(F.col("seq").alias("file_id"), "path")
+    files = b.paths(s, d).select(F.col("seq").alias("file_id"), "path")
     return positions.with_file_path(b.tags(s, d), files).select("node_id", "path")
 
 
@@ -273,10 +325,15 @@ def j5_attach_errors(s, d):
     return includes.attach_errors(_tus(s, d), b.tu_errors(s, d)).select("tu", "partial_data", "error")
 
 
+# kinds of declarations in place of the tree's
+DECLS = {"root": "TranslationUnitDecl", "region": "NamespaceDecl", "nation": "CXXRecordDecl", "customer": "EnumDecl", "order": "FunctionDecl", "line": "ParmVarDecl"}
+
+
 def _decls(s, d):
-    t = trees.label_tree(b.upper_tree(s, d))
-    kind = F.when(F.col("kind") == "root", "TranslationUnitDecl").when(F.col("kind") == "region", "NamespaceDecl").when(F.col("kind") == "nation", "CXXRecordDecl").otherwise("FunctionDecl")
-    return t.select("tu", "node_id", kind.alias("kind"), "name", "pre", F.lit(True).alias("is_decl"), (F.col("kind") != "customer").alias("is_context"), F.col("parent_id").alias("semantic_parent"))
+    """The tree as declarations; as a walk meets each level after the one above, the level stands for the place in it."""
+    kind = F.create_map(*[F.lit(x) for pair in DECLS.items() for x in pair])[F.col("kind")]
+    level = F.create_map(*[F.lit(x) for pair in zip(DECLS, range(len(DECLS)), strict=True) for x in pair])[F.col("kind")]
+    return b.tree(s, d).select("tu", "node_id", kind.alias("kind"), "name", level.alias("pre"), F.lit(True).alias("is_decl"), (F.col("kind") != "line").alias("is_context"), F.col("parent_id").alias("semantic_parent"))
 
 
 @query
@@ -317,7 +374,8 @@ def a2_dependency_stats(s, d):
 
 
 def _chunk_counts(s, d):
-    chunk = F.crc32(F.col("tu").cast("binary")) % 4
+    """Counters of chunks of TUs by the last digit of the order."""
+    chunk = F.regexp_extract("tu", r"([0-9])\.cpp$", 1)
     h = _headers(s, d).groupBy("tu").agg(F.count("*").alias("n")).join(includes.first_messages(b.tu_errors(s, d)), "tu", "left")
     return h.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("total_count"), F.count("*").alias("success_count"), F.count("error").alias("failure_count"), F.sum("n").alias("total_header_count"))
 
@@ -327,6 +385,13 @@ def a3_merge_stats(s, d):
     return includes.merge_stats(_chunk_counts(s, d)).drop("chunks")
 
 
+@query
+def a3_merge_readable_chunks(s, d):
+    """Chunks as JSON, of which that of the digit 3 is broken off."""
+    text = F.to_json(F.struct("total_count", "success_count", "failure_count", "total_header_count"))
+    return includes.merge_stats(includes.parse_chunks(_chunk_counts(s, d).select(F.when(F.col("chunk") == "3", F.left(text, F.lit(20))).otherwise(text).alias("value"))))
+
+
 KINDS = ["region", "nation", "customer", "order", "line"]
 
 
@@ -335,6 +400,11 @@ def a4_extraction_stats(s, d):
     return nodes.extraction_stats(b.tree(s, d), KINDS, F.col("kind"))
 
 
+@query
+def a4_node_statistics(s, d):
+    return nodes.extraction_stats(b.syntax_nodes(s, d))
+
+
 @query
 def a4_fleet_stats(s, d):
     return nodes.fleet_stats(b.tags(s, d), F.col("kind"))
@@ -372,6 +442,14 @@ def a10_project_root(s, d):
     return paths.project_root(b.paths(s, d))
 
 
+@query
+def a10_project_root_with_database(s, d):
+    """Compile databases below the last host of each project, and an override for one project."""
+    p = b.paths(s, d)
+    db = p.groupBy("project").agg(F.max("host").alias("host")).select("project", F.concat(F.lit("/"), F.col("host"), F.lit("/build/cc.json")).alias("path"), F.when(F.col("project").endswith(".net"), "/over/ride").alias("override"))
+    return paths.project_root(p.select("project", "path").distinct(), db)
+
+
 @query
 def a11_classify_headers(s, d):
     h = _headers(s, d)
@@ -403,6 +481,12 @@ def a15_token_profile(s, d):
     return text.token_profile(table(s, d, "documents"), "doc_id", "text", ["the", "and", "of", "de", "la", "que", "der", "en"])
 
 
+@query
+def a15_token_keywords(s, d):
+    """Token classes with the keywords of the languages."""
+    return text.token_profile(table(s, d, "documents"), "doc_id", "text")
+
+
 @query
 def a16_first_errors(s, d):
     e = table(s, d, "events").select(F.col("user_id").cast("string").alias("tu"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "Fatal").otherwise(F.col("event_type")).alias("level"), F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit("x.h")).alias("file"), F.col("props").alias("message"))
@@ -441,7 +525,7 @@ def w5_recent_queries(s, d):
 
 @query
 def w6_retain_log(s, d):
-    return logs.retain_log(_entries(s, d), 300).select("tab", "seq", "rank", c.format_log_line(F.col("ts"), F.col("level"), F.col("source").cast("string"), F.col("message")).alias("line"))
+    return logs.retain_log(_entries(s, d)).select("tab", "seq", "rank", c.format_log_line(F.col("ts"), F.col("level"), F.col("source").cast("string"), F.col("message")).alias("line"))
 
 
 @query
@@ -523,7 +607,7 @@ def g5_filter_tree(s, d):
 
 @query
 def g6_include_closure(s, d):
-    mains = table(s, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("main"))
+    mains = table(s, d, "part").select(F.col("p_partkey").alias("main"))
     return includes.include_closure(b.include_edges(s, d), mains).select("main", "header", "direct")
 
 
@@ -584,4 +668,4 @@ def k4_run_progress(s, d):
 
 @query
 def k5_nav_history_stream(s, d):
-    return streams.run(streams.nav_history(streams.of_table(s, d, "events", b.nav_events)), "update")
+    return streams.run(streams.nav_history(b.nav_events(s, d, stream=True)), "update")

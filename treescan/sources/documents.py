@@ -111,8 +111,15 @@ def ast_documents(nodes: DataFrame) -> DataFrame:
     return done.select("tu", "value")
 
 
-def write_ast_export(nodes: DataFrame, path: str) -> None:
-    ast_documents(nodes).write.partitionBy("tu").text(path)
+def write_ast_export(nodes: DataFrame, path: str, buckets: int = 64) -> None:
+    """Exports as lines of JSON with tu and the export, in a folder for each bucket of TUs."""
+    docs = ast_documents(nodes).withColumn("bucket", F.pmod(F.xxhash64("tu"), F.lit(buckets)).cast("int"))
+    docs.write.partitionBy("bucket").json(path)
+
+
+def read_ast_documents(spark: SparkSession, path: str) -> DataFrame:
+    """tu and value of exports that write_ast_export wrote."""
+    return spark.read.schema("tu string, value string").json(path)
 
 
 def write_flat_nodes(nodes: DataFrame, path: str) -> None:

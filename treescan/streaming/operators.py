@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,32 +27,23 @@ def run(df: DataFrame, mode: str) -> DataFrame:
     or rows with the batch they come from (update)."""
     spark = df.sparkSession
     path = shared_path(spark, "stream")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
 
     def keep(part: DataFrame, batch: int) -> None:
         part.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch}_")
 
-    part = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(keep).start()
+    spark.conf.set(setting, ROCKSDB)
+    try:  # a query takes the settings of its start
+        part = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(keep).start()
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     part.awaitTermination()
     schema = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
     out = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     return out if mode == "update" else out.drop("batch")
 
 
-def of_table(spark: SparkSession, d: str, name: str, binding) -> DataFrame:
-    """A binding of a table, over the stream of its files."""
-
-    class Streamed:
-        """Stands for the session where a binding reads a table."""
-
-        class read:  # noqa: N801
-            @staticmethod
-            def parquet(path: str) -> DataFrame:
-                return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
-
-    return binding(Streamed, d)
-
-
 def chunks(lines: DataFrame, width: int = 7) -> DataFrame:
     """Lines (source, seq, line) as chunks (source, fd, seq, chunk) of width characters, line feeds included."""
     text = F.concat("line", F.lit("\n"))
@@ -70,7 +61,12 @@ class LineBuffer(StatefulProcessor):
         old = self.tail.get()
         buffer = old[0] if old else ""
         for row in sorted(rows, key=lambda r: (r["seq"], r["part"])):
-            buffer = (buffer + (row["chunk"] or ""))[-MAX_BUFFER:]
+            if row["chunk"] is None:
+                if buffer:
+                    yield Row(source=key[0], fd=key[1], line=buffer)
+                buffer = ""
+                continue
+            buffer = (buffer + row["chunk"])[-MAX_BUFFER:]
             *done, buffer = buffer.split("\n")
             for line in done:
                 yield Row(source=key[0], fd=key[1], line=line)
@@ -81,8 +77,8 @@ class LineBuffer(StatefulProcessor):
 
 
 def reassemble_lines(pieces: DataFrame) -> DataFrame:
-    """chunks (source, fd, seq, part, chunk) to complete lines (source, fd, line); the tail waits for its end. An end of
-    stream is a last chunk with a line feed."""
+    """chunks (source, fd, seq, part, chunk) to complete lines (source, fd, line); the tail waits for its end. A null
+    chunk is the end of its source and descriptor: what is left of a line comes out."""
     return pieces.groupBy("source", "fd").transformWithState(LineBuffer(), LINE, "Append", "None")
 
 
