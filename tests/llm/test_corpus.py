@@ -190,6 +190,30 @@ def test_near_dedup_equals_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """Rows that repeat an id are one document: their links join, an empty text too; other columns may have any name."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(3, text("l")), (7, text("l")), (7, text("m")), (9, text("m")), (7, None), (11, text("n")), (9, text("n")), (20, text("o"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as node", "3 as root", "4 as _kept")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.find_near_copies(frame).collect()}
+    assert got == {(3, 36, 3), (7, 36, 3), (7, 0, 3), (9, 36, 3), (11, 36, 3), (20, 36, 20)}
+    assert sorted(r.doc_id for r in near_dedup.drop_near_copies(frame).collect()) == [3, 20]
+
+
+def test_near_dedup_of_a_large_group(spark):
+    """300 near copies of one text, some links only through others, beside near misses that share coordinates."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(120), 1 if k < 240 else 9):
+            words[at] = f"x{k}_{at}"
+        rows.append((k * 3, " ".join(words), "en", "g", 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.find_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_near_dedup_nulls_and_repeats(spark):
     long = " ".join(f"q{i}" for i in range(40))
     rows = [(None, long, None, None, None), (7, long, "a", "b", 1), (7, long, "a", "b", 1), (8, None, None, None, None), (None, "only here", None, None, None)]
@@ -212,6 +236,26 @@ def test_sharding_law(spark):
     assert all(r.size == len(text[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in got)
 
 
+def test_winning_bids_equal_brute_force(spark):
+    """The bids worked out again in Python: Spark's xxhash64 of a long and an int, chained from the seed 42."""
+    import struct
+
+    import xxhash
+
+    def hashed(key, shard):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return xxhash.xxh64_intdigest(struct.pack("<i", shard), seed)
+
+    def winner(key, weights):
+        bids = [w / -math.log(((hashed(key, s) >> 11) + 0.5) / 2**53) for s, w in enumerate(weights)]
+        return max(range(len(bids)), key=lambda s: (bids[s], -s))
+
+    weights, grown = [1.0, 2.0, 0.5, 1.0], [1.0, 2.0, 0.5, 1.0, 3.0]
+    frame = spark.createDataFrame([(i if i % 50 else None, f"t{i}") for i in range(600)], "doc_id long, text string")
+    for r in sharding.shard_rows(frame, weights, grown).collect():
+        assert (r.shard, r.grown_shard) == (winner(r.doc_id, weights), winner(r.doc_id, grown))
+
+
 def test_sharding_weights_and_edges(spark, docs):
     many = spark.range(20000).selectExpr("id as doc_id", "cast(null as string) as text", "'x' as shard", "1 as part")
     got = sharding.shard_rows(many, [1.0, 3.0]).groupBy("shard").count().collect()

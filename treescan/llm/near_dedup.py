@@ -14,8 +14,8 @@ leaves free to differ, and two are paired where both still have enough shingles
 pairs' collisions are counted on the signatures and MATCHES or more go on to the full sets. So a large group of near
 copies costs a pair for each member, near misses are not paired, and no link between components is lost.
 
-Null and empty texts have no shingles and no links. Rows that repeat an id are one document. Rows without id take part
-in no link; among equal sets they get the component of those with an id, else null.
+Null and empty texts have no shingles and no links. Rows that repeat an id are one document, with the links of all their
+texts. Rows without id take part in no link; among equal sets they get the component of those with an id, else null.
 """
 
 from __future__ import annotations
@@ -198,6 +198,9 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = posts.groupBy("post").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("post", "pivot")
     posts = materialize(posts.join(lists, "post"), "posts")
 
+    # only texts that meet others are sent to be compared
+    texts = texts.join(posts.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    texts = materialize(texts, "node_texts")
     stars = posts.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("collisions"))
     best = stars.groupBy("node").agg(F.max(F.struct("collisions", -F.col("pivot"))).alias("x")).where(F.col("x.collisions") >= MATCHES - 1).select((-F.col("x.col2")).alias("a"), F.col("node").alias("b"))
     roots = components(confirmed(best, texts))
@@ -207,14 +210,21 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     active = materialize(first.join(mixed, "post").select("node", "n", "root").distinct(), "active")
     pairs = prefix_pairs(active, texts)
     sides = nodes.select("node", "base")
-    pairs = pairs.join(sides.select(F.col("node").alias("a"), F.col("base").alias("base_a")), "a").join(sides.select(F.col("node").alias("b"), F.col("base").alias("base_b")), "b").where(may_link("base_a", "base_b")).select("a", "b")
+    pairs = pairs.join(sides.select(F.col("node").alias("a"), F.col("base").alias("base_a")), "a").join(sides.select(F.col("node").alias("b"), F.col("base").alias("base_b")), "b").where(may_link("base_a", "base_b")).select("a", "b").distinct()
     more = confirmed(materialize(pairs, "pairs"), texts)
+    # the nodes of an id belong together
+    of_id = materialize(rows.where("id is not null").select("id", "set_key").join(nodes.select("set_key", "node"), "set_key").select("id", "node").distinct(), "nodes_of_ids")
+    several = of_id.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
+    more = more.union(of_id.join(several, "id").where("node > a").select("a", F.col("node").alias("b")))
     root_of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     across = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    tops = nodes.select("set_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left").select("set_key", F.coalesce("top", "root").alias("component"))
-    # rows that repeat an id but not a set: the smallest component of the id
-    found = rows.select("id", "n_shingles", "set_key").join(tops, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    top = F.coalesce("top", "root").alias("component")
+    tops = nodes.select("set_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left").select("set_key", "node", top)
+    by_id = of_id.join(tops.select("node", "component").distinct(), "node").groupBy("id").agg(F.min("component").alias("component"))
+    named = rows.where("id is not null").join(by_id, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    unnamed = rows.where("id is null").join(tops.select("set_key", "component"), "set_key", "left").select("id", "n_shingles", F.col("component").alias("component_id"))
+    found = named.union(unnamed)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
