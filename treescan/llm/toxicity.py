@@ -3,12 +3,12 @@
 Terms are words and the first PREFIX_LETTERS letters of longer words. A bounded sample of labelled rows (those of
 smallest hash) is the set of examples, and all their terms are indexed. Of examples with the same label whose full sets of
 terms agree by NEAR or more, the one of smallest id counts; a labelled id that several rows have counts with one text.
-Document frequencies of the terms are counted over all documents. The weight of a term is its TF-IDF, times 1 + its likelihood
-ratio where toxic examples have it more often, so that what tells the label counts more and nothing is left out. The
-index has a posting list for each term, cut into blocks of examples with the largest weight of each, alike examples
-standing together; a query's lists of frequent terms are summed by a matrix product, the block maxima of the others make bounds, and only blocks that can beat
-the k-th example are read. Examples vote with their cosine, plus a prior weight for the base rate; votes become
-probabilities by isotonic regression on the examples themselves, each left out of its own vote. The driver holds the
+Document frequencies of the terms are counted over all documents. The weight of a term is its TF-IDF, times 1 + its
+likelihood ratio where toxic examples have it more often, so that what tells the label counts more and nothing is left
+out. The index has a posting list for each term and its largest weight in each block of examples, alike examples standing
+together; a query's lists of frequent terms are summed by a matrix product, the block maxima of the others make bounds,
+and only lists with postings in blocks that can beat the k-th example are read. Examples vote with their cosine, plus a
+prior weight for the base rate; votes become probabilities by isotonic regression on the examples themselves, each left out of its own vote. The driver holds the
 sample's terms and counts, no texts.
 
 Empty and null texts, and texts with none of the terms, get the rate of such examples. Ties go to the example of smaller id.
@@ -34,9 +34,10 @@ from treescan.llm.common import chunks, crc_of_id, free_name, materialize, shuff
 
 PREFIX_LETTERS = 4
 K = 15
-BLOCK = 64
+#: A sample of 8,000 examples makes 16 blocks, so that a term's maxima are a short row of a table.
+BLOCK = 512
 #: Terms whose posting lists are rows of a matrix, and vectors multiplied with it at once.
-DENSE = 1024
+DENSE = 768
 BATCH = 256
 #: More than sums of single precision can be off.
 SLACK = 1e-5
@@ -149,13 +150,10 @@ class Index:
         self.matrix[self.column[self.terms[at]], row[at]] = w[at]
         rare = np.flatnonzero(self.column[self.terms] < 0)
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.rows, self.posted = row[rare], w[rare]
-        code = self.terms[rare].astype(np.int64) * max(1, self.blocks) + self.rows // BLOCK
-        self.first = np.flatnonzero(np.diff(code, prepend=-1)).astype(np.int32)  # of each term in each block
-        self.last = np.append(self.first[1:], len(code)).astype(np.int32)[: len(self.first)]
-        self.block = self.rows[self.first] // BLOCK
-        self.maxima = np.maximum.reduceat(self.posted, self.first) if len(code) else np.zeros(0, np.float32)
-        self.cuts = np.searchsorted(code[self.first], np.arange(len(self.idf) + 1) * max(1, self.blocks)).astype(np.int32)
+        self.rows, self.posted = row[rare], w[rare]  # lists of the rare terms, by row
+        self.cuts = np.searchsorted(self.terms[rare], np.arange(len(self.idf) + 1)).astype(np.int32)
+        self.maxima = np.zeros((len(self.idf), self.blocks), np.float32)
+        np.maximum.at(self.maxima, (self.terms[rare], self.rows // BLOCK), self.posted)
         self.built = True
 
     def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,25 +188,26 @@ class Index:
         """scores: by the frequent terms, of single precision, so that what comes near the K-th is summed again."""
         k = min(K, len(scores))
         least = lambda: np.partition(np.delete(scores, without) if without >= 0 else scores, -k)[-k] if len(scores) > k else 0.0
-        rare = self.column[terms] < 0
-        lo, hi = self.cuts[terms[rare]], self.cuts[terms[rare] + 1]
-        entries, own = spans(lo, hi), np.repeat(w[rare], hi - lo)
-        bounds = scores.reshape(-1, BLOCK).max(axis=1) + np.bincount(self.block[entries], own * self.maxima[entries], self.blocks)
-        live = (bounds >= least() - SLACK)[self.block[entries]]
-        entries, own = entries[live], own[live]
-        posts = spans(self.first[entries], self.last[entries])
-        scores = scores + np.bincount(self.rows[posts], np.repeat(own, self.last[entries] - self.first[entries]) * self.posted[posts], len(scores))
+        rare = np.flatnonzero(self.column[terms] < 0)
+        maxima, own = self.maxima[terms[rare]], w[rare].astype(np.float32)
+        bounds = scores.reshape(-1, BLOCK).max(axis=1) + own @ maxima
+        read = maxima[:, bounds >= least() - SLACK].any(axis=1)  # lists with postings in blocks that can beat the K-th
+        lo, hi = self.cuts[terms[rare[read]]], self.cuts[terms[rare[read]] + 1]
+        if len(lo):
+            lists = list(map(slice, lo.tolist(), hi.tolist()))
+            rows, posted = (np.concatenate([x[y] for y in lists]) for x in (self.rows, self.posted))
+            scores = scores + np.bincount(rows, np.repeat(own[read], hi - lo) * posted, len(scores)).astype(np.float32)
         found = np.flatnonzero((scores > 0) & (scores >= least() - SLACK))
         found = found[found != without]
         if not len(found):
             return found, np.zeros(0)
         whole[terms] = w
-        places = spans(self.ends[found], self.ends[found + 1])
-        sizes = self.ends[found + 1] - self.ends[found]
-        shared = whole[self.terms[places]] > 0
-        of, places = np.repeat(np.arange(len(found)), sizes)[shared], places[shared]
-        t = self.terms[places]
-        cosines = np.bincount(of, (1 + np.log(self.counts[places])) * self.idf[t] * whole[t], len(found)) / self.norms[found]
+        lists = list(map(slice, self.ends[found].tolist(), self.ends[found + 1].tolist()))
+        t = np.concatenate([self.terms[x] for x in lists])
+        shared = np.flatnonzero(whole[t])
+        of = np.repeat(np.arange(len(found)), self.ends[found + 1] - self.ends[found])[shared]
+        t, counts = t[shared], np.concatenate([self.counts[x] for x in lists])[shared]
+        cosines = np.bincount(of, (1 + np.log(counts)) * self.idf[t] * whole[t], len(found)) / self.norms[found]
         whole[terms] = 0
         top = np.lexsort((self.rank[found], -np.round(cosines, 12)))[:K]
         return found[top], cosines[top]
