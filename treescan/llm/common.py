@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treescan.functions.storage import written as materialize  # noqa: F401
 
-# Python workers live long: what a batch took goes back to the system
-pa.set_memory_pool(pa.system_memory_pool())
+if TaskContext.get() is not None:  # Python workers live long: what a batch took goes back to the system
+    pa.set_memory_pool(pa.system_memory_pool())
 
 BATCH_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
