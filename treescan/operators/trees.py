@@ -77,15 +77,16 @@ def label_tree(nodes: DataFrame) -> DataFrame:
 
     Sizes double down the tree; pre is the sum along the path of the sizes of earlier siblings, plus one a step.
     """
-    base = nodes.select("tu", "node_id", "parent_id", "ordinal")
+    base = written(nodes.select("tu", "node_id", "parent_id", "ordinal"), "base")
     sizes = _gathered_up(base, F.lit(1), F.sum, lambda own, more, _: own + F.coalesce(more, F.lit(0)), "size")
     sized = base.join(sizes, ["tu", "node_id"])
     before = F.coalesce(F.sum("size").over(Window.partitionBy("tu", "parent_id").orderBy("ordinal", "node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = F.when(F.col("parent_id").isNull(), 0).otherwise(1)
-    steps = written(sized.select("tu", "node_id", "parent_id", "size", F.struct(edge.cast("long").alias("depth"), (before + edge).cast("long").alias("pre")).alias("step")), "steps")
-    sums = walks_up(steps, F.col("step"), lambda a, b: F.struct((a["depth"] + b["depth"]).alias("depth"), (a["pre"] + b["pre"]).alias("pre")))
-    labels = sums.select("tu", "node_id", "value.depth", "value.pre").join(steps.select("tu", "node_id", "size"), ["tu", "node_id"])
-    return nodes.drop("depth", "size", "pre", "post").join(labels.select("tu", "node_id", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("post")), ["tu", "node_id"])
+    # the size goes along with each node's own steps
+    step = F.struct(edge.cast("long").alias("depth"), (before + edge).cast("long").alias("pre"), "size")
+    sums = walks_up(sized.select("tu", "node_id", "parent_id", step.alias("step")), F.col("step"), lambda a, b: F.struct((a["depth"] + b["depth"]).alias("depth"), (a["pre"] + b["pre"]).alias("pre"), b["size"].alias("size")))
+    labels = sums.select("tu", "node_id", "value.depth", "value.size", "value.pre", (F.col("value.pre") + F.col("value.size") - 1).alias("post"))
+    return nodes.drop("depth", "size", "pre", "post").join(labels, ["tu", "node_id"])
 
 
 def preorder(labelled: DataFrame) -> DataFrame:
