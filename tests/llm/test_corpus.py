@@ -68,6 +68,49 @@ def test_rules_find_planted_thresholds_and_render():
     assert "a >=" in " ".join(map(str, rules))
 
 
+def brute_first_condition(x, y):
+    """The single condition of largest information gain, by trying all."""
+    p0, n0 = int(y.sum()), int((y == 0).sum())
+    best = (1e-9, None)
+    for f, v in x.items():
+        values = sorted(set(v.tolist()))
+        for op in (">=", "<="):
+            gains = []
+            for a, b in zip(values, values[1:]):
+                t = (a + b) / 2
+                inside = v >= t if op == ">=" else v <= t
+                p, n = int(y[inside].sum()), int((y[inside] == 0).sum())
+                gains.append((p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0, t))
+            if gains and (top := max(gains, key=lambda g: g[0]))[0] > best[0] + 1e-12:
+                best = (top[0], (f, op, top[1]))
+    return best[1]
+
+
+def test_grown_conditions_equal_brute_force():
+    """Every condition is the best of all on what the ones before cover; growing ends where no good text is covered."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x = {"a": rng.integers(0, 12, 80).astype(float), "b": rng.random(80), "c": rng.integers(0, 3, 80).astype(float)}
+        y = ((x["a"] > 6) & (rng.random(80) < 0.8)).astype(int)
+        inside = np.ones(80, bool)
+        grown = quality_rules._grow(x, y, 4)
+        for f, op, t in grown:
+            want = brute_first_condition({k: v[inside] for k, v in x.items()}, y[inside])
+            assert (f, op) == want[:2] and t == pytest.approx(want[2])
+            inside &= x[f] >= t if op == ">=" else x[f] <= t
+        assert grown and (len(grown) == 4 or not (y[inside] == 0).any() or brute_first_condition({k: v[inside] for k, v in x.items()}, y[inside]) is None)
+
+
+def test_odd_labels_and_a_very_long_text(spark):
+    rows = [(i, "good text of some words here to read on and on again" if i % 2 else f"### $$$ %%% &&& ||| <<< >>> *** ### $$$ %%% &&& a{i}", "en", "s", 1) for i in range(80)]
+    rows += [(200, "long words of text " * 400_000, "en", "s", 1), (None, None, None, None, None), (7, "", "en", "s", 0)]
+    labels = [(i, i % 2, 0) for i in range(80)] * 2 + [(3, 0, 0), (4, 1, 0), (None, 0, 0), (200, None, None)]
+    out = quality_rules.judge(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).select("doc_id", "quality.*").collect()
+    got = {r.doc_id: r for r in out if r.doc_id not in (None, 7)}
+    assert len(out) == len(rows) and got[200].n_words == 1_600_000 and got[200].base_failed and not got[200].kept
+    assert sum(got[i].kept for i in range(0, 80, 2)) == 0 and sum(got[i].kept for i in range(1, 80, 2) if i != 7) == 39
+
+
 def test_no_labels_reject_nothing(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality_rules.judge(docs, labels)
@@ -262,6 +305,8 @@ def test_sharding_weights_and_edges(spark, docs):
     share = {r[0]: r[1] / 20000 for r in got}
     assert abs(share[1] - 0.75) < 0.02
     assert sharding.shard_rows(docs.where("false"), [1.0] * 3).count() == 0
+    clash = sharding.shard_rows(docs.selectExpr("*", "1 as size", "2 as slot", "3 as own", "4 as before"), [1.0] * 3)
+    assert clash.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and clash.count() == docs.count()
     twice = spark.createDataFrame([(None, "a"), (None, "b"), (1, None), (1, None)], "doc_id long, text string")
     rows = sharding.shard_rows(twice, [1.0] * 4).collect()
     assert len(rows) == 4 and len({r.shard for r in rows if r.doc_id is None}) == 1

@@ -2,8 +2,9 @@
 
 Each shard bids for a key: with a uniform u from the hash of key and shard, the bid is weight / -ln(u), and the highest
 bid wins. So a key leaves its shard only for a new one that outbids it: one more shard takes rows only into itself.
-Law `key`: id and shard list alone decide. Null ids are one key. Repeated ids go to one shard. Ties go to the smaller
-shard number.
+Law `key`: id and shard list alone decide. Null ids are one key. Repeated ids go to one shard, as the law has it; their
+slots are numbered in parts by id and content, so that rows without id aren't numbered by one task. Ties go to the
+smaller shard number.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots are numbered in this many parts of each shard, so that no task numbers a whole shard.
+from treescan.llm.common import shuffle_partitions
+
+#: Slots are numbered in this many parts of each shard at least, so that no task numbers a whole shard.
 PARTS = 256
 
 
@@ -32,17 +35,20 @@ def shard_rows(docs: DataFrame, weights: list[float], grown: list[float] | None
     if not weights or min([*weights, *(grown or [])]) <= 0:
         raise ValueError("weights must be positive")
     key = F.col(id_col)
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    part = F.pmod(F.xxhash64(key, crc, size), F.lit(max(PARTS, shuffle_partitions(docs.sparkSession)))).cast("int").alias("part")
     placed = docs.select(
         key.alias(id_col),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        size.alias("size"),
+        crc.alias("text_crc32"),
         F.lit("key").alias("law"),
         winner(key, weights).alias("shard"),
         (winner(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("part")), F.lit(PARTS)).cast("int").alias("part"),
+        part,
     )
-    # at most shards x PARTS rows: small enough to broadcast at any size of docs
-    counts = docs.select(winner(key, weights).alias("shard"), F.pmod(F.xxhash64(key, F.lit("part")), F.lit(PARTS)).cast("int").alias("part")).groupBy("shard", "part").count()
+    # shards x parts rows: small enough to broadcast at any size of docs
+    counts = docs.select(winner(key, weights).alias("shard"), part).groupBy("shard", "part").count()
     before = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
     own = F.row_number().over(Window.partitionBy("shard", "part").orderBy(id_col, "size", "text_crc32")) - 1
     return placed.withColumn("own", own).join(F.broadcast(before), ["shard", "part"]).select(id_col, "size", "text_crc32", "law", "shard", (F.col("own") + F.col("before")).cast("long").alias("slot"), "grown_shard")
