@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -257,6 +258,16 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == brute_components(rows)
 
 
+def test_near_misses_are_not_paired(spark):
+    """4,000 texts that all agree by 0.84 and share 96 shingles: no post of a list is left to be compared."""
+    common = " ".join(f"c{i}" for i in range(100))
+    rows = [(k, common + " " + " ".join(f"u{k}_{i}" for i in range(9))) for k in range(4000)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    active = texts.selectExpr("id as node", "105L as n", "id as root")
+    began = time.time()
+    assert near_dedup.prefix_pairs(active, texts).count() == 0 and time.time() - began < 60
+
+
 def test_near_dedup_nulls_and_repeats(spark):
     long = " ".join(f"q{i}" for i in range(40))
     rows = [(None, long, None, None, None), (7, long, "a", "b", 1), (7, long, "a", "b", 1), (8, None, None, None, None), (None, "only here", None, None, None)]

@@ -176,9 +176,12 @@ def prefix_pairs(active: DataFrame, texts: DataFrame) -> DataFrame:
     common = own.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
     placed = own.join(common, "shingle").withColumn("left", F.count("*").over(Window.partitionBy("node")) - F.row_number().over(Window.partitionBy("node").orderBy("seen", "shingle")) + 1)
     posts = materialize(placed.where(LINK[0] * F.col("left") >= LINK[1] * F.col("n")).select("shingle", "node", "n", "root", "left"), "prefixes")
-    major = posts.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("shingle", F.col("x.root").alias("major"))
+    of_root = posts.groupBy("shingle", "root").agg(F.count("*").alias("count"), F.min("n").alias("least_n"))
+    major = of_root.groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("x"), F.count("*").alias("roots"), F.min("least_n").alias("least_n")).where("roots > 1").select("shingle", F.col("x.root").alias("major"), "least_n")
     # written before the joins on shingle, so that AQE can split the shuffles of a frequent shingle
-    mixed = materialize(posts.join(materialize(major, "major"), "shingle"), "mixed")
+    # what can't even link with the smallest set of a list is compared with none of it
+    mixed = posts.join(materialize(major, "major"), "shingle").where(sum(LINK) * F.col("left") >= LINK[1] * (F.col("n") + F.col("least_n")))
+    mixed = materialize(mixed.drop("least_n"), "mixed")
     one = mixed.where("root <> major").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("left").alias("lx"))
     two = mixed.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("left").alias("ly"), "major")
     enough = sum(LINK) * F.least("lx", "ly") >= LINK[1] * (F.col("nx") + F.col("ny"))
