@@ -8,8 +8,9 @@ skips read off the signatures, and confirmed on the full sets. At similarity 0.8
 is missed with a probability of about 2e-6.
 
 No group's pairs are all written out. Equal sets are one node. First every text is tried with the one pivot (the
-smallest id of a posting list) it collides with most, and what is linked so becomes a component. Then only lists that
-hold several components are looked at again. Their texts are posted under their rarest shingles, as many as a link
+smallest id of a posting list) it collides with most, and what is linked so becomes a component. Lists that hold several
+components take other pivots in further rounds, while these link enough. Then only lists that still hold several
+components are looked at. Their texts are posted under their rarest shingles, as many as a link
 leaves free to differ, and two are paired where both still have enough shingles after the places where they meet; the
 pairs' collisions are counted on the signatures and MATCHES or more go on to the full sets. So a large group of near
 copies costs a pair for each member, near misses are not paired, and no link between components is lost.
@@ -189,6 +190,38 @@ def prefix_pairs(active: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _mixed_lists(posts: DataFrame) -> DataFrame:
+    """The posts of lists that hold several components."""
+    mixed = posts.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("post")
+    return posts.join(mixed, "post", "left_semi")
+
+
+def more_pivots(live: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Further rounds with other pivots: each list with several components takes one of its largest component, by a hash
+    that changes with the round, and every document of the others tries the pivot that it collides with most. Goes on
+    while a tenth of the tried documents link. live with the roots then, and what roots became (root, top)."""
+    names = live.select("root", F.col("root").alias("top")).where("false")
+    turn = 0
+    while True:
+        turn += 1
+        of_root = live.groupBy("post", "root").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+        pivots = of_root.groupBy("post").agg(F.max(F.struct("members", "root", "pivot")).alias("p"), F.count("*").alias("roots")).where("roots > 1").select("post", F.col("p.root").alias("pivot_root"), "p.pivot")
+        tries = live.join(pivots, "post").where("root <> pivot_root").groupBy("node", "pivot").agg(F.count("*").alias("collisions"))
+        best = tries.groupBy("node").agg(F.max(F.struct("collisions", "pivot")).alias("x")).where(F.col("x.collisions") >= MATCHES - 1)
+        best = materialize(best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b")), "tries")
+        found = materialize(confirmed(best, texts), "found")
+        tried, n = best.count(), found.count()
+        if n:
+            own = live.select("node", "root").distinct()
+            edges = found.join(own.toDF("a", "root_a"), "a").join(own.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+            joined = materialize(components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")), "joined")
+            later = joined.toDF("old", "new")
+            names = materialize(names.join(later, names["top"] == later["old"], "left").select("root", F.coalesce("new", "top").alias("top")).union(joined), "names")
+            live = materialize(live.join(joined, "root", "left").select("post", "node", "n", F.coalesce("top", "root").alias("root")), "live_posts")
+        if 10 * n < tried or not n:
+            return live, names
+
+
 def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
@@ -205,12 +238,14 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = texts.join(posts.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     texts = materialize(texts, "node_texts")
     stars = posts.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("collisions"))
-    best = stars.groupBy("node").agg(F.max(F.struct("collisions", -F.col("pivot"))).alias("x")).where(F.col("x.collisions") >= MATCHES - 1).select((-F.col("x.col2")).alias("a"), F.col("node").alias("b"))
+    best = stars.groupBy("node").agg(F.max(F.struct("collisions", "pivot")).alias("x")).where(F.col("x.collisions") >= MATCHES - 1).select(F.col("x.pivot").alias("a"), F.col("node").alias("b"))
     roots = components(confirmed(best, texts))
     first = materialize(posts.join(roots, "node", "left").select("post", "node", "n", F.coalesce("root", "node").alias("root")), "posts_rooted")
+    live, names = more_pivots(materialize(_mixed_lists(first), "live_posts"), texts)
+    current = nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    current = materialize(current.join(names, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots_now")
 
-    mixed = first.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("post")
-    active = materialize(first.join(mixed, "post").select("node", "n", "root").distinct(), "active")
+    active = materialize(_mixed_lists(live).select("node", "n", "root").distinct(), "active")
     pairs = prefix_pairs(active, texts)
     sides = nodes.select("node", "base")
     pairs = pairs.join(sides.select(F.col("node").alias("a"), F.col("base").alias("base_a")), "a").join(sides.select(F.col("node").alias("b"), F.col("base").alias("base_b")), "b").where(may_link("base_a", "base_b")).select("a", "b").distinct()
@@ -219,11 +254,10 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_id = materialize(rows.where("id is not null").select("id", "set_key").join(nodes.select("set_key", "node"), "set_key").select("id", "node").distinct(), "nodes_of_ids")
     several = of_id.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
     more = more.union(of_id.join(several, "id").where("node > a").select("a", F.col("node").alias("b")))
-    root_of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    across = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    root_of = lambda k: current.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    across = more.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    top = F.coalesce("top", "root").alias("component")
-    tops = nodes.select("set_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left").select("set_key", "node", top)
+    tops = nodes.select("set_key", "node").join(current, "node").join(joined, "root", "left").select("set_key", "node", F.coalesce("top", "root").alias("component"))
     by_id = of_id.join(tops.select("node", "component").distinct(), "node").groupBy("id").agg(F.min("component").alias("component"))
     named = rows.where("id is not null").join(by_id, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     unnamed = rows.where("id is null").join(tops.select("set_key", "component"), "set_key", "left").select("id", "n_shingles", F.col("component").alias("component_id"))
