@@ -158,6 +158,31 @@ def table_lit():
     return F.lit("x")
 
 
+@pytest.mark.parametrize("runs", [3, 64])
+def test_exact_dedup_of_thousands_of_keys_in_small_batches(spark, runs):
+    rng = random.Random(runs)
+    rows = [(i, f"text {rng.randrange(2500)}") for i in range(6000)]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "97")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(docs, runs=runs).collect()}
+        kept = sorted(r.doc_id for r in exact_dedup.drop_copies(docs, runs=runs).collect())
+    finally:
+        spark.conf.unset(setting)
+    assert got == {i: (min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in rows}
+    assert kept == sorted(map(min, groups.values()))
+
+
+def test_a_run_out_of_order_is_an_error():
+    keys = np.array([b"b" * 48, b"a" * 48], "S48")
+    with pytest.raises(ValueError, match="ascend"):
+        list(exact_dedup.sent(0, 0, exact_dedup.Run(keys, exact_dedup.pa.array([1, 2], exact_dedup.pa.int64()), np.ones(2, np.int64)), 0, 1))
+
+
 def test_runs_merge_without_a_sort():
     rng = np.random.default_rng(3)
     pa = exact_dedup.pa

@@ -47,6 +47,21 @@ class Run:
     def __init__(self, keys: np.ndarray, ids: pa.Array, copies: np.ndarray):
         self.keys, self.ids, self.copies = keys, ids, copies
 
+    @classmethod
+    def of(cls, keys: pa.Array, ids: pa.Array, copies: np.ndarray) -> Run:
+        """Rows in the order of their keys, folded key by key: pyarrow's groups come in any order, so they are numbered."""
+        flat = np.frombuffer(b"".join(keys.to_pylist()), KEYS)
+        first = np.append(True, flat[1:] != flat[:-1])
+        rows = pa.table({"group": np.cumsum(first), "id": ids, "copies": copies})
+        got = rows.group_by("group", use_threads=False).aggregate([("id", "min"), ("copies", "sum")]).sort_by("group")
+        return cls(flat[first], got.column("id_min").combine_chunks().cast(ids.type), got.column("copies_sum").to_numpy()).ascending()
+
+    def ascending(self) -> Run:
+        """Itself; a run whose keys do not ascend is an error, as all merges take it that they do."""
+        if not (self.keys[1:] > self.keys[:-1]).all():
+            raise ValueError("the keys of a run do not ascend")
+        return self
+
     def __len__(self) -> int:
         return len(self.keys)
 
@@ -76,7 +91,7 @@ class Run:
 
 def sent(run: int, source: int, of: Run, k: int, bits: int) -> Iterator[pa.RecordBatch]:
     """The chunks of a run after k rounds, each to the run that it goes to in the next one."""
-    pieces = [(run, of)]
+    pieces = [(run, of.ascending())]
     if k < bits:
         place = bits - 1 - k
         cut = int(((of.owners(bits) >> np.uint32(place)) & np.uint32(1) == 0).sum())
@@ -98,26 +113,26 @@ def read_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Run]]:
 def form_runs(bits: int):
     """Rows (run, key, id) sorted by run and key to chunks of the first runs."""
 
-    def flush(run: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = np.frombuffer(b"".join(held.column("key").to_pylist()), KEYS)
-        yield from sent(run, run, Run(keys, held.column("id").combine_chunks(), held.column("copies").to_numpy()), 0, bits)
-
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_run = None, -1
         for batch in batches:
-            whole = pa.Table.from_batches([batch]).append_column("copies", pa.array(np.ones(batch.num_rows, np.int64)))
-            for run in pc.unique(whole.column("run")).to_pylist():
-                part = whole.filter(pc.equal(whole.column("run"), run)).select(["key", "id", "copies"])
+            runs = batch.column("run").to_numpy()
+            cuts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                run, part = int(runs[lo]), batch.slice(lo, hi - lo)
+                got = Run.of(part.column("key"), part.column("id"), np.ones(hi - lo, np.int64))
                 if held is not None and run != held_run:
-                    yield from flush(held_run, held)
+                    yield from sent(held_run, held_run, held, 0, bits)
                     held = None
-                part = pa.concat_tables([held, part]) if held is not None else part
-                got = part.group_by("key", use_threads=False).aggregate([("id", "min"), ("copies", "sum")]).rename_columns(["key", "id", "copies"]).cast(part.schema)
+                if held is not None:
+                    got = held.with_(got)
                 if len(got) > 1:  # the last key may go on in the next batch
-                    yield from flush(run, got.slice(0, len(got) - 1))
-                held, held_run = got.slice(len(got) - 1), run
+                    yield from sent(run, run, got.part(0, len(got) - 1), 0, bits)
+                held, held_run = got.part(len(got) - 1, len(got)), run
         if held is not None:
-            yield from flush(held_run, held)
+            yield from sent(held_run, held_run, held, 0, bits)
 
     return form
 
@@ -132,6 +147,7 @@ def merge_runs(k: int, bits: int):
                 if held is not None and run != held_run:
                     yield from sent(held_run, held_run, held, k, bits)
                     held = None
+                chunk.ascending()
                 if held is None:
                     held, held_run = chunk, run
                     continue
