@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treescan.llm import bpe, exact_dedup, importance, mixing, near_dedup, quality_rules, sharding, suffix_tree, toxicity, url_reputation
-from treescan.llm.common import table
+from treescan.llm import bpe, exact_dedup, importance, merkle, mixing, near_dedup, quality_rules, sharding, suffix_tree, toxicity, url_reputation
+from treescan.llm.common import UPPER, crc_of_id, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col(f"{mixed.columns[-1]}.*"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all fields, held against texts that are lower-cased for the ids whose crc32 3 divides."""
+    lowered = F.translate("text", UPPER.decode(), UPPER.decode().lower())
+    text = F.when(F.col("doc_id").isNotNull() & (crc_of_id("doc_id") % 3 == 0), lowered).otherwise(F.col("text"))
+    proofs = merkle.proofs(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], told={"text": text})
+    root = merkle.folded(F.col("told"), F.col("steps"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op7_quality_classifier, op8_toxicity, op9_url_filters, op10_mixing)
+    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op7_quality_classifier, op8_toxicity, op9_url_filters, op10_mixing, op12_merkle_manifest)
 }
 
 OP4_SQL = r"""
@@ -109,5 +118,31 @@ v AS (SELECT p.page_id, p.host, p.path, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(blocked, false) THEN 'block' ELSE 'allow' END AS verdict FROM v
 """
 
+#: crc32 of a list of bytes: a bit at a time.
+CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], {bytes}), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, o: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"
+CRC_OF_ID = CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, coalesce('=' || lang, '-') AS tree, CASE WHEN {CRC_OF_ID} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS said FROM documents),
+l AS (SELECT doc_id, tree, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="said")} AS told FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM l),
+v AS (SELECT tree, 0 AS level, pos, size, leaf AS h FROM n UNION ALL SELECT tree, level + 1, pos // 8, (size + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM v WHERE size > 1 GROUP BY tree, level, pos // 8, size),
+s AS (SELECT tree, level AS height, h, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS size FROM v WHERE size = 1),
+u AS (SELECT 0 AS level, rank AS pos, size, h FROM s UNION ALL SELECT level + 1, pos // 8, (size + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE size > 1 GROUP BY level, pos // 8, size),
+steps AS (
+    SELECT n.tree, n.pos, v.level, coalesce(string_agg(v.h, '' ORDER BY v.pos) FILTER (v.pos < n.pos // (8 ** v.level)::BIGINT), '') AS l, coalesce(string_agg(v.h, '' ORDER BY v.pos) FILTER (v.pos > n.pos // (8 ** v.level)::BIGINT), '') AS r
+    FROM n JOIN v ON v.tree = n.tree AND v.size > 1 AND v.pos // 8 = n.pos // ((8 ** (v.level + 1))::BIGINT) GROUP BY n.tree, n.pos, v.level
+    UNION ALL
+    SELECT n.tree, n.pos, s.height + u.level, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < s.rank // (8 ** u.level)::BIGINT), ''), coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > s.rank // (8 ** u.level)::BIGINT), '')
+    FROM n JOIN s ON s.tree = n.tree JOIN u ON u.size > 1 AND u.pos // 8 = s.rank // ((8 ** (u.level + 1))::BIGINT) GROUP BY n.tree, n.pos, s.height, u.level),
+p AS (SELECT tree, pos, string_agg(l || r, '' ORDER BY level) AS proof, list(struct_pack(l := l, r := r) ORDER BY level) AS steps FROM steps GROUP BY tree, pos),
+f AS (SELECT n.tree, n.pos, 0 AS k, n.told AS h, p.steps FROM n LEFT JOIN p ON p.tree = n.tree AND p.pos = n.pos UNION ALL SELECT tree, pos, k + 1, sha256(steps[k + 1].l || h || steps[k + 1].r), steps FROM f WHERE k < len(steps)),
+e AS (SELECT tree, pos, arg_max(h, k) AS folded_root FROM f GROUP BY tree, pos)
+SELECT n.doc_id, n.leaf, s.h AS subroot, u.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = u.h AS verified
+FROM n JOIN s ON s.tree = n.tree JOIN u ON u.size = 1 JOIN e ON e.tree = n.tree AND e.pos = n.pos LEFT JOIN p ON p.tree = n.tree AND p.pos = n.pos
+"""
+
 #: DuckDB SQL with the same rows, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_url_filters": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_url_filters": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
