@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treescan.llm import bpe, exact_dedup, importance, merkle, mixing, near_dedup, quality_rules, sharding, suffix_tree, toxicity, url_reputation
-from treescan.llm.common import UPPER, crc_of_id, table
+from treescan.llm import bpe, exact_dedup, importance, merkle, mixing, near_dedup, quality_rules, sharding, spelling, suffix_tree, toxicity, url_reputation
+from treescan.llm.common import UPPER, crc_of_id, materialize, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = materialize(spelling.vocabulary(table(spark, sf_dir, "documents")), "vocabulary")
+    return spelling.group_variants(words)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op7_quality_classifier, op8_toxicity, op9_url_filters, op10_mixing, op12_merkle_manifest)
+    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op7_quality_classifier, op8_toxicity, op9_url_filters, op10_mixing, op12_merkle_manifest, op13_spelling_variants)
 }
 
 OP4_SQL = r"""
@@ -144,5 +149,24 @@ SELECT n.doc_id, n.leaf, s.h AS subroot, u.h AS root, sha256(coalesce(p.proof, '
 FROM n JOIN s ON s.tree = n.tree JOIN u ON u.size = 1 JOIN e ON e.tree = n.tree AND e.pos = n.pos LEFT JOIN p ON p.tree = n.tree AND p.pos = n.pos
 """
 
+_BYTES = "flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 + ord(x) // 64, 128 + ord(x) % 64]::BIGINT[] END))"
+
+OP13_SQL = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+o AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, {CRC.format(bytes=_BYTES)} AS h FROM o),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+c AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+d AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM c),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+    UNION ALL SELECT DISTINCT d.word, d.n, w.word, w.n FROM d JOIN w ON d.rest = w.word
+    UNION ALL SELECT DISTINCT w.word, w.n, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (SELECT w.word, w.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.near_n >= 10 * w.n THEN k.near END AS form, CASE WHEN k.near_n >= 10 * w.n THEN k.near_n END AS form_n FROM w LEFT JOIN k ON k.word = w.word AND k.place = 1),
+u AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT u.word, f.word, f.form FROM u JOIN f ON f.word = u.up)
+SELECT f.word, f.form, u.root, f.n, f.n_near, f.form_n FROM f JOIN u ON u.word = f.word AND u.up IS NULL
+"""
+
 #: DuckDB SQL with the same rows, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_url_filters": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_url_filters": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_spelling_variants": OP13_SQL}
