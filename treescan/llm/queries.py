@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treescan.llm import bpe, exact_dedup, importance, merkle, mixing, near_dedup, quality_rules, sharding, spelling, suffix_tree, toxicity, url_reputation
+from treescan.llm import bpe, exact_dedup, importance, merkle, mixing, near_dedup, ngram_join, quality_rules, sharding, spelling, suffix_tree, toxicity, url_reputation
 from treescan.llm.common import UPPER, crc_of_id, materialize, table
 
 
@@ -70,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col(f"{mixed.columns[-1]}.*"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.find_links(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all fields, held against texts that are lower-cased for the ids whose crc32 3 divides."""
     lowered = F.translate("text", UPPER.decode(), UPPER.decode().lower())
@@ -86,7 +90,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op7_quality_classifier, op8_toxicity, op9_url_filters, op10_mixing, op12_merkle_manifest, op13_spelling_variants)
+    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_sharding, op4_exact_dedup, op5_lm_scoring, op6_byte_level_bpe, op7_quality_classifier, op8_toxicity, op9_url_filters, op10_mixing, op11_ngram_jaccard_join, op12_merkle_manifest, op13_spelling_variants)
 }
 
 OP4_SQL = r"""
@@ -123,6 +127,21 @@ v AS (SELECT p.page_id, p.host, p.path, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(blocked, false) THEN 'block' ELSE 'allow' END AS verdict FROM v
 """
 
+#: Components of documents by distinct shingles of {k} words; a link is 100 * intersection >= 85 * union.
+_LINKS = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k} - 1], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.k >= 85 * (x.n + y.n - p.k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT doc_id, min(reach) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id{more} FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+OP2_SQL = _LINKS.format(k=5, more=", coalesce(c.least, d.doc_id) = d.doc_id AS kept")
+OP11_SQL = _LINKS.format(k=4, more="")
+
 #: crc32 of a list of bytes: a bit at a time.
 CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], {bytes}), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, o: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"
 CRC_OF_ID = CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")
@@ -169,4 +188,4 @@ SELECT f.word, f.form, u.root, f.n, f.n_near, f.form_n FROM f JOIN u ON u.word =
 """
 
 #: DuckDB SQL with the same rows, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_url_filters": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL, "op11_ngram_jaccard_join": OP11_SQL, "op4_exact_dedup": OP4_SQL, "op9_url_filters": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_spelling_variants": OP13_SQL}
