@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from treescan.llm import ngram_join
-from treescan.llm.ngram_join import ColumnBlock, product, shared_columns
+from treescan.llm.ngram_join import product, shared_columns
 
 SCHEMA = "doc_id long, text string"
 
@@ -105,7 +105,12 @@ def test_frequent_columns_leave_a_block_early(monkeypatch):
     monkeypatch.setattr(ngram_join, "CLASSES", 16)
     rng = random.Random(1)
     rows = [(c, sorted({7, *rng.sample(range(10, 400), 5)})) for c in range(200)]
-    batches = [ngram_join._rows(np.zeros(sum(len(g) for _, g in part), np.int64), np.repeat([c for c, _ in part], [len(g) for _, g in part]), np.array([x for _, g in part for x in g], np.uint64)) for part in (rows[:90], rows[60:90], rows[90:])]
+    cells = lambda g: b"".join(x.to_bytes(ngram_join.CELL, "big") for x in g)
+    batch = lambda block, part: ngram_join.pa.RecordBatch.from_pydict({"block": [block] * len(part), "code": [c for c, _ in part], "cells": [cells(g) for _, g in part]})
+    batches = [batch(0, part) for part in (rows[:90], rows[60:90], rows[90:])]
+    past = [r for b in shared_columns(iter([batch(-1, [(1, [5, 6])]), batch(-1, [(1, [5, 6]), (2, [6])])])) for r in b.to_pylist()]
+    assert [(r["code"], len(r["grams"]), set(r["classes"])) for r in past] == [(1, 2, {16}), (2, 1, {16})]
+    assert past[0]["grams"][1] == past[1]["grams"][0] != 6
     got = {}
     for b in shared_columns(iter(batches)):
         for r in b.to_pylist():
@@ -116,4 +121,3 @@ def test_frequent_columns_leave_a_block_early(monkeypatch):
         for x in g:
             df[x] = df.get(x, 0) + 1
     assert got == {(c, x): min(df[x], 16) for c, g in rows for x in g if df[x] > 1}
-    assert len(ColumnBlock().full) == 0

@@ -18,7 +18,9 @@ formed whole; what the size of a set says about the overlap that a link needs di
    components, at most one less than its rows.
 
 So a large group of near copies costs a product with a pivot for each row; rows that just miss it meet it in blocks of
-the matrix, not pair by pair. Every pair of different sets that links is found (columns are 64-bit hashes of n-grams).
+the matrix, not pair by pair. Every pair of different sets that links is found. A column is the hash of an n-gram,
+of 48 bits and the bits that number the block, so a hash gets longer as the corpus grows; a pair of 450 n-grams each is
+miscounted with a chance of 1e-10 or less.
 
 Null and empty texts have an empty set and no links; a text of fewer words than N has its whole sequence as its one
 n-gram. Rows that repeat an id are one document, with the links of all their texts. Rows without id get the component of
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +45,11 @@ N = 4
 #: Link where LINK[0] * intersection >= LINK[1] * union.
 LINK = (100, 85)
 #: Cells of a column block, about. Columns of more than 1 / OFTEN of all cells go past the blocks.
-BLOCK_CELLS, OFTEN = 2_000_000, 20_000
-#: Frequencies from here on are one class; columns that go past the blocks are of the class after it.
-CLASSES = 1 << 16
+BLOCK_CELLS, OFTEN = 4_000_000, 20_000
+#: Bytes of a column's name besides its block, so names have 48 bits and as many more as there are blocks.
+CELL = 6
+#: Frequencies from here on are one class.
+CLASSES = (1 << 15) - 1
 #: A row block has at most so many rows, and so many cells unless a single row has more.
 ROWS, ROW_CELLS = 128, 2_000_000
 #: Columns of a chunk of a product.
@@ -108,7 +113,8 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def incidence(bits: int, often: np.ndarray):
-    """Texts to rows (block, code, grams): of each set its cells in each of 2^bits column blocks. Block -1 has the frequent columns."""
+    """Texts to rows (block, code, cells): of each set its columns in each of 2^bits blocks, CELL bytes for each. Frequent
+    columns go by numbers below 0, dealt by code."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,24 +122,33 @@ def incidence(bits: int, often: np.ndarray):
                 distinct = {_code(s): s for s in sets if len(s)}
                 if not distinct:
                     continue
-                grams = np.concatenate(list(distinct.values()))
+                grams = named(np.concatenate(list(distinct.values())), bits)
                 code = np.repeat(np.array(list(distinct)), [len(s) for s in distinct.values()])
-                block = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
-                block[np.isin(grams, often)] = -1
-                order = np.lexsort((grams, block, code)) if (block < 0).any() else np.arange(len(grams))
-                yield _rows(block[order], code[order], grams[order])
+                block = (grams >> np.uint64(8 * CELL)).astype(np.int64)
+                past = np.isin(grams, often)
+                block[past] = -1 - (code[past] & ((1 << bits) - 1))
+                order = np.lexsort((grams, block, code)) if past.any() else np.arange(len(grams))
+                block, code, grams = block[order], code[order], grams[order]
+                first = _firsts(block, code)
+                cells = grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - CELL :].tobytes()
+                ends = pa.py_buffer((np.append(first, len(block)) * CELL).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(code[first]), pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(cells)])], names=["block", "code", "cells"])
 
     return deal
 
 
-def _rows(block: np.ndarray, code: np.ndarray, grams: np.ndarray, classes: np.ndarray | None = None) -> pa.RecordBatch:
-    """Cells, those of a block and code one after the other, to a row for each block and code."""
-    first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (code[1:] != code[:-1]))[: len(block)])
-    ends = pa.array(np.append(first, len(block)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64)))]
-    if classes is None:
-        return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int64()), pa.array(code[first], pa.int64()), *lists], names=["block", "code", "grams"])
-    return pa.RecordBatch.from_arrays([pa.array(code[first], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(classes.astype(np.int32))), *lists], names=["code", "classes", "grams"])
+def named(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes cut to the leading bits that number the block and CELL bytes after them: as many more as the corpus is larger."""
+    return grams >> np.uint64(max(0, 64 - bits - 8 * CELL))
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
 class ColumnBlock:
@@ -147,8 +162,12 @@ class ColumnBlock:
         self.cells = 0
         self.full = np.zeros(0, np.uint64)
 
+    def unseen(self, codes: np.ndarray) -> np.ndarray:
+        """Copies say the same again."""
+        return np.array([c not in self.seen and not self.seen.add(c) for c in codes.tolist()], bool)
+
     def add(self, codes: np.ndarray, ends: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.array([c not in self.seen and not self.seen.add(c) for c in codes.tolist()], bool)  # copies say the same
+        new = self.unseen(codes)
         keep = np.repeat(new, np.diff(ends))
         code, grams = np.repeat(codes, np.diff(ends))[keep], grams[keep]
         if len(self.full):
@@ -173,7 +192,10 @@ class ColumnBlock:
     @staticmethod
     def _out(code: np.ndarray, grams: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(code):
-            yield _rows(np.zeros(len(code), np.int64), code, grams, np.minimum(df, CLASSES))
+            first = _firsts(code)
+            ends = pa.array(np.append(first, len(code)).astype(np.int32))
+            classes = pa.ListArray.from_arrays(ends, pa.array(np.minimum(df, CLASSES).astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([pa.array(code[first]), classes, pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64)))], names=["code", "classes", "grams"])
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if self.codes:
@@ -182,25 +204,37 @@ class ColumnBlock:
             yield from self._out(code[shared], grams[shared], df[shared])
 
 
+class PastBlock(ColumnBlock):
+    """Frequent columns: all go on, in the last class."""
+
+    def add(self, codes: np.ndarray, ends: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = self.unseen(codes)
+        keep = np.repeat(new, np.diff(ends))
+        yield from self._out(np.repeat(codes, np.diff(ends))[keep], grams[keep], np.full(int(keep.sum()), CLASSES))
+
+
 def shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, code, grams), those of a block one after the other, to rows (code, classes, grams) of the columns that
+    """Rows (block, code, cells), those of a block one after the other, to rows (code, classes, grams) of the columns that
     several codes have."""
     block, at = ColumnBlock(), None
     for batch in batches:
         numbers = batch.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        cuts = np.append(_firsts(numbers), len(numbers)).tolist()
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo == hi:
-                continue
-            if at is not None and numbers[lo] != at:
+            if at is None or numbers[lo] != at:
                 yield from block.end()
-                block = ColumnBlock()
-            at = numbers[lo]
-            lists = batch.column("grams").slice(lo, hi - lo)
-            ends = lists.offsets.to_numpy()
-            yield from block.add(batch.column("code").slice(lo, hi - lo).to_numpy(), ends - ends[0], lists.flatten().to_numpy().view(np.uint64))
-    if at is not None:
-        yield from block.end()
+                at = numbers[lo]
+                block = ColumnBlock() if at >= 0 else PastBlock()
+            cells = batch.column("cells").slice(lo, hi - lo)
+            sizes = pc.binary_length(cells).to_numpy() // CELL
+            raw = np.frombuffer(b"".join(cells.to_pylist()), np.uint8).reshape(-1, CELL)
+            grams = np.zeros((len(raw), 8), np.uint8)
+            grams[:, 8 - CELL :] = raw
+            grams = grams.view(">u8").reshape(-1).astype(np.uint64)
+            # a name is unique over the blocks; those of frequent columns need only differ from each other
+            grams |= np.uint64((int(at) if at >= 0 else 1 << (63 - 8 * CELL)) << (8 * CELL))
+            yield from block.add(batch.column("code").slice(lo, hi - lo).to_numpy(), np.append(0, np.cumsum(sizes)), grams)
+    yield from block.end()
 
 
 def least_overlap(a, b):
@@ -343,12 +377,11 @@ def shared_matrix(docs: DataFrame, often: list[int], cells: int) -> DataFrame:
     """code, grams: the columns of each set of docs (text) that other sets have too, in the order of class and hash. often:
     columns that go past the blocks; cells: of the whole matrix, about."""
     bits = max(0, (max(cells, 1) // BLOCK_CELLS).bit_length())
-    dealt = docs.select("text").mapInArrow(incidence(bits, np.array(often, np.int64).view(np.uint64)), "block long, code long, grams array<long>")
-    dealt = materialize(dealt, "incidence")
-    sharing = dealt.where("block >= 0").repartition("block").sortWithinPartitions("block").mapInArrow(shared_columns, "code long, classes array<int>, grams array<long>")
-    past = dealt.where("block < 0").groupBy("code").agg(F.first("grams").alias("grams")).select("code", F.transform("grams", lambda g: F.lit(CLASSES + 1)).alias("classes"), "grams")
+    past = named(np.array(often, np.int64).view(np.uint64), bits)
+    dealt = docs.select("text").mapInArrow(incidence(bits, past), "block long, code long, cells binary")
+    sharing = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(shared_columns, "code long, classes array<smallint>, grams array<long>")
     cell = F.arrays_zip("classes", "grams")
-    matrix = sharing.unionByName(past).groupBy("code").agg(F.sort_array(F.flatten(F.collect_list(cell))).alias("cells"))
+    matrix = sharing.groupBy("code").agg(F.sort_array(F.flatten(F.collect_list(cell))).alias("cells"))
     return materialize(matrix.select("code", F.transform("cells", lambda c: c["grams"]).alias("grams")), "matrix")
 
 
