@@ -46,6 +46,8 @@ N = 4
 LINK = (100, 85)
 #: Cells of a column block, about. Columns of more than 1 / OFTEN of all cells go past the blocks.
 BLOCK_CELLS, OFTEN = 4_000_000, 20_000
+#: Column blocks of a small corpus, so that it is spread over tasks too.
+BLOCKS = 32
 #: Bytes of a column's name besides its block, so names have 48 bits and as many more as there are blocks.
 CELL = 6
 #: Frequencies from here on are one class.
@@ -54,6 +56,8 @@ CLASSES = (1 << 15) - 1
 ROWS, ROW_CELLS = 128, 2_000_000
 #: Columns of a chunk of a product.
 CHUNK = 2048
+#: Codes of at most so many bytes together are broadcast.
+BROADCAST = 8 << 20
 
 _M = np.random.default_rng(20240811).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -373,23 +377,24 @@ def _renamed(rooted: DataFrame, edges: DataFrame) -> DataFrame:
     return rooted.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
-def shared_matrix(docs: DataFrame, often: list[int], cells: int) -> DataFrame:
-    """code, grams: the columns of each set of docs (text) that other sets have too, in the order of class and hash. often:
-    columns that go past the blocks; cells: of the whole matrix, about."""
-    bits = max(0, (max(cells, 1) // BLOCK_CELLS).bit_length())
+def shared_matrix(docs: DataFrame, sizes: DataFrame, often: list[int], cells: int) -> DataFrame:
+    """code, n, grams: the columns of each set of docs (text) that other sets have too, in the order of class and hash.
+    sizes: code, n; often: columns that go past the blocks; cells: of the whole matrix, about."""
+    bits = (max(cells, (BLOCKS - 1) * BLOCK_CELLS) // BLOCK_CELLS).bit_length()
     past = named(np.array(often, np.int64).view(np.uint64), bits)
     dealt = docs.select("text").mapInArrow(incidence(bits, past), "block long, code long, cells binary")
     sharing = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(shared_columns, "code long, classes array<smallint>, grams array<long>")
     cell = F.arrays_zip("classes", "grams")
     matrix = sharing.groupBy("code").agg(F.sort_array(F.flatten(F.collect_list(cell))).alias("cells"))
-    return materialize(matrix.select("code", F.transform("cells", lambda c: c["grams"]).alias("grams")), "matrix")
+    # sizes are grouped by code like the cells, so nothing is shuffled again
+    return materialize(matrix.join(sizes, "code").select("code", "n", F.transform("cells", lambda c: c["grams"]).alias("grams")), "matrix")
 
 
-def prefix_posts(matrix: DataFrame, sizes: DataFrame) -> DataFrame:
+def prefix_posts(matrix: DataFrame) -> DataFrame:
     """gram, code, n: the columns of each row that a link cannot do without, if others have them too."""
     least = F.ceil(LINK[1] * F.col("n") / LINK[0])
     first = F.col("n") - least + 1 - (F.col("n") - F.size("grams"))  # columns of one row come first and need no place
-    posts = matrix.join(sizes, "code").where(first > 0).select("code", "n", F.explode(F.slice("grams", F.lit(1), first.cast("int"))).alias("gram"))
+    posts = matrix.where(first > 0).select("code", "n", F.explode(F.slice("grams", F.lit(1), first.cast("int"))).alias("gram"))
     posts = materialize(posts, "posts")
     lists = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     return posts.join(materialize(lists, "lists"), "gram", "left_semi")
@@ -404,11 +409,14 @@ def find_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     cells = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     # at most 2 * OFTEN columns
     many = rows.select(F.explode("often").alias("o")).groupBy("o.gram").agg(F.sum("o.count").alias("count")).where(F.col("count") * 2 * OFTEN >= cells)
-    matrix = shared_matrix(texts, [r[0] for r in many.select("gram").collect()], cells)
     sizes = rows.where("code is not null").groupBy("code").agg(F.first("n_shingles").alias("n"))
-    live = _several(materialize(prefix_posts(matrix, sizes).withColumn("root", F.col("code")), "posts"))
-    live = materialize(live, "live")
+    matrix = shared_matrix(texts, sizes, [r[0] for r in many.select("gram").collect()], cells)
+    # every list has several rows, and so several components for now
+    live = materialize(prefix_posts(matrix).withColumn("root", F.col("code")), "live")
     current = materialize(live.select("code", "root").distinct(), "roots")
+    # products need the rows of lists only
+    active = current.select("code")
+    matrix = materialize(matrix.drop("n").join(F.broadcast(active) if current.count() * 16 <= BROADCAST else active, "code", "left_semi"), "rows_of_lists")
     turn = 0
     while True:
         turn += 1
