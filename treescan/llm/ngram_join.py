@@ -53,7 +53,7 @@ CELL = 6
 #: Frequencies from here on are one class.
 CLASSES = (1 << 15) - 1
 #: A row block has at most so many rows, and so many cells unless a single row has more.
-ROWS, ROW_CELLS = 128, 2_000_000
+ROWS, ROW_CELLS = 1024, 2_000_000
 #: Columns of a chunk of a product.
 CHUNK = 2048
 #: Codes of at most so many bytes together are broadcast.
