@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treescan.functions.storage import written
+from treescan.operators import contraction
 
 
 def _open(walk: DataFrame) -> int:
@@ -47,9 +48,7 @@ def _rooted(walks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_depth(nodes: DataFrame) -> DataFrame:
     """tu, node_id, depth (edges to the root), root_id; null depth where a walk never ends at a root."""
-    one = F.lit(1).cast("long")
-    ok = _rooted(walks_up(nodes, one, lambda a, b: a + b), nodes).select("tu", "node_id", (F.col("value") - 1).alias("depth"), F.col("top").alias("root_id"))
-    return nodes.select("tu", "node_id").join(ok, ["tu", "node_id"], "left")
+    return contraction.depths(nodes)
 
 
 def path_to_root(nodes: DataFrame) -> DataFrame:
@@ -75,18 +74,10 @@ def label_tree(nodes: DataFrame) -> DataFrame:
     """nodes with depth, size (with itself), pre and post (0-based, the last pre of the subtree). Raises ValueError where
     parents form a cycle.
 
-    Sizes double down the tree; pre is the sum along the path of the sizes of earlier siblings, plus one a step.
+    By contraction: sizes go up, then pre goes down as the sum of the sizes of earlier siblings, plus one a step.
     """
-    base = written(nodes.select("tu", "node_id", "parent_id", "ordinal"), "base")
-    sizes = _gathered_up(base, F.lit(1), F.sum, lambda own, more, _: own + F.coalesce(more, F.lit(0)), "size")
-    sized = base.join(sizes, ["tu", "node_id"])
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("tu", "parent_id").orderBy("ordinal", "node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = F.when(F.col("parent_id").isNull(), 0).otherwise(1)
-    # the size goes along with each node's own steps
-    step = F.struct(edge.cast("long").alias("depth"), (before + edge).cast("long").alias("pre"), "size")
-    sums = walks_up(sized.select("tu", "node_id", "parent_id", step.alias("step")), F.col("step"), lambda a, b: F.struct((a["depth"] + b["depth"]).alias("depth"), (a["pre"] + b["pre"]).alias("pre"), b["size"].alias("size")))
-    labels = sums.select("tu", "node_id", "value.depth", "value.size", "value.pre", (F.col("value.pre") + F.col("value.size") - 1).alias("post"))
-    return nodes.drop("depth", "size", "pre", "post").join(labels, ["tu", "node_id"])
+    found = contraction.labels(nodes).select("tu", "node_id", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("post"))
+    return nodes.drop("depth", "size", "pre", "post").join(found, ["tu", "node_id"])
 
 
 def preorder(labelled: DataFrame) -> DataFrame:
