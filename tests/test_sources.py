@@ -47,21 +47,53 @@ def test_ast_export_round_trip(spark, tmp_path):
     node = lambda kind, line, *kids: {"properties": {"kind": kind, "n": line}, "sourceRange": {"begin": loc(line), "end": loc(line + 1)}, "children": list(kids)}
     doc = node("A", 1, node("B", 2, node("C", 3)), node("D", 4))
     doc["children"][1]["sourceRange"] = {"begin": {"valid": False}, "end": {"valid": False}}
-    rows = [("t", json.dumps(doc)), ("deep", nest(160)), ("bad", "{no"), ("ok", nest(20))]
+    rows = [("t", json.dumps(doc)), ("bad", "{no"), ("none", None), ("ok", nest(20))]
     nodes, rejects = d.read_ast_export(spark.createDataFrame(rows, "tu string, value string"))
-    assert {(r.tu, r.reason) for r in rejects.collect()} == {("deep", "too deep"), ("bad", "not JSON")}
+    assert {(r.tu, r.reason) for r in rejects.collect()} == {("none", "not JSON"), ("bad", "not JSON")}
     got = {r.node_id: (r.parent_id, r.ordinal, r.kind, r.begin_line) for r in nodes.where("tu = 't'").collect()}
     assert got == {"0": (None, 0, "A", 1), "0.0": ("0", 0, "B", 2), "0.0.0": ("0.0", 0, "C", 3), "0.1": ("0", 1, "D", None)}
     assert nodes.where("tu = 'ok'").count() == 20
     again, _ = d.read_ast_export(d.ast_documents(nodes))
     path = str(tmp_path / "exports")
-    d.write_ast_export(nodes, path, buckets=2)
+    d.write_ast_export(nodes, path)
     assert sorted(r.tu for r in d.read_ast_documents(spark, path).collect()) == ["ok", "t"]
     from_files, _ = d.read_ast_export(d.read_ast_documents(spark, path))
     flat = lambda n: sorted((r.tu, r.node_id, r.kind, r.begin_file, r.end_line, str(r.begin_path), str(r.bag)) for r in n.select("*").collect())
     assert flat(again) == flat(nodes) == flat(from_files)
 
 
+def test_a_chain_of_a_thousand_round_trips(spark, tmp_path):
+    rows = [("deep", nest(1000)), ("half", nest(500))]
+    nodes, rejects = d.read_ast_export(spark.createDataFrame(rows, "tu string, value string"), paths=False)
+    assert rejects.isEmpty() and nodes.groupBy("tu").count().where("(tu = 'deep' and count = 1000) or count = 500").count() == 2
+    d.write_ast_export(nodes, str(tmp_path / "exports"))
+    back = {r.tu: r.value for r in d.read_ast_documents(spark, str(tmp_path / "exports")).collect()}
+    assert back == {tu: value.replace(" ", "") for tu, value in rows}
+    d.write_ast_files(nodes, str(tmp_path / "files"))
+    for tu, value in rows:
+        parts = sorted((tmp_path / "files" / f"tu={tu}").glob("part-*"))
+        assert "".join(p.read_text() for p in parts).replace("\n", "") == value.replace(" ", "")
+    again, _ = d.read_ast_export(spark.createDataFrame(list(back.items()), "tu string, value string"), paths=False)
+    assert again.agg(F.max("depth")).first()[0] == 999 and again.count() == 1500
+
+
+def test_documents_are_read_with_keys_in_any_order_or_refused(spark):
+    fine = {
+        "order": ('{ "children" : [ {"children":[],"properties":{"kind":"B"}} , {"properties":{"kind":"C"},"x":[{}]} ] , "properties" : {"kind":"A"} }', [("0", "A"), ("0.0", "B"), ("0.1", "C")]),
+        "odd": ('{"children":[7,"a,]}",null,{}],"properties":{"kind":"A","s":"}]\\""}}', [("0", "A"), ("0.0", None), ("0.1", None), ("0.2", None), ("0.3", None)]),
+        "value": ("[1, 2]", [("0", None)]),
+        "none": ('{"children":{"a":1}}', [("0", None)]),
+    }
+    bad = ["", " ", "{", "{}{}", '{"children":[}', '{"children":[{}', '{"children":[{}}', '{"a":1,}', '{"a" 1}', '{"children":[{},]}', '{"properties":NaN}', "{'a':1}", '{"children":[{}]', "{1:2}"]
+    rows = [(k, v[0]) for k, v in fine.items()] + [(f"bad{i}", t) for i, t in enumerate(bad)]
+    nodes, rejects = d.read_ast_export(spark.createDataFrame(rows, "tu string, value string"))
+    assert sorted(r.tu for r in rejects.collect()) == sorted(f"bad{i}" for i in range(len(bad)))
+    got = {}
+    for r in nodes.collect():
+        got.setdefault(r.tu, []).append((r.node_id, r.kind))
+    assert {k: sorted(v, key=lambda x: x[0]) for k, v in got.items()} == {k: v[1] for k, v in fine.items()}
+
+
 def test_flat_nodes_and_project_tables(spark, tmp_path):
     nodes, _ = d.read_ast_export(spark.createDataFrame([("t", nest(5))], "tu string, value string"))
     path = str(tmp_path / "flat")

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treescan.functions.columns import project_key
 from treescan.functions.storage import written
+from treescan.operators import contraction
 from treescan.operators.commands import split_arguments
 from treescan.operators.includes import attach_errors
 from treescan.operators.logs import wire_lines
+from treescan.sources import nested
 
 COMMAND = "directory string, file string, command string, arguments array<string>, _corrupt_record string"
 HEADER = "array<struct<path: string, direct: boolean, inclusionKind: string>>"
 DOCUMENT = f"statistics struct<totalCount: long, successCount: long, failureCount: long, totalHeaderCount: long>, files array<struct<path: string, headerCount: long, headers: {HEADER}, partialData: boolean, error: string>>, errors array<struct<filePath: string, message: string>>, _corrupt_record string"
-#: Nested documents deeper than this go to the reject table: the parser's stack ends somewhat later.
-MAX_NESTING = 300
 
 
 def read_compile_commands(spark: SparkSession, path: str, project: str) -> DataFrame:
@@ -63,63 +63,58 @@ def write_dependencies(tus: DataFrame, headers: DataFrame, errors: DataFrame, re
     dependency_documents(tus, headers, errors, requested).write.partitionBy("project").text(path)
 
 
-def nesting(text: Column) -> Column:
-    """Depth of brackets of a JSON text, outside strings."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
-    step = lambda acc, x: F.struct((acc["d"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(acc["m"], acc["d"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("m"))
-    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda acc, x: F.when(x == "", acc).otherwise(step(acc, x)), lambda acc: acc["m"])
-
-
-def read_ast_export(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_ast_export(docs: DataFrame, paths: bool = True) -> tuple[DataFrame, DataFrame]:
     """docs (tu, value: a JSON export {properties, sourceRange, children}) to nodes (tu, node_id, parent_id, ordinal,
-    depth, path of ordinals, bag, positions) and rejects (tu, reason). Each round opens one level of children."""
-    measured = docs.withColumn("_deep", nesting(F.col("value")))
-    fit = measured.where(F.col("_deep") <= MAX_NESTING).withColumn("v", F.try_parse_json("value"))
-    rejects = measured.where(F.col("_deep") > MAX_NESTING).select("tu", F.lit("too deep").alias("reason")).union(fit.where("v is null").select("tu", F.lit("not JSON").alias("reason")))
-    level = fit.where("v is not null").select("tu", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("ordinal"), F.array(F.lit(0)).alias("path"), "v")
-    out = None
-    for depth in range(MAX_NESTING):
-        level = written(level.withColumn("node_id", F.array_join("path", ".")), "level")
-        rows = level.select("tu", "node_id", "parent_id", "ordinal", F.lit(depth).cast("long").alias("depth"), "path", F.try_variant_get("v", "$.properties", "variant").alias("bag"), F.try_variant_get("v", "$.sourceRange", "variant").alias("range"))
-        out = rows if out is None else out.union(rows)
-        children = F.try_variant_get("v", "$.children", "array<variant>")
-        nxt = level.where(F.size(children) > 0)
-        if nxt.isEmpty():
-            break
-        level = nxt.select("tu", F.col("node_id").alias("parent_id"), "path", F.posexplode(children).alias("ordinal", "v")).select("tu", "parent_id", F.col("ordinal").cast("long").alias("ordinal"), F.concat("path", F.array("ordinal")).alias("path"), "v")
-    get = lambda end, key, kind: F.try_variant_get("range", f"$.{end}.{key}", kind)
+    depth, path of ordinals, bag, positions) and rejects (tu, reason). Depth has no limit. Ids are paths of ordinals, which
+    add up to the square of the depth; without paths they are numbers in the order of the document."""
+    found = written(docs.select(F.col("tu").cast("string").alias("tu"), "value").mapInArrow(nested.read_nodes(paths), nested.NODE), "nodes")
+    get = lambda end, key, kind: F.try_variant_get("at", f"$.{end}.{key}", kind)
     places = {f"{end}_{name}": F.when(F.coalesce(get(end, "valid", "boolean"), F.lit(True)) & (get(end, "fileId", "long") > 0), get(end, key, kind)) for end in ("begin", "end") for name, key, kind in (("file", "fileId", "long"), ("line", "line", "long"), ("col", "column", "long"), ("path", "filePath", "string"))}
+    rows = found.where("reason is null").withColumns({"bag": F.try_parse_json("bag"), "at": F.try_parse_json("range")})
     kind = F.try_variant_get("bag", "$.kind", "string")
-    return out.select("tu", "node_id", "parent_id", "ordinal", "depth", "path", kind.alias("kind"), "bag", *[c.alias(n) for n, c in places.items()]), rejects
+    nodes = rows.select("tu", "node_id", "parent_id", "ordinal", "depth", "path", kind.alias("kind"), "bag", *[c.alias(n) for n, c in places.items()])
+    return nodes, found.where("reason is not null").select("tu", "reason")
 
 
-def ast_documents(nodes: DataFrame) -> DataFrame:
-    """nodes as read_ast_export gives them to (tu, value): nested JSON of each root, children in order, bottom up."""
+def ast_events(nodes: DataFrame) -> DataFrame:
+    """nodes as read_ast_export gives them to (tu, root_id, pre, text): a node's own text in the order of the tree, with as
+    many ends after it as subtrees end there. The texts of a root put together are its nested document, and their length
+    is that of the nodes' own texts."""
     place = lambda end: F.when(F.col(f"{end}_file") > 0, F.to_json(F.struct(F.lit(True).alias("valid"), F.col(f"{end}_file").alias("fileId"), F.col(f"{end}_line").alias("line"), F.col(f"{end}_col").alias("column"), F.col(f"{end}_path").alias("filePath")))).otherwise('{"valid":false}')
     head = F.concat(F.lit('{"properties":'), F.coalesce(F.to_json("bag"), F.lit("{}")), F.lit(',"sourceRange":{"begin":'), place("begin"), F.lit(',"end":'), place("end"), F.lit('},"children":['))
-    rows = written(nodes.select("tu", "node_id", "parent_id", "ordinal", "depth", head.alias("head")), "heads")
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    done = None
-    for depth in range(deepest, -1, -1):
-        level = rows.where(F.col("depth") == depth)
-        if done is not None:
-            below = done.groupBy("tu", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "value"))).alias("l")).select("tu", "node_id", F.array_join(F.transform("l", lambda x: x["value"]), ",").alias("inner"))
-            level = level.join(below, ["tu", "node_id"], "left")
-        else:
-            level = level.withColumn("inner", F.lit(""))
-        done = written(level.select("tu", "parent_id", "ordinal", F.concat("head", F.coalesce("inner", F.lit("")), F.lit("]}")).alias("value")), "documents")
-    return done.select("tu", "value")
-
-
-def write_ast_export(nodes: DataFrame, path: str, buckets: int = 64) -> None:
-    """Exports as lines of JSON with tu and the export, in a folder for each bucket of TUs."""
-    docs = ast_documents(nodes).withColumn("bucket", F.pmod(F.xxhash64("tu"), F.lit(buckets)).cast("int"))
-    docs.write.partitionBy("bucket").json(path)
+    labels = contraction.labels(nodes).where("root_id is not null")
+    ends = labels.groupBy("tu", (F.col("pre") + F.col("size") - 1).alias("pre")).agg(F.count("*").cast("int").alias("ends"))
+    rows = labels.join(ends, ["tu", "pre"], "left").select("tu", "node_id", "root_id", "pre", F.col("depth").alias("_depth"), F.coalesce("ends", F.lit(0)).alias("ends"))
+    comma = F.when((F.col("ends") > 0) & (F.col("ends") <= F.col("_depth")), ",").otherwise("")
+    text = F.concat(head, F.repeat(F.lit("]}"), F.col("ends")), comma)
+    return nodes.drop("root_id", "pre").join(rows, ["tu", "node_id"]).select("tu", "root_id", "pre", text.alias("text"))
+
+
+def _documents(events: DataFrame) -> DataFrame:
+    whole = F.array_sort(F.collect_list(F.struct("pre", "text")))
+    return events.groupBy("tu", "root_id").agg(whole.alias("all")).select("tu", F.array_join(F.transform("all", lambda e: e["text"]), "").alias("value"))
+
+
+def ast_documents(nodes: DataFrame) -> DataFrame:
+    """nodes as read_ast_export gives them to (tu, value): nested JSON of each root, children in order. A document is one
+    value here; write_ast_export has no such bound."""
+    return _documents(ast_events(nodes))
+
+
+def write_ast_export(nodes: DataFrame, path: str) -> None:
+    """Exports as lines (tu, root_id, pre, text) in order of document and place, so that many tasks write a large one."""
+    ast_events(nodes).repartitionByRange("tu", "root_id", "pre").sortWithinPartitions("tu", "root_id", "pre").write.json(path)
+
+
+def write_ast_files(nodes: DataFrame, path: str) -> None:
+    """A folder tu=... for each tu with one root: its files put together, in order of name, are the JSON document."""
+    rows = ast_events(nodes).repartitionByRange("tu", "root_id", "pre").sortWithinPartitions("tu", "root_id", "pre")
+    rows.select("tu", F.col("text").alias("value")).write.partitionBy("tu").text(path)
 
 
 def read_ast_documents(spark: SparkSession, path: str) -> DataFrame:
     """tu and value of exports that write_ast_export wrote."""
-    return spark.read.schema("tu string, value string").json(path)
+    return _documents(spark.read.schema("tu string, root_id string, pre long, text string").json(path))
 
 
 def write_flat_nodes(nodes: DataFrame, path: str) -> None:
