@@ -74,7 +74,7 @@ def test_tu_status_and_dedupe(spark):
 
 
 def files(spark, *p):
-    return spark.createDataFrame([("p", x) for x in p], "project string, path string")
+    return spark.createDataFrame([(i, "p", x) for i, x in enumerate(p)], "seq long, project string, path string")
 
 
 @pytest.mark.parametrize("ps, want", [(["/home/u/a.c"], "/home/u"), (["/a/b/c.c", "/a/b/d/e.c"], "/a/b"), (["/a.c", "/b.c"], ""), (["/x/a.c", "rel/b.c"], ""), (["/a/b", "/a/b/c.c"], "/a"), (["//h/a/x", "//h/a/y"], "//h/a")])
@@ -115,6 +115,12 @@ def test_tree_of_directories(spark):
     assert paths.filter_tree(roll, "  ").count() == roll.count()
 
 
+@pytest.mark.parametrize("ps, is_file", [(["/a/b/c", "/a/b"], False), (["/a/b", "/a/b/c"], True)])
+def test_the_first_path_says_whether_a_node_is_a_file(spark, ps, is_file):
+    got = {r.path: (r.is_file, r.n_files) for r in paths.directory_rollup(files(spark, *ps)).collect()}
+    assert got == {"/a": (False, 2), "/a/b": (is_file, 2), "/a/b/c": (True, 1)}
+
+
 # nodes
 
 

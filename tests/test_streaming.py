@@ -1,9 +1,15 @@
 """Streams give what batches give."""
 
+import datetime as dt
+import random
+from collections import deque
+
+import pytest
 from pyspark.sql import functions as F
 from treescan.operators import history, logs
 from treescan.plans import bindings as b
 from treescan.streaming import operators as st
+from treescan.streaming import timed
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +39,101 @@ def test_history_equals_batch(spark):
     last = stream.groupBy("session").agg(F.max_by("n_entries", "batch").alias("n"), F.max_by("cursor", "batch").alias("c"))
     batch = history.nav_history_replay(b.nav_events(spark, SF)).groupBy("session").agg(F.count("*").cast("int").alias("n"), F.max_by(F.col("pos") - 1, F.col("is_current")).alias("c"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def stream_of(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def put(spark, rows, schema, folder):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder))
+
+
+LINES = "source long, seq long, ts timestamp, line string"
+
+
+def at(ms):
+    return dt.datetime.fromtimestamp(ms / 1000, dt.UTC)
+
+
+def queue(rows, pending, batch, tick, end):
+    """The queue by a plain loop, up to the time end."""
+    waiting, out, now = deque(), {}, None
+    for seq, ms in [*rows, (None, end)]:
+        while now is not None and now < ms // tick:
+            now += 1
+            for _ in range(min(batch, len(waiting))):
+                out[waiting.popleft()] = (now, False)
+        now = ms // tick
+        if seq is not None:
+            waiting.append(seq)
+            if len(waiting) > pending:
+                out[waiting.popleft()] = (None, True)
+    return out
+
+
+def test_a_burst_fills_the_queue_and_a_restart_goes_on(spark, tmp_path):
+    """25,000 entries at once, then a few ticks later some more, read by a second run from the first one's checkpoint."""
+    first = [(1, i, at(1000), "x") for i in range(25_000)]
+    later = [(1, 25_000 + i, at(1050 + 70 * i), "y") for i in range(40)] + [(2, 99_999, at(4000), "z")]
+    put(spark, first, LINES, tmp_path / "in/a")
+    path = str(tmp_path / "out")
+    st.run(timed.bounded_queue(stream_of(spark, tmp_path / "in", LINES)), "append", path)
+    put(spark, later, LINES, tmp_path / "in/b")
+    got = st.run(timed.bounded_queue(stream_of(spark, tmp_path / "in", LINES)), "append", path).where("source = 1").collect()
+    rows = [(s, round(t.timestamp() * 1000)) for _, s, t, _ in first + later[:-1]]
+    want = queue(rows, timed.PENDING, timed.BATCH, timed.TICK, 4000)
+    assert {r.seq: (r.tick, r.dropped) for r in got} == want and len(got) == len(want)
+    assert sum(d for _, d in want.values()) >= 5000
+
+
+@pytest.mark.parametrize("files", [1, 20])
+def test_timed_streams_do_not_depend_on_batches(spark, tmp_path, files):
+    """As one batch and as twenty, each of them after a restart of every fifth."""
+    rng = random.Random(1)
+    events = sorted((rng.randrange(40_000), rng.randrange(4)) for _ in range(400))
+    rows = [(k, i, at(ms), "ab"[i % 2]) for i, (ms, k) in enumerate(events)] + [(9, 400, at(90_000), "end")]
+    step = -(-len(rows) // files)
+    got = {}
+    for k in range(0, len(rows), step):
+        put(spark, rows[k : k + step], LINES, tmp_path / f"in/{k:05}")
+        if (k // step) % 5 == 4 or k + step >= len(rows):
+            lines = stream_of(spark, tmp_path / "in", LINES)
+            got["queue"] = st.run(timed.bounded_queue(lines, 7, 2, 1000), "append", str(tmp_path / "q"))
+            runs = lines.selectExpr("source run", "seq", "ts", "15 total", "seq % 3 <> 0 ok")
+            got["runs"] = st.run(timed.finished_runs(runs, 1500), "append", str(tmp_path / "r"))
+            nav = lines.selectExpr("source session", "seq", "ts", "seq % 3 + 1 file", "1L line", "1L col", "1L node", "1L version", "if(seq % 7 = 0, -1, 0) delta")
+            got["sessions"] = st.run(timed.ended_sessions(nav, 900), "append", str(tmp_path / "s"))
+    for k in range(4):
+        own = [(s, round(t.timestamp() * 1000)) for key, s, t, _ in rows if key == k]
+        assert {r.seq: (r.tick, r.dropped) for r in got["queue"].where(f"source = {k}").collect()} == queue(own, 7, 2, 1000, 90_000)
+        parts, seqs = [], []
+        for s, ms in own:
+            if seqs and ms - seqs[-1][1] > 1500:
+                parts.append(("abandoned", seqs))
+                seqs = []
+            seqs = [*seqs, (s, ms)]
+            if len(seqs) == 15:
+                parts.append(("merged", seqs))
+                seqs = []
+        parts += [("abandoned", seqs)] if seqs else []
+        want = [(k, sum(s % 3 != 0 for s, _ in p), sum(s % 3 == 0 for s, _ in p), 15, status, p[-1][0]) for status, p in parts]
+        assert sorted(tuple(r) for r in got["runs"].where(f"run = {k}").collect()) == sorted(want)
+        sessions = []
+        for s, ms in own:
+            if not sessions or ms - sessions[-1][-1][1] > 900:
+                sessions.append([])
+            sessions[-1].append((s, ms))
+        assert sorted((r.began, r.ended, r.n_events) for r in got["sessions"].where(f"session = {k}").collect()) == sorted((p[0][1], p[-1][1], len(p)) for p in sessions)
+
+
+def test_state_goes_when_runs_and_sessions_end(spark, tmp_path):
+    rows = [(k, 10 * k + i, at(1000 * k + i), "a") for k in range(8) for i in range(10)] + [(99, 999, at(500_000), "end")]
+    put(spark, rows, LINES, tmp_path / "in/a")
+    lines = stream_of(spark, tmp_path / "in", LINES)
+    runs = lines.selectExpr("source run", "seq", "ts", "10 total", "true ok")
+    nav = lines.selectExpr("source session", "seq", "ts", "1L file", "1L line", "1L col", "1L node", "1L version", "0 delta")
+    for name, df, left in (("r", timed.finished_runs(runs, 10_000), 1), ("s", timed.ended_sessions(nav, 10_000), 1), ("q", timed.bounded_queue(lines, 5, 2, 100), 1)):
+        st.run(df, "append", str(tmp_path / name))
+        state = spark.read.format("statestore").options(path=f"{tmp_path}/{name}-state", stateVarName={"r": "counts", "s": "history", "q": "clock"}[name]).load()
+        assert state.count() == left  # the last key, whose time is the watermark

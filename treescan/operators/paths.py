@@ -79,11 +79,12 @@ def split_project_external(tus: DataFrame, root: Column) -> DataFrame:
 
 
 def directory_rollup(files: DataFrame) -> DataFrame:
-    """files: project, path (below the root) to a row per trie node: project, path, name, depth, is_file, n_files."""
+    """files: seq, project, path (below the root) to a row per trie node: project, path, name, depth, is_file, n_files. A
+    node is a file if the path that made it, the first in order of seq, ends there."""
     parts = _components(F.col("path"))
-    each = files.select("project", parts.alias("parts")).where(F.size("parts") > 0).select("project", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
-    node = each.select("project", F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, F.col("depth")), "/")).alias("path"), F.try_element_at("parts", F.col("depth")).alias("name"), "depth", (F.col("depth") == F.size("parts")).alias("leaf"))
-    return node.groupBy("project", "path", "name", "depth").agg(F.bool_or("leaf").alias("is_file"), F.count("*").alias("n_files"))
+    each = files.select("seq", "project", parts.alias("parts")).where(F.size("parts") > 0).select("seq", "project", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
+    node = each.select("seq", "project", F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, F.col("depth")), "/")).alias("path"), F.try_element_at("parts", F.col("depth")).alias("name"), "depth", (F.col("depth") == F.size("parts")).alias("leaf"))
+    return node.groupBy("project", "path", "name", "depth").agg(F.min_by("leaf", "seq").alias("is_file"), F.count("*").alias("n_files"))
 
 
 def order_children(nodes: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from treescan.plans import bindings as b
 from treescan.plans.bindings import table
 from treescan.sources import documents
 from treescan.streaming import operators as streams
+from treescan.streaming import timed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -669,3 +670,46 @@ def k4_run_progress(s, d):
 @query
 def k5_nav_history_stream(s, d):
     return streams.run(streams.nav_history(b.nav_events(s, d, stream=True)), "update")
+
+
+def _on_the_clock(events):
+    """ts as an instant, whatever the session's time zone."""
+    return events.withColumn("ts", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")))
+
+
+DAY = 86_400_000
+
+
+@query
+def w6_bounded_queue_stream(s, d):
+    """The log through a queue of six entries, two of which are shown every other day."""
+    lines = _on_the_clock(b.log_lines(s, d, stream=True))
+    return streams.run(timed.bounded_queue(lines, pending=6, batch=2, tick=2 * DAY), "append")
+
+
+@query
+def k4_finished_runs_stream(s, d):
+    """Runs of 20 events each, given up after two days without one."""
+    e = _on_the_clock(b.log_lines(s, d, stream=True)).select(F.col("source").alias("run"), "seq", "ts", (F.col("seq") % 5 != 0).alias("ok"), F.lit(20).alias("total"))
+    return streams.run(timed.finished_runs(e, 2 * DAY), "append")
+
+
+@query
+def k5_ended_sessions_stream(s, d):
+    """Histories of sessions that end after a day without an event."""
+    e = b.nav_events(s, d, stream=True).withColumn("ts", F.timestamp_micros("seq"))
+    return streams.run(timed.ended_sessions(e, DAY), "append")
+
+
+@query
+def s3_deep_export(s, d):
+    """The orders of each nation as one chain, each within the one before, written as nested documents and read again."""
+    o = table(s, d, "orders").join(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
+    before = F.lag("o_orderkey").over(Window.partitionBy("nation").orderBy("o_orderkey"))
+    none = F.lit(None).cast("long")
+    text = lambda c: F.col(c).cast("string")
+    chain = o.withColumn("before", before).select(text("nation").alias("tu"), text("o_orderkey").alias("node_id"), text("before").alias("parent_id"), F.lit(0).cast("long").alias("ordinal"), F.parse_json(F.to_json(F.struct(F.col("o_orderpriority").alias("kind")))).alias("bag"), *[none.alias(f"{e}_{n}") for e in ("begin", "end") for n in ("file", "line", "col")], *[F.lit(None).cast("string").alias(f"{e}_path") for e in ("begin", "end")])
+    path = shared_path(s, "exports")
+    documents.write_ast_export(chain, path)
+    back, _ = documents.read_ast_export(documents.read_ast_documents(s, path), paths=False)
+    return back.select("tu", "node_id", "parent_id", "depth", "kind")

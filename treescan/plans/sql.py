@@ -75,9 +75,11 @@ st AS (SELECT DISTINCT session, 0::BIGINT AS k, []::BIGINT[] AS entries, 0::BIGI
   UNION ALL SELECT session, k, CASE WHEN grows THEN grown[-500:] ELSE entries END, CASE WHEN grows THEN least(len(grown), 500) WHEN delta <> 0 AND len(entries) > 0 AND cur + delta BETWEEN 1 AND len(entries) THEN cur + delta ELSE cur END
   FROM (SELECT st.session, ev.k, st.entries, st.cur, ev.delta, list_append(st.entries[1:st.cur], ev.place) AS grown, ev.delta = 0 AND (len(st.entries) = 0 OR st.entries[st.cur] <> ev.place) AS grows FROM st JOIN ev ON ev.session = st.session AND ev.k = st.k + 1)),
 fin AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY session ORDER BY k DESC) = 1)"""
-ROLL = """seg AS (SELECT project, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
-sd AS (SELECT project, parts, unnest(range(1, len(parts) + 1)) AS depth FROM seg),
-roll AS (SELECT project, '/' || array_to_string(parts[1:depth], '/') AS path, parts[depth] AS name, depth, bool_or(depth = len(parts)) AS is_file, count(*) AS n_files FROM sd GROUP BY 1, 2, 3, 4)"""
+ROLL = """seg AS (SELECT seq, project, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
+sd AS (SELECT seq, project, parts, unnest(range(1, len(parts) + 1)) AS depth FROM seg),
+roll AS (SELECT project, '/' || array_to_string(parts[1:depth], '/') AS path, parts[depth] AS name, depth, arg_min(depth = len(parts), seq) AS is_file, count(*) AS n_files FROM sd GROUP BY 1, 2, 3, 4)"""
+#: The line that each event makes
+K1 = "SELECT event_id AS seq, user_id AS source, CAST(event_id % 2 = 0 AS INTEGER) AS fd, CASE WHEN event_type IN ('error', 'signup', 'view', 'click') THEN '@diag' || chr(9) || CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'note' WHEN 'view' THEN 'info' ELSE 'warning' END || chr(9) || user_id || chr(9) || (event_id % 97) || chr(9) || (event_id % 31) || chr(9) || coalesce(props, '') WHEN event_id % 3 = 0 THEN 'purchase error: ' || CAST(floor(coalesce(value, 0)) AS BIGINT) ELSE 'purchase ' || CAST(floor(coalesce(value, 0)) AS BIGINT) END AS line FROM events"
 ROOTS = """sg AS (SELECT host, project, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p)"""
 
 
@@ -224,7 +226,7 @@ SELECT c.main, c.header, (c.main, c.header) IN (SELECT (src, dst) FROM e) AS dir
 SELECT cursor_id, line_no, col, wrapped FROM j QUALIFY row_number() OVER (PARTITION BY cursor_id ORDER BY wrapped, line_no, col) = 1""",
     "x2_find_previous": f"""WITH {LINES}, {hits("the ")}, {CURSORS}, j AS (SELECT cursor_id, line_no, hits.col, line_no > line OR (line_no = line AND hits.col >= c) AS wrapped FROM cur JOIN hits ON hits.file = cur.file)
 SELECT cursor_id, line_no, col, wrapped FROM j QUALIFY row_number() OVER (PARTITION BY cursor_id ORDER BY wrapped, line_no DESC, col DESC) = 1""",
-    "k1_reassemble_lines": "SELECT user_id AS source, CAST(event_id % 2 = 0 AS INTEGER) AS fd, CASE WHEN event_type IN ('error', 'signup', 'view', 'click') THEN '@diag' || chr(9) || CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'note' WHEN 'view' THEN 'info' ELSE 'warning' END || chr(9) || user_id || chr(9) || (event_id % 97) || chr(9) || (event_id % 31) || chr(9) || coalesce(props, '') WHEN event_id % 3 = 0 THEN 'purchase error: ' || CAST(floor(coalesce(value, 0)) AS BIGINT) ELSE 'purchase ' || CAST(floor(coalesce(value, 0)) AS BIGINT) END AS line FROM events",
+    "k1_reassemble_lines": f"SELECT source, fd, line FROM ({K1}) k1",
     "k2_parse_log": f"WITH {LOG} SELECT seq, level, message FROM lg",
     "k3_log_counts_stream": f"WITH {LOG}, s AS (SELECT source, CASE level WHEN 'Warning' THEN 'Info' ELSE level END AS tab FROM lg) SELECT source, tab, count(*) AS n FROM s GROUP BY source, tab UNION ALL SELECT source, 'All', count(*) FROM s GROUP BY source",
     "k4_run_progress": """WITH g AS (SELECT user_id AS run, count(*) FILTER (WHERE event_id % 5 <> 0) AS completed, count(*) FILTER (WHERE event_id % 5 = 0) AS failed, 60 AS total FROM events GROUP BY user_id)
@@ -234,4 +236,29 @@ y AS (SELECT *, lag(right(text || tail, 1)) OVER (PARTITION BY conv_id ORDER BY
 SELECT conv_id AS comment_id, string_agg(CASE WHEN before IS NULL OR regexp_matches(before, '^\s$') OR regexp_matches(left(text, 1), '^\s$') THEN '' ELSE ' ' END || text || tail, '' ORDER BY turn, role, text) AS text FROM y GROUP BY conv_id""",
     "a15_token_profile": tokens(["the", "and", "of", "de", "la", "que", "der", "en"]),
     "a15_token_keywords": tokens(KEYWORDS),
+    "w6_bounded_queue_stream": f"""WITH RECURSIVE {LOG}, e AS (SELECT user_id AS source, event_id AS seq, (epoch_us(ts) // 1000) // 172800000 AS slot, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, max((epoch_us(ts) // 1000)) OVER () // 172800000 AS stop FROM events),
+l AS (SELECT e.*, k1.line FROM e JOIN ({K1}) k1 ON k1.seq = e.seq),
+tl AS (SELECT g.source, g.t, count(*) FILTER (e.slot < g.t) AS tail FROM (SELECT source, unnest(range(min(slot) + 1, max(stop) + 1)) AS t FROM e GROUP BY source) g JOIN e ON e.source = g.source GROUP BY g.source, g.t),
+q AS (SELECT source, min(slot) AS t, 0::BIGINT AS was, 0::BIGINT AS lost, 0::BIGINT AS head FROM e GROUP BY source
+  UNION ALL SELECT q.source, tl.t, q.head, greatest(q.head, tl.tail - 6), least(tl.tail, greatest(q.head, tl.tail - 6) + 2) FROM q JOIN tl ON tl.source = q.source AND tl.t = q.t + 1),
+z AS (SELECT source, max(head) AS head FROM q GROUP BY source), n AS (SELECT source, count(*) AS n FROM e GROUP BY source)
+SELECT l.source, l.seq, l.line, q.t AS tick, false AS dropped FROM l JOIN q ON q.source = l.source AND l.k > q.lost AND l.k <= q.head AND q.head > q.lost
+UNION ALL SELECT l.source, l.seq, l.line, NULL, true FROM l JOIN q ON q.source = l.source AND l.k > q.was AND l.k <= q.lost
+UNION ALL SELECT l.source, l.seq, l.line, NULL, true FROM l JOIN z ON z.source = l.source JOIN n ON n.source = l.source WHERE l.k > z.head AND l.k <= n.n - 6""",
+    "k4_finished_runs_stream": """WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS seq, (epoch_us(ts) // 1000) AS ms, CAST(event_id % 5 <> 0 AS BIGINT) AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, max((epoch_us(ts) // 1000)) OVER () AS w FROM events),
+r AS (SELECT run, 0::BIGINT AS k, 0::BIGINT AS c, 0::BIGINT AS f, 0::BIGINT AS seq, 0::BIGINT AS ms, 0::BIGINT AS gc, 0::BIGINT AS gf, 0::BIGINT AS gseq, 0::BIGINT AS w FROM e GROUP BY run
+  UNION ALL SELECT x.run, x.k, CASE WHEN fresh THEN 0 ELSE x.c END + x.ok, CASE WHEN fresh THEN 0 ELSE x.f END + 1 - x.ok, x.seq, x.ms, CASE WHEN gone THEN x.c ELSE 0 END, CASE WHEN gone THEN x.f ELSE 0 END, x.before, x.w
+  FROM (SELECT e.run, e.k, e.seq, e.ms, e.ok, e.w, r.c, r.f, r.seq AS before, r.c + r.f >= 20 OR e.ms - r.ms > 172800000 AS fresh, r.c + r.f BETWEEN 1 AND 19 AND e.ms - r.ms > 172800000 AS gone FROM r JOIN e ON e.run = r.run AND e.k = r.k + 1) x),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY k DESC) = 1)
+SELECT run, c AS completed, f AS failed, 20 AS total, CASE WHEN f = 20 THEN 'error' ELSE 'merged' END AS status, seq AS last_seq FROM r WHERE c + f >= 20
+UNION ALL SELECT run, gc, gf, 20, 'abandoned', gseq FROM r WHERE gc + gf > 0
+UNION ALL SELECT run, c, f, 20, 'abandoned', seq FROM l WHERE c + f BETWEEN 1 AND 19 AND w - ms > 172800001""",
+    "k5_ended_sessions_stream": f"""WITH RECURSIVE gaps AS (SELECT *, CAST(coalesce((epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts) > 86400000, false) AS BIGINT) AS gap FROM events),
+parted AS (SELECT *, user_id * 1000 + sum(gap) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM gaps),
+{REPLAY.replace("user_id AS session", "session").replace("PARTITION BY user_id", "PARTITION BY session").replace("FROM events)", "FROM parted)")},
+b AS (SELECT session, user_id, min((epoch_us(ts) // 1000)) AS began, max((epoch_us(ts) // 1000)) AS ended, count(*) AS n_events FROM parted GROUP BY session, user_id),
+o AS (SELECT *, session = max(session) OVER (PARTITION BY user_id) AS open, max(ended) OVER () AS w FROM b)
+SELECT o.user_id AS session, began, ended, n_events, len(entries) AS n_entries, cur - 1 AS cursor, coalesce(entries[cur] // 2, 0) AS file, coalesce(entries[cur] % 2, 0) AS line FROM o JOIN fin ON fin.session = o.session WHERE NOT open OR w - ended > 86400001""",
+    "s3_deep_export": """SELECT CAST(c_nationkey AS VARCHAR) AS tu, CAST(k AS VARCHAR) AS node_id, CASE WHEN k > 0 THEN CAST(k - 1 AS VARCHAR) END AS parent_id, k AS depth, o_orderpriority AS kind
+FROM (SELECT c_nationkey, o_orderpriority, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1 AS k FROM orders JOIN customer ON c_custkey = o_custkey)""",
 }

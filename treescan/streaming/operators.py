@@ -22,11 +22,11 @@ LINE = T.StructType([T.StructField("source", T.LongType()), T.StructField("fd",
 ENTRY = T.StructType([T.StructField("session", T.LongType()), T.StructField("n_entries", T.IntegerType()), T.StructField("cursor", T.IntegerType()), *[T.StructField(p, T.LongType()) for p in PLACE], T.StructField("last_seq", T.LongType())])
 
 
-def run(df: DataFrame, mode: str) -> DataFrame:
+def run(df: DataFrame, mode: str, path: str | None = None) -> DataFrame:
     """Run a stream over all there is now and return what it wrote: the last full result (complete), all rows (append),
-    or rows with the batch they come from (update)."""
+    or rows with the batch they come from (update). With the path of an earlier run it goes on from there."""
     spark = df.sparkSession
-    path = shared_path(spark, "stream")
+    path = path or shared_path(spark, "stream")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
 
