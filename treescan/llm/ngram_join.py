@@ -347,9 +347,16 @@ def _pivot_links(live: DataFrame, matrix: DataFrame, turn: int) -> tuple[DataFra
     # a pivot and the rows of a block that try it, which are at most ROWS
     rows = tries.select(F.col("block").alias("x"), F.col("pivot").alias("y"), F.lit(0).cast("long").alias("block"), "code", "n", "root")
     tops = tries.select(F.col("block").alias("x"), F.col("pivot").alias("y"), F.lit(1).cast("long").alias("block"), F.col("pivot").alias("code"), F.col("pivot_n").alias("n"), F.col("pivot_root").alias("root")).distinct()
-    both = rows.unionByName(tops).join(matrix, "code").select("x", "y", "block", "code", "n", "root", "grams")
+    tried = tries.count()
+    both = _with_grams(rows.unionByName(tops), 2 * tried, matrix)
     links = both.groupBy("x", "y").applyInArrow(lambda key, t: multiply((pa.scalar(0), pa.scalar(1)), t), "a long, b long")
-    return materialize(links, "links"), tries.count()
+    return materialize(links, "links"), tried
+
+
+def _with_grams(rows: DataFrame, most: int, matrix: DataFrame) -> DataFrame:
+    """rows (x, y, block, code, n, root), at most so many, with the grams of their codes; few rows leave the matrix where it is."""
+    rows = F.broadcast(rows) if most * 64 <= BROADCAST else rows
+    return matrix.join(rows, "code").select("x", "y", "block", "code", "n", "root", "grams")
 
 
 def _block_links(live: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -365,8 +372,8 @@ def _block_links(live: DataFrame, matrix: DataFrame) -> DataFrame:
     partners = met.groupBy("code", "n", "root", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     each = partners.select("code", "n", "root", "block", F.explode("others").alias("other"))
     each = each.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "code", "n", "root")
-    both = each.join(matrix, "code").select("x", "y", "block", "code", "n", "root", "grams")
-    return both.groupBy("x", "y").applyInArrow(multiply, "a long, b long")
+    each = materialize(each, "block_rows")
+    return _with_grams(each, each.count(), matrix).groupBy("x", "y").applyInArrow(multiply, "a long, b long")
 
 
 def _renamed(rooted: DataFrame, edges: DataFrame) -> DataFrame:
