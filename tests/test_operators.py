@@ -222,6 +222,30 @@ def test_positions_equal_theta_join(spark):
     assert {r.range_id: r.node_id for r in positions.first_contained(ranges, n).collect()} == first
 
 
+def test_a_stored_index_gives_the_same_without_moving_nodes(spark, tmp_path):
+    nodes_in = spark.range(4000).selectExpr("id % 7 tu", "id % 7 begin_file", "concat('n', id) node_id", "id pre", "id % 5 depth", "1 + id % 50 begin_line", "1 + id % 9 begin_col", "1 + id % 50 + id % 13 end_line", "5L end_col")
+    p = spark.range(300).selectExpr("id point_id", "id % 7 tu", "id % 7 file", "1 + id % 60 line", "1 + id % 8 col")
+    path = str(tmp_path / "index")
+    index = positions.write_position_index(nodes_in, path, buckets=3)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    want = same(positions.nodes_at(p, nodes_in).select("point_id", "node_id"))
+    assert same(positions.nodes_at(p, index).select("point_id", "node_id")) == want and len(want) > 1000
+    assert same(positions.most_specific(p, index)) == same(positions.most_specific(p, nodes_in))
+    again = positions.open_position_index(spark, path)
+    assert again.levels == index.levels and same(positions.nodes_at(p, again).select("point_id", "node_id")) == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = positions.nodes_at(p, index)._jdf.queryExecution().executedPlan().toString()
+        some = index.only([2, 3]).table
+        pruned = some._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan, plan
+    assert "PushedFilters" in pruned and "In(tu" in pruned
+    assert same(positions.nodes_at(p, index.only([2, 3])).select("point_id", "node_id")) == [x for x in want if x[0] % 7 in (2, 3)]
+
+
 def test_highlight_and_paths(spark):
     lines = text.source_lines(spark.createDataFrame([(1, "abc\ndef\nghi\n")], "f long, t string"), "f", "t")
     assert lines.count() == 3

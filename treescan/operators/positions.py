@@ -8,7 +8,10 @@ depth, pre). Ranges that end before they begin are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treescan.functions.columns import pos_key, range_size
@@ -40,15 +43,62 @@ def _probes(key: Column, levels: list[int]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(key, k).alias("block")) for k in levels]))
 
 
-def nodes_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All nodes at each position, both ends inclusive: a row per point and node."""
+#: What a stored index is bucketed and sorted by, and what positions meet it by.
+INDEX_KEYS = ["tu", "begin_file", "level", "block"]
+
+
+@dataclass
+class PositionIndex:
+    """A stored table of located nodes, bucketed by INDEX_KEYS and sorted by them in each bucket, and the levels that it has."""
+
+    table: DataFrame
+    levels: list[int]
+
+    def only(self, tus: list) -> PositionIndex:
+        """Of some TUs alone: the scan skips the row groups of others, as their rows lie together."""
+        return PositionIndex(self.table.where(F.col("tu").isin(tus)), self.levels)
+
+
+def _table_of(path: str) -> str:
+    return f"position_index_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+
+
+def write_position_index(nodes: DataFrame, path: str, buckets: int | None = None) -> PositionIndex:
+    """Located nodes stored below a new path, once for all queries: joins with positions shuffle the positions only. The
+    path must be one that driver and executors share."""
+    spark = nodes.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = with_blocks(nodes)
+    # dealt out as the buckets are, so that each is one file
+    rows.repartition(n, *INDEX_KEYS).write.format("parquet").option("path", f"{path}/data").bucketBy(n, *INDEX_KEYS).sortBy(*INDEX_KEYS).saveAsTable(_table_of(path))
+    levels = _levels(spark.table(_table_of(path)))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    spark.createDataFrame([(n, levels, columns)], "buckets int, levels array<int>, columns string").coalesce(1).write.json(f"{path}/index")
+    return PositionIndex(spark.table(_table_of(path)), levels)
+
+
+def open_position_index(spark: SparkSession, path: str) -> PositionIndex:
+    """An index that some application wrote."""
+    buckets, levels, columns = spark.read.schema("buckets int, levels array<int>, columns string").json(f"{path}/index").first()
+    keys, at = ", ".join(INDEX_KEYS), f"{path}/data".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_table_of(path)} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{at}'")
+    return PositionIndex(spark.table(_table_of(path)), list(levels))
+
+
+def nodes_at(points: DataFrame, nodes: DataFrame | PositionIndex) -> DataFrame:
+    """All nodes at each position, both ends inclusive: a row per point and node. With a stored index of the nodes only
+    the points are shuffled."""
     key = pos_key(F.col("line"), F.col("col"))
-    stored = written(with_blocks(nodes), "blocks")
-    probes = points.withColumn("key", key).select("*", _probes(key, _levels(stored)).alias("b")).select("point_id", "tu", F.col("file").alias("begin_file"), "line", "col", "key", "b.level", "b.block")
-    return probes.join(stored, ["tu", "begin_file", "level", "block"]).where("key between lo and hi").drop("level", "block", "lo", "hi", "key").withColumnRenamed("begin_file", "file")
+    if isinstance(nodes, PositionIndex):
+        stored, levels = nodes.table, nodes.levels
+    else:
+        stored = written(with_blocks(nodes), "blocks")
+        levels = _levels(stored)
+    probes = points.withColumn("key", key).select("*", _probes(key, levels).alias("b")).select("point_id", "tu", F.col("file").alias("begin_file"), "line", "col", "key", "b.level", "b.block")
+    return probes.join(stored, INDEX_KEYS).where("key between lo and hi").drop("level", "block", "lo", "hi", "key").withColumnRenamed("begin_file", "file")
 
 
-def most_specific(points: DataFrame, nodes: DataFrame) -> DataFrame:
+def most_specific(points: DataFrame, nodes: DataFrame | PositionIndex) -> DataFrame:
     """Of the nodes at a position the smallest, then the deepest, then the first."""
     size = range_size(F.col("begin_line"), F.col("begin_col"), F.col("end_line"), F.col("end_col"))
     best = F.min_by("node_id", F.struct(size.alias("size"), (-F.col("depth")).alias("deep"), "pre"))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treescan.functions.storage import shared_path, written
+from treescan.operators import positions
+
 SUFFIXES = r"(?i)\.(html)$"
 
 
@@ -107,6 +110,20 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return paired.select("tu", F.concat_ws("_", F.col("tu"), F.col("seq")).alias("node_id"), F.col("seq").alias("pre"), "kind", "attrs", F.col("tu").alias("begin_file"), bl.alias("begin_line"), bc.alias("begin_col"), el.alias("end_line"), ec.alias("end_col"))
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def position_index(spark: SparkSession, d: str) -> positions.PositionIndex:
+    """The tags with their parents and depths as a stored index, written once for an application and the files of a folder."""
+    key = (spark.sparkContext.applicationId, *sorted(table(spark, d, "pages").inputFiles()))
+    if key not in _INDEXES:
+        nodes = written(tags(spark, d), "tags")
+        path = shared_path(spark, "position-index")
+        positions.write_position_index(positions.smallest_enclosing(nodes), path)
+        _INDEXES[key] = path
+    return positions.open_position_index(spark, _INDEXES[key])
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """B8: point_id, tu, file, line, col, seq."""
     n = table(spark, d, "pages").count()

@@ -298,16 +298,12 @@ def p11_flatten_properties(s, d):
 
 @query
 def j1_nodes_at(s, d):
-    return positions.nodes_at(b.points(s, d), b.tags(s, d)).select("point_id", "node_id")
-
-
-def _nested(s, d):
-    return positions.smallest_enclosing(b.tags(s, d))
+    return positions.nodes_at(b.points(s, d), b.position_index(s, d)).select("point_id", "node_id")
 
 
 @query
 def j2_most_specific(s, d):
-    return positions.most_specific(b.points(s, d), _nested(s, d))
+    return positions.most_specific(b.points(s, d), b.position_index(s, d))
 
 
 @query
