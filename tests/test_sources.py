@@ -1,6 +1,7 @@
 """Sources and sinks: round trips and bad documents."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,16 +95,23 @@ def test_documents_are_read_with_keys_in_any_order_or_refused(spark):
     assert {k: sorted(v, key=lambda x: x[0]) for k, v in got.items()} == {k: v[1] for k, v in fine.items()}
 
 
-def test_flat_nodes_and_project_tables(spark, tmp_path):
+def test_flat_nodes(spark, tmp_path):
     nodes, _ = d.read_ast_export(spark.createDataFrame([("t", nest(5))], "tu string, value string"))
     path = str(tmp_path / "flat")
     d.write_flat_nodes(nodes, path)
     schema = nodes.withColumn("bag", F.to_json("bag")).schema
     assert d.read_flat_nodes(spark, path, schema).count() == 5
+
+
+def test_project_tables_are_written_once(spark, tmp_path):
     root = str(tmp_path / "tables")
-    for _ in range(2):
-        d.write_project_tables(spark.range(3), root, "/p/cc.json", "/p/build", "2024-01-01")
-    assert spark.read.parquet(f"{root}/data").count() == 6 and spark.read.parquet(f"{root}/meta").count() == 1
+    put = lambda n, path, created, commit: d.write_project_tables(spark.range(n), root, path, "/b", created, commit)
+    with ThreadPoolExecutor(4) as pool:  # two writers of one project, one of them twice, and one of another
+        list(pool.map(lambda a: put(*a), [(3, "/p/cc.json", "2024-01-01", "a"), (4, "/p/cc.json", "2024-01-02", "b"), (5, "/q/cc.json", "2024-01-01", "a")]))
+    put(4, "/p/cc.json", "2024-01-02", "b")
+    spark.range(99).write.parquet(f"{root}/data/_project=p-{'0' * 16}/_commit=c-broken")  # no marker: a writer that failed
+    assert sorted((r.path, r.commit, r.created_at) for r in d.read_projects(spark, root).collect()) == [("/p/cc.json", "b", "2024-01-02"), ("/q/cc.json", "a", "2024-01-01")]
+    assert sorted(r["count"] for r in d.read_project_tables(spark, root).groupBy("project_key").count().collect()) == [4, 5]
 
 
 def test_diagnostics_round_trip(spark, tmp_path):

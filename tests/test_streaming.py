@@ -137,3 +137,19 @@ def test_state_goes_when_runs_and_sessions_end(spark, tmp_path):
         st.run(df, "append", str(tmp_path / name))
         state = spark.read.format("statestore").options(path=f"{tmp_path}/{name}-state", stateVarName={"r": "counts", "s": "history", "q": "clock"}[name]).load()
         assert state.count() == left  # the last key, whose time is the watermark
+
+
+@pytest.mark.parametrize("files", [1, 20])
+def test_early_chunks_wait_also_over_a_restart(spark, tmp_path, files):
+    rng = random.Random(files)
+    text = {(k, fd): "".join(rng.choice("ab\n") for _ in range(400)) for k in range(3) for fd in range(2)}
+    rows = [(*key, i, t[i * 7 : i * 7 + 7]) for key, t in text.items() for i in range(-(-len(t) // 7))] + [(*key, 999, "never") for key in text]
+    rows += rng.sample(rows, 40)  # some come twice
+    rng.shuffle(rows)
+    step, schema = -(-len(rows) // files), "source long, fd int, n long, chunk string"
+    for k in range(0, len(rows), step):
+        put(spark, rows[k : k + step], schema, tmp_path / f"in/{k:05}")
+        if (k // step) % 9 == 8 or k + step >= len(rows):
+            out = st.run(st.reassemble_numbered(stream_of(spark, tmp_path / "in", schema)), "append", str(tmp_path / "out"))
+    got = sorted((r.source, r.fd, r.line) for r in out.collect())
+    assert got == sorted((*key, line) for key, t in text.items() for line in t.split("\n")[:-1])

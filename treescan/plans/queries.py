@@ -709,3 +709,53 @@ def s3_deep_export(s, d):
     documents.write_ast_export(chain, path)
     back, _ = documents.read_ast_export(documents.read_ast_documents(s, path), paths=False)
     return back.select("tu", "node_id", "parent_id", "depth", "kind")
+
+
+@query
+def a7_string_pool_estimate(s, d):
+    """The pool of all lines by sketches of 16 chunks, united: exact counts, and whether estimates are within 5 in 100."""
+    lines = text.source_lines(table(s, d, "documents"), "doc_id", "text").withColumn("chunk", F.col("file") % 16)
+    guess = nodes.string_pool_estimate(nodes.string_pool_sketches(lines, "line", ["chunk"]), [])
+    exact = nodes.string_pool_stats(lines, "line").select(F.col("unique_strings").alias("u"), F.col("shared_bytes").alias("b"), F.col("references").alias("r"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    both = guess.join(exact, guess["references"] == exact["r"])
+    return both.select("references", "unshared_bytes", F.col("u").alias("unique_strings"), near("unique_strings", "u").alias("unique_near"), near("shared_bytes", "b").alias("shared_near"))
+
+
+@query
+def s8_project_tables(s, d):
+    """Files of each project, written twice under one commit, and then some of them under a later one."""
+    root = shared_path(s, "projects")
+    p = b.paths(s, d)
+    names = [r[0] for r in p.groupBy("project").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "project").limit(3).collect()]
+    for commit, created, rows in (("one", "2024-01-01", p), ("one", "2024-01-01", p), ("two", "2024-01-02", p.where("seq % 2 = 0"))):
+        for name in names if commit == "one" else names[:1]:
+            documents.write_project_tables(rows.where(F.col("project") == name).select("seq", "path", "project"), root, f"/{name}/cc.json", "/build", created, commit)
+    files = documents.read_project_tables(s, root).groupBy("project_key", "project").agg(F.count("*").alias("n_files"), F.sum("seq").alias("sum_seq"))
+    return files.join(documents.read_projects(s, root), "project_key").select("project", "path", "commit", "n_files", "sum_seq")
+
+
+def _scrambled(s, d):
+    """The log as numbered chunks in twenty files, in an order that is not theirs; and the schema."""
+    log = b.log_lines(s, d)
+    cut = streams.chunks(log, 29)
+    numbered = cut.withColumn("n", F.row_number().over(Window.partitionBy("source", "fd").orderBy("seq", "part")).cast("long") - 1).select("source", "fd", "n", "chunk")
+    path = shared_path(s, "chunks")
+    numbered.withColumn("file", (F.col("n") * 7 + F.col("source")) % 20).repartition("file").write.partitionBy("file").json(path)
+    return path, "source long, fd int, n long, chunk string"
+
+
+@query
+def k1_paced_chunks(s, d):
+    """Chunks that come in any order, a file a batch: early ones wait for those before them."""
+    path, schema = _scrambled(s, d)
+    pieces = s.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").json(path)
+    return streams.run(streams.reassemble_numbered(pieces), "append")
+
+
+@query
+def s5_diagnostics_stream(s, d):
+    """Wire lines in files, read as a stream of a few files a batch and parsed."""
+    path = shared_path(s, "wire")
+    documents.write_diagnostics(table(s, d, "events").select(F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "warning").otherwise("info").alias("level"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"), (1 + F.col("event_id") % 97).alias("line"), F.lit(0).alias("col"), F.col("event_type").alias("message")).repartition(6), path)
+    return streams.run(logs.parse_lines(documents.read_diagnostics(s, path, stream=True, files=2)).select("level", "message"), "append")

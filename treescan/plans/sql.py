@@ -261,4 +261,9 @@ o AS (SELECT *, session = max(session) OVER (PARTITION BY user_id) AS open, max(
 SELECT o.user_id AS session, began, ended, n_events, len(entries) AS n_entries, cur - 1 AS cursor, coalesce(entries[cur] // 2, 0) AS file, coalesce(entries[cur] % 2, 0) AS line FROM o JOIN fin ON fin.session = o.session WHERE NOT open OR w - ended > 86400001""",
     "s3_deep_export": """SELECT CAST(c_nationkey AS VARCHAR) AS tu, CAST(k AS VARCHAR) AS node_id, CASE WHEN k > 0 THEN CAST(k - 1 AS VARCHAR) END AS parent_id, k AS depth, o_orderpriority AS kind
 FROM (SELECT c_nationkey, o_orderpriority, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1 AS k FROM orders JOIN customer ON c_custkey = o_custkey)""",
+    "a7_string_pool_estimate": f"WITH {LINES}, u AS (SELECT line, count(*) AS refs, strlen(line) + 32 AS b FROM lines GROUP BY line) SELECT CAST(sum(refs) AS BIGINT) AS \"references\", CAST(sum(refs * b) AS BIGINT) AS unshared_bytes, count(*) AS unique_strings, true AS unique_near, true AS shared_near FROM u",
+    "s8_project_tables": f"""WITH {PATHS}, r AS (SELECT project, row_number() OVER (ORDER BY count(*) DESC, project) AS place FROM p GROUP BY project)
+SELECT p.project, '/' || p.project || '/cc.json' AS path, CASE WHEN place = 1 THEN 'two' ELSE 'one' END AS commit, count(*) AS n_files, CAST(sum(seq) AS BIGINT) AS sum_seq FROM p JOIN r ON r.project = p.project WHERE place <= 3 AND (place > 1 OR seq % 2 = 0) GROUP BY p.project, place""",
+    "k1_paced_chunks": f"SELECT source, fd, line FROM ({K1}) k1",
+    "s5_diagnostics_stream": "SELECT CASE event_type WHEN 'error' THEN 'Error' WHEN 'click' THEN 'Warning' ELSE 'Info' END AS level, 'f' || event_id || ':' || (1 + event_id % 97) || ': ' || event_type AS message FROM events",
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.functions.columns import project_key
 from treescan.functions.storage import written
 from treescan.operators import contraction
 from treescan.operators.commands import split_arguments
@@ -127,24 +128,41 @@ def read_flat_nodes(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).json(path).withColumn("bag", F.try_parse_json("bag"))
 
 
-def write_project_tables(df: DataFrame, root: str, project_path: str, build_dir: str, created: str) -> None:
-    """df under root by project_key, with one row of metadata for each project key."""
-    keyed = df.withColumn("project_key", project_key(F.lit(project_path)))
-    keyed.write.mode("append").partitionBy("project_key").parquet(f"{root}/data")
-    spark = df.sparkSession
-    meta = spark.range(1).select(project_key(F.lit(project_path)).alias("project_key"), F.lit(project_path).alias("path"), F.lit(build_dir).alias("build_dir"), F.lit(created).alias("created_at"))
-    try:
-        meta = meta.join(spark.read.parquet(f"{root}/meta").select("project_key"), "project_key", "left_anti")
-    except Exception as e:  # no metadata yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    if not meta.isEmpty():
-        meta.write.mode("append").parquet(f"{root}/meta")
+def write_project_tables(df: DataFrame, root: str, project_path: str, build_dir: str, created: str, commit: str) -> None:
+    """A version of a project's table under root. Files go into a folder of the commit, and once they are all there a
+    marker makes them count, so a writer that fails leaves nothing to be read, and one that runs twice, or twice at once,
+    under the same commit leaves one copy. The marker holds the project's metadata."""
+    key = hashlib.sha256(project_path.encode()).hexdigest()[:16]
+    folder = f"_project=p-{key}/_commit=c-{commit}"
+    df.withColumn("project_key", F.lit(key)).write.mode("overwrite").parquet(f"{root}/data/{folder}")
+    marker = df.sparkSession.range(1).select(F.lit(key).alias("project_key"), F.lit(commit).alias("commit"), F.lit(project_path).alias("path"), F.lit(build_dir).alias("build_dir"), F.lit(created).alias("created_at"))
+    marker.write.mode("overwrite").json(f"{root}/commits/{folder}")
+
+
+def read_projects(spark: SparkSession, root: str) -> DataFrame:
+    """project_key, commit, path, build_dir, created_at: the last commit of each project (by created_at, then name)."""
+    markers = spark.read.schema("project_key string, commit string, path string, build_dir string, created_at string").json(f"{root}/commits/*/*")
+    last = F.max(F.struct("created_at", "commit", "path", "build_dir")).alias("m")
+    return markers.groupBy("project_key").agg(last).select("project_key", "m.commit", "m.path", "m.build_dir", "m.created_at")
+
+
+def read_project_tables(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the last commit of each project; folders of others are pruned."""
+    last = read_projects(spark, root).select(F.concat(F.lit("p-"), "project_key").alias("_project"), F.concat(F.lit("c-"), "commit").alias("_commit"))
+    # the columns are those of a commit: files without a marker may have others
+    one = last.first()
+    if one is None:
+        raise ValueError(f"no commits below {root}")
+    schema = spark.read.parquet(f"{root}/data/_project={one['_project']}/_commit={one['_commit']}").schema
+    rows = spark.read.schema(schema.add("_project", "string").add("_commit", "string")).parquet(f"{root}/data")
+    return rows.join(last, ["_project", "_commit"], "left_semi").drop("_project", "_commit")
 
 
-def read_diagnostics(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Lines of tool output (line, is_stderr by a file name that ends in .err), as a table or a stream; see logs.parse_lines."""
+def read_diagnostics(spark: SparkSession, path: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """Lines of tool output (line, is_stderr by a file name that ends in .err), as a table or a stream of so many files a
+    batch; see logs.parse_lines."""
     reader = spark.readStream if stream else spark.read
+    reader = reader.option("maxFilesPerTrigger", files) if stream and files else reader
     return reader.text(path).select(F.col("value").alias("line"), F.input_file_name().endswith(".err").alias("is_stderr"))
 
 

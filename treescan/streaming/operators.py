@@ -82,6 +82,43 @@ def reassemble_lines(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("source", "fd").transformWithState(LineBuffer(), LINE, "Append", "None")
 
 
+class OrderedLines(StatefulProcessor):
+    """Lines of chunks in the order of their numbers: one that comes early waits in the state until those before it are there."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getValueState("tail", "next long, tail string")
+        self.early = handle.getMapState("early", "n long", "chunk string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        nxt, tail = self.tail.get() or (0, "")
+        for row in rows:
+            n, chunk = row["n"], row["chunk"]
+            if n != nxt:
+                if n > nxt:  # one from before has come twice
+                    self.early.updateValue((n,), (chunk,))
+                continue
+            while True:
+                tail = "" if chunk is None else (tail + chunk)[-MAX_BUFFER:]
+                *done, tail = tail.split("\n")
+                for line in done:
+                    yield Row(source=key[0], fd=key[1], line=line)
+                nxt += 1
+                if not self.early.containsKey((nxt,)):
+                    break
+                chunk = self.early.getValue((nxt,))[0]
+                self.early.removeKey((nxt,))
+        self.tail.update((nxt, tail))
+
+    def close(self) -> None:
+        pass
+
+
+def reassemble_numbered(pieces: DataFrame) -> DataFrame:
+    """Chunks (source, fd, n, chunk), numbered from 0 in each source and descriptor and in any order, also over batches, to
+    complete lines. The rows of a batch are not held: what waits is state."""
+    return pieces.groupBy("source", "fd").transformWithState(OrderedLines(), LINE, "Append", "None")
+
+
 def log_counts(entries: DataFrame) -> DataFrame:
     """Entries by source and tab, all the time; All has every entry."""
     each = entries.withColumn("tab", F.explode(F.array(F.lit("All"), shown_level(F.col("level")))))
