@@ -52,9 +52,9 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("shape", ["bushy", "chain", "star", "roots"])
-@pytest.mark.parametrize("finish", [24, 1 << 18])
+@pytest.mark.parametrize("finish", [20, 1 << 18])
 def test_labels_equal_a_walk(spark, shape, finish):
-    rows = forest(3, 160, shape)
+    rows = forest(3, 90, shape)
     nodes = spark.createDataFrame(rows, SCHEMA)
     got = {(r.tu, r.node_id): (r.depth, r.size, r.pre, r.root_id) for r in contraction.labels(nodes, finish).collect()}
     assert got == brute(rows)

@@ -267,6 +267,48 @@ def test_highlight_and_paths(spark):
     assert {r.node_id: r.path for r in named.collect()} == {"a": "/x.c", "b": "", "c": ""}
 
 
+# command lines
+
+
+def fold(line, blanks, escape_in_single, keep_end):
+    """The rules as one walk over the characters; words with None where nothing but empty quotes made them up is not told apart."""
+    words, word, quote, i = [], None, "", 0
+    while i < len(line):
+        c = line[i]
+        if c == "\\" and (quote != "'" or escape_in_single):
+            word = word or ""
+            if i + 1 < len(line):
+                word += line[i + 1]
+            elif keep_end:
+                word += c
+            i += 2
+            continue
+        if quote:
+            quote, word = ("", word) if c == quote else (quote, word + c)
+        elif c in "\"'":
+            quote, word = c, word or ""
+        elif c in blanks:
+            words += [] if word is None else [word]
+            word = None
+        else:
+            word = (word or "") + c
+        i += 1
+    return words + ([] if word is None else [word])
+
+
+CASES = ["", " ", "a", " a  b ", "a\tb\nc", "'a b'", '"a b"', "a'b c'd", 'a"b c"d', "''", '""', "a ''b", "'' ''", '"" x', "a\\ b", "\\'a b\\'", '"a\\"b"', "'a\\'b'", "'a\\\\'", '"a\\\\"', "'a\"b'", "\"a'b\"", "'open", '"open', "a\\", '"a\\', "'a\\", "x'", 'x"', "-DX='a \"b\"' -I\"c d\"/e", "\\\\ \\a", "a\r\nb", "é'ü ß'"]
+
+
+def test_words_of_command_lines(spark):
+    rng = random.Random(6)
+    lines = CASES + ["".join(rng.choice("ab'\"\\ \n") for _ in range(rng.randint(1, 14))) for _ in range(600)] + ["'" + "x " * 60_000 + "'", '"' + "\\y" * 900 + '" z']
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, line string").repartition(2)
+    got = {r.i: (r.c, r.r) for r in df.select("i", commands.split_command(F.col("line")).alias("c"), commands.split_response(F.col("line")).alias("r")).collect()}
+    for i, line in enumerate(lines):
+        assert got[i][0] == fold(line, " ", False, False), line[:50]
+        assert got[i][1] == [w for w in fold(line, " \t\r\n", True, True) if w], line[:50]
+
+
 # trees
 
 

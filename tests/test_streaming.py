@@ -89,7 +89,7 @@ def test_a_burst_fills_the_queue_and_a_restart_goes_on(spark, tmp_path):
 
 @pytest.mark.parametrize("files", [1, 20])
 def test_timed_streams_do_not_depend_on_batches(spark, tmp_path, files):
-    """As one batch and as twenty, each of them after a restart of every fifth."""
+    """As one batch and as twenty, with restarts between."""
     rng = random.Random(1)
     events = sorted((rng.randrange(40_000), rng.randrange(4)) for _ in range(400))
     rows = [(k, i, at(ms), "ab"[i % 2]) for i, (ms, k) in enumerate(events)] + [(9, 400, at(90_000), "end")]
@@ -97,7 +97,7 @@ def test_timed_streams_do_not_depend_on_batches(spark, tmp_path, files):
     got = {}
     for k in range(0, len(rows), step):
         put(spark, rows[k : k + step], LINES, tmp_path / f"in/{k:05}")
-        if (k // step) % 5 == 4 or k + step >= len(rows):
+        if (k // step) % 9 == 8 or k + step >= len(rows):
             lines = stream_of(spark, tmp_path / "in", LINES)
             got["queue"] = st.run(timed.bounded_queue(lines, 7, 2, 1000), "append", str(tmp_path / "q"))
             runs = lines.selectExpr("source run", "seq", "ts", "15 total", "seq % 3 <> 0 ok")

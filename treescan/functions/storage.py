@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -27,3 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """df written, with counts taken while it is."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return out, {k: v or 0 for k, v in seen.get.items()}

@@ -32,16 +32,40 @@ def absolute(path: str) -> Column:
     return normalize_path(F.when(p.startswith("/"), p).otherwise(F.concat_ws("/", "directory", p)))
 
 
-def split_arguments(line: Column) -> Column:
-    """Words of a command line: white space apart, quotes and backslashes as a shell reads them in the simple cases."""
-    words = F.regexp_extract_all(line, F.lit(r"""((?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+)"""), F.lit(1))
-    return F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"'([^']*)'", "$1"), r'(?<!\\)"', ""), r"\\(.)", "$1"))
+def _words(line: Column, blank: str, single: str, end: str) -> Column:
+    """Words as arrays of their parts: quoted, escaped and plain ones. blank, single: what is blank outside quotes, and
+    what single quotes hold; end: what a quote without an end keeps of a last backslash.
+
+    Two levels of patterns, each linear: a word is a run of parts, and a part says for itself how it is read.
+    """
+    double = r'"(?:[^"\\]++|\\.)*+(?:"|\\?\z)'
+    part = rf"""{double}|'{single}*+(?:'|\\?\z)|\\.|\\\z|[^{blank}"'\\]++"""
+    escaped = lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1")
+    in_double = lambda p: escaped(F.regexp_extract(p, rf'(?s)^"((?:[^"\\]++|\\.)*+{end})', 1))
+    in_single = lambda p: F.regexp_extract(p, rf"(?s)^'({single}*+{end if '.' in single else ''})", 1)
+    unquoted = lambda p: in_single(p) if "." not in single else escaped(in_single(p))
+    plain = lambda p: F.when(p == "\\", F.lit("\\" if end else "")).when(p.startswith("\\"), F.substring(p, 2, 2)).otherwise(p)
+    read = lambda p: F.when(p.startswith('"'), in_double(p)).when(p.startswith("'"), unquoted(p)).otherwise(plain(p))
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?:{part})++"), F.lit(0))
+    return F.transform(found, lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(f"(?s){part}"), F.lit(0)), read), ""))
+
+
+def split_command(line: Column) -> Column:
+    """Words of the command of a compile database: blanks part them; double quotes and backslashes as in a shell, single
+    quotes without escapes; empty quotes are a word; a quote or escape without its end keeps what there is."""
+    return _words(line, " ", r"[^']", "")
+
+
+def split_response(text: Column) -> Column:
+    """Words of a response file, by the rules of GNU tools: white space parts them; a backslash escapes the next character
+    everywhere, in single quotes too, and at the very end stands for itself; empty words are left out."""
+    return F.filter(_words(text, r" \t\r\n\x00", r"(?:[^'\\]++|\\.)", r"\\?"), lambda w: w != "")
 
 
 def expand_response_files(commands: DataFrame, files: DataFrame) -> DataFrame:
     """@file arguments replaced by the words of that file (files: path, text), until none is left; a file that isn't
     there, or that is being opened already, stays as it is. An argument carries the files that it comes from."""
-    words = files.select(F.col("path").alias("_rsp"), split_arguments(F.col("text")).alias("_words"))
+    words = files.select(F.col("path").alias("_rsp"), split_response(F.col("text")).alias("_words"))
     keys = ["project", "cmd_seq"]
     none = F.array().cast("array<string>")
     lists = commands.select(*keys, "directory", F.transform("arguments", lambda a: F.struct(a.alias("flag"), none.alias("files"))).alias("list"))

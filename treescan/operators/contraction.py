@@ -19,10 +19,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treescan.functions.storage import written
+from treescan.functions.storage import counted, written
 
 #: Nodes (left) of a tree that one task finishes: about 200 MB with its names. Most translation units are smaller.
 FINISH = 1 << 20
@@ -42,13 +42,6 @@ class Contraction:
     total: int = 0
 
 
-def _counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """df written, with counts taken while it is."""
-    seen = Observation()
-    out = written(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
-    return out, {k: v or 0 for k, v in seen.get.items()}
-
-
 def _split(alive: DataFrame, finish: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows of trees that are small enough, and the rest if there is any."""
     sizes = written(alive.groupBy("tu").agg(F.count("*").alias("n")).where(F.col("n") > finish).select("tu"), "large_trees")
@@ -62,7 +55,7 @@ def contract(nodes: DataFrame, finish: int | None = None) -> Contraction:
     finish = FINISH if finish is None else finish
     out = Contraction()
     long = lambda n: F.lit(n).cast("long")
-    alive, n = _counted(nodes.withColumn("up", F.col("parent_id")).withColumns({"weight": long(1), "between": long(0)}), "nodes", all=F.count(F.lit(1)))
+    alive, n = counted(nodes.withColumn("up", F.col("parent_id")).withColumns({"weight": long(1), "between": long(0)}), "nodes", all=F.count(F.lit(1)))
     out.total = n["all"]
     small, alive = _split(alive, finish)
     out.rest.append(small)
@@ -71,7 +64,7 @@ def contract(nodes: DataFrame, finish: int | None = None) -> Contraction:
         turn += 1
         of_parent = alive.where("parent_id is not null").groupBy("tu", F.col("parent_id").alias("node_id"))
         marked = alive.join(of_parent.agg(F.count("*").alias("kids")), key, "left").withColumn("leaf", F.col("kids").isNull())
-        marked, n = _counted(marked, "marked", all=F.count(F.lit(1)), leaves=F.count_if("leaf"))
+        marked, n = counted(marked, "marked", all=F.count(F.lit(1)), leaves=F.count_if("leaf"))
         leaves = marked.where("leaf").drop("kids", "leaf")
         masses = leaves.where("parent_id is not null").groupBy("tu", F.col("parent_id").alias("node_id")).agg(F.sum(F.col("weight") + F.col("between")).alias("more"), F.count("*").alias("gone"))
         inner = marked.where("not leaf").drop("leaf").join(masses, key, "left")
@@ -284,18 +277,18 @@ def depths(nodes: DataFrame, finish: int | None = None) -> DataFrame:
 def labels(nodes: DataFrame, finish: int | None = None) -> DataFrame:
     """nodes (tu, node_id, parent_id, ordinal) to tu, node_id, depth, size, pre, root_id. Raises ValueError where parents
     form a cycle. Trees of at most ``finish`` nodes are labelled in tasks, many at a time; larger ones go by rounds."""
-    nodes, n = _counted(nodes.select("tu", "node_id", "parent_id", F.col("ordinal").cast("long").alias("ordinal")), "nodes", all=F.count(F.lit(1)))
+    nodes, n = counted(nodes.select("tu", "node_id", "parent_id", F.col("ordinal").cast("long").alias("ordinal")), "nodes", all=F.count(F.lit(1)))
     small, large = _split(nodes, FINISH if finish is None else finish)
     kind = nodes.schema["node_id"].dataType.simpleString()
     schema = f"tu {nodes.schema['tu'].dataType.simpleString()}, node_id {kind}, depth long, size long, pre long, root_id {kind}, bucket long"
     bad = F.count_if(F.col("pre").isNull())
-    found, n = _counted(_in_tasks(small, _labels_of, schema, n["all"]), "labels", bad=bad)
+    found, n = counted(_in_tasks(small, _labels_of, schema, n["all"]), "labels", bad=bad)
     if large is not None:
         c = contract(large, finish)
         sized = written(sibling_offsets(subtree_sizes(c)), "sized")
         edge = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
         edges = sized.select("tu", "node_id", "up", "gone", edge.alias("steps"), (F.col("before") + edge).alias("shift"))
-        more, m = _counted(from_the_top(c, edges).join(sized.select("tu", "node_id", "size"), ["tu", "node_id"]), "labels", bad=bad)
+        more, m = counted(from_the_top(c, edges).join(sized.select("tu", "node_id", "size"), ["tu", "node_id"]), "labels", bad=bad)
         found, n = found.unionByName(more), {"bad": n["bad"] + m["bad"]}
     if n["bad"]:
         raise ValueError("parents form a cycle")

@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treescan.functions.storage import written
+from treescan.functions.storage import counted, written
 from treescan.operators import contraction
 
 
-def _open(walk: DataFrame) -> int:
-    return walk.where("jump is not null").count()
+def _open() -> Column:
+    """How many walks go on, counted while a round is written."""
+    return F.count_if(F.col("jump").isNotNull())
 
 
-def _still_open(walk: DataFrame, before: int, cycles: bool = False) -> int:
+def _still_open(n: int, before: int, cycles: bool = False) -> int:
     """The walks that go on; 0 where only cycles are left, or ValueError unless these are allowed."""
-    n = _open(walk)
     if n == before and not cycles:
         raise ValueError("parents form a cycle")
     return 0 if n == before else n
@@ -29,14 +29,14 @@ def _still_open(walk: DataFrame, before: int, cycles: bool = False) -> int:
 def walks_up(nodes: DataFrame, of_node: Column, together, parent: str = "parent_id") -> DataFrame:
     """tu, node_id, top, value for each node: of_node of the node and all above it up to top, put together two by two by
     together(upper, lower). top is the highest node, a parent that has no row, or null in a cycle."""
-    walk = written(nodes.select("tu", "node_id", F.col(parent).alias("jump"), F.coalesce(parent, "node_id").alias("top"), of_node.alias("value")), "walks")
-    n = _open(walk)
+    walk, seen = counted(nodes.select("tu", "node_id", F.col(parent).alias("jump"), F.coalesce(parent, "node_id").alias("top"), of_node.alias("value")), "walks", open=_open())
+    n = seen["open"]
     while n:
         far = walk.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("value").alias("value2"))
         far = walk.join(far, ["tu", "jump"], "left")
         value = F.when(F.col("value2").isNull(), F.col("value")).otherwise(together(F.col("value2"), F.col("value")))
-        walk = written(far.select("tu", "node_id", F.col("jump2").alias("jump"), F.coalesce("top2", "top").alias("top"), value.alias("value")), "walks")
-        n = _still_open(walk, n, cycles=True)
+        walk, seen = counted(far.select("tu", "node_id", F.col("jump2").alias("jump"), F.coalesce("top2", "top").alias("top"), value.alias("value")), "walks", open=_open())
+        n = _still_open(seen["open"], n, cycles=True)
     return walk.select("tu", "node_id", F.when(F.col("jump").isNull(), F.col("top")).alias("top"), "value")
 
 
@@ -59,14 +59,14 @@ def path_to_root(nodes: DataFrame) -> DataFrame:
 def _gathered_up(nodes: DataFrame, start: Column, more, grown, name: str) -> DataFrame:
     """tu, node_id and a number over the subtree of each node. After a round the number covers what is less than the
     stride below; what is the stride below adds its own by the aggregate more and the function grown(own, more, stride)."""
-    at = written(nodes.select("tu", "node_id", F.col("parent_id").alias("jump"), start.cast("long").alias(name)), name)
-    n, stride = _open(at), 1
+    at, seen = counted(nodes.select("tu", "node_id", F.col("parent_id").alias("jump"), start.cast("long").alias(name)), name, open=_open())
+    n, stride = seen["open"], 1
     while n:
         below = at.where("jump is not null").groupBy("tu", F.col("jump").alias("node_id")).agg(more(name).alias("more"))
         far = at.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"))
         joined = at.join(below, ["tu", "node_id"], "left").join(far, ["tu", "jump"], "left")
-        at = written(joined.select("tu", "node_id", F.col("jump2").alias("jump"), grown(F.col(name), F.col("more"), stride).alias(name)), name)
-        n, stride = _still_open(at, n), stride * 2
+        at, seen = counted(joined.select("tu", "node_id", F.col("jump2").alias("jump"), grown(F.col(name), F.col("more"), stride).alias(name)), name, open=_open())
+        n, stride = _still_open(seen["open"], n), stride * 2
     return at.select("tu", "node_id", name)
 
 

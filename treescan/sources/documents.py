@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from treescan.functions.storage import written
 from treescan.operators import contraction
-from treescan.operators.commands import split_arguments
+from treescan.operators.commands import split_command
 from treescan.operators.includes import attach_errors
 from treescan.operators.logs import wire_lines
 from treescan.sources import nested
@@ -28,7 +28,7 @@ def read_compile_commands(spark: SparkSession, path: str, project: str) -> DataF
     state = rows.agg(F.count("file").alias("n"), F.count("_corrupt_record").alias("bad")).first()
     if state["bad"] or not state["n"]:
         raise ValueError(f"no compile commands in {path}: " + ("corrupt" if state["bad"] else "empty"))
-    arguments = F.coalesce("arguments", split_arguments(F.col("command")))
+    arguments = F.coalesce("arguments", split_command(F.col("command")))
     first = F.row_number().over(Window.partitionBy("file").orderBy("cmd_seq"))
     return rows.withColumn("_n", first).where("_n = 1 and file is not null").select(F.lit(project).alias("project"), "cmd_seq", "directory", arguments.alias("arguments"), "command", "file")
 
