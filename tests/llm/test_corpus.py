@@ -283,14 +283,17 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == brute_components(rows)
 
 
-def test_near_misses_are_not_paired(spark):
-    """4,000 texts that all agree by 0.84 and share 96 shingles: no post of a list is left to be compared."""
+def test_near_misses_come_out_of_products_as_nothing(spark):
+    """4,000 texts of one list that all agree by 0.84: no pair of them is a row, and two that link are found among them."""
     common = " ".join(f"c{i}" for i in range(100))
     rows = [(k, common + " " + " ".join(f"u{k}_{i}" for i in range(9))) for k in range(4000)]
+    rows[3999] = (3999, rows[17][1].replace("u17_8", "other"))
     texts = spark.createDataFrame(rows, "id long, text string")
-    active = texts.selectExpr("id as node", "105L as n", "id as root")
+    live = texts.selectExpr("1L as post", "id as node", "105L as n", "id as root")
+    nodes = texts.selectExpr("id as node", "105L as n_shingles", "id as number")
     began = time.time()
-    assert near_dedup.prefix_pairs(active, texts).count() == 0 and time.time() - began < 60
+    got = [tuple(sorted(r)) for r in near_dedup.list_links(live, nodes, texts).collect()]
+    assert got == [(17, 3999)] and time.time() - began < 60
 
 
 def test_near_dedup_nulls_and_repeats(spark):

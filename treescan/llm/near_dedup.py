@@ -3,17 +3,16 @@
 A text's set is its distinct 5-word shingles (hashed to 64 bits). A base signature has ROWS * COORDINATES minima; each
 coordinate joins ROWS of them, so two texts of similarity s agree on one with probability s ** ROWS. Texts are posted
 under the coordinate-value pairs of a prefix: to agree on MATCHES of all coordinates, two texts must agree on one of any
-COORDINATES - MATCHES + 1. Pairs of at least MATCHES collisions are retained, counted with the coordinates that the prefix
-skips read off the signatures, and confirmed on the full sets. At similarity 0.85 a pair
-is missed with a probability of about 2e-6.
+COORDINATES - MATCHES + 1, which is how much of a signature is posted; the coordinates that the prefix skips are never
+read. What is retained is confirmed on the full sets. At similarity 0.85 a pair is missed with a probability of about 2e-6.
 
 No group's pairs are all written out. Equal sets are one node. First every text is tried with the one pivot (the
 smallest id of a posting list) it collides with most, and what is linked so becomes a component. Lists that hold several
-components take other pivots in further rounds, while these link enough. Then only lists that still hold several
-components are looked at. Their texts are posted under their rarest shingles, as many as a link
-leaves free to differ, and two are paired where both still have enough shingles after the places where they meet; the
-pairs' collisions are counted on the signatures and MATCHES or more go on to the full sets. So a large group of near
-copies costs a pair for each member, near misses are not paired, and no link between components is lost.
+components take other pivots in further rounds, while these link enough. The lists that still hold several are then cut
+into row blocks, and blocks that meet in a list are multiplied as sparse matrices of documents by shingles: the product
+counts overlaps in tasks, drops pairs that cannot reach their bound, and gives back the links that join components. So a
+large group of near copies costs a pair for each member, near misses cost their share of a product of blocks, and no
+link between components that collide is lost.
 
 Null and empty texts have no shingles and no links. Rows that repeat an id are one document, with the links of all their
 texts. Rows without id take part in no link; among equal sets they get the component of those with an id, else null.
@@ -24,26 +23,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.llm.common import LOWER, chunks, free_name, materialize, small_batches, word_hashes
+from treescan.llm.common import LOWER, chunks, components, free_name, materialize, small_batches, word_hashes
+from treescan.llm.ngram_join import block_links
 
 SHINGLE = 5
 ROWS, COORDINATES, MATCHES = 6, 40, 3
 PREFIX = COORDINATES - MATCHES + 1
 #: Link where LINK[0] * intersection >= LINK[1] * union.
 LINK = (100, 85)
-#: Of the base signature, the share that must agree; 0.85 less six standard deviations.
-LEAST_SHARE = 0.7
 
 _RNG = np.random.default_rng(20240611)
 _A = (_RNG.integers(0, 2**31, ROWS * COORDINATES, np.uint32) << 1) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, ROWS * COORDINATES, np.uint32)
 _M = _RNG.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("coordinates", T.ArrayType(T.LongType())), T.StructField("base", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("coordinates", T.ArrayType(T.LongType()))])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -107,8 +105,7 @@ def sketch(text: pa.Array) -> pa.Array:
             bases.append(base_signature(s))
     stacked = np.array(bases, np.uint32).reshape(-1, len(_A))
     values = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(coordinates_of(stacked).reshape(-1), pa.int64()))
-    low = [row.tobytes() for row in (stacked & np.uint32(255)).astype(np.uint8)]
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(keys, pa.binary()), values, pa.array(low, pa.binary())], SKETCH.names)
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(keys, pa.binary()), values], SKETCH.names)
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -117,16 +114,6 @@ def shingle_hashes(text: pa.Array) -> pa.Array:
     return pa.array([s.view(np.int64) for a, b in chunks(texts) for s in shingle_sets(texts[a:b])], pa.list_(pa.int64()))
 
 
-@F.arrow_udf(T.BooleanType())
-def may_link(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether two base signatures agree on MATCHES coordinates and on LEAST_SHARE of all minima."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, len(_A)) for c in (a, b))
-    same = x == y
-    # base j belongs to coordinate j // ROWS, as coordinates_of reads them
-    matches = same.reshape(-1, COORDINATES, ROWS).all(axis=2).sum(axis=1)
-    return pa.array((matches >= MATCHES) & (same.sum(axis=1) >= LEAST_SHARE * len(_A)), pa.bool_())
-
-
 @F.arrow_udf(T.BooleanType())
 def linked(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether the full shingle sets of two texts link."""
@@ -139,23 +126,6 @@ def linked(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) to (node, root), root the smallest node reachable: large-star and small-star rounds until stable."""
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    mark = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        edges = materialize(small, "edges")
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        mark = new
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose full sets link; texts: id, text."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -163,33 +133,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.where(linked("text_a", "text_b")).select("a", "b")
 
 
-def prefix_pairs(active: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of active documents (node, n, root) in different components that can still link.
-
-    Shingles are put in order of rarity among the active documents. The first shingle that a pair has in common stands
-    at a place after which both sets must hold the whole intersection, so only the first 15 in 100 shingles of a set are
-    posted, and two of a list are paired only if enough is left of both after their places.
-    """
-    text = F.when(F.col("root").isNotNull(), F.col("text"))  # keeps the function above the join
-    text = texts.join(active, texts["id"] == active["node"]).select("node", "n", "root", shingle_hashes(text).alias("all"))
-    own = materialize(text.select("node", "n", "root", F.explode("all").alias("shingle")), "shingles")
-    # a shingle that one document has pairs nothing: it only takes a place
-    common = own.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
-    placed = own.join(common, "shingle").withColumn("left", F.count("*").over(Window.partitionBy("node")) - F.row_number().over(Window.partitionBy("node").orderBy("seen", "shingle")) + 1)
-    posts = materialize(placed.where(LINK[0] * F.col("left") >= LINK[1] * F.col("n")).select("shingle", "node", "n", "root", "left"), "prefixes")
-    of_root = posts.groupBy("shingle", "root").agg(F.count("*").alias("count"), F.min("n").alias("least_n"))
-    major = of_root.groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("x"), F.count("*").alias("roots"), F.min("least_n").alias("least_n")).where("roots > 1").select("shingle", F.col("x.root").alias("major"), "least_n")
-    # written before the joins on shingle, so that AQE can split the shuffles of a frequent shingle
-    # what can't even link with the smallest set of a list is compared with none of it
-    mixed = posts.join(materialize(major, "major"), "shingle").where(sum(LINK) * F.col("left") >= LINK[1] * (F.col("n") + F.col("least_n")))
-    mixed = materialize(mixed.drop("least_n"), "mixed")
-    one = mixed.where("root <> major").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("left").alias("lx"))
-    two = mixed.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("left").alias("ly"), "major")
-    enough = sum(LINK) * F.least("lx", "ly") >= LINK[1] * (F.col("nx") + F.col("ny"))
-    met = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & enough)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def _mixed_lists(posts: DataFrame) -> DataFrame:
     """The posts of lists that hold several components."""
     mixed = posts.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("post")
@@ -222,12 +165,27 @@ def more_pivots(live: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
             return live, names
 
 
+def list_links(live: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between documents (post, node, n, root) of different components in lists that hold several, by products
+    of row blocks of these lists: each pair of a list is looked at once, in tasks, and only links that join components
+    come back."""
+    numbered = live.join(nodes.select("node", F.col("n_shingles").alias("n"), "number"), ["node", "n"])
+    rows = materialize(numbered.select(F.col("post").alias("gram"), F.col("number").alias("code"), "node", "n", F.xxhash64("root").alias("root")), "list_rows")
+    active = rows.select("code", "node", "n").distinct()
+    text = F.when(F.col("code").isNotNull(), F.col("text"))  # keeps the function above the join
+    sets = texts.join(active, texts["id"] == active["node"]).select("code", "n", shingle_hashes(text).alias("grams"))
+    matrix = materialize(sets.where(F.size("grams") == F.col("n")).select("code", "grams"), "list_sets")
+    links = block_links(rows.drop("node"), matrix)
+    of = lambda k: nodes.select(F.col("number").alias(f"_{k}"), F.col("node").alias(k))
+    return links.toDF("_a", "_b").join(of("a"), "_a").join(of("b"), "_b").select("a", "b")
+
+
 def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(texts.withColumn("s", sketch("text")).select("id", "s.*"), "sketches")
-    nodes = rows.where("n_shingles > 0 and id is not null").groupBy("set_key", "n_shingles").agg(F.min("id").alias("node"), F.first("coordinates").alias("coordinates"), F.first("base").alias("base"))
+    nodes = rows.where("n_shingles > 0 and id is not null").groupBy("set_key", "n_shingles").agg(F.min("id").alias("node"), F.first("coordinates").alias("coordinates")).withColumn("number", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
 
     posts = nodes.select(F.explode(F.slice("coordinates", 1, PREFIX)).alias("post"), "node", F.col("n_shingles").alias("n"))
@@ -245,11 +203,7 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     current = nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     current = materialize(current.join(names, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots_now")
 
-    active = materialize(_mixed_lists(live).select("node", "n", "root").distinct(), "active")
-    pairs = prefix_pairs(active, texts)
-    sides = nodes.select("node", "base")
-    pairs = pairs.join(sides.select(F.col("node").alias("a"), F.col("base").alias("base_a")), "a").join(sides.select(F.col("node").alias("b"), F.col("base").alias("base_b")), "b").where(may_link("base_a", "base_b")).select("a", "b").distinct()
-    more = confirmed(materialize(pairs, "pairs"), texts)
+    more = materialize(list_links(materialize(_mixed_lists(live), "mixed_posts"), nodes, texts), "links")
     # the nodes of an id belong together
     of_id = materialize(rows.where("id is not null").select("id", "set_key").join(nodes.select("set_key", "node"), "set_key").select("id", "node").distinct(), "nodes_of_ids")
     several = of_id.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")

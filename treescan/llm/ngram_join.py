@@ -38,8 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treescan.llm.common import LOWER, chunks, materialize, small_batches, word_hashes
-from treescan.llm.near_dedup import components
+from treescan.llm.common import LOWER, chunks, components, materialize, small_batches, word_hashes
 
 N = 4
 #: Link where LINK[0] * intersection >= LINK[1] * union.
@@ -359,7 +358,7 @@ def _with_grams(rows: DataFrame, most: int, matrix: DataFrame) -> DataFrame:
     return matrix.join(rows, "code").select("x", "y", "block", "code", "n", "root", "grams")
 
 
-def _block_links(live: DataFrame, matrix: DataFrame) -> DataFrame:
+def block_links(live: DataFrame, matrix: DataFrame) -> DataFrame:
     """Links of rows of different components in lists that hold several, by products of row blocks."""
     sizes = live.groupBy("gram").agg(F.count("*").alias("members"))
     crowd = live.join(materialize(sizes, "list_sizes"), "gram").groupBy("code", "n", "root").agg(F.max(F.struct("members", "gram")).alias("crowd"))
@@ -434,7 +433,7 @@ def find_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             live = materialize(_several(live.drop("root").join(current, "code")), "live")
         if 10 * found < tried or not found:
             break
-    current = materialize(_renamed(current, materialize(_block_links(live, matrix), "links")), "roots")
+    current = materialize(_renamed(current, materialize(block_links(live, matrix), "links")), "roots")
     # the sets of an id belong together, and so do the ids of a set
     named = materialize(rows.where("id is not null and code is not null").join(current, "code", "left").select("id", F.coalesce("root", "code").alias("root")).distinct(), "named")
     of_id = named.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("id", "a")
