@@ -74,20 +74,3 @@ def chunks(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int
         total += len(t)
     if start < len(texts):
         yield start, len(texts)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) to (node, root), root the smallest node reachable: large-star and small-star rounds until stable."""
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    mark = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        edges = materialize(small, "edges")
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        mark = new
