@@ -153,3 +153,20 @@ def test_early_chunks_wait_also_over_a_restart(spark, tmp_path, files):
             out = st.run(st.reassemble_numbered(stream_of(spark, tmp_path / "in", schema)), "append", str(tmp_path / "out"))
     got = sorted((r.source, r.fd, r.line) for r in out.collect())
     assert got == sorted((*key, line) for key, t in text.items() for line in t.split("\n")[:-1])
+
+
+def test_early_chunks_are_kept_by_blocks(spark, tmp_path):
+    """Chunks over several blocks and slices, backwards over three batches; the state has a row a block, not one a chunk."""
+    text = "".join(f"{i} {'x' * (i % 9)}\n" for i in range(4_000))
+    rows = [(1, 0, i, text[i * 5 : i * 5 + 5]) for i in range(-(-len(text) // 5))]
+    schema, path = "source long, fd int, n long, chunk string", str(tmp_path / "out")
+    third = len(rows) // 3
+    put(spark, rows[: third - 1 : -1], schema, tmp_path / "in/0")
+    st.run(st.reassemble_numbered(stream_of(spark, tmp_path / "in", schema)), "append", path)
+    state = spark.read.format("statestore").options(path=f"{path}-state", stateVarName="early").load()
+    assert 0 < state.count() <= len(rows) // 1024 + 1
+    put(spark, rows[5:third] + rows[5:9], schema, tmp_path / "in/1")
+    put(spark, rows[:5], schema, tmp_path / "in/2")
+    got = [r.line for r in st.run(st.reassemble_numbered(stream_of(spark, tmp_path / "in", schema)), "append", path).collect()]
+    assert sorted(got) == sorted(text.split("\n")[:-1])
+    assert spark.read.format("statestore").options(path=f"{path}-state", stateVarName="early").load().count() == 0
