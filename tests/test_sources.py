@@ -121,3 +121,23 @@ def test_diagnostics_round_trip(spark, tmp_path):
     got = sorted((r.level, r.message) for r in logs.parse_lines(d.read_diagnostics(spark, path)).collect())
     # the second line loses its blank fields when it is trimmed, so it isn't structured any more
     assert got == [("Debug", "@diag\tnote"), ("Error", "a b.c:3: bad thing")]
+
+
+def test_small_documents_share_batches_and_a_large_one_is_streamed(monkeypatch):
+    """Many small documents come as few batches; the nodes of a large one come as they are read; a bad one gives no nodes."""
+    import pyarrow as pa
+    from treescan.sources import nested
+
+    monkeypatch.setattr(nested, "BATCH", 100)
+    monkeypatch.setattr(nested, "LARGE", 3000)
+    small = '{"properties":{"kind":"A"},"children":[{"sourceRange":{"begin":{}}},{}]}'
+    large = '{"properties":{"kind":"R"},"children":[' + ",".join(['{"properties":{"k":1}}'] * 400) + "]}"
+    docs = [(f"s{i}", small) for i in range(90)] + [("large", large), ("bad", small[:-1]), ("large bad", large + "x"), ("none", None)]
+    batch = pa.RecordBatch.from_pylist([{"tu": tu, "value": v} for tu, v in docs], schema=pa.schema([("tu", pa.string()), ("value", pa.string())]))
+    out = list(nested.read_nodes(True)(iter([batch])))
+    assert len(out) <= 8 and max(b.num_rows for b in out) <= 100
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["tu"] for r in rows if r["reason"]] == ["bad", "large bad", "none"]
+    of = lambda tu: [(r["node_id"], r["parent_id"], r["ordinal"], r["depth"], r["path"], r["bag"], r["range"]) for r in rows if r["tu"] == tu and not r["reason"]]
+    assert of("s7") == [("0.0", "0", 0, 1, [0, 0], None, '{"begin":{}}'), ("0.1", "0", 1, 1, [0, 1], None, None), ("0", None, 0, 0, [0], '{"kind":"A"}', None)]
+    assert len(of("large")) == 401 and of("large")[399] == ("0.399", "0", 399, 1, [0, 399], '{"k":1}', None) and not of("bad") and not of("large bad")

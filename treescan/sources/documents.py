@@ -15,6 +15,8 @@ from treescan.operators.includes import attach_errors
 from treescan.operators.logs import wire_lines
 from treescan.sources import nested
 
+#: Bytes of documents from which on no more go to a task's Python at once.
+BATCH_BYTES = 4 << 20
 COMMAND = "directory string, file string, command string, arguments array<string>, _corrupt_record string"
 HEADER = "array<struct<path: string, direct: boolean, inclusionKind: string>>"
 DOCUMENT = f"statistics struct<totalCount: long, successCount: long, failureCount: long, totalHeaderCount: long>, files array<struct<path: string, headerCount: long, headers: {HEADER}, partialData: boolean, error: string>>, errors array<struct<filePath: string, message: string>>, _corrupt_record string"
@@ -68,7 +70,13 @@ def read_ast_export(docs: DataFrame, paths: bool = True) -> tuple[DataFrame, Dat
     """docs (tu, value: a JSON export {properties, sourceRange, children}) to nodes (tu, node_id, parent_id, ordinal,
     depth, path of ordinals, bag, positions) and rejects (tu, reason). Depth has no limit. Ids are paths of ordinals, which
     add up to the square of the depth; without paths they are numbers in the order of the document."""
-    found = written(docs.select(F.col("tu").cast("string").alias("tu"), "value").mapInArrow(nested.read_nodes(paths), nested.NODE), "nodes")
+    spark, setting = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, BATCH_BYTES)  # so that a task holds one large document at a time
+    try:
+        found = written(docs.select(F.col("tu").cast("string").alias("tu"), "value").mapInArrow(nested.read_nodes(paths), nested.NODE), "nodes")
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     get = lambda end, key, kind: F.try_variant_get("at", f"$.{end}.{key}", kind)
     places = {f"{end}_{name}": F.when(F.coalesce(get(end, "valid", "boolean"), F.lit(True)) & (get(end, "fileId", "long") > 0), get(end, key, kind)) for end in ("begin", "end") for name, key, kind in (("file", "fileId", "long"), ("line", "line", "long"), ("col", "column", "long"), ("path", "filePath", "string"))}
     rows = found.where("reason is null").withColumns({"bag": F.try_parse_json("bag"), "at": F.try_parse_json("range")})
@@ -92,7 +100,7 @@ def ast_events(nodes: DataFrame) -> DataFrame:
 
 
 def _documents(events: DataFrame) -> DataFrame:
-    whole = F.array_sort(F.collect_list(F.struct("pre", "text")))
+    whole = F.sort_array(F.collect_list(F.struct("pre", "text")))
     return events.groupBy("tu", "root_id").agg(whole.alias("all")).select("tu", F.array_join(F.transform("all", lambda e: e["text"]), "").alias("value"))
 
 
