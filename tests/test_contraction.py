@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from treescan.operators import contraction
+from pyspark.sql import functions as F
+from treescan.operators import contraction, trees
 
 SCHEMA = "tu string, node_id string, parent_id string, ordinal long"
 
@@ -75,3 +76,24 @@ def test_cycles_and_lost_parents_have_no_depth(spark, finish):
     good = nodes.where("node_id in ('r', 'k', 'k0', 'k1')")
     assert {r.node_id: (r.pre, r.size) for r in contraction.labels(good, finish).collect()} == {"r": (0, 4), "k": (1, 3), "k0": (2, 1), "k1": (3, 1)}
     assert contraction.labels(nodes.limit(0), finish).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["bushy", "chain", "star", "roots", "cycle"])
+def test_walks_do_not_depend_on_leaves_taken_off(spark, shape, monkeypatch):
+    """Paths by doubling alone and after leaves were taken off; only nodes left over take part in the doubled walks."""
+    rows = forest(5, 90, "bushy" if shape == "cycle" else shape)
+    rows += [("t", "lost", "gone", 0), ("t", "lost2", "lost", 0)] + ([("t", "a", "b", 0), ("t", "b", "a", 0), ("t", "below", "a", 0)] if shape == "cycle" else [])
+    nodes = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    up = {(r[0], r[1]): r[2] for r in rows}
+    for tu, node in up:
+        path, at = [], node
+        while at is not None and (tu, at) in up and len(path) < 200:
+            path, at = [at, *path], up[tu, at]
+        if at is None:
+            want[tu, node] = path
+    for few in (1 << 18, 0):
+        monkeypatch.setattr(trees, "FEW", few)
+        assert {(r.tu, r.node_id): r.path for r in trees.path_to_root(nodes).collect()} == want
+        tops = {(r.tu, r.node_id): r.top for r in trees.walks_up(nodes, F.array("node_id"), F.concat).collect()}
+        assert len(tops) == len(rows) and tops["t", "lost2"] == "gone" and tops.get(("t", "below")) is None

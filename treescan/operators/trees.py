@@ -1,6 +1,6 @@
 """Trees given by parent pointers: depth, paths, subtrees, labels, contexts.
 
-Table nodes: tu, node_id, parent_id (null for a root), and ordinal among siblings. All walks double their stride in
+Table nodes: tu, node_id, parent_id (null for a root), and ordinal among siblings. Walks double their stride in
 each round, so a chain of a thousand nodes takes ten rounds; each round is written to the shared folder. In each round
 some walk comes to its end, so where their number stays the same parents form a cycle.
 """
@@ -26,24 +26,42 @@ def _still_open(n: int, before: int, cycles: bool = False) -> int:
     return 0 if n == before else n
 
 
+#: Walks that are doubled without taking off leaves first.
+FEW = 1 << 18
+
+
 def walks_up(nodes: DataFrame, of_node: Column, together, parent: str = "parent_id") -> DataFrame:
-    """tu, node_id, top, value for each node: of_node of the node and all above it up to top, put together two by two by
-    together(upper, lower). top is the highest node, a parent that has no row, or null in a cycle."""
-    walk, seen = counted(nodes.select("tu", "node_id", F.col(parent).alias("jump"), F.coalesce(parent, "node_id").alias("top"), of_node.alias("value")), "walks", open=_open())
+    """tu, node_id, top, rooted, value for each node: of_node of the node and all above it up to top, put together two by
+    two by together(upper, lower). top is the highest node (rooted), a parent that has no row, or null in a cycle.
+
+    Leaves are taken off while that halves what is left, and get their values from their parents at the end. So the
+    doubled walks are those of few nodes, and most rows are joined with their own parents only."""
+    key, peeled = ["tu", "node_id"], []
+    alive, seen = counted(nodes.select(*key, F.col(parent).alias("up"), of_node.alias("value")), "walks", all=F.count(F.lit(1)))
+    n = seen["all"]
+    while n > FEW:
+        parents = alive.where("up is not null").select("tu", F.col("up").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+        marked, seen = counted(alive.join(parents, key, "left"), "walks", leaves=F.count_if(F.col("inner").isNull()))
+        peeled.append(marked.where("inner is null").drop("inner"))
+        alive, before, n = marked.where("inner").drop("inner"), n, n - seen["leaves"]
+        if 2 * n > before:
+            break
+    walk, seen = counted(alive.select(*key, F.col("up").alias("jump"), F.coalesce("up", "node_id").alias("top"), F.col("up").isNull().alias("rooted"), "value"), "walks", open=_open())
     n = seen["open"]
     while n:
-        far = walk.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("value").alias("value2"))
+        far = walk.select("tu", F.col("node_id").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("rooted").alias("rooted2"), F.col("value").alias("value2"))
         far = walk.join(far, ["tu", "jump"], "left")
         value = F.when(F.col("value2").isNull(), F.col("value")).otherwise(together(F.col("value2"), F.col("value")))
-        walk, seen = counted(far.select("tu", "node_id", F.col("jump2").alias("jump"), F.coalesce("top2", "top").alias("top"), value.alias("value")), "walks", open=_open())
+        walk, seen = counted(far.select(*key, F.col("jump2").alias("jump"), F.coalesce("top2", "top").alias("top"), F.coalesce("rooted2", "rooted").alias("rooted"), value.alias("value")), "walks", open=_open())
         n = _still_open(seen["open"], n, cycles=True)
-    return walk.select("tu", "node_id", F.when(F.col("jump").isNull(), F.col("top")).alias("top"), "value")
-
-
-def _rooted(walks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Walks that end at a root of the tu."""
-    roots = nodes.where("parent_id is null").select("tu", F.col("node_id").alias("top"))
-    return walks.join(roots, ["tu", "top"], "left_semi")
+    known = walk.select(*key, F.when(F.col("jump").isNull(), F.col("top")).alias("top"), (F.col("jump").isNull() & F.col("rooted")).alias("rooted"), "value")
+    for k in reversed(range(len(peeled))):
+        above = known.select("tu", F.col("node_id").alias("up"), F.col("top").alias("top2"), F.col("rooted").alias("rooted2"), F.col("value").alias("value2"), F.lit(True).alias("there"))
+        value = F.when(F.col("value2").isNull(), F.col("value")).otherwise(together(F.col("value2"), F.col("value")))
+        top = F.when(F.col("there"), F.col("top2")).otherwise(F.coalesce("up", "node_id"))
+        back = peeled[k].join(above, ["tu", "up"], "left").select(*key, top.alias("top"), F.coalesce("rooted2", F.col("up").isNull()).alias("rooted"), value.alias("value"))
+        known = known.union(written(back, "walks") if k else back)
+    return known
 
 
 def node_depth(nodes: DataFrame) -> DataFrame:
@@ -53,7 +71,7 @@ def node_depth(nodes: DataFrame) -> DataFrame:
 
 def path_to_root(nodes: DataFrame) -> DataFrame:
     """tu, node_id, path: ids from the root to the node. No row where the walk does not end at a root of the tu."""
-    return _rooted(walks_up(nodes, F.array("node_id"), F.concat), nodes).select("tu", "node_id", F.col("value").alias("path"))
+    return walks_up(nodes, F.array("node_id"), F.concat).where("rooted").select("tu", "node_id", F.col("value").alias("path"))
 
 
 def _gathered_up(nodes: DataFrame, start: Column, more, grown, name: str) -> DataFrame:
@@ -120,10 +138,10 @@ def context_chain(decls: DataFrame, which: str = "semantic_parent") -> DataFrame
     entry = F.struct("kind", "name", "node_id", F.col("pre").alias("at"))
     up = walks_up(decls.where("is_context"), F.array(entry), F.concat, which)
     up = up.select("tu", F.col("node_id").alias("start"), F.when(F.col("top").isNull(), F.raise_error(F.lit("parents form a cycle")).cast(up.schema["value"].dataType)).otherwise(F.col("value")).alias("above"))
-    own = decls.where("is_decl").select("tu", "node_id", "pre", F.col(which).alias("start"), F.array(entry).alias("own")).join(up, ["tu", "start"], "left")
+    rows = decls.select("tu", "node_id", "is_decl", "pre", F.col(which).alias("start"), F.array(entry).alias("own")).join(up, ["tu", "start"], "left")
     whole = F.concat(F.coalesce("above", F.slice("own", 1, 0)), "own")
     visible = lambda e: F.struct(e["kind"].alias("kind"), e["name"].alias("name"), F.when(e["at"] <= F.col("pre"), e["node_id"]).alias("node_id"))
-    return decls.select("tu", "node_id").join(own.select("tu", "node_id", F.transform(whole, visible).alias("chain")), ["tu", "node_id"], "left")
+    return rows.select("tu", "node_id", F.when(F.col("is_decl"), F.transform(whole, visible)).alias("chain"))
 
 
 def context_group(kind: Column) -> Column:
