@@ -436,3 +436,14 @@ def test_flags(spark):
     assert {r.cmd_seq: r.arguments for r in commands.expand_response_files(cmds, own).collect()}[4] == ["cc", "-a", "-b", "@r1", "@none", "x", "x"]
     rsp = spark.createDataFrame([("/w/r1", "-I inc \"-DX=a b\" @r2"), ("/w/r2", "-O2\n'q q'")], "path string, text string")
     assert {r.cmd_seq: r.arguments for r in commands.expand_response_files(cmds, rsp).collect()}[4] == ["cc", "-I", "inc", "-DX=a b", "-O2", "q q", "@none", "x"]
+
+
+def test_reverse_dependents_keep_no_set_of_units(spark):
+    from treescan.operators import includes
+
+    rows = [("a", "h", True, "C_User", 1), ("a", "h", False, "C_User", 2), ("b", "h", False, "C_User", 1), ("b", "g", None, "C_User", 2)]
+    headers = includes.dedupe_headers(spark.createDataFrame(rows, "tu string, header string, direct boolean, inclusion_kind string, seq long"))
+    found = includes.reverse_dependents(headers)
+    assert sorted(map(tuple, found.collect())) == [("g", 1, 0), ("h", 2, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan.lower()

@@ -118,8 +118,9 @@ def include_closure(edges: DataFrame, mains: DataFrame) -> DataFrame:
 
 
 def reverse_dependents(headers: DataFrame) -> DataFrame:
-    """TUs of each header: count, and how many include it directly."""
-    return headers.groupBy("header").agg(F.count_distinct("tu").alias("n_tus"), F.count_distinct(F.when(F.col("direct"), F.col("tu"))).alias("n_direct"))
+    """TUs of each header: count, and how many include it directly. As headers has one row per tu and header, no set of
+    TUs is kept."""
+    return headers.groupBy("header").agg(F.count("tu").alias("n_tus"), F.count_if(F.col("direct") & F.col("tu").isNotNull()).alias("n_direct"))
 
 
 def tu_status(status: DataFrame) -> DataFrame:
