@@ -97,3 +97,16 @@ def test_walks_do_not_depend_on_leaves_taken_off(spark, shape, monkeypatch):
         assert {(r.tu, r.node_id): r.path for r in trees.path_to_root(nodes).collect()} == want
         tops = {(r.tu, r.node_id): r.top for r in trees.walks_up(nodes, F.array("node_id"), F.concat).collect()}
         assert len(tops) == len(rows) and tops["t", "lost2"] == "gone" and tops.get(("t", "below")) is None
+
+
+@pytest.mark.parametrize("shape", ["bushy", "chain", "star"])
+def test_bare_trees_are_labelled_without_a_join(spark, shape, monkeypatch):
+    """Parents and ordinals come along with the labels, through tasks and through rounds; the plan joins nothing to nodes."""
+    rows = forest(4, 90, shape)
+    nodes = spark.createDataFrame(rows, SCHEMA)
+    want = {(tu, n): (up, o, *v[:3]) for (tu, n, up, o), v in ((r, brute(rows)[r[0], r[1]]) for r in rows)}
+    for finish in (1 << 18, 20):
+        monkeypatch.setattr(contraction, "FINISH", finish)
+        found = trees.label_tree(nodes)
+        assert {(r.tu, r.node_id): (r.parent_id, r.ordinal, r.depth, r.size, r.pre) for r in found.collect()} == want
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -136,8 +136,8 @@ def _sizes_of(rows: pa.Table) -> pa.Table:
     return rows.append_column("size", pa.array(size, pa.int64(), mask=~done))
 
 
-def _labels_of(rows: pa.Table) -> pa.Table:
-    """Whole trees (tu, node_id, parent_id, ordinal, bucket) to tu, node_id, depth, size, pre, root_id, bucket."""
+def _labels_of(rows: pa.Table, carry: tuple[str, ...] = ()) -> pa.Table:
+    """Whole trees (tu, node_id, parent_id, ordinal, bucket) to tu, node_id, depth, size, pre, root_id, carry, bucket."""
     ids, n = rows.column("node_id").combine_chunks(), rows.num_rows
     up, order, family = _order(rows)
     size = [1] * n
@@ -164,11 +164,13 @@ def _labels_of(rows: pa.Table) -> pa.Table:
         elif depth[p] is not None:
             depth[v], pre[v], root[v] = depth[p] + 1, pre[p] + before[v] + 1, root[p]
     at = np.array(root, np.int64)
-    return pa.table({"tu": rows.column("tu"), "node_id": ids, "depth": pa.array(depth, pa.int64()), "size": pa.array(size, pa.int64()), "pre": pa.array(pre, pa.int64()), "root_id": ids.take(pa.array(np.maximum(at, 0), mask=at < 0)), "bucket": rows.column("bucket")})
+    return pa.table({"tu": rows.column("tu"), "node_id": ids, "depth": pa.array(depth, pa.int64()), "size": pa.array(size, pa.int64()), "pre": pa.array(pre, pa.int64()), "root_id": ids.take(pa.array(np.maximum(at, 0), mask=at < 0)), **{c: rows.column(c) for c in carry}, "bucket": rows.column("bucket")})
 
 
 def _values_of(rows: pa.Table) -> pa.Table:
-    """What is left of trees (tu, node_id, parent_id, steps, shift, bucket) to tu, node_id, depth, pre, root_id, bucket."""
+    """What is left of trees (tu, node_id, parent_id, steps, shift, further columns, bucket) to tu, node_id, depth, pre,
+    root_id, further columns, bucket."""
+    carry = [c for c in rows.column_names if c not in ("tu", "node_id", "parent_id", "steps", "shift", "bucket")]
     ids = rows.column("node_id").combine_chunks()
     up, order, _ = _order(rows)
     depth, pre = ([None] * len(up) for _ in range(2))
@@ -181,7 +183,7 @@ def _values_of(rows: pa.Table) -> pa.Table:
         elif depth[p] is not None:
             depth[v], pre[v], root[v] = depth[p] + steps[v], pre[p] + shift[v], root[p]
     at = np.array(root)
-    return pa.table({"tu": rows.column("tu"), "node_id": ids, "depth": pa.array(depth, pa.int64()), "pre": pa.array(pre, pa.int64()), "root_id": ids.take(pa.array(np.maximum(at, 0), mask=at < 0)), "bucket": rows.column("bucket")})
+    return pa.table({"tu": rows.column("tu"), "node_id": ids, "depth": pa.array(depth, pa.int64()), "pre": pa.array(pre, pa.int64()), "root_id": ids.take(pa.array(np.maximum(at, 0), mask=at < 0)), **{c: rows.column(c) for c in carry}, "bucket": rows.column("bucket")})
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -222,16 +224,17 @@ def sibling_offsets(sized: DataFrame) -> DataFrame:
     return out.withColumn("before", F.coalesce("within", zero) + F.coalesce("carry", zero)).drop("part", "within", "carry")
 
 
-def from_the_top(c: Contraction, edges: DataFrame) -> DataFrame:
+def from_the_top(c: Contraction, edges: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """edges (tu, node_id, up, gone, steps, shift) to (tu, node_id, depth, pre, root_id): sums of steps and shift from the
-    root to each node. root_id is null where the walk ends at a parent that has no row."""
+    root to each node. root_id is null where the walk ends at a parent that has no row. The columns carry of the edges go
+    along, so that no join is needed to have them again. The last round is not written: use the result once."""
     key = ["tu", "node_id"]
-    current, changed = edges.select(*key, "steps", "shift"), False
+    current, changed = edges.select(*key, "steps", "shift", *carry), False
     undo: list[DataFrame] = []
     rest = [c.rest[0].select(*key, "parent_id").join(current, key)]
     for k, (leaves, spliced, alive) in enumerate(c.rounds):
         if not changed and spliced is None:  # parents are still those that the nodes began with
-            undo.append(edges.where(F.col("gone") == k).select(*key, F.col("up").alias("parent_id"), "steps", "shift"))
+            undo.append(edges.where(F.col("gone") == k).select(*key, F.col("up").alias("parent_id"), "steps", "shift", *carry))
             rest.append(c.rest[k + 1].select(*key, "parent_id").join(current, key))
             continue
         undo.append(written(leaves.select(*key, "parent_id").join(current, key), "removed"))
@@ -242,24 +245,24 @@ def from_the_top(c: Contraction, edges: DataFrame) -> DataFrame:
             undo.append(written(spliced.select(*key, "parent_id", "child").join(current, key), "removed"))
             longer = undo[-1].select("tu", F.col("child").alias("node_id"), F.col("steps").alias("s"), F.col("shift").alias("t"))
             zero = F.lit(0).cast("long")
-            live = live.join(longer, key, "left").select(*key, (F.col("steps") + F.coalesce("s", zero)).alias("steps"), (F.col("shift") + F.coalesce("t", zero)).alias("shift"))
+            live = live.join(longer, key, "left").select(*key, (F.col("steps") + F.coalesce("s", zero)).alias("steps"), (F.col("shift") + F.coalesce("t", zero)).alias("shift"), *carry)
         current = written(live, "edges")
         rest.append(c.rest[k + 1].select(*key, "parent_id").join(current, key))
     if changed:
         left = reduce(DataFrame.unionByName, rest)
     else:
-        left = edges.where("gone is null").select(*key, F.col("up").alias("parent_id"), "steps", "shift")
+        left = edges.where("gone is null").select(*key, F.col("up").alias("parent_id"), "steps", "shift", *carry)
     kind = edges.schema["node_id"].dataType.simpleString()
-    schema = f"tu {edges.schema['tu'].dataType.simpleString()}, node_id {kind}, depth long, pre long, root_id {kind}, bucket long"
+    schema = f"tu {edges.schema['tu'].dataType.simpleString()}, node_id {kind}, depth long, pre long, root_id {kind}, {''.join(f"{n} {edges.schema[n].dataType.simpleString()}, " for n in carry)}bucket long"
     known = written(_in_tasks(left, _values_of, schema, c.total), "values")
     for cyclic in c.cyclic:
-        known = known.union(cyclic.select(*key, *[F.lit(None).cast(t).alias(n) for n, t in (("depth", "long"), ("pre", "long"), ("root_id", kind))]))
-    for removed in reversed(undo):
+        known = known.union(cyclic.select(*key, *[F.lit(None).cast(t).alias(n) for n, t in (("depth", "long"), ("pre", "long"), ("root_id", kind), *((n, edges.schema[n].dataType) for n in carry))]))
+    for k, removed in reversed(list(enumerate(undo))):
         above = known.select("tu", F.col("node_id").alias("parent_id"), F.col("depth").alias("d"), F.col("pre").alias("p"), "root_id", F.lit(True).alias("there"))
         value = lambda own, upper: F.when(F.col("there"), F.col(upper) + F.col(own)).otherwise(F.col(own))
         root = F.when(F.col("parent_id").isNull(), F.col("node_id")).otherwise(F.col("root_id"))
-        back = removed.join(above, ["tu", "parent_id"], "left").select(*key, value("steps", "d").alias("depth"), value("shift", "p").alias("pre"), root.alias("root_id"))
-        known = known.union(written(back, "values"))
+        back = removed.join(above, ["tu", "parent_id"], "left").select(*key, value("steps", "d").alias("depth"), value("shift", "p").alias("pre"), root.alias("root_id"), *carry)
+        known = known.union(written(back, "values") if k else back)
     return known
 
 
@@ -274,21 +277,23 @@ def depths(nodes: DataFrame, finish: int | None = None) -> DataFrame:
     return from_the_top(c, edges).select("tu", "node_id", F.when(F.col("root_id").isNotNull(), F.col("depth")).alias("depth"), "root_id")
 
 
-def labels(nodes: DataFrame, finish: int | None = None) -> DataFrame:
-    """nodes (tu, node_id, parent_id, ordinal) to tu, node_id, depth, size, pre, root_id. Raises ValueError where parents
+def labels(nodes: DataFrame, finish: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """nodes (tu, node_id, parent_id, ordinal) to tu, node_id, depth, size, pre, root_id, and parent_id or ordinal where
+    they are in carry. Raises ValueError where parents
     form a cycle. Trees of at most ``finish`` nodes are labelled in tasks, many at a time; larger ones go by rounds."""
     nodes, n = counted(nodes.select("tu", "node_id", "parent_id", F.col("ordinal").cast("long").alias("ordinal")), "nodes", all=F.count(F.lit(1)))
     small, large = _split(nodes, FINISH if finish is None else finish)
     kind = nodes.schema["node_id"].dataType.simpleString()
-    schema = f"tu {nodes.schema['tu'].dataType.simpleString()}, node_id {kind}, depth long, size long, pre long, root_id {kind}, bucket long"
+    schema = f"tu {nodes.schema['tu'].dataType.simpleString()}, node_id {kind}, depth long, size long, pre long, root_id {kind}, {''.join(f"{n} {nodes.schema[n].dataType.simpleString()}, " for n in carry)}bucket long"
     bad = F.count_if(F.col("pre").isNull())
-    found, n = counted(_in_tasks(small, _labels_of, schema, n["all"]), "labels", bad=bad)
+    found, n = counted(_in_tasks(small, lambda rows: _labels_of(rows, carry), schema, n["all"]), "labels", bad=bad)
     if large is not None:
         c = contract(large, finish)
         sized = written(sibling_offsets(subtree_sizes(c)), "sized")
         edge = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
-        edges = sized.select("tu", "node_id", "up", "gone", edge.alias("steps"), (F.col("before") + edge).alias("shift"))
-        more, m = counted(from_the_top(c, edges).join(sized.select("tu", "node_id", "size"), ["tu", "node_id"]), "labels", bad=bad)
+        along = ("size", *("up" if n == "parent_id" else n for n in carry))
+        edges = sized.select("tu", "node_id", "up", "gone", edge.alias("steps"), (F.col("before") + edge).alias("shift"), *(n for n in along if n != "up"))
+        more, m = counted(from_the_top(c, edges, along).withColumnRenamed("up", "parent_id"), "labels", bad=bad)
         found, n = found.unionByName(more), {"bad": n["bad"] + m["bad"]}
     if n["bad"]:
         raise ValueError("parents form a cycle")

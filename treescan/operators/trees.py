@@ -94,7 +94,10 @@ def label_tree(nodes: DataFrame) -> DataFrame:
 
     By contraction: sizes go up, then pre goes down as the sum of the sizes of earlier siblings, plus one a step.
     """
-    found = contraction.labels(nodes).select("tu", "node_id", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("post"))
+    post = (F.col("pre") + F.col("size") - 1).alias("post")
+    if set(nodes.columns) == {"tu", "node_id", "parent_id", "ordinal"}:  # nothing to be joined again
+        return contraction.labels(nodes, carry=("parent_id", "ordinal")).select(*nodes.columns, "depth", "size", "pre", post)
+    found = contraction.labels(nodes).select("tu", "node_id", "depth", "size", "pre", post)
     return nodes.drop("depth", "size", "pre", "post").join(found, ["tu", "node_id"])
 
 
