@@ -447,3 +447,14 @@ def test_reverse_dependents_keep_no_set_of_units(spark):
     assert sorted(map(tuple, found.collect())) == [("g", 1, 0), ("h", 2, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "distinct" not in plan.lower()
+
+
+def test_heights_take_leaves_off_first(spark, monkeypatch):
+    rows = [("t", "r", None)] + [("t", f"c{i}", "r") for i in range(5)] + [("t", f"l{i}", f"c{i % 4}") for i in range(40)] + [("t", "x", "l0"), ("t", "lost", "gone")]
+    t = spark.createDataFrame(rows, "tu string, node_id string, parent_id string")
+    left, whole = [], trees._gathered_up
+    monkeypatch.setattr(trees, "FEW", 2)
+    monkeypatch.setattr(trees, "_gathered_up", lambda nodes, *a: left.append(nodes.count()) or whole(nodes, *a))
+    got = {r.node_id: r.height for r in trees.height(t).collect()}
+    assert got == {"r": 3, "x": 0, "lost": 0, **{f"c{i}": 2 if i == 0 else int(i < 4) for i in range(5)}, **{f"l{i}": int(i == 0) for i in range(40)}}
+    assert left and left[0] <= 6

@@ -7,6 +7,8 @@ some walk comes to its end, so where their number stays the same parents form a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,8 +132,23 @@ def subtree_size(labelled: DataFrame) -> DataFrame:
 
 
 def height(nodes: DataFrame) -> DataFrame:
-    """tu, node_id, height: edges to the deepest node below. Raises ValueError where parents form a cycle."""
-    return _gathered_up(nodes, F.lit(0), F.max, lambda own, more, stride: F.greatest(own, more + stride), "height")
+    """tu, node_id, height: edges to the deepest node below. Raises ValueError where parents form a cycle.
+
+    Leaves are taken off while that halves what is left, and leave their heights with their parents, so that only few
+    nodes are left for the strides."""
+    peeled: list[DataFrame] = []
+    alive, seen = counted(nodes.select("tu", "node_id", "parent_id", F.lit(0).cast("long").alias("height")), "height", all=F.count(F.lit(1)))
+    n = seen["all"]
+    while n > FEW:
+        above = alive.where("parent_id is not null").groupBy("tu", F.col("parent_id").alias("node_id")).agg((F.max("height") + 1).alias("more"))
+        marked = alive.join(above, ["tu", "node_id"], "left").select("tu", "node_id", "parent_id", F.greatest("height", "more").alias("height"), F.col("more").isNotNull().alias("inner"))
+        marked, seen = counted(marked, "height", leaves=F.count_if(~F.col("inner")))
+        peeled.append(marked.where("not inner").select("tu", "node_id", "height"))
+        alive, before, n = marked.where("inner").drop("inner"), n, n - seen["leaves"]
+        if 2 * n > before:
+            break
+    rest = _gathered_up(alive, F.col("height"), F.max, lambda own, more, stride: F.greatest(own, more + stride), "height")
+    return reduce(DataFrame.union, peeled, rest)
 
 
 def context_chain(decls: DataFrame, which: str = "semantic_parent") -> DataFrame:
