@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import deque
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from treescan.operators import history, logs
@@ -170,3 +171,29 @@ def test_early_chunks_are_kept_by_blocks(spark, tmp_path):
     got = [r.line for r in st.run(st.reassemble_numbered(stream_of(spark, tmp_path / "in", schema)), "append", path).collect()]
     assert sorted(got) == sorted(text.split("\n")[:-1])
     assert spark.read.format("statestore").options(path=f"{path}-state", stateVarName="early").load().count() == 0
+
+
+def test_lines_of_a_batch_are_put_together_at_once():
+    """As chunk by chunk: what the buffer cuts off, ends of input, and what waits for the next batch."""
+
+    class Tail:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    most = st.MAX_BUFFER
+    for chunks in (["a\nb", "c", "\n", None, "d", None, None, "", "e"], ["x" * (most - 1), "y", "z", "\nu", "v" * (most + 5), "w\nq"], ["x" * most, "\n" + "y" * most + "\nz", "\n", None], [None], ["x" * 9 + "\n"] * 20_000):
+        want, buffer = [], "0"
+        for chunk in chunks:
+            *done, buffer = [*filter(None, [buffer]), ""] if chunk is None else (buffer + chunk)[-most:].split("\n")
+            want += done
+        state = st.LineBuffer()
+        state.tail, n = Tail(), len(chunks)
+        state.tail.update(("0",))
+        rows = pd.DataFrame({"source": 1, "fd": 0, "seq": [i // 3 for i in range(n)], "part": [i % 3 for i in range(n)], "chunk": chunks}).sample(frac=1, random_state=1)
+        got = [line for out in state.handleInputRows((1, 0), iter([rows[: n // 2], rows[n // 2 :]]), None) for line in out["line"]]
+        assert got == want and state.tail.get() == (buffer,)
