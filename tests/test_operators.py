@@ -55,6 +55,40 @@ def test_nested_closure(spark):
     assert got == {"level1": True, "iostream": True, "level2": False, "vector": False}
 
 
+def test_closure_writes_a_row_a_block_not_one_a_pair(spark, monkeypatch):
+    """Forty files with one header that has 128 more; and the fewest steps in a graph with cycles, repeats and nulls."""
+    sizes, name = [], lambda i: f"h{i:03}"
+
+    def watch(module, function):
+        real = getattr(module, function, None)
+
+        def seen(df, *args, **kw):
+            out = real(df, *args, **kw)
+            sizes.append((out[0] if isinstance(out, tuple) else out).count())
+            return out
+
+        monkeypatch.setattr(module, function, seen, raising=False)
+
+    watch(includes, "written"), watch(includes, "counted")
+    schema = "src string, dst string"
+    star = spark.createDataFrame([(f"m{m}", name(0)) for m in range(40)] + [(name(0), name(i)) for i in range(1, 129)], schema)
+    mains = spark.createDataFrame([(f"m{m}",) for m in range(40)], "main string")
+    got = includes.include_closure(star, mains).groupBy("steps").count().collect()
+    assert {r.steps: r["count"] for r in got} == {1: 40, 2: 40 * 128} and max(sizes) <= 40 * 3 + 129
+    monkeypatch.undo()
+    edges = [(name(i), name(i + 1)) for i in range(12)] * 2 + [(name(12), name(3)), (name(7), name(10)), (name(2), None), (name(5), None), (None, name(1)), ("m1", name(11)), ("m2", name(0))]
+    got = includes.include_closure(spark.createDataFrame(edges, schema), spark.createDataFrame([("m1",), ("m2",), ("m2",), (name(8),), ("m3",), (None,)], "main string")).collect()
+    want = set()
+    for main in ("m1", "m2", name(8)):
+        steps, last, k = {}, {main}, 0
+        while last:
+            k += 1
+            last = {d for s, d in edges if s in last and s is not None} - set(steps)
+            steps.update(dict.fromkeys(last, k))
+        want |= {(main, h, k, k == 1) for h, k in steps.items()}
+    assert len(got) == len(want) and {(r.main, r.header, r.steps, r.direct) for r in got} == want and max(r.steps for r in got) > 8
+
+
 def test_merge_skips_bad_chunks_and_fails_without_good(spark):
     rows = [(1, 1, 0, 5, None), (2, 2, 1, 7, None), (None, None, None, None, "{bad")]
     schema = "total_count long, success_count long, failure_count long, total_header_count long, _corrupt_record string"
