@@ -1,6 +1,9 @@
 """Operators on literal fixtures."""
 
+import contextlib
+import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +189,30 @@ def test_label(bagged):
     assert got == {"n1": "FunctionDecl [main] : int () {static}", "n2": "VarDecl [remainder] : std::string", "n3": "CallExpr [size] vc=lvalue = 3"}
 
 
+def test_label_is_compiled_and_keeps_odd_values(spark):
+    """The JVM compiles no method of more than 8,000 bytes; and absent, empty and null properties leave no piece."""
+    rows = [
+        ("a", {"kind": "K", "name": "", "declName": "d", "spelledType": "s", "canonicalType": "s", "desugaredType": "z"}, ["x", "y"]),
+        ("b", {"type": "t", "canonicalType": "c", "isVirtual": "true", "isPure": "true", "isStatic": "false", "isXValue": "true", "isValueDependent": "true", "value": "v  "}, None),
+        ("c", {"kind": "K", "name": None, "memberName": "m", "canonicalType": "c", "value": "  "}, []),
+        ("d", {}, None),
+        ("e", None, ["x"]),
+    ]
+    bags = spark.createDataFrame(rows, "node_id string, props map<string,string>, template_args array<string>")
+    got = {r.node_id: r.label for r in nodes.node_label(bags).collect()}
+    assert got == {"a": "K [d] : s desug: z <x, y>", "b": " : t canon: c {virtual pure} vc=xvalue dep = v", "c": "K [m] canon: c =", "d": "", "e": " <x>"}
+    held, adaptive = io.StringIO(), "spark.sql.adaptive.enabled"
+    plain = bags.drop("template_args").repartition(2)
+    spark.conf.set(adaptive, "false")
+    try:
+        with contextlib.redirect_stdout(held):
+            nodes.node_label(plain).explain("codegen")
+    finally:
+        spark.conf.unset(adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", held.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
 BAG = '{"kind":"FunctionDecl","name":"f","numParams":2,"isConst":true,"params":[{"name":"a","type":"int"},{"name":"b","type":"char"}],"bases":[{"type":"B","isVirtual":false,"accessSpecifier":"public"}],"templateArgs":[{"kindName":"Type","value":"int"},{"pack":[{"value":"x"},{"pack":[{"value":"y"}]}]},{"pack":[]}],"nodePtr":255,"macroSpellingRange":{"begin":{"fileId":1,"line":2,"column":3},"end":{"fileId":1,"line":2,"column":9}},"size":1.5,"none":null}'
 
 

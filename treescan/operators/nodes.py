@@ -77,26 +77,33 @@ def macro_spelling_range(nodes: DataFrame) -> DataFrame:
 
 
 def node_label(nodes: DataFrame) -> DataFrame:
-    """nodes with label: kind, name, type and details, as one line."""
-    p = lambda key: F.coalesce(F.try_element_at(F.col("props"), F.lit(key)), F.lit(""))
-    first = lambda *keys: F.coalesce(*[F.when(p(k) != "", p(k)) for k in keys], F.lit(""))
+    """nodes with label: kind, name, type and details, as one line.
+
+    Each property is looked up once: empty ones go first, so that what is absent or empty is null and drops out of its piece,
+    and pieces that are needed twice are columns. Written as one expression it repeats its pieces, and the generated method
+    is too long for the JVM to compile.
+    """
+    p = lambda key: F.try_element_at("_props", F.lit(key))
     on = lambda key: p(key) == "true"
-    kind, name, typ = p("kind"), first("name", "declName", "memberName"), first("type", "spelledType")
-    extra = lambda key, word: F.when((p(key) != "") & (p(key) != typ), F.concat(F.lit(f" {word}: "), p(key)))
+    piece = lambda before, value, after="": F.concat(F.lit(before), value, F.lit(after))
+    extra = lambda key, word: F.when(~F.col(key).eqNullSafe(F.col("_type")), piece(f" {word}: ", F.col(key)))
     flags = F.concat_ws(" ", *[F.when(on(k), F.lit(w)) for k, w in (("isConstexpr", "constexpr"), ("isStatic", "static"), ("isVirtual", "virtual"), ("isPure", "pure"), ("isInlined", "inline"))])
     args = F.col("template_args") if "template_args" in nodes.columns else F.array().cast("array<string>")
+    rows = nodes.withColumn("_props", F.map_filter("props", lambda _, v: v != ""))
+    rows = rows.withColumns({"_type": F.coalesce(p("type"), p("spelledType")), "_flags": flags, "_canonical": p("canonicalType"), "_desugared": p("desugaredType")})
     detail = F.concat_ws(
         "",
-        extra("canonicalType", "canon"),
-        extra("desugaredType", "desug"),
-        F.when(flags != "", F.concat(F.lit(" {"), flags, F.lit("}"))),
-        F.when(F.size(args) > 0, F.concat(F.lit(" <"), F.array_join(args, ", "), F.lit(">"))),
+        extra("_canonical", "canon"),
+        extra("_desugared", "desug"),
+        F.when(F.col("_flags") != "", piece(" {", F.col("_flags"), "}")),
+        F.when(F.size(args) > 0, piece(" <", F.array_join(args, ", "), ">")),
         F.when(on("isLValue"), " vc=lvalue").when(on("isXValue"), " vc=xvalue").when(on("isPRValue"), " vc=prvalue"),
         F.when(on("isTypeDependent") | on("isValueDependent"), " dep"),
-        F.when(p("value") != "", F.concat(F.lit(" = "), p("value"))),
+        piece(" = ", p("value")),
     )
-    label = F.concat_ws("", kind, F.when(name != "", F.concat(F.lit(" ["), name, F.lit("]"))), F.when(typ != "", F.concat(F.lit(" : "), typ)), F.when(F.trim(detail) != "", F.concat(F.lit(" "), F.trim(detail))))
-    return nodes.withColumn("label", label)
+    rows = rows.withColumn("_detail", F.trim(detail))
+    label = F.concat_ws("", p("kind"), piece(" [", F.coalesce(p("name"), p("declName"), p("memberName")), "]"), piece(" : ", F.col("_type")), F.when(F.col("_detail") != "", piece(" ", F.col("_detail"))))
+    return rows.withColumn("label", label).drop("_props", "_type", "_flags", "_canonical", "_desugared", "_detail")
 
 
 # Properties of each family of nodes, with their types
