@@ -233,6 +233,21 @@ def test_typed_and_exploded_bags(spark):
     assert flat["nodePtr"] == "0xff" and flat["params"] == "[2 items]" and flat["params.[0]"] == "(object)" and flat["params.[1].name"] == "b" and flat["size"] == "1.5" and flat["none"] == "null" and flat["isConst"] == "true"
 
 
+def test_template_args_read_each_bag_once(spark):
+    """Packs in packs, an empty one and one of 1,000; no bag is made twice."""
+    made, many = spark.sparkContext.accumulator(0), ",".join(["{}"] * 1000)
+
+    @F.udf("string")
+    def bag(i):
+        made.add(1)
+        return f'{{"templateArgs":[{{"pack":[{{"pack":[{{"kindName":"K","value":"{i}"}}]}},{{"pack":[]}}]}},{{"kindName":"Pack","pack":[{many}]}},{{"pack":7}}]}}'
+
+    n = spark.range(20).repartition(2).select(F.lit("t").alias("tu"), F.col("id").alias("node_id"), F.parse_json(bag("id")).alias("bag"))
+    got = nodes.explode_template_args(n).collect()
+    want = [(i, p, k, v) for i in range(20) for p, k, v in (([0, 0, 0], "K", str(i)), ([0, 1], None, None), ([1], "Pack", None), ([2], None, None))]
+    assert sorted((r.node_id, r.path, r.kindName, r.value) for r in got) == want and made.value == 20
+
+
 def test_categories_and_keywords_are_fixed(spark):
     assert len(nodes.CATEGORIES) == 14 and len(set(text.KEYWORDS)) == 68 and not {"and", "co_await", "typeid"} & set(text.KEYWORDS)
     kinds = ["CXXMethodDecl", "CallExpr", "IfStmt", "PointerType", "Attr", "ConceptReference", "CXXBaseSpecifier", "CXXCtorInitializer", "LambdaCapture", "NestedNameSpecifier", "NestedNameSpecifierLoc", "TemplateArgument", "TemplateArgumentLoc", "TemplateName"]

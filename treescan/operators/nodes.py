@@ -7,12 +7,13 @@ and where needed pre, begin and end positions, data_id, bag (VARIANT).
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treescan.functions.columns import enum_label, is_under_root, scalar_to_string, valid_location
-from treescan.functions.storage import written
+from treescan.functions.storage import counted, written
 from treescan.operators.paths import dense_ids
 
 
@@ -193,20 +194,19 @@ def explode_bases(nodes: DataFrame) -> DataFrame:
 
 def explode_template_args(nodes: DataFrame) -> DataFrame:
     """One row per template argument; packs of 1 to 999 are opened in place at any depth, others stay one row. path: place
-    at each level."""
+    at each level. A level is written once, its finished rows with those that are still to be opened, so each bag is read once."""
+    text = lambda key: F.try_variant_get("item", f"$.{key}", "string").alias(key)
     items = F.try_variant_get("bag", "$.templateArgs", "array<variant>")
     level = nodes.select("tu", "node_id", F.posexplode(items).alias("pos", "item")).select("tu", "node_id", F.array("pos").alias("path"), "item")
-    out = None
+    done = []
     while True:
-        inner = F.try_variant_get("item", "$.pack", "array<variant>")
-        opened = F.coalesce(F.size(inner).between(1, 999), F.lit(False))
-        done = level.where(~opened)
-        out = done if out is None else out.union(done)
-        packs = level.where(opened)
-        if packs.isEmpty():
-            break
-        level = written(packs.select("tu", "node_id", "path", F.posexplode(inner).alias("pos", "inner")).select("tu", "node_id", F.concat("path", F.array("pos")).alias("path"), F.col("inner").alias("item")), "packs")
-    return out.select("tu", "node_id", "path", F.try_variant_get("item", "$.kindName", "string").alias("kindName"), F.try_variant_get("item", "$.value", "string").alias("value"))
+        packed = level.withColumn("inner", F.try_variant_get("item", "$.pack", "array<variant>"))
+        pack = F.when(F.size("inner").between(1, 999), F.col("inner"))
+        rows, n = counted(packed.select("tu", "node_id", "path", text("kindName"), text("value"), pack.alias("pack")), "packs", open=F.count_if(F.col("pack").isNotNull()))
+        done.append(rows.where("pack is null").drop("pack"))
+        if not n["open"]:
+            return reduce(DataFrame.union, done)
+        level = rows.where("pack is not null").select("tu", "node_id", "path", F.posexplode("pack").alias("pos", "item")).select("tu", "node_id", F.concat("path", F.array("pos")).alias("path"), "item")
 
 
 def flatten_properties(nodes: DataFrame, ids: list[str], bag: str = "bag") -> DataFrame:
