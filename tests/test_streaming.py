@@ -197,3 +197,44 @@ def test_lines_of_a_batch_are_put_together_at_once():
         rows = pd.DataFrame({"source": 1, "fd": 0, "seq": [i // 3 for i in range(n)], "part": [i % 3 for i in range(n)], "chunk": chunks}).sample(frac=1, random_state=1)
         got = [line for out in state.handleInputRows((1, 0), iter([rows[: n // 2], rows[n // 2 :]]), None) for line in out["line"]]
         assert got == want and state.tail.get() == (buffer,)
+
+
+NAV = "session long, seq long, ts timestamp, file long, line long, col long, node long, version long, delta int"
+
+
+def test_sessions_of_a_group_share_timer_and_state(spark, tmp_path):
+    """One group for all, over restarts: no session, large numbers, nulls, and sessions due at other times than the group's timer."""
+    big = 2**60 + 1
+    batches = [
+        [(None, 0, at(50), 3, None, 1, 1, 1, None), (big, 1, at(100), 4, 7, 1, 1, 1, 0), (big - 1, 2, at(200), 5, 8, 1, 1, 1, 0)],
+        [(None, 3, at(900), 6, 9, 1, 1, 1, 0), (big - 1, 4, at(1000), None, 1, 1, 1, 1, 0)],
+        [(None, 5, at(1500), None, None, None, None, None, -1), (7, 6, at(1900), 1, 1, 1, 1, 1, 0)],
+        [(7, 7, at(2600), 2, 2, 2, 2, 2, 0)],
+        [(8, 8, at(9000), 2, 2, 2, 2, 2, 0)],
+    ]
+    for k, rows in enumerate(batches):
+        put(spark, rows, NAV, tmp_path / f"in/{k}")
+        out = st.run(timed.ended_sessions(stream_of(spark, tmp_path / "in", NAV), 1000, groups=1), "append", str(tmp_path / "out"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, 50, 1500, 3, 2, 0, 3, 0), (big, 100, 100, 1, 1, 0, 4, 7), (big - 1, 200, 1000, 2, 1, 0, 5, 8), (7, 1900, 2600, 2, 2, 1, 2, 2)], key=str)
+    state = spark.read.format("statestore").options(path=f"{tmp_path}/out-state", stateVarName="history").load()
+    assert state.count() == 1  # of the last session
+
+
+def test_a_group_of_sessions_is_few_calls_of_the_state():
+    """A call a session, some a group, and one frame; each session used to be a key with five calls and a batch of its own."""
+
+    class Calls:
+        def __init__(self):
+            self.n, self.kept, self.timers = 0, {}, set()
+
+        def __getattr__(self, name):
+            self.n += 1
+            return {"exists": lambda: bool(self.kept), "getValue": self.kept.get, "updateValue": self.kept.__setitem__, "listTimers": lambda: iter(self.timers), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name]
+
+    calls, state = Calls(), timed.SessionState(10)
+    state.kept = state.handle = calls
+    n = 1000
+    rows = pd.DataFrame({"session": [str(i % n) for i in range(3 * n)], "seq": range(3 * n), "ms": [i // n * 10 + i // n // 2 * 5 for i in range(3 * n)], "delta": 0, **{p: 1 for p in history.PLACE}})
+    frames = list(state.handleInputRows((0,), iter([rows[:n], rows[n:]]), None))
+    assert [len(f) for f in frames] == [n] and set(frames[0]["n_events"]) == {2}
+    assert len(calls.kept) == n and calls.timers == {36} and calls.n <= n + 5

@@ -4,13 +4,19 @@ Time is that of the events. What is due before a row is done before the row; whe
 it once the watermark has passed. So results don't depend on how rows fall into micro-batches, as long as rows of a key
 come in the order of their times, and a restart goes on from the state. In a batch the rows of a key are held at once: the
 source's rate limit (maxFilesPerTrigger, maxBytesPerTrigger) bounds them. Rows behind the watermark are late and go.
+
+Sessions are dealt over groups, and a group is a key: each key costs Python several calls of the state, a frame and an Arrow
+batch, and each Row a conversion of every value, which is more than the history of a session takes.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import batched, groupby
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +27,8 @@ from treescan.operators.history import CAP, PLACE, History
 PENDING, BATCH, TICK = 20_000, 500, 100
 SHOWN = "source long, seq long, line string, tick long, dropped boolean"
 FINISHED = "run long, completed long, failed long, total long, status string, last_seq long"
+#: Groups that sessions are dealt over.
+GROUPS = 1024
 ENDED = "session long, began long, ended long, n_events long, n_entries int, cursor int, file long, line long"
 
 
@@ -149,41 +157,73 @@ def finished_runs(events: DataFrame, idle: int) -> DataFrame:
 
 
 class SessionState(_Timed):
-    """History of a session until it goes idle."""
+    """Histories of a group of sessions until they go idle. The group's timer is not after the first of them is due."""
 
     def __init__(self, idle: int):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getValueState("history", "entries array<array<bigint>>, cursor int, began long, ended long, n long")
+        self.kept = handle.getMapState("history", "session string", "entries array<bigint>, cursor int, began long, ended long, n long")
 
     @staticmethod
-    def _ended(session: int, h: History, began: int, last: int, n: int) -> Row:
-        place = h.entries[h.cursor] if h.entries else (0,) * len(PLACE)
-        return Row(session=session, began=began, ended=last, n_events=n, n_entries=len(h.entries), cursor=h.cursor, file=place[0], line=place[1])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        old = self.kept.get()
-        h, began, last, n = (History([tuple(e) for e in old[0]], old[1], CAP), *old[2:]) if old else (History(), None, None, 0)
-        for row in sorted(rows, key=lambda r: r["seq"]):
-            if last is not None and row["ms"] - last > self.idle:
-                yield self._ended(key[0], h, began, last, n)
-                h, began, n = History(), None, 0
-            h.apply(row["delta"], tuple(row[p] or 0 for p in PLACE))
-            began, last, n = row["ms"] if began is None else began, row["ms"], n + 1
-        self.kept.update(([list(e) for e in h.entries], h.cursor, began, last, n))
-        self.wait_until(last + self.idle + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        old = self.kept.get()
-        self.kept.clear()
-        if old:
-            yield self._ended(key[0], History([tuple(e) for e in old[0]], old[1], CAP), *old[2:])
+    def _history(entries: list[int], cursor: int) -> History:
+        return History(list(batched(entries, len(PLACE))), cursor, CAP)
 
+    @staticmethod
+    def _ended(session: str, h: History, began: int, last: int, n: int) -> tuple:
+        place = h.entries[h.cursor] if h.entries else (0,) * len(PLACE)
+        return int(session) if session else None, began, last, n, len(h.entries), h.cursor, place[0], place[1]
 
-def ended_sessions(events: DataFrame, idle: int) -> DataFrame:
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        """As objects, so that a missing session makes no floats of the others."""
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ENDED.split(", ")], dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        columns = ["session", "seq", "ms", "delta", *PLACE]
+        given = sorted((r for part in rows for r in zip(*(part[c].tolist() for c in columns), strict=True)), key=itemgetter(0, 1))
+        some, due, ended = self.kept.exists(), None, []
+        for session, own in groupby(given, key=itemgetter(0)):
+            old = self.kept.getValue((session,)) if some else None
+            h, began, last, n = (self._history(old[0], old[1]), *old[2:]) if old else (History(), None, None, 0)
+            for _, _, ms, delta, *place in own:
+                if last is not None and ms - last > self.idle:
+                    ended.append(self._ended(session, h, began, last, n))
+                    h, began, n = History(), None, 0
+                h.apply(delta, tuple(place))
+                began, last, n = ms if began is None else began, ms, n + 1
+            self.kept.updateValue((session,), ([x for e in h.entries for x in e], h.cursor, began, last, n))
+            due = last + self.idle + 1 if due is None else min(due, last + self.idle + 1)
+        waits = list(self.handle.listTimers()) if some else []
+        if not waits or due < min(waits):
+            self.wait_until(due)
+        if ended:
+            yield self._frame(ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, due, ended = timerValues.getCurrentWatermarkInMs(), None, []
+        for (session,), (entries, cursor, began, last, n) in self.kept.iterator():
+            at = last + self.idle + 1
+            if at < now:
+                ended.append((session, self._ended(session, self._history(entries, cursor), began, last, n)))
+            else:
+                due = at if due is None else min(due, at)
+        for session, _ in ended:
+            self.kept.removeKey((session,))
+        if due is not None:
+            self.handle.registerTimer(due)
+        if ended:
+            yield self._frame([row for _, row in ended])
+
+
+def ended_sessions(events: DataFrame, idle: int, groups: int = GROUPS) -> DataFrame:
     """events as in history.nav_history_replay, with ts, to ENDED: a row for each session without an event for more than
-    idle milliseconds, with the history as it was. A later event of its name begins a new session."""
-    rows = events.withWatermark("ts", "0 seconds").withColumn("ms", F.unix_millis("ts"))
-    return rows.groupBy("session").transformWithState(SessionState(idle), ENDED, "Append", "EventTime")
+    idle milliseconds, with the history as it was. A later event of its name begins a new session.
+
+    pandas has no whole numbers with nulls, so a session is text, and none where it is null; seq and ts must be given."""
+    must = lambda c, name: F.coalesce(c, F.raise_error(F.lit(f"{name} is null")))
+    session = F.coalesce(F.col("session").cast("string"), F.lit(""))
+    whole = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ["delta", *PLACE]]
+    rows = events.withWatermark("ts", "0 seconds").select(F.pmod(F.xxhash64("session"), F.lit(groups)).alias("group"), session.alias("session"), must(F.col("seq"), "seq").alias("seq"), "ts", must(F.unix_millis("ts"), "ts").alias("ms"), *whole)
+    return rows.groupBy("group").transformWithStateInPandas(SessionState(idle), ENDED, "Append", "EventTime")
