@@ -238,3 +238,15 @@ def test_a_group_of_sessions_is_few_calls_of_the_state():
     frames = list(state.handleInputRows((0,), iter([rows[:n], rows[n:]]), None))
     assert [len(f) for f in frames] == [n] and set(frames[0]["n_events"]) == {2}
     assert len(calls.kept) == n and calls.timers == {36} and calls.n <= n + 5
+
+
+def test_histories_of_a_group_go_on_over_restarts(spark, tmp_path):
+    """One group for all: no session, large numbers and nulls; its state is a key of the group with an entry a session."""
+    big = 2**60 + 1
+    for k, rows in enumerate([[(None, 0, at(50), 3, None, 1, 1, 1, None), (big, 1, at(100), 4, 7, 1, 1, 1, 0)], [(big, 3, at(300), 6, 9, 1, 1, 1, 0), (None, 2, at(200), 5, 8, 1, 1, 1, 0), (None, 4, at(400), None, None, None, None, None, -1)]]):
+        put(spark, rows, NAV, tmp_path / f"in/{k}")
+        out = st.run(st.nav_history(stream_of(spark, tmp_path / "in", NAV), groups=1), "update", str(tmp_path / "out"))
+    got = sorted((r.batch, r.last_seq, r.session, r.n_entries, r.cursor, r.file, r.line) for r in out.collect())
+    assert got == [(0, 0, None, 1, 0, 3, 0), (0, 1, big, 1, 0, 4, 7), (1, 3, big, 2, 1, 6, 9), (1, 4, None, 2, 0, 3, 0)]
+    state = spark.read.format("statestore").options(path=f"{tmp_path}/out-state", stateVarName="history").load()
+    assert state.count() == 2 and state.select("key").distinct().count() == 1
