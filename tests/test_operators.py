@@ -92,6 +92,30 @@ def test_closure_writes_a_row_a_block_not_one_a_pair(spark, monkeypatch):
     assert len(got) == len(want) and {(r.main, r.header, r.steps, r.direct) for r in got} == want and max(r.steps for r in got) > 8
 
 
+def test_closure_broadcasts_no_table(spark, monkeypatch, tmp_path):
+    """Joins of headers, edges and what is reached are shuffled, however small their files; only counts of parts are sent."""
+    from treescan.plans import bindings
+
+    plans = []
+
+    def watch(function):
+        real = getattr(includes, function)
+
+        def seen(df, *args, **kw):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df, *args, **kw)
+
+        monkeypatch.setattr(includes, function, seen)
+
+    watch("written"), watch("counted")
+    spark.range(130).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    edges = bindings.include_edges(spark, str(tmp_path))
+    found = includes.include_closure(edges, bindings.table(spark, str(tmp_path), "part").select(F.col("p_partkey").alias("main")))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line and "_part" not in line]
+    assert len(joins) > 6 and not [line for line in joins if "SortMergeJoin" not in line]
+
+
 def test_merge_skips_bad_chunks_and_fails_without_good(spark):
     rows = [(1, 1, 0, 5, None), (2, 2, 1, 7, None), (None, None, None, None, "{bad")]
     schema = "total_count long, success_count long, failure_count long, total_header_count long, _corrupt_record string"

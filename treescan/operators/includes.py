@@ -107,22 +107,28 @@ def classify_headers(headers: DataFrame, roots: DataFrame | None = None) -> Data
 BLOCK = 64
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df for joins that shuffle. Files of numbers are small for the rows that they hold, so by their size millions of rows
+    would be sent to the driver and broadcast."""
+    return df.hint("merge")
+
+
 def include_closure(edges: DataFrame, mains: DataFrame) -> DataFrame:
     """edges: src, dst; mains: main. Every header that a main file reaches, with the fewest steps; direct at one step.
 
     Semi-naive: each round extends only pairs that the last one found. Headers are numbered in order of their names, and what
     a main reaches of a block of numbers is one row with a bit each; the steps are kept as bits of binary digits. So a round
-    shuffles a row a main and block, not one a pair, and pairs are formed once, at the end.
+    shuffles a row a main and block, not one a pair, and pairs are formed once, at the end. No table goes through the driver.
     """
     ids = dense_ids(edges.select(F.col("dst").alias("header")).distinct(), ["header"], "id")
     at = F.col("id") - 1
     ids = written(ids.select("header", F.floor(at / BLOCK).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % BLOCK).cast("int")).alias("bit")), "headers")
-    to = edges.join(ids, edges["dst"].eqNullSafe(ids["header"])).groupBy("src", "block").agg(F.bit_or("bit").alias("bits"))
+    to = _merged(edges).join(_merged(ids), edges["dst"].eqNullSafe(ids["header"])).groupBy("src", "block").agg(F.bit_or("bit").alias("bits"))
     to = written(to, "blocks")
     inner = ids.select("header", F.col("block").alias("of"), F.col("bit").alias("when"))
-    inner = written(to.join(inner, to["src"] == inner["header"]).select("of", "when", "block", "bits"), "inner")
+    inner = written(_merged(to).join(_merged(inner), to["src"] == inner["header"]).select("of", "when", "block", "bits"), "inner")
     step, digits, none = 1, [], F.lit(0).cast("long")
-    found = to.join(mains, mains["main"] == to["src"]).groupBy("main", "block").agg(F.bit_or("bits").alias("last"))
+    found = _merged(to).join(_merged(mains), mains["main"] == to["src"]).groupBy("main", "block").agg(F.bit_or("bits").alias("last"))
     found = found.select("main", "block", F.col("last").alias("seen"), "last")
     while True:
         digits = [f"digit{i}" for i in range(step.bit_length())]
@@ -133,13 +139,13 @@ def include_closure(edges: DataFrame, mains: DataFrame) -> DataFrame:
             break
         step += 1
         last = found.select("main", F.col("block").alias("of"), "last").where("last <> 0")
-        reached = last.join(inner, (last["of"] == inner["of"]) & (F.col("last").bitwiseAND(F.col("when")) != 0))
+        reached = _merged(last).join(_merged(inner), (last["of"] == inner["of"]) & (F.col("last").bitwiseAND(F.col("when")) != 0))
         reached = reached.select("main", "block", none.alias("seen"), *[none.alias(d) for d in digits], F.col("bits").alias("next"))
         both = found.select("main", "block", "seen", *digits, none.alias("next")).union(reached)
         both = both.groupBy("main", "block").agg(*[F.bit_or(c).alias(c) for c in ("seen", *digits, "next")])
         new = F.col("next").bitwiseAND(F.bitwise_not("seen"))
         found = both.select("main", "block", F.col("seen").bitwiseOR(new).alias("seen"), *digits, new.alias("last"))
-    pairs = found.join(ids, (found["block"] == ids["block"]) & (F.col("seen").bitwiseAND(F.col("bit")) != 0))
+    pairs = _merged(found).join(_merged(ids), (found["block"] == ids["block"]) & (F.col("seen").bitwiseAND(F.col("bit")) != 0))
     steps = reduce(Column.__add__, [F.when(F.col(d).bitwiseAND(F.col("bit")) != 0, 1 << i).otherwise(0) for i, d in enumerate(digits)])
     return pairs.select("main", "header", steps.alias("steps"), (steps == 1).alias("direct"))
 
