@@ -141,3 +141,59 @@ def test_small_documents_share_batches_and_a_large_one_is_streamed(monkeypatch):
     of = lambda tu: [(r["node_id"], r["parent_id"], r["ordinal"], r["depth"], r["path"], r["bag"], r["range"]) for r in rows if r["tu"] == tu and not r["reason"]]
     assert of("s7") == [("0.0", "0", 0, 1, [0, 0], None, '{"begin":{}}'), ("0.1", "0", 1, 1, [0, 1], None, None), ("0", None, 0, 0, [0], '{"kind":"A"}', None)]
     assert len(of("large")) == 401 and of("large")[399] == ("0.399", "0", 399, 1, [0, 399], '{"k":1}', None) and not of("bad") and not of("large bad")
+
+
+def test_a_document_in_pieces_is_held_by_windows_only(monkeypatch):
+    """Pieces cut anywhere give the nodes of the whole text, a bad end included; a long one is taken as it is read."""
+    from itertools import chain
+
+    import pyarrow as pa
+    from treescan.sources import nested
+
+    text = ' {"properties":{"kind":"A","s":"é]}\\""},"x":-12.5e+3 , "children":[ {"children":[7,null]} ,{}, {"sourceRange":{"begin":{}},"properties":1.25}] } '
+    bad = text.rstrip()[:-1]
+    rows = [("t", f"r{k}", piece) for k, t in enumerate((text, bad, text)) for piece in ([t[i : i + 1 + 2 * k] for i in range(0, len(t), 1 + 2 * k)])]
+    pieces = pa.RecordBatch.from_pylist([dict(zip(("tu", "root_id", "text"), r, strict=True)) for r in rows])
+    want = [r for b in nested.read_nodes(True)(iter([pa.RecordBatch.from_pylist([{"tu": "t", "value": text}])])) for r in b.to_pylist()]
+    for window in (1, 9, 1 << 20):
+        got = [r for b in nested.read_pieces(True, window)(iter([pieces.slice(0, 50), pieces.slice(50)])) for r in b.to_pylist()]
+        of = lambda root: [{k: v for k, v in r.items() if k != "root_id"} for r in got if r["root_id"] == root]  # noqa: E731,B023
+        assert of("r0") == of("r2") == want and len(want) == 6
+        assert of("r1")[-1] == {**dict.fromkeys(want[0]), "tu": "t", "reason": "not JSON"} and (len(of("r1")) == 1 or window < 1 << 20)
+    monkeypatch.setattr(nested, "BATCH", 100)
+    taken = 0
+
+    def long():
+        nonlocal taken
+        for piece in chain(['{"children":['], ["{},"] * 100_000, ["{}]}"]):
+            taken += len(piece)
+            yield piece
+
+    found = nested.nodes_of(long(), 1000)
+    for _ in range(500):
+        next(found)
+    assert taken < 5000 and sum(1 for _ in found) == 100_002 - 500
+
+
+def test_a_bad_document_in_pieces_gives_no_nodes(spark):
+    """Nodes that came before the fault go; a document of the same tu stays."""
+    rows = [("t", "a", 0, '{"children":['), ("t", "a", 1, "{},{}"), ("t", "a", 2, "]}"), ("t", "b", 0, '{"children":['), ("t", "b", 1, "{},{}" * 40), ("t", "b", 2, "]}"), (None, None, 0, "{}")]
+    for window in (4, None):
+        nodes, rejects = d.read_ast_events(spark.createDataFrame(rows, "tu string, root_id string, pre long, text string"), window=window)
+        assert [tuple(r) for r in rejects.collect()] == [("t", "not JSON")]
+        assert sorted((r.tu or "", r.node_id) for r in nodes.collect()) == [("", "0"), ("t", "0"), ("t", "0.0"), ("t", "0.1")]
+
+
+@pytest.mark.parametrize("nodes, characters", [(1 << 18, 1 << 25), (40, 1 << 25), (1 << 18, 1500), (1, 1)])
+def test_exports_of_small_and_large_trees(spark, tmp_path, monkeypatch, nodes, characters):
+    """Trees that go whole to a task and trees that do not give the same documents, in order, and compressed files."""
+    monkeypatch.setattr(d, "NODES", nodes), monkeypatch.setattr(d, "CHARACTERS", characters)
+    forest = [(f"t{i % 7}", json.dumps({"properties": {"kind": f"R{i}"}, "sourceRange": {"begin": {"valid": False}, "end": {"valid": False}}, "children": [json.loads(nest(3 + i)) for _ in range(i % 5)]})) for i in range(7)]
+    read, _ = d.read_ast_export(spark.createDataFrame(forest, "tu string, value string"))
+    path = str(tmp_path / "exports")
+    d.write_ast_export(read, path)
+    assert {p.suffix for p in (tmp_path / "exports").glob("part-*")} == {".gz"}
+    assert {r.tu: r.value for r in d.read_ast_documents(spark, path).collect()} == {tu: v.replace(" ", "") for tu, v in forest}
+    back, rejects = d.read_ast_events(d.read_ast_lines(spark, path), window=100)
+    flat = lambda n: sorted((r.tu, r.node_id, r.parent_id, r.depth, str(r.bag)) for r in n.collect())
+    assert flat(back) == flat(read) and rejects.isEmpty()

@@ -167,6 +167,26 @@ def _labels_of(rows: pa.Table, carry: tuple[str, ...] = ()) -> pa.Table:
     return pa.table({"tu": rows.column("tu"), "node_id": ids, "depth": pa.array(depth, pa.int64()), "size": pa.array(size, pa.int64()), "pre": pa.array(pre, pa.int64()), "root_id": ids.take(pa.array(np.maximum(at, 0), mask=at < 0)), **{c: rows.column(c) for c in carry}, "bucket": rows.column("bucket")})
 
 
+def in_order_of(rows: pa.Table, carry: tuple[str, ...]) -> pa.Table:
+    """Whole trees (tu, node_id, parent_id, ordinal, carry, bucket), tree by tree in their order, to tu, root_id, pre, depth,
+    ends (subtrees that end at a node), carry, bucket. Nodes below a parent that has no row go. Raises ValueError where
+    parents form a cycle."""
+    found = _labels_of(rows, carry)
+    if found.column("pre").null_count:
+        raise ValueError("parents form a cycle")
+    found = found.filter(pc.is_valid(found.column("root_id")))
+    trees = found.column("tu").combine_chunks().dictionary_encode().indices
+    trees = pc.fill_null(trees, -1).to_numpy(zero_copy_only=False)
+    pre, size = found.column("pre").to_numpy(), found.column("size").to_numpy()
+    by = np.lexsort((pre, trees))
+    trees, last = trees[by], (pre + size - 1)[by]
+    first = np.flatnonzero(np.append(True, np.diff(trees) != 0)[: len(by)])
+    begins = np.repeat(first, np.diff(np.append(first, len(by))))
+    ends = np.bincount(begins + last, minlength=len(by))
+    found = found.take(pa.array(by)).append_column("ends", pa.array(ends, pa.int32()))
+    return found.select(["tu", "root_id", "pre", "depth", "ends", *carry, "bucket"])
+
+
 def _values_of(rows: pa.Table) -> pa.Table:
     """What is left of trees (tu, node_id, parent_id, steps, shift, further columns, bucket) to tu, node_id, depth, pre,
     root_id, further columns, bucket."""

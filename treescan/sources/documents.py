@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treescan.functions.storage import written
+from treescan.functions.storage import counted, written
 from treescan.operators import contraction
 from treescan.operators.commands import split_command
 from treescan.operators.includes import attach_errors
@@ -17,6 +17,8 @@ from treescan.sources import nested
 
 #: Bytes of documents from which on no more go to a task's Python at once.
 BATCH_BYTES = 4 << 20
+#: Nodes and characters of a tree up to which its nodes are put in order together with their texts, by one task.
+NODES, CHARACTERS = 1 << 18, 32 << 20
 COMMAND = "directory string, file string, command string, arguments array<string>, _corrupt_record string"
 HEADER = "array<struct<path: string, direct: boolean, inclusionKind: string>>"
 DOCUMENT = f"statistics struct<totalCount: long, successCount: long, failureCount: long, totalHeaderCount: long>, files array<struct<path: string, headerCount: long, headers: {HEADER}, partialData: boolean, error: string>>, errors array<struct<filePath: string, message: string>>, _corrupt_record string"
@@ -70,33 +72,86 @@ def read_ast_export(docs: DataFrame, paths: bool = True) -> tuple[DataFrame, Dat
     """docs (tu, value: a JSON export {properties, sourceRange, children}) to nodes (tu, node_id, parent_id, ordinal,
     depth, path of ordinals, bag, positions) and rejects (tu, reason). Depth has no limit. Ids are paths of ordinals, which
     add up to the square of the depth; without paths they are numbers in the order of the document."""
+    found = _in_python(docs.select(F.col("tu").cast("string").alias("tu"), "value"), nested.read_nodes(paths), nested.NODE)
+    return _nodes(found.where("reason is null")), found.where("reason is not null").select("tu", "reason")
+
+
+def read_ast_events(events: DataFrame, paths: bool = True, window: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same of documents in pieces (tu, root_id, pre, text), as ast_events and read_ast_lines give them. A document is
+    read by one task as its pieces come in order, so none is held whole: from ``window`` characters on a task holds so many
+    of it, and what is open."""
+    pieces = events.select(F.col("tu").cast("string").alias("tu"), F.col("root_id").cast("string").alias("root_id"), "pre", "text")
+    pieces = pieces.repartition("tu", "root_id").sortWithinPartitions("tu", "root_id", "pre").drop("pre")
+    found = _in_python(pieces, nested.read_pieces(paths, window), f"{nested.NODE}, root_id string")
+    bad = found.where("reason is not null")
+    fine, key = found.where("reason is null"), ("tu", "root_id")
+    if not bad.isEmpty():  # what came of a document before its fault
+        gone = bad.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+        fine = fine.join(gone, fine["tu"].eqNullSafe(gone["_tu"]) & fine["root_id"].eqNullSafe(gone["_root_id"]), "left_anti")
+    return _nodes(fine), bad.select("tu", "reason")
+
+
+def _in_python(docs: DataFrame, read, schema: str) -> DataFrame:
     spark, setting = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, BATCH_BYTES)  # so that a task holds one large document at a time
     try:
-        found = written(docs.select(F.col("tu").cast("string").alias("tu"), "value").mapInArrow(nested.read_nodes(paths), nested.NODE), "nodes")
+        return written(docs.mapInArrow(read, schema), "nodes", "zstd")
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
+def _nodes(found: DataFrame) -> DataFrame:
     get = lambda end, key, kind: F.try_variant_get("at", f"$.{end}.{key}", kind)
     places = {f"{end}_{name}": F.when(F.coalesce(get(end, "valid", "boolean"), F.lit(True)) & (get(end, "fileId", "long") > 0), get(end, key, kind)) for end in ("begin", "end") for name, key, kind in (("file", "fileId", "long"), ("line", "line", "long"), ("col", "column", "long"), ("path", "filePath", "string"))}
-    rows = found.where("reason is null").withColumns({"bag": F.try_parse_json("bag"), "at": F.try_parse_json("range")})
+    rows = found.withColumns({"bag": F.try_parse_json("bag"), "at": F.try_parse_json("range")})
     kind = F.try_variant_get("bag", "$.kind", "string")
-    nodes = rows.select("tu", "node_id", "parent_id", "ordinal", "depth", "path", kind.alias("kind"), "bag", *[c.alias(n) for n, c in places.items()])
-    return nodes, found.where("reason is not null").select("tu", "reason")
+    return rows.select("tu", "node_id", "parent_id", "ordinal", "depth", "path", kind.alias("kind"), "bag", *[c.alias(n) for n, c in places.items()])
 
 
-def ast_events(nodes: DataFrame) -> DataFrame:
-    """nodes as read_ast_export gives them to (tu, root_id, pre, text): a node's own text in the order of the tree, with as
-    many ends after it as subtrees end there. The texts of a root put together are its nested document, and their length
-    is that of the nodes' own texts."""
+def _events(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Events of ast_events: those of small trees, tree by tree in order, and those of large ones in any order, if there are any.
+
+    A small tree goes to one task with its texts; of a large one the labels are found without them and joined with them."""
     place = lambda end: F.when(F.col(f"{end}_file") > 0, F.to_json(F.struct(F.lit(True).alias("valid"), F.col(f"{end}_file").alias("fileId"), F.col(f"{end}_line").alias("line"), F.col(f"{end}_col").alias("column"), F.col(f"{end}_path").alias("filePath")))).otherwise('{"valid":false}')
     head = F.concat(F.lit('{"properties":'), F.coalesce(F.to_json("bag"), F.lit("{}")), F.lit(',"sourceRange":{"begin":'), place("begin"), F.lit(',"end":'), place("end"), F.lit('},"children":['))
-    labels = contraction.labels(nodes).where("root_id is not null")
+    comma = F.when((F.col("ends") > 0) & (F.col("ends") <= F.col("depth")), ",").otherwise("")
+    text = F.concat("head", F.repeat(F.lit("]}"), F.col("ends")), comma)
+    length = F.coalesce(F.length("head"), F.lit(0)).cast("long")
+    own = nodes.select("tu", "node_id", "parent_id", F.col("ordinal").cast("long").alias("ordinal"), head.alias("head"))
+    own, n = counted(own, "nodes", "zstd", all=F.count(F.lit(1)), characters=F.sum(length))
+    wide = own.groupBy("tu").agg(F.count("*").alias("n"), F.sum(length).alias("m")).where((F.col("n") > NODES) | (F.col("m") > CHARACTERS))
+    wide = written(wide.select("tu"), "large_trees")
+    whole = wide.isEmpty()
+    small = own if whole else own.join(wide, "tu", "left_anti")
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * n["all"] // NODES, 2 * n["characters"] // CHARACTERS)
+    kind = {c: own.schema[c].dataType.simpleString() for c in ("tu", "node_id")}
+    schema = f"tu {kind['tu']}, root_id {kind['node_id']}, pre long, depth long, ends int, head string, bucket long"
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("tu"), F.lit(parts)))
+    small = small.groupBy("bucket").applyInArrow(lambda rows: contraction.in_order_of(rows, ("head",)), schema)
+    small = small.select("tu", "root_id", "pre", text.alias("text"))
+    if whole:
+        return small, None
+    large = own.join(wide, "tu", "left_semi")
+    labels = contraction.labels(large).where("root_id is not null")
     ends = labels.groupBy("tu", (F.col("pre") + F.col("size") - 1).alias("pre")).agg(F.count("*").cast("int").alias("ends"))
-    rows = labels.join(ends, ["tu", "pre"], "left").select("tu", "node_id", "root_id", "pre", F.col("depth").alias("_depth"), F.coalesce("ends", F.lit(0)).alias("ends"))
-    comma = F.when((F.col("ends") > 0) & (F.col("ends") <= F.col("_depth")), ",").otherwise("")
-    text = F.concat(head, F.repeat(F.lit("]}"), F.col("ends")), comma)
-    return nodes.drop("root_id", "pre").join(rows, ["tu", "node_id"]).select("tu", "root_id", "pre", text.alias("text"))
+    rows = labels.join(ends, ["tu", "pre"], "left").select("tu", "node_id", "root_id", "pre", "depth", F.coalesce("ends", F.lit(0)).alias("ends"))
+    return small, large.select("tu", "node_id", "head").join(rows, ["tu", "node_id"]).select("tu", "root_id", "pre", text.alias("text"))
+
+
+def ast_events(nodes: DataFrame) -> DataFrame:
+    """nodes as read_ast_export gives them to (tu, root_id, pre, text): a node's own text in the order of the tree, with as
+    many ends after it as subtrees end there. The texts of a root put together are its nested document, and their length
+    is that of the nodes' own texts. Parents that form a cycle are an error, of large trees at once, of small ones when the
+    events are used."""
+    small, large = _events(nodes)
+    return small if large is None else small.unionByName(large)
+
+
+def _in_order(nodes: DataFrame) -> DataFrame:
+    """Events of which those of a document stand in order, those of a large one over many tasks."""
+    small, large = _events(nodes)
+    return small if large is None else small.unionByName(large.repartitionByRange("tu", "root_id", "pre").sortWithinPartitions("tu", "root_id", "pre"))
 
 
 def _documents(events: DataFrame) -> DataFrame:
@@ -111,19 +166,25 @@ def ast_documents(nodes: DataFrame) -> DataFrame:
 
 
 def write_ast_export(nodes: DataFrame, path: str) -> None:
-    """Exports as lines (tu, root_id, pre, text) in order of document and place, so that many tasks write a large one."""
-    ast_events(nodes).repartitionByRange("tu", "root_id", "pre").sortWithinPartitions("tu", "root_id", "pre").write.json(path)
+    """Exports as compressed lines (tu, root_id, pre, text), a document's in order of place, so that many tasks write a
+    large one."""
+    _in_order(nodes).write.json(path, compression="gzip")
 
 
 def write_ast_files(nodes: DataFrame, path: str) -> None:
     """A folder tu=... for each tu with one root: its files put together, in order of name, are the JSON document."""
-    rows = ast_events(nodes).repartitionByRange("tu", "root_id", "pre").sortWithinPartitions("tu", "root_id", "pre")
+    rows = _in_order(nodes).sortWithinPartitions("tu", "root_id", "pre")
     rows.select("tu", F.col("text").alias("value")).write.partitionBy("tu").text(path)
 
 
+def read_ast_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (tu, root_id, pre, text) of exports that write_ast_export wrote."""
+    return spark.read.schema("tu string, root_id string, pre long, text string").json(path)
+
+
 def read_ast_documents(spark: SparkSession, path: str) -> DataFrame:
-    """tu and value of exports that write_ast_export wrote."""
-    return _documents(spark.read.schema("tu string, root_id string, pre long, text string").json(path))
+    """tu and value of exports that write_ast_export wrote. A document is one value here; read_ast_events has no such bound."""
+    return _documents(read_ast_lines(spark, path))
 
 
 def write_flat_nodes(nodes: DataFrame, path: str) -> None:
